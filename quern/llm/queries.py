@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern import scratch
-from quern.llm import sharding
+from quern.llm import neardup, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,8 +20,16 @@ def op7_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components at five words and a similarity of 0.75."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_jump_hash": op7_jump_hash}
+    return {
+        "op7_jump_hash": op7_jump_hash,
+        "op10_superminhash": op10_superminhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
