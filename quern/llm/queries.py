@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import neardup, sharding
+from quern.llm import neardup, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after dropping 13-word windows that an earlier document starts."""
+    kept = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 by jump consistent hashing of doc_id, with the shard among 17."""
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
@@ -27,6 +34,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_count_min": op5_count_min,
         "op7_jump_hash": op7_jump_hash,
         "op10_superminhash": op10_superminhash,
     }
