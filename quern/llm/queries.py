@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import neardup, sharding, substrings
+from quern.llm import neardup, quality, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by compressed sizes."""
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after dropping 13-word windows that an earlier document starts."""
     kept = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -34,6 +39,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_compression": op2_compression,
         "op5_count_min": op5_count_min,
         "op7_jump_hash": op7_jump_hash,
         "op10_superminhash": op10_superminhash,
