@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import neardup, quality, sharding, substrings
+from quern.llm import neardup, packing, quality, sharding, substrings
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +24,11 @@ def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op5_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after dropping 13-word windows that an earlier document starts."""
     kept = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -40,6 +48,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_compression": op2_compression,
+        "op4_bin_slack": op4_bin_slack,
         "op5_count_min": op5_count_min,
         "op7_jump_hash": op7_jump_hash,
         "op10_superminhash": op10_superminhash,
