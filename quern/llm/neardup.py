@@ -6,9 +6,13 @@ permutation. Once every place holds a value of a step so far, later steps cannot
 the document stops. All shingles of a chunk of documents take a step together in numpy.
 
 Documents with equal shingle sets collapse first, so a group of copies is one row
-thereafter. Inside a band's bucket every document is paired with one leader only, not with
-every other: after verified links are contracted, only pairs that still lie in different
-components are tried, again leader by leader, until no bucket holds an untested pair.
+thereafter. A band's bucket pairs its documents with one leader only, the one that meets
+most others over all bands, and verified links are contracted to components. Documents that
+met the same leader and still lie in different components are then compared without making
+a row of any pair: each is sent once, as what it lacks of the leader and what it adds to it,
+and the exact intersections of a leader's followers are matrix products over those few
+shingles, in blocks of bounded size. Every two documents of a bucket share its leader, so
+no pair that shares a band is missed.
 """
 
 from __future__ import annotations
@@ -122,40 +126,103 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
 
 
+#: Followers of a leader that are compared in one task, and shingle columns in one product.
+FOLLOWERS, COLUMNS = 1500, 4096
+
+
+def _pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(leader's set, document's set, which items of the document the leader has)."""
+    lead, own = batch.column("items_lead"), batch.column("items")
+    for i in range(len(batch)):
+        x, y = (np.frombuffer(c[i].as_buffer(), _U) for c in (lead, own))
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        yield x, y, x[at] == y
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, both): size of the intersection of two sorted sets."""
+    """(lead, id, both): size of the intersection of two sorted sets."""
     for batch in batches:
-        left, right = batch.column("items_a"), batch.column("items_b")
-        both = np.empty(len(batch), np.int64)
-        for i in range(len(batch)):
-            x, y = (np.frombuffer(c[i].as_buffer(), _U) for c in (left, right))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both[i] = int((y[at] == x).sum())
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both)], ["a", "b", "both"])
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that the full sets link, with both sizes and the intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), "sets")
-    of = lambda s: sets.select(F.col("id").alias(s), F.col("items").alias(f"items_{s}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "items_a", "items_b")
-    found = joined.mapInArrow(_overlaps, "a long, b long, both long")
-    size = lambda s: sizes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
-    out = found.join(size("a"), "a").join(size("b"), "b")
-    links = scratch.save(out.withColumn("linked", 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))), "verified")
-    scratch.drop(sets)
-    return links
+        both = pa.array([int(same.sum()) for _, _, same in _pairs_of(batch)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), both], ["lead", "id", "both"])
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each follower as a bit for each item of the leader and the items that it adds."""
+    for batch in batches:
+        bits, added = [], []
+        for x, y, same in _pairs_of(batch):
+            bits.append(np.packbits(np.isin(x, y, assume_unique=True)).tobytes())
+            added.append(y[~same].tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(bits, pa.binary()), pa.array(added, pa.binary())], [*_KEYS, "bits", "added"])
+
+
+_KEYS = ("lead", "id", "component", "n", "part", "parts")
+
+
+def _comparer(percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between followers of one leader that lie in different components, as a forest."""
+        ids, comp, n, part = (table.column(c).to_numpy() for c in ("id", "component", "n", "part"))
+        bits = np.unpackbits(np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")]), axis=1)
+        both = bits.astype(np.float32) @ bits.T.astype(np.float32)
+        added = [np.frombuffer(b.as_buffer(), _U) for b in table.column("added")]
+        row = np.repeat(np.arange(len(ids)), [len(a) for a in added])
+        value, kind, times = np.unique(np.concatenate(added), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # items that only one follower adds are in no intersection
+        use = times[kind] > 1
+        row, kind = row[use], shared[kind[use]]
+        order = np.argsort(kind, kind="stable")
+        row, kind = row[order], kind[order]
+        for a in range(0, int((times > 1).sum()), COLUMNS):
+            lo, hi = np.searchsorted(kind, [a, a + COLUMNS])
+            m = np.zeros((len(ids), COLUMNS), np.float32)
+            m[row[lo:hi], kind[lo:hi] - a] = 1
+            both += m @ m.T
+        link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        if part.min() != part.max():
+            link &= part[:, None] != part[None, :]
+        x, y = np.nonzero(np.triu(link, 1))
+        parent = {}
+
+        def find(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        out = ([], [])
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out[0].append(int(ids[i]))
+                out[1].append(int(ids[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return compare
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("items_lead")), "lead")
+
+
+def _followers(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between followers of the same leader, whose components differ after the leaders' links."""
+    named = pairs.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
+    mixed = mixed.select("lead", F.ceil(F.col("c") / FOLLOWERS).cast("int").alias("parts"))
+    rows = named.join(mixed, "lead").join(sizes, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    delta = _with_sets(rows.select(*_KEYS), sets).select(*_KEYS, "items", "items_lead").mapInArrow(_deltas, "lead long, id long, component long, n long, part int, parts int, bits binary, added binary")
+    # Two parts of a leader's followers meet in one task; for most leaders there is one part.
+    meet = delta.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"_i": F.least("part", "_other"), "_j": F.greatest("part", "_other")})
+    return meet.groupBy("lead", "_i", "_j").applyInArrow(_comparer(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, n_links.
 
-    ``n_links`` counts the verified links to documents with another shingle set that were
-    needed or tried (a lower bound of the document's links). A null or blank text has an
+    ``n_links`` counts the verified links that join the document's class to others in the
+    component's spanning links (a lower bound of its links). A null or blank text has an
     empty set and is alone in its component. A null doc_id is linked with nothing: its
     component is null and it is kept. Rows that repeat a doc_id each keep their row; the
     first text found stands for the id in verification. An empty table gives no rows.
@@ -168,20 +235,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         "classes",
     )
     sizes = reps.select("id", "n")
-    # The rank decides who leads a bucket; being one for all bands, it keeps the leaders of a document few.
-    spread = reps.select("id", "n", F.xxhash64("id").alias("rank"), F.posexplode("bands").alias("band", "key"))
-    crowded = spread.groupBy("band", "key").agg(F.min(F.struct("rank", "id", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = scratch.save(spread.join(crowded, ["band", "key"]).select("band", "key", "id", "n", "rank", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
-    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = scratch.save(member.where((F.col("id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(*ordered(F.col("id"), F.col("lead"))).distinct(), "pairs")
-    tested = _verify(pairs, base, sizes, percent)
-    labels = components(tested.where("linked").select("a", "b"))
-    rest = _rest(member, labels, tested, fits, percent)
-    if not rest.isEmpty():
-        tested = tested.unionByName(_verify(rest, base, sizes, percent))
-        labels = components(tested.where("linked").select("a", "b"))
-    ends = tested.where("linked").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    spread = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    crowded = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = scratch.save(spread.join(crowded, ["band", "key"]), "buckets")
+    # Who meets most others leads: in a family of edits that is the text they were made from.
+    met = member.groupBy("id").agg(F.sum("c").alias("met"))
+    leads = member.join(met, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
+    pairs = scratch.save(member.join(leads, ["band", "key"]).where("id <> lead").select("lead", "id").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()
+    sets = scratch.save(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), "sets")
+    # Lengths alone rule out many pairs before their sets are joined.
+    n_of = lambda s: sizes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+    fit = pairs.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.least("n_id", "n_lead") >= percent * F.greatest("n_id", "n_lead"))
+    found = _with_sets(fit.select("lead", "id"), sets).select("lead", "id", "items", "items_lead").mapInArrow(_overlaps, "lead long, id long, both long")
+    linked = found.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.col("both") >= percent * (F.col("n_id") + F.col("n_lead") - F.col("both")))
+    links = scratch.save(linked.select(F.col("lead").alias("a"), F.col("id").alias("b")), "verified")
+    labels = components(links)
+    more = scratch.save(_followers(pairs, labels, sizes, sets, percent), "verified")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+    scratch.drop(member, pairs, sets)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("set_id", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"), "n_links")
     # A null set_id joins nothing, and spreads over all tasks by its salt.
     return (
@@ -195,22 +270,3 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
-
-
-def _rest(member: DataFrame, labels: DataFrame, tested: DataFrame, fits, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and were not tested.
-
-    A pair that both differ from their leader in known, unlike degree is left out: 1 minus
-    the Jaccard similarity is a metric, so the pair is at least the difference apart.
-    """
-    named = member.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    far = tested.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
-    m = named.join(mixed, ["band", "key"]).withColumn("a", F.least("id", "lead")).withColumn("b", F.greatest("id", "lead")).join(far, ["a", "b"], "left").withColumn("far", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("far"))).select("band", "key", "id", "n", "component", "far")
-    m = scratch.save(m, "mixed")
-    # The largest component of a bucket is on one side only.
-    shares = m.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    left = m.join(shares, ["band", "key"]).where("component <> largest").select("band", "key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component", "far")))
-    both = left.join(m, ["band", "key"]).where((F.col("component_x") != F.col("component")) & fits(F.col("n_x"), F.col("n")) & ~F.coalesce(F.abs(F.col("far_x") - F.col("far")) > 1 - percent / 100 + 1e-9, F.lit(False)))
-    pairs = both.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
-    return scratch.save(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import neardup, packing, quality, sharding, substrings
+from quern.llm import mixing, neardup, packing, quality, sharding, substrings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,12 @@ def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of every document: sources tempered until none is read over 1.25 times as often as another."""
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"), max_repetition=1.25)
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block_at").alias("block_key"), F.col("_at").alias("row_key"))
+
+
 def op4_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), VOCABULARY)
@@ -48,6 +54,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_compression": op2_compression,
+        "op3_temperature": op3_temperature,
         "op4_bin_slack": op4_bin_slack,
         "op5_count_min": op5_count_min,
         "op7_jump_hash": op7_jump_hash,
