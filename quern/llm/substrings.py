@@ -2,11 +2,11 @@
 
 Windows of 13 words are counted in a count-min sketch whose rows are cut into slices of
 2**22 cells. Every block of documents (a hash of doc_id; its size is a parameter, so there
-are as many blocks as the text needs) sends each slice the sorted places it touched, two
-bytes a window and row; the slice merges the blocks and sends each block back the places
+are as many blocks as the text needs) sends each slice the sorted places it touched, one or
+two bytes a window and row; the slice merges the blocks and sends each block back the places
 whose merged count is two or more. The estimate never falls short, so a window whose every
-place came back covers all repeated windows. Only those are grouped exactly, by 128 bits,
-once per block; blocks then get the first document of each window they share. No sketch,
+place came back covers all repeated windows. Only those are grouped exactly, by 96 bits,
+once per block; a block then gets the first document of each window that it shares. No sketch,
 bitmap or window list is broadcast or collected; what a task holds follows the block and
 slice sizes, not the table.
 """
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words
@@ -27,8 +28,10 @@ BLOCK_BYTES, SLICE_BITS, ROWS, CELLS = 16 << 20, 22, 2, 4
 _U = np.uint64
 _MAX, _MIN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _SLICE = "row int, slice int, block int, places binary"
-_FOUND = "h1 long, h2 long, block int, low long, high long"
-_OUT = "doc_id long, n_words long, n_removed long, kept_text string"
+#: Windows of a block, packed: two hashes (64 and 32 bits), smallest doc_id, whether others of the block hold it.
+_FOUND = "part int, block int, h1 binary, h2 binary, low binary, many binary"
+_PACKED = ("h1", "<u8"), ("h2", "<u4"), ("low", "<i8"), ("many", "u1")
+_OUT = "doc_id long, n_words long, n_removed long, kept_text string, new_text string"
 
 
 def _documents(table: pa.Table):
@@ -45,14 +48,21 @@ def _places(h: np.ndarray, row: int, slices: int, bits: int) -> np.ndarray:
 
 
 def _pack(places: np.ndarray) -> bytes:
-    """Sorted places as gaps of two bytes, or of four where a gap is wider."""
-    gaps = np.diff(places, prepend=places[:1] * 0)
+    """Sorted places as gaps of one byte, where 255 means 255 and more to come, or of two or four."""
+    gaps = np.diff(places, prepend=0)
+    if len(gaps) and places[-1] < 400 * len(gaps):
+        more = gaps // 255
+        out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+        out[np.cumsum(more + 1) - 1] = gaps % 255
+        return b"\1" + out.tobytes()
     wide = len(gaps) and int(gaps.max()) > 0xFFFF
-    return (b"\4" if wide else b"\2") + gaps.astype(np.uint32 if wide else np.uint16).tobytes()
+    return (b"\4" if wide else b"\2") + gaps.astype("<u4" if wide else "<u2").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint32 if raw[:1] == b"\4" else np.uint16, offset=1).astype(np.int64))
+    gaps = np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[raw[0]], offset=1)
+    places = np.cumsum(gaps, dtype=np.int64)
+    return places[gaps < 255] if raw[0] == 1 else places
 
 
 def _sketcher(window: int, slices: int, rows: int, bits: int):
@@ -95,15 +105,15 @@ def _ids(table: pa.Table, missing: int) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(missing).to_numpy()
 
 
-def _finder(window: int, slices: int, rows: int, bits: int):
+def _finder(window: int, slices: int, rows: int, bits: int, parts: int):
     def find(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        """Windows of a block that every row of the sketch holds repeated: once each, with the smallest and largest doc_id."""
+        """Windows of a block that every row of the sketch holds repeated, once each."""
         known = [[] for _ in range(rows)]
-        for row, part, raw in zip(flags.column("row").to_pylist(), flags.column("slice").to_pylist(), flags.column("places"), strict=True):
-            known[row].append(_unpack(raw.as_py()) | (part << bits))
+        for row, slice_, raw in zip(flags.column("row").to_pylist(), flags.column("slice").to_pylist(), flags.column("places"), strict=True):
+            known[row].append(_unpack(raw.as_py()) | (slice_ << bits))
         known = [np.sort(np.concatenate(k)).astype(_U) if k else np.zeros(0, _U) for k in known]
         first, last = _ids(docs, _MAX), _ids(docs, _MIN)
-        h1, h2, low, high = [], [], [], []
+        got = []
         for i, _, w in _documents(docs) if docs.num_rows and all(len(k) for k in known) else ():
             h, at = words.grams(w, window)
             keep = np.ones(len(h), bool)
@@ -113,30 +123,57 @@ def _finder(window: int, slices: int, rows: int, bits: int):
                 k[k == len(known[row])] = 0
                 keep &= known[row][k] == x
             doc = w.doc[at[keep]] + i
-            h1.append(h[keep])
-            h2.append(words.grams(w, window, seed=1)[0][keep])
-            low.append(first[doc])
-            high.append(last[doc])
-        if not h1:
-            return pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
-        h1, h2, low, high = map(np.concatenate, (h1, h2, low, high))
-        order = np.lexsort((h2, h1))
-        h1, h2, low, high = h1[order], h2[order], low[order], high[order]
-        cut = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(h1)])
-        block = (docs.column("block")[0].as_py() if docs.num_rows else 0,) * len(cut)
-        return pa.table(
-            {
-                "h1": h1[cut].view(np.int64),
-                "h2": h2[cut].view(np.int64),
-                "block": pa.array(block, pa.int32()),
-                "low": np.minimum.reduceat(low, cut) if len(cut) else low,
-                "high": np.maximum.reduceat(high, cut) if len(cut) else high,
-            }
-        )
+            got.append((h[keep], _second(w, window)[keep], first[doc], last[doc]))
+        h1, h2, low, high = map(np.concatenate, zip(*got, strict=True)) if got else (np.zeros(0, _U), np.zeros(0, np.uint32), *(np.zeros(0, np.int64),) * 2)
+        part = (h1 >> _U(20)) % _U(parts)
+        order, cut = _runs(part, h1, h2)
+        low, high = (f.reduceat(x[order], cut) if len(cut) else x for f, x in ((np.minimum, low), (np.maximum, high)))
+        pick = order[cut]
+        return _rows(part[pick].astype(np.int64), docs.column("block")[0].as_py() if docs.num_rows else 0, h1[pick], h2[pick], low, (low < high).astype(np.uint8))
 
     return find
 
 
+def _second(w: words.Words, window: int) -> np.ndarray:
+    return words.grams(w, window, seed=1)[0].astype(np.uint32)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by the keys, where each run of equal keys begins in it)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _rows(group: np.ndarray, block: int | np.ndarray, *packed: np.ndarray) -> pa.Table:
+    """Rows of found windows: one for each run of ``group``, a part or with ``block`` given as array a block."""
+    cut = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = [*cut[1:].tolist(), len(group)]
+    data = [[x[a:b].astype(t).tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x, (_, t) in zip(packed, _PACKED, strict=True)]
+    blocks = [block] * len(cut) if isinstance(block, int) else block[cut]
+    return pa.table([pa.array(group[cut].astype(np.int32)), pa.array(blocks, pa.int32()), *(pa.array(d, pa.binary()) for d in data)], ["part", "block", *(n for n, _ in _PACKED)])
+
+
+def _unrows(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in _PACKED]
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """Group the windows of a part over all blocks; give each block those that it does not hold first or alone."""
+    h1, h2, low, many = _unrows(table)
+    size = [len(x.as_py()) // 8 for x in table.column("h1")]
+    block = np.repeat(table.column("block").to_numpy(), size)
+    order, cut = _runs(h1, h2)
+    least = np.repeat(np.minimum.reduceat(low[order], cut), np.diff([*cut, len(order)])) if len(cut) else low
+    back = order[(least < low[order]) | (many[order] > 0)]
+    at = np.empty(len(order), np.int64)
+    at[order] = least
+    back = back[np.argsort(block[back], kind="stable")]
+    return _rows(block[back].astype(np.int64), block[back], h1[back], h2[back], at[back], many[back])
+
+
 def kept_bytes(w: words.Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Kept words joined by one space, and where each document's begin in the result."""
     n_docs = len(w.first) - 1
@@ -152,19 +189,19 @@ def kept_bytes(w: words.Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
     return text[held].tobytes(), np.r_[0, np.cumsum(size)]
 
 
-def _remover(window: int):
+def _remover(window: int, carry: tuple[str, ...] = ()):
     def remove(docs: pa.Table, seen: pa.Table) -> pa.Table:
         """Drop the words that a window of an earlier document covers."""
-        h1 = seen.column("h1").to_numpy().view(_U)
+        h1, h2, low, _ = _unrows(seen)
         order = np.argsort(h1, kind="stable")
-        h1, h2, low = h1[order], seen.column("h2").to_numpy().view(_U)[order], seen.column("low").to_numpy()[order]
+        h1, h2, low = h1[order], h2[order], low[order]
         ids, out = _ids(docs, _MIN), []
         for i, j, w in _documents(docs):
             n = len(w.hashes)
             gone = np.zeros(n, bool)
             if len(h1):
                 a, at = words.grams(w, window)
-                b = words.grams(w, window, seed=1)[0]
+                b = _second(w, window)
                 mine = ids[w.doc[at] + i]
                 hit = np.zeros(len(a), bool)
                 k = np.searchsorted(h1, a)
@@ -181,41 +218,36 @@ def _remover(window: int):
                 gone = np.cumsum(edge[:n]) > 0
             text, cut = kept_bytes(w, ~gone)
             total = np.r_[0, np.cumsum(gone)]
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": docs.column("doc_id").combine_chunks()[i:j],
-                        "n_words": np.diff(w.first),
-                        "n_removed": total[w.first[1:]] - total[w.first[:-1]],
-                        "kept_text": pa.StringArray.from_buffers(j - i, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(text)),
-                    }
-                )
-            )
-        if not out:
-            return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]).empty_table()
+            removed = total[w.first[1:]] - total[w.first[:-1]]
+            kept = pa.StringArray.from_buffers(j - i, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(text))
+            whole = docs.column("text").slice(i, j - i).combine_chunks()
+            columns = {"doc_id": docs.column("doc_id").slice(i, j - i).combine_chunks(), "n_words": np.diff(w.first), "n_removed": removed, "kept_text": kept, "new_text": pc.if_else(pa.array(removed > 0), kept.cast(whole.type), whole)}
+            out.append(pa.table(columns | {c: docs.column(c).slice(i, j - i).combine_chunks() for c in carry}))
+        if not out:  # flags without documents cannot be
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "new_text": pa.array([], pa.string())} | {c: docs.column(c) for c in carry})
         return pa.concat_tables(out)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slice_bits: int = SLICE_BITS, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of every row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slice_bits: int = SLICE_BITS, rows: int = ROWS, cells: int = CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and new_text of every row, and the columns ``carry``.
 
     A word goes if a run of ``window`` words that covers it also starts in a document with
     a smaller doc_id; runs are judged on the input. Null or blank text: no words, empty
     kept text. A null doc_id neither removes nor loses words. Rows with equal doc_id do
-    not remove each other's words. Documents shorter than the window stay whole. An empty
-    table gives no rows; other columns are not carried.
+    not remove each other's words. Documents shorter than the window stay whole.
+    ``kept_text`` joins the kept words by one space; ``new_text`` is the text as it was
+    where nothing went. An empty table gives no rows.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     slices = max(1, -(-total * cells // (6 << slice_bits)))  # a word takes six bytes about
-    parts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    parts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
     grouped = parts.groupBy("block")
     sketch = grouped.applyInArrow(_sketcher(window, slices, rows, slice_bits), _SLICE)
     flags = sketch.groupBy("row", "slice").applyInArrow(_merger(slice_bits), _SLICE)
-    found = grouped.cogroup(flags.groupBy("block")).applyInArrow(_finder(window, slices, rows, slice_bits), _FOUND)
-    # A window has one row per block, however many documents of the block hold it.
-    least = Window.partitionBy("h1", "h2")
-    seen = found.withColumn("least", F.min("low").over(least)).where("least < high").select("block", "h1", "h2", F.col("least").alias("low"))
-    return grouped.cogroup(seen.groupBy("block")).applyInArrow(_remover(window), _OUT)
+    found = grouped.cogroup(flags.groupBy("block")).applyInArrow(_finder(window, slices, rows, slice_bits, blocks), _FOUND)
+    # A window has one entry per block, however many documents of the block hold it.
+    seen = found.groupBy("part").applyInArrow(_least, _FOUND)
+    return grouped.cogroup(seen.groupBy("block")).applyInArrow(_remover(window, carry), _OUT + "".join(f", `{c}` {parts.schema[c].dataType.simpleString()}" for c in carry))
