@@ -41,20 +41,19 @@ def entropy(w: dict[str | None, float]) -> float:
     return -sum(x * math.log(x) for x in w.values() if x)
 
 
-def _bisect(low_is_good, steps: int = 60) -> float:
-    """The largest departure from alpha = 1 towards 0 for which ``low_is_good`` still holds."""
-    bad, good = 0.0, 1.0
-    if low_is_good(bad):
+def _bisect(holds, bad: float, good: float, steps: int = 60) -> float:
+    """The exponent nearest to ``bad`` at which ``holds``; it holds at ``good``."""
+    if holds(bad):
         return bad
     for _ in range(steps):
         mid = (bad + good) / 2
-        bad, good = (bad, mid) if low_is_good(mid) else (mid, good)
+        bad, good = (bad, mid) if holds(mid) else (mid, good)
     return good
 
 
 def exponent_for_entropy(tokens: dict[str | None, int], target: float) -> float:
-    """Exponent in [0, 1] whose weights have at most ``target`` nats, as near as can be."""
-    return _bisect(lambda a: entropy(weights(tokens, a)) <= target) if tokens else 1.0
+    """Exponent in [0, 64] whose weights have at most ``target`` nats, as near as can be."""
+    return _bisect(lambda a: entropy(weights(tokens, a)) <= target, 0.0, 64.0) if any(tokens.values()) else 1.0
 
 
 def exponent_for_repetition(tokens: dict[str | None, int], limit: float) -> float:
@@ -64,7 +63,7 @@ def exponent_for_repetition(tokens: dict[str | None, int], limit: float) -> floa
         rate = [w / tokens[s] for s, w in weights(tokens, a).items()]
         return max(rate) <= limit * min(rate) * (1 + 1e-12)
 
-    return _bisect(fits) if any(tokens.values()) else 1.0
+    return _bisect(fits, 0.0, 1.0) if any(tokens.values()) else 1.0
 
 
 def _draw(seed: int, what: str, *keys: Column | str) -> Column:
@@ -100,7 +99,7 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = 1.25, target_ent
     reads = {s: budget * w[s] / tokens[s] for s in w}
     reads = {s: round(r) if abs(r - round(r)) < 1e-9 else r for s, r in reads.items()}
     rest = {s: (r - int(r)) * tokens[s] for s, r in reads.items()}
-    quota = [(s, int(reads[s]), rest[s], max(1, tokens[s] // BLOCK_TOKENS)) for s in w]
+    quota = [(s, int(reads[s]), float(rest[s]), max(1, tokens[s] // BLOCK_TOKENS)) for s in w]
     quotas = spark.createDataFrame(quota, "_s string, _whole int, _rest double, _blocks long")
 
     def with_quota(df: DataFrame) -> DataFrame:
@@ -111,8 +110,8 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = 1.25, target_ent
     partial = with_quota(narrow).where("_rest > 0").withColumn("_b", _draw(seed, "order", "_whole", "_block"))
     before = Window.partitionBy("source").orderBy("_b", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = partial.groupBy("source", "_rest", "_b", "_block").agg(F.sum("n").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    last = blocks.where("_before < _rest and _before + n >= _rest").select(F.col("source").alias("_s"), F.col("_block").alias("_cut"), F.col("_b").alias("_cut_b"), F.col("_before").alias("_from"))
-    last = spark.createDataFrame(last.collect(), last.schema)  # one row a source
+    last = blocks.where("_before < _rest and _before + n >= _rest").select(F.col("source").alias("_s"), F.col("_block").alias("_cut"), F.col("_b").alias("_cut_b"), F.col("_before").cast("double").alias("_from"))
+    last = spark.createDataFrame([tuple(r) for r in last.collect()], "_s string, _cut long, _cut_b long, _from double")  # one row a source
     inside = Window.partitionBy("source").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     own = partial.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_cut")))
     upto = own.withColumn("_run", F.col("_from") + F.coalesce(F.sum("n").over(inside), F.lit(0))).where("_run < _rest").groupBy("source").agg(F.max("_at").alias("_upto"))

@@ -43,7 +43,7 @@ def _documents(table: pa.Table):
 
 def _places(h: np.ndarray, row: int, slices: int, bits: int) -> np.ndarray:
     """Cell of each window in a row: slice above, place in it below."""
-    x = words.mix(h + _U(row + 1) * _U(0x9E3779B97F4A7C15))
+    x = words.mix(h + _U((row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return ((x >> _U(32)) % _U(slices) << _U(bits)) | (x & _U((1 << bits) - 1))
 
 
