@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import mixing, neardup, packing, quality, sharding, substrings
+from quern.llm import html_text, mixing, neardup, packing, quality, sharding, substrings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by compressed sizes."""
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
+        "op1_line_blocks": op1_line_blocks,
         "op2_compression": op2_compression,
         "op3_temperature": op3_temperature,
         "op4_bin_slack": op4_bin_slack,
