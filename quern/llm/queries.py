@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import html_text, mixing, neardup, packing, quality, sharding, substrings
+from quern.llm import html_text, mixing, neardup, packing, quality, sharding, substrings, vptree
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,6 +46,11 @@ def op5_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of each embedding whose id is divisible by 20."""
+    return vptree.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 by jump consistent hashing of doc_id, with the shard among 17."""
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_temperature": op3_temperature,
         "op4_bin_slack": op4_bin_slack,
         "op5_count_min": op5_count_min,
+        "op6_vp_tree": op6_vp_tree,
         "op7_jump_hash": op7_jump_hash,
         "op10_superminhash": op10_superminhash,
     }
