@@ -235,13 +235,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         "classes",
     )
     sizes = reps.select("id", "n")
-    spread = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    crowded = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = scratch.save(spread.join(crowded, ["band", "key"]), "buckets")
+    # A key stands for one band, as the band's number is mixed into it. Dealt by key once, rows are counted and joined in place.
+    spread = reps.select("id", F.explode("bands").alias("key")).repartition("key")
+    crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = scratch.save(spread.join(crowded, "key"), "buckets")
     # Who meets most others leads: in a family of edits that is the text they were made from.
     met = member.groupBy("id").agg(F.sum("c").alias("met"))
-    leads = member.join(met, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
-    pairs = scratch.save(member.join(leads, ["band", "key"]).where("id <> lead").select("lead", "id").distinct(), "pairs")
+    leads = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
+    pairs = scratch.save(member.join(leads, "key").where("id <> lead").select("lead", "id").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()
     sets = scratch.save(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), "sets")
     # Lengths alone rule out many pairs before their sets are joined.
