@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import html_text, imatch, mixing, neardup, packing, quality, sharding, substrings, vptree
+from quern.llm import html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,11 @@ def op7_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    return masked_lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and of its edited text."""
     return imatch.fingerprints_beside_next(_read(spark, sf_dir, "documents"))
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_count_min": op5_count_min,
         "op6_vp_tree": op6_vp_tree,
         "op7_jump_hash": op7_jump_hash,
+        "op8_masked_lm": op8_masked_lm,
         "op9_imatch": op9_imatch,
         "op10_superminhash": op10_superminhash,
     }
