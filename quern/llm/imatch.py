@@ -29,6 +29,8 @@ from quern.llm import words
 MIN_SHARE, MAX_SHARE = 0.0005, 0.2
 #: Levels of subsets (level l keeps a term with probability 2**-l) and subsets of a level.
 LEVELS, EACH = 12, 12
+#: Documents whose texts a task holds as strings at once.
+ROWS = 1000
 
 _U = np.uint64
 _SEEN = "term long, n long"
@@ -123,7 +125,7 @@ def _walker(known: np.ndarray):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document that waits for the next
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             raw = [t.encode() for t in texts]
             part, ids, extra = (batch.column(c).to_pylist() for c in ("part", "doc_id", "extra"))

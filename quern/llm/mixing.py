@@ -82,17 +82,17 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = 1.25, target_ent
     together. The three columns replace any of the same names. An empty table gives no rows.
     """
     kept = docs.drop("_epoch", "_block_at", "_at")
-    columns = kept.columns
     spark = docs.sparkSession
-    # Permutation keys of a row inside its block, for the partial pass.
-    keyed = kept.withColumns({"_h": _draw(seed, "block", "doc_id"), "_at": _draw(seed, "row", "doc_id", F.xxhash64("text"))})
-    narrow = scratch.save(keyed.select("source", "_h", "_at", F.greatest(word_count(), F.lit(1).cast("long")).alias("n")), "mixing")
+    # The row goes along as one value, so its names clash with none; keys of a row inside its block, for the partial pass.
+    keys = {"_h": _draw(seed, "block", "doc_id"), "_at": _draw(seed, "row", "doc_id", F.xxhash64("text"))}
+    keyed = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("_row"), F.col("source").cast("string").alias("source"), *(k.alias(c) for c, k in keys.items()))
+    narrow = scratch.save(kept.select(F.col("source").cast("string").alias("source"), *(k.alias(c) for c, k in keys.items()), F.greatest(word_count(), F.lit(1).cast("long")).alias("n")), "mixing")
     sums = narrow.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     tokens = {r["source"]: r["n"] for r in sums}
     if not tokens:
-        return keyed.withColumns({"_epoch": F.lit(0), "_block_at": F.lit(0).cast("long")}).select(*columns, "_epoch", "_block_at", "_at")
+        return keyed.withColumns({"_epoch": F.lit(0), "_block_at": F.lit(0).cast("long")}).select("_row.*", "_epoch", "_block_at", "_at")
     alpha = exponent_for_entropy(tokens, target_entropy) if target_entropy is not None else exponent_for_repetition(tokens, max_repetition or 1.0)
     w = weights(tokens, alpha)
     budget = budget if budget is not None else max(tokens[s] / w[s] for s in w)
@@ -125,4 +125,4 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = 1.25, target_ent
     in_part = F.coalesce(earlier | ((F.col("_block") == F.col("_cut")) & (F.col("_at") <= F.col("_upto"))), F.lit(False))
     times = F.col("_whole") + in_part.cast("int")
     out = placed.withColumn("_n", times).where("_n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return out.withColumn("_block_at", _draw(seed, "order", "_epoch", "_block")).select(*columns, "_epoch", "_block_at", "_at")
+    return out.withColumn("_block_at", _draw(seed, "order", "_epoch", "_block")).select("_row.*", "_epoch", "_block_at", "_at")

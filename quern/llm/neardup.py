@@ -141,23 +141,24 @@ def _pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lead, id, both): size of the intersection of two sorted sets."""
+    """(lead, id, n_lead, n, both): sizes of two sorted sets and of their intersection."""
     for batch in batches:
-        both = pa.array([int(same.sum()) for _, _, same in _pairs_of(batch)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), both], ["lead", "id", "both"])
+        found = np.array([(len(x), len(y), int(same.sum())) for x, y, same in _pairs_of(batch)], np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), *(pa.array(c) for c in found.T.copy())], ["lead", "id", "n_lead", "n", "both"])
 
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each follower as a bit for each item of the leader and the items that it adds."""
     for batch in batches:
-        bits, added = [], []
+        bits, added, n = [], [], []
         for x, y, same in _pairs_of(batch):
+            n.append(len(y))
             bits.append(np.packbits(np.isin(x, y, assume_unique=True)).tobytes())
             added.append(y[~same].tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(bits, pa.binary()), pa.array(added, pa.binary())], [*_KEYS, "bits", "added"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(added, pa.binary())], [*_KEYS, "n", "bits", "added"])
 
 
-_KEYS = ("lead", "id", "component", "n", "part", "parts")
+_KEYS = ("lead", "id", "component", "part", "parts")
 
 
 def _comparer(percent: int):
@@ -206,13 +207,13 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("items_lead")), "lead")
 
 
-def _followers(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _followers(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between followers of the same leader, whose components differ after the leaders' links."""
     named = pairs.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
     mixed = mixed.select("lead", F.ceil(F.col("c") / FOLLOWERS).cast("int").alias("parts"))
-    rows = named.join(mixed, "lead").join(sizes, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    delta = _with_sets(rows.select(*_KEYS), sets).select(*_KEYS, "items", "items_lead").mapInArrow(_deltas, "lead long, id long, component long, n long, part int, parts int, bits binary, added binary")
+    rows = named.join(mixed, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    delta = _with_sets(rows.select(*_KEYS), sets).select(*_KEYS, "items", "items_lead").mapInArrow(_deltas, "lead long, id long, component long, part int, parts int, n long, bits binary, added binary")
     # Two parts of a leader's followers meet in one task; for most leaders there is one part.
     meet = delta.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"_i": F.least("part", "_other"), "_j": F.greatest("part", "_other")})
     return meet.groupBy("lead", "_i", "_j").applyInArrow(_comparer(percent), "a long, b long")
@@ -224,8 +225,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     ``n_links`` counts the verified links that join the document's class to others in the
     component's spanning links (a lower bound of its links). A null or blank text has an
     empty set and is alone in its component. A null doc_id is linked with nothing: its
-    component is null and it is kept. Rows that repeat a doc_id each keep their row; the
-    first text found stands for the id in verification. An empty table gives no rows.
+    component is null and it is kept. Rows that share a doc_id are one document of the
+    link graph: each of its texts counts. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(base.mapInArrow(_signer(bands, band_rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "signed")
@@ -234,7 +235,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         usable.groupBy("set_id").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("r"), F.min("doc_id").alias("id")).select("set_id", "id", F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")),
         "classes",
     )
-    sizes = reps.select("id", "n")
     # A key stands for one band, as the band's number is mixed into it. Dealt by key once, rows are counted and joined in place.
     spread = reps.select("id", F.explode("bands").alias("key")).repartition("key")
     crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -244,24 +244,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     leads = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
     pairs = scratch.save(member.join(leads, "key").where("id <> lead").select("lead", "id").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()
-    sets = scratch.save(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), "sets")
+    texts = base.join(wanted, "doc_id", "left_semi").withColumn("_x", F.xxhash64("text")).dropDuplicates(["doc_id", "_x"])
+    sets = scratch.save(texts.mapInArrow(_sets, "id long, items binary"), "sets")
     # Lengths alone rule out many pairs before their sets are joined.
-    n_of = lambda s: sizes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+    n_of = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
     fit = pairs.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.least("n_id", "n_lead") >= percent * F.greatest("n_id", "n_lead"))
-    found = _with_sets(fit.select("lead", "id"), sets).select("lead", "id", "items", "items_lead").mapInArrow(_overlaps, "lead long, id long, both long")
-    linked = found.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.col("both") >= percent * (F.col("n_id") + F.col("n_lead") - F.col("both")))
+    found = _with_sets(fit.select("lead", "id").distinct(), sets).select("lead", "id", "items", "items_lead").mapInArrow(_overlaps, "lead long, id long, n_lead long, n long, both long")
+    linked = found.where(100 * F.col("both") >= percent * (F.col("n_lead") + F.col("n") - F.col("both")))
     links = scratch.save(linked.select(F.col("lead").alias("a"), F.col("id").alias("b")), "verified")
     labels = components(links)
-    more = scratch.save(_followers(pairs, labels, sizes, sets, percent), "verified")
+    more = scratch.save(_followers(pairs, labels, sets, percent), "verified")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
     scratch.drop(member, pairs, sets)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("set_id", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"), "n_links")
-    # A null set_id joins nothing, and spreads over all tasks by its salt.
+    # Empty sets join nothing; a key of their own spreads them over all tasks.
+    own_key = F.coalesce("set_id", F.concat(F.lit("none "), F.xxhash64("doc_id").cast("string")).cast("binary"))
     return (
-        signed.select("doc_id", "n_shingles", "set_id")
+        signed.select("doc_id", "n_shingles", own_key.alias("set_id"))
         .join(classes, "set_id", "left")
         .select(
             "doc_id",

@@ -75,7 +75,7 @@ def _sketcher(window: int, slices: int, rows: int, bits: int):
             cells = np.sort(_places(h, row, slices, bits))
             owner = (cells >> _U(bits)).astype(np.int64)
             cut = np.flatnonzero(np.diff(owner, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(cells)], strict=True):
+            for a, b in zip(cut, np.append(cut[1:], len(cells))[: len(cut)], strict=True):
                 out[0].append(row)
                 out[1].append(int(owner[a]))
                 out[2].append(_pack((cells[a:b] & _U((1 << bits) - 1)).astype(np.int64)))
@@ -150,7 +150,7 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _rows(group: np.ndarray, block: int | np.ndarray, *packed: np.ndarray) -> pa.Table:
     """Rows of found windows: one for each run of ``group``, a part or with ``block`` given as array a block."""
     cut = np.flatnonzero(np.diff(group, prepend=-1))
-    ends = [*cut[1:].tolist(), len(group)]
+    ends = np.append(cut[1:], len(group))[: len(cut)].tolist()
     data = [[x[a:b].astype(t).tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x, (_, t) in zip(packed, _PACKED, strict=True)]
     blocks = [block] * len(cut) if isinstance(block, int) else block[cut]
     return pa.table([pa.array(group[cut].astype(np.int32)), pa.array(blocks, pa.int32()), *(pa.array(d, pa.binary()) for d in data)], ["part", "block", *(n for n, _ in _PACKED)])
