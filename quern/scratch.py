@@ -68,8 +68,19 @@ def _drop_all() -> None:
             _live.clear()
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where PYTHONPATH or the working folder does not."""
+#: Bytes of rows that a Python worker is given at once.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches of Python workers, and let them import this package."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send the package along where PYTHONPATH or the working folder does not have it."""
     top = Path(__file__).resolve().parent
     roots = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if any(r and Path(r).resolve() == top.parent for r in roots) or getattr(spark.sparkContext, "_quern_shipped", False):
