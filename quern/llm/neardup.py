@@ -82,7 +82,7 @@ def superminhash(sets: list[np.ndarray], size: int) -> np.ndarray:
             break
         if perm is None:
             item, doc, k = item[open_], doc[open_], k[open_]
-            perm = np.tile(np.arange(size, dtype=np.uint16), (len(item), 1))
+            perm = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(item), 1))
             perm[np.arange(len(item)), k] = 0
         elif not open_.all():
             item, doc, perm = item[open_], doc[open_], perm[open_]
@@ -98,7 +98,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _texts(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     data, offsets = words.buffers(batch.column("text"))
-    for i, j in words.chunks(offsets, 2 * words.CHUNK):
+    for i, j in words.chunks(offsets, words.CHUNK // 2):
         yield i, j, shingle_sets(data, offsets[i : j + 1])
 
 

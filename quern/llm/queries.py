@@ -15,7 +15,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    scratch.ship(spark)
+    scratch.prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
