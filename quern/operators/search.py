@@ -6,6 +6,8 @@ ranking ends with the id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +36,19 @@ def terms_of(queries: DataFrame, q: str, body: str) -> DataFrame:
 def bm25(docs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(q, doc, score) of every document that holds a term; higher is better.
 
-    The index is cut to the queries' terms before it is grouped; lengths come from the
-    same scan by counting words. ``allowed``: (q, doc) pairs or (doc) that may be ranked.
+    The index is cut to the queries' terms before it is grouped and carries the lengths of
+    its documents. ``allowed``: (q, doc) pairs or (doc) that may be ranked.
     """
-    size = docs.select(F.col("doc_id").alias("doc"), F.size(X.words(X.fold(F.col("text")))).cast("long").alias("len"))
-    # An average over documents that hold words, as an index has no row for the others' terms.
-    stats = size.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"))
+    w = docs.select(F.col("doc_id").alias("doc"), X.words(X.fold(F.col("text"))).alias("w"))
+    stats = w.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("avg_len"))
     wanted = terms.select("term").distinct()
-    held = docs.select(F.col("doc_id").alias("doc"), F.explode(X.words(X.fold(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
-    index = held.groupBy("term", "doc").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    held = w.select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
+    index = held.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     hits = terms.join(df, "term").join(index, "term")
     if allowed is not None:
         hits = hits.join(allowed, allowed.columns, "left_semi")
-    hits = hits.join(size, "doc").crossJoin(F.broadcast(stats))  # one row
+    hits = hits.crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hits.groupBy("q", "doc").agg(F.sum(one).alias("score"))
@@ -63,13 +64,44 @@ def best_first(scored: DataFrame, k: int) -> DataFrame:
     return top(scored, k, F.round("score", 9).desc(), "doc")
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(q, doc, score): cosine of unit vectors, of all queries with all vectors.
-
-    This is the exact scan; the queries are a block that Spark broadcasts when small and
-    replicates otherwise.
+def _scan(k: int, same: bool):
+    def scan(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        """Best k of a block of vectors for each query of a block, by a matrix product."""
+        out: tuple[list, list, list] = ([], [], [])
+        if queries.num_rows and vectors.num_rows:
+            docs, who = vectors.column("doc").to_numpy(), queries.column("q").to_numpy()
+            x, y = (np.stack([np.asarray(v, np.float64) for v in t.column("v").to_numpy(zero_copy_only=False)]) for t in (queries, vectors))
+            scores = x @ y.T
+            if not same:
+                scores[who[:, None] == docs[None, :]] = -np.inf
+            places = np.round(scores, 9)
+            least = np.partition(places, max(0, len(docs) - k), axis=1)[:, max(0, len(docs) - k)]
+            for i in range(len(who)):
+                at = np.flatnonzero((places[i] >= least[i]) & (places[i] > -np.inf))
+                at = at[np.lexsort((docs[at], -places[i][at]))][:k]
+                out[0].extend([int(who[i])] * len(at))
+                out[1].extend(docs[at].tolist())
+                out[2].extend(scores[i][at].tolist())
+        return pa.table({"q": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return scan
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False, block: int = 4096) -> DataFrame:
+    """(q, doc, score, rank): the k largest cosines of unit vectors, exactly; ties to the smaller id.
+
+    ``queries``: (q, v, key), ``vectors``: (doc, v, key); only equal keys and lengths meet,
+    and unless ``same`` a query does not meet its own id. Blocks of both are multiplied in
+    tasks of their own and keep k rows a query, so no row of a pair is made.
     """
-    return queries.join(vectors, F.col("qd") == F.col("dd")).select("q", "doc", V.dot(F.col("qv"), F.col("dv")).alias("score"))
+    sides = []
+    n = {"q": max(1, -(-queries.count() // block)), "doc": max(1, -(-vectors.count() // block))}
+    for df, own, other in ((queries, "q", "doc"), (vectors, "doc", "q")):
+        dealt = df.withColumn(f"_{own}", F.pmod(F.xxhash64(own), F.lit(n[own])).cast("int")).withColumn("_d", F.size("v"))
+        sides.append(dealt.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1)))))
+    keys = ("_q", "_doc", "_d", "key")
+    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(_scan(k, same), "q long, doc long, score double")
+    return best_first(found, k)
 
 
 def fuse(lists: DataFrame, item: str = "doc", k: int = RRF_K) -> DataFrame:

@@ -21,7 +21,7 @@ SELECT round(avg(CASE WHEN first_rank <= 10 THEN 1.0::double ELSE 0 END), 6) AS
 round(avg(found::double / least(wanted, 10)), 6) AS coverage, count(*) FILTER (first_rank <= 10)::bigint AS answered, count(*)::bigint AS questions FROM o""")
 def q_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every vector asks for those of its label; lists of 50, metrics at 10."""
-    ranked = S.best_first(S.vector_scores(*_vectors(spark, d)).where("q <> doc"), 50)
+    ranked = S.vector_topk(*_vectors(spark, d), 50)
     v = table(spark, d, "embeddings")
     want = v.select(F.col("vec_id").alias("q"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("q <> doc").select("q", "doc")
     return E.metrics(E.outcomes(ranked.select("q", "doc", "rank"), want))

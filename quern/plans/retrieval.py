@@ -94,17 +94,16 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
-def _vectors(spark: SparkSession, d: str, key: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, d: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings").where(F.size("embedding") > 0)
-    key = F.size("embedding") if key is None else key
-    return v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), key.alias("qd")), v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"), key.alias("dd"))
+    group = (F.col(key) if key else F.lit(0)).alias("key")
+    return v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), group), v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), group)
 
 
 @query(f"WITH {VECTOR_CTE.replace(' AND a.label = b.label', '')}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM vec) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def q_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every vector by an exact scan."""
-    found = S.vector_scores(*_vectors(spark, d)).where("q <> doc")
-    return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    return S.vector_topk(*_vectors(spark, d), S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, len(embedding)::bigint AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) AS norm, round(list_max(list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))), 6) AS largest FROM embeddings")
@@ -117,8 +116,7 @@ def q_vector_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VECTOR_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM vec) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def q_vector_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors among those of the same label; the filter acts before the cut."""
-    found = S.vector_scores(*_vectors(spark, d, F.col("label"))).where("q <> doc")
-    return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    return S.vector_topk(*_vectors(spark, d, "label"), S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 _FUSED = """fused AS (SELECT q, doc, sum(1.0::double / (60 + rank)) AS score, min(rank) AS best_rank FROM lists GROUP BY q, doc),
@@ -148,9 +146,9 @@ lists AS (SELECT * FROM kw WHERE rank <= 100 UNION ALL SELECT * FROM vr WHERE ra
 def _hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
     docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
     keyword = S.best_first(S.bm25(docs, _questions(spark, d)), S.POOL)
-    asked = table(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("q"), F.col("embedding").alias("qv"), F.size("embedding").alias("qd"))
-    held = v.join(docs.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"), F.size("embedding").alias("dd"))
-    near = S.best_first(S.vector_scores(asked, held), S.POOL)
+    asked = table(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("q"), F.col("embedding").alias("v"), F.lit(0).alias("key"))
+    held = v.join(docs.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), F.lit(0).alias("key"))
+    near = S.vector_topk(asked, held, S.POOL, same=True)
     tag = lambda df, n: df.select("q", "doc", F.lit(n).alias("list"), "rank")
     return tag(keyword, 0).unionByName(tag(near, 1))
 
