@@ -125,7 +125,9 @@ def _searcher(k: int, relax: float, leaf: int):
         out = ([], [], [])
         for i in range(len(q)):
             r = rows[i][rows[i] >= 0]
-            score = (distinct[r] * q[i]).sum(axis=1)
+            score = np.zeros(len(r))
+            for x_j, q_j in zip(distinct[r].T, q[i], strict=True):  # in the order of components, so that equal vectors score alike
+                score += x_j * q_j
             near = r[np.lexsort((ids[first[r]], -score))]
             picks, scores = [], []
             s = dict(zip(r.tolist(), score.tolist(), strict=True))
