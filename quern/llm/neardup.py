@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import scratch
@@ -120,10 +120,34 @@ def _signer(bands: int, rows: int):
     return sign
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, sets in _texts(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
+#: Bits of the filter that tells texts to look at again from others, at most: 4 MB.
+FILTER_BITS = 1 << 25
+
+
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each hash of a wanted doc_id: sixteen a document, FILTER_BITS at most. It passes all wanted, and few others while it is sparse."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
+    words_ = wanted.select(_place(bits).alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 32)).alias("bits"))
+    found = words_.toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _sets(passes: np.ndarray):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the documents that the filter passes."""
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            batch = batch.filter(pa.array((passes[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+            for i, j, found in _texts(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "items"])
+
+    return sets
 
 
 #: Followers of a leader that are compared in one task, and shingle columns in one product.
@@ -244,8 +268,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     leads = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
     pairs = scratch.save(member.join(leads, "key").where("id <> lead").select("lead", "id").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()
-    texts = base.join(wanted, "doc_id", "left_semi").withColumn("_x", F.xxhash64("text")).dropDuplicates(["doc_id", "_x"])
-    sets = scratch.save(texts.mapInArrow(_sets, "id long, items binary"), "sets")
+    # Texts are not shuffled for the few that are looked at again: a filter of bounded size is shipped to them.
+    passes = _filter(wanted)
+    again = base.where("doc_id is not null").withColumn("p", _place(32 * len(passes)))
+    sets = scratch.save(again.mapInArrow(_sets(passes), "id long, items binary"), "sets")
+    if not usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        sets = scratch.save(sets.withColumn("_x", F.xxhash64("items")).dropDuplicates(["id", "_x"]).drop("_x"), "sets")
     # Lengths alone rule out many pairs before their sets are joined.
     n_of = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
     fit = pairs.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.least("n_id", "n_lead") >= percent * F.greatest("n_id", "n_lead"))
