@@ -111,3 +111,16 @@ def test_declared_schema(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "item_id long, text int").write.parquet(f"{tmp_path}/benchmark.parquet")
     with pytest.raises(tables.SchemaError):
         tables.table(spark, str(tmp_path), "benchmark")
+
+
+def test_vector_topk_over_blocks(spark):
+    rows = [(i, [float(i % 7 - 3), float(i % 5 - 2)], i % 2) for i in range(60)]
+    q = spark.createDataFrame(rows, "q long, v array<double>, key int")
+    d = q.withColumnRenamed("q", "doc")
+    got = {}
+    for r in S.vector_topk(q, d, 4, block=8).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["doc"])
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
+    for i, v, k in rows:
+        others = sorted((j for j, _, n in rows if n == k and j != i), key=lambda j: (-dot(v, rows[j][1]), j))
+        assert got[i] == others[:4]
