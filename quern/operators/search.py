@@ -97,7 +97,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same: bool = Fal
     sides = []
     n = {"q": max(1, -(-queries.count() // block)), "doc": max(1, -(-vectors.count() // block))}
     for df, own, other in ((queries, "q", "doc"), (vectors, "doc", "q")):
-        dealt = df.withColumn(f"_{own}", F.pmod(F.xxhash64(own), F.lit(n[own])).cast("int")).withColumn("_d", F.size("v"))
+        # Both sides may come from one table: columns of their own keep them apart.
+        dealt = df.select(*(F.col(c).alias(c) for c in (own, "v", "key"))).withColumn(f"_{own}", F.pmod(F.xxhash64(own), F.lit(n[own])).cast("int")).withColumn("_d", F.size("v"))
         sides.append(dealt.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1)))))
     keys = ("_q", "_doc", "_d", "key")
     found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(_scan(k, same), "q long, doc long, score double")
