@@ -165,7 +165,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0
     n = vectors.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n // (every * block)))
     mine = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = v.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    # Columns of its own keep the queries' side apart from the points', which come from the same table.
+    asked = v.where(F.col("vec_id") % every == 0).select(*(F.col(c).alias(c) for c in v.columns)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     # Every block of queries meets every shard: that is the search itself, a task for each meeting.
     points = mine.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
