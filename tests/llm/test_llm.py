@@ -270,7 +270,7 @@ def test_places_round_trip():
 def exact(ids, x, k):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
-        s = (x * x[i]).sum(axis=1)
+        s = sum(x[:, j] * x[i, j] for j in range(x.shape[1]))
         s[i] = -np.inf
         out[int(ids[i])] = [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s))[: min(k, len(ids) - 1)]]
     return out
