@@ -151,7 +151,7 @@ def _sets(passes: np.ndarray):
 
 
 #: Followers of a leader that are compared in one task, and shingle columns in one product.
-FOLLOWERS, COLUMNS = 1500, 4096
+FOLLOWERS, COLUMNS = 500, 4096
 
 
 def _pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,7 +204,9 @@ def _comparer(percent: int):
             m = np.zeros((len(ids), COLUMNS), np.float32)
             m[row[lo:hi], kind[lo:hi] - a] = 1
             both += m @ m.T
-        link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        # Counts below 2**24 are exact in single precision, and so is each side of the rule, written as one product.
+        n = n.astype(np.float32)
+        link = ((100 + percent) * both >= percent * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
         if part.min() != part.max():
             link &= part[:, None] != part[None, :]
         x, y = np.nonzero(np.triu(link, 1))
