@@ -204,9 +204,8 @@ def _comparer(percent: int):
             m = np.zeros((len(ids), COLUMNS), np.float32)
             m[row[lo:hi], kind[lo:hi] - a] = 1
             both += m @ m.T
-        # Counts below 2**24 are exact in single precision, and so is each side of the rule, written as one product.
-        n = n.astype(np.float32)
-        link = ((100 + percent) * both >= percent * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
+        # Sums of ones are exact in single precision below 2**24; the rule itself is in double precision.
+        link = ((100.0 + percent) * both.astype(np.float64) >= percent * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
         if part.min() != part.max():
             link &= part[:, None] != part[None, :]
         x, y = np.nonzero(np.triu(link, 1))
