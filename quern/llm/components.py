@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern import scratch
+from quern.llm import memory
 
 
+@memory.tidy
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one batch: each node beside the smallest of its tree."""
     for batch in batches:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import memory
+
 #: Lines of a window; the peak a candidate needs outside an article, in code points, and as a share of the highest.
 WINDOW, PEAK, PEAK_SHARE = 3, 86, 0.25
 
@@ -154,6 +156,7 @@ def extract(page: str, window: int = WINDOW) -> str:
     return "\n".join(t for t in kept if t)
 
 
+@memory.tidy
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [extract(page or "") for page in batch.column("html").to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import words
+from quern.llm import memory, words
 
 #: Document frequency of a lexicon term, as shares of all documents: idf between ln(1/0.2) and ln(1/0.0005).
 MIN_SHARE, MAX_SHARE = 0.0005, 0.2
@@ -47,6 +47,7 @@ def _per_document(w: words.Words) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(d, np.arange(1, len(w.first) - 1))) if len(w.first) > 1 else []
 
 
+@memory.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of a batch hold each term."""
     for batch in batches:
@@ -123,6 +124,7 @@ _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _walker(known: np.ndarray):
     """An extra row ends its part: it is the first of the next, and only there to follow."""
 
+    @memory.tidy
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document that waits for the next
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):

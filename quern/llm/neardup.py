@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import words
+from quern.llm import memory, words
 from quern.llm.components import components
 
 SHINGLE = 5
@@ -103,6 +103,7 @@ def _texts(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, int, list[np
 
 
 def _signer(bands: int, rows: int):
+    @memory.tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, sets in _texts(batch):
@@ -139,6 +140,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(passes: np.ndarray):
+    @memory.tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of the documents that the filter passes."""
         for batch in batches:
@@ -164,6 +166,7 @@ def _pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield x, y, x[at] == y
 
 
+@memory.tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lead, id, n_lead, n, both): sizes of two sorted sets and of their intersection."""
     for batch in batches:
@@ -171,6 +174,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), *(pa.array(c) for c in found.T.copy())], ["lead", "id", "n_lead", "n", "both"])
 
 
+@memory.tidy
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each follower as a bit for each item of the leader and the items that it adds."""
     for batch in batches:
@@ -186,6 +190,7 @@ _KEYS = ("lead", "id", "component", "part", "parts")
 
 
 def _comparer(percent: int):
+    @memory.tidy_group
     def compare(table: pa.Table) -> pa.Table:
         """Links between followers of one leader that lie in different components, as a forest."""
         ids, comp, n, part = (table.column(c).to_numpy() for c in ("id", "component", "n", "part"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import tokens, words
+from quern.llm import memory, tokens, words
 
 CAPACITY = 2048
 #: The id that ends a document.
@@ -31,6 +31,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 def _cutter(vocabulary: str, capacity: int):
+    @memory.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).many
         for batch in batches:
@@ -134,6 +135,7 @@ def _table(combinations: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarr
 def _placer(combinations: list[tuple[dict[int, int], int]]):
     table = _table(combinations)
 
+    @memory.tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

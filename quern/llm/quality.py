@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import words
+from quern.llm import memory, words
 
 #: Labelled documents of a class that training takes, and bytes above which it takes none:
 #: with both, at most 2 * 1200 * 32 KiB reach the driver.
@@ -127,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _score(model: Model):
+    @memory.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import words
+from quern.llm import memory, words
 
 WINDOW = 13
 #: Bytes of text in a block, cells of a slice as a power of two, rows of the sketch, cells a window in a row.
@@ -66,6 +66,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _sketcher(window: int, slices: int, rows: int, bits: int):
+    @memory.tidy_group
     def sketch(table: pa.Table) -> pa.Table:
         h = [words.grams(w, window)[0] for _, _, w in _documents(table)]
         h = np.concatenate(h) if h else np.zeros(0, _U)
@@ -86,6 +87,7 @@ def _sketcher(window: int, slices: int, rows: int, bits: int):
 
 
 def _merger(bits: int):
+    @memory.tidy_group
     def merge(table: pa.Table) -> pa.Table:
         """Add the blocks' places of one slice; give each block its places that count two or more."""
         total = np.zeros(1 << bits, np.uint8)
@@ -106,6 +108,7 @@ def _ids(table: pa.Table, missing: int) -> np.ndarray:
 
 
 def _finder(window: int, slices: int, rows: int, bits: int, parts: int):
+    @memory.tidy_pair
     def find(docs: pa.Table, flags: pa.Table) -> pa.Table:
         """Windows of a block that every row of the sketch holds repeated, once each."""
         known = [[] for _ in range(rows)]
@@ -160,6 +163,7 @@ def _unrows(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in _PACKED]
 
 
+@memory.tidy_group
 def _least(table: pa.Table) -> pa.Table:
     """Group the windows of a part over all blocks; give each block those that it does not hold first or alone."""
     h1, h2, low, many = _unrows(table)
@@ -190,6 +194,7 @@ def kept_bytes(w: words.Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _remover(window: int, carry: tuple[str, ...] = ()):
+    @memory.tidy_pair
     def remove(docs: pa.Table, seen: pa.Table) -> pa.Table:
         """Drop the words that a window of an earlier document covers."""
         h1, h2, low, _ = _unrows(seen)

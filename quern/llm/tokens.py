@@ -17,7 +17,7 @@ import tiktoken
 from quern.llm import words
 
 #: Bytes of text that are encoded together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

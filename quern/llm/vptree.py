@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm import memory
+
 #: Vectors of a shard, about; queries of a block, about; vectors of a leaf.
 SHARD, BLOCK, LEAF = 8192, 4096, 128
 #: Room for rounding in distances, relative to the largest squared distance.
@@ -102,6 +104,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _searcher(k: int, relax: float, leaf: int):
+    @memory.tidy_pair
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
         """Each query's best k of the shard, the query itself aside; ties to the smaller id."""
         empty = pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
