@@ -69,7 +69,7 @@ def _drop_all() -> None:
 
 
 #: Bytes of rows that a Python worker is given at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
