@@ -5,8 +5,11 @@ text. Lines of menus, page headers and footers, sidebars, notices, adverts, form
 comments, and lines that are mostly links, count as empty; where such a part or the main
 container begins or ends, the run of lines is broken. Sums of lengths over a sliding window
 of lines then rise from nothing at a surge point and fall back to nothing at a dive point,
-and the text between them is a candidate. Inside the page's article every candidate is kept
-whole, so short paragraphs stay; a page without an article keeps those whose peak is high.
+and the text between them is a candidate. All candidates compete by their peaks, whatever
+element holds them. Where an article or main element holds the highest (or ties with it),
+the text outside such elements is left out; an article with a high candidate is kept whole,
+so short paragraphs stay, with the articles beside it of the same kind, and what a main
+element holds is never left out. Elsewhere the candidates whose peak is high are kept.
 """
 
 from __future__ import annotations
@@ -71,14 +74,26 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, whether it counts, whether the article holds it) of each line; an empty text breaks the run."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, boilerplate, article
+def _kind(attrs: str) -> str:
+    """The first class without its digits, else the id: parts of a page that repeat are of one kind."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _HINT.finditer(attrs)}
+    return re.sub(r"\d+", "", found["class"].split()[0]) if found.get("class", "").strip() else "#" + found.get("id", "")
+
+
+#: The group of main elements; others have larger numbers.
+MAIN = 1
+
+
+def lines(page: str) -> list[tuple[str, bool, int]]:
+    """(text, whether it counts, group of the article that holds it or 0) of each line; an empty text breaks the run."""
+    out: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # open containers: name, boilerplate, group of an article
+    groups: dict[tuple[int, str, str], int] = {}
+    opened = [0]  # a number for each open container and the page
     buffer: list[str] = []
     linked = 0
     in_link = False
-    boilerplate, article = False, False
+    boilerplate, article = False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -86,13 +101,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         buffer.clear()
         if text:
             # Outside the article, a line that is mostly links is a menu.
-            out.append((text, not boilerplate and (article or 2 * linked <= len(text)), article))
+            out.append((text, not boilerplate and (article > 0 or 2 * linked <= len(text)), article))
         linked = 0
 
     def state() -> None:
         nonlocal boilerplate, article
         boilerplate = any(b for _, b, _ in stack)
-        article = any(a for _, _, a in stack)
+        article = next((a for _, _, a in stack if a), 0)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -117,11 +132,17 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             if any(n == name for n, _, _ in stack):
                 while stack:
                     top = stack.pop()
+                    opened.pop()
                     if top[0] == name:
                         break
         elif not m["attrs"].endswith("/"):
-            main = name in ("article", "main") or bool(re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"], re.I))
-            stack.append((name, _is_boilerplate(name, m["attrs"], article), main))
+            group = 0
+            if name == "main" or re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"], re.I):
+                group = MAIN
+            elif name == "article":
+                group = groups.setdefault((opened[-1], name, _kind(m["attrs"])), MAIN + 1 + len(groups))
+            stack.append((name, _is_boilerplate(name, m["attrs"], article > 0), group))
+            opened.append(at)
         before = (boilerplate, article)
         state()
         if (boilerplate, article) != before:
@@ -133,27 +154,32 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
 def extract(page: str, window: int = WINDOW) -> str:
     """The main text: kept lines joined by one newline; empty if there is none."""
-    found = lines(page)
-    has_article = any(a and t and ok for t, ok, a in found)
-    rows: list[tuple[str, int]] = []
-    for text, counts, inside in found:
-        if not text or not counts or has_article and not inside:
+    rows: list[tuple[str, int, int]] = []
+    for text, counts, article in lines(page):
+        if not text or not counts:
             # Nothing of a window before the break reaches what follows.
-            rows.extend([("", 0)] * window)
+            rows.extend([("", 0, 0)] * window)
         else:
-            rows.append((text, len(text)))
-    if not rows:
+            rows.append((text, len(text), article))
+    if not any(t for t, _, _ in rows):
         return ""
-    size = np.array([n for _, n in rows] + [0] * window, np.int64)
+    size = np.array([n for _, n, _ in rows] + [0] * window, np.int64)
     total = np.r_[0, np.cumsum(size)]
     blocks = total[window:] - total[:-window]  # of the window that begins at each line
     high = np.r_[False, blocks[: len(rows)] > 0, False]
     surges = np.flatnonzero(high[1:] & ~high[:-1])
     dives = np.flatnonzero(high[:-1] & ~high[1:])
-    peaks = [int(blocks[a:b].max()) for a, b in zip(surges, dives, strict=True)]
-    least = 0 if has_article else max(PEAK, PEAK_SHARE * max(peaks, default=0))
-    kept = [rows[i][0] for a, b, peak in zip(surges, dives, peaks, strict=True) if peak >= least or peak == max(peaks) for i in range(a, min(b, len(rows)))]
-    return "\n".join(t for t in kept if t)
+    # (peak, article, rows) of each candidate; none reaches over the edge of an article.
+    found = []
+    for a, b in zip(surges.tolist(), dives.tolist(), strict=True):
+        of = [r for r in rows[a:b] if r[0]]
+        found.append((int(blocks[a:b].max()), of[0][2], of))
+    top = max(peak for peak, _, _ in found)
+    if any(peak == top and article for peak, article, _ in found):
+        found = [c for c in found if c[1]]
+    wins = [peak >= (PEAK_SHARE * top if article else max(PEAK, PEAK_SHARE * top)) or peak == top for peak, article, _ in found]
+    whole = {MAIN} | {article for win, (_, article, _) in zip(wins, found, strict=True) if win and article}
+    return "\n".join(t for win, (_, article, of) in zip(wins, found, strict=True) if win or article in whole for t, _, _ in of)
 
 
 @memory.tidy

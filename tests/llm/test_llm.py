@@ -95,6 +95,18 @@ def test_parts_that_are_not_the_article():
     assert html_text.extract("") == "" and html_text.extract("<nav>x</nav>") == ""
 
 
+def test_an_article_element_does_not_hide_higher_text():
+    long, other = "The whole story is told in this line. " * 12, "A second part of the story follows here. " * 10
+    long, other = long.strip(), other.strip()
+    comment = "<div id=thread><article><p>I liked it.</p></article></div>"
+    assert html_text.extract(f"<div id=content><p>{long}</p></div>{comment}") == long
+    cards = "".join(f"<article class=card><p>Teaser {i}</p></article>" for i in range(5))
+    assert html_text.extract(f"<div id=content><p>{long}</p></div><div>{cards}</div>") == long
+    # An article with the highest candidate is kept whole, those beside it of its kind too; main is never lost.
+    assert html_text.extract(f"<article class=post-1><p>{long}</p><aside>x</aside><p>End.</p></article><article class=post-2><p>Hi.</p></article><p>{other}</p>") == f"{long}\nEnd.\nHi."
+    assert html_text.extract(f"<main><p>Brief.</p></main><div id=content><p>{long}</p></div>") == f"Brief.\n{long}"
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000), (None, "u", "<article>" + "x " * 100_000), (3, "u", "<!-- open"), (3, "u", "a <b c='")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
