@@ -9,14 +9,16 @@ training pass starts from the same weights and takes one pass of Adagrad over ma
 of all its documents; the tasks' weights are averaged by their numbers of words, in levels,
 and only the average reaches the driver.
 
-The vocabulary is bounded (VOCABULARY words by count, the rest in BUCKETS by hash), so the
-model has a fixed size of about 0.4 MB.
+What the network tells apart is bounded (VOCABULARY words by count, the rest in BUCKETS by
+hash), so the model has a fixed size of about 0.4 MB. The counts are not: those of all words
+stay a written table, and a word without an id of its own is joined to its count there, so
+it gets its own share of its bucket's class. A word that was never counted gets UNSEEN.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ VOCABULARY, BUCKETS, CLASSES = 8192, 1024, 64
 SIDE, DIM, HIDDEN = 2, 8, 24
 #: One word in MASK is predicted in training (spread by a hash), words of a step, Adagrad's rate.
 MASK, STEP, RATE = 8, 2048, 0.08
+#: Occurrences that a word counts for which the corpus does not hold.
+UNSEEN = 0.5
 
 _U = np.uint64
 _N = VOCABULARY + BUCKETS
@@ -39,12 +43,20 @@ _N = VOCABULARY + BUCKETS
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes with their ids, and for each id its class and log share of the class."""
+    """Sorted hashes with their ids, and for each id its class and log share of the class.
+
+    For a bucket that is the share of one occurrence; ``counts`` has those of its words.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
     classes: np.ndarray
     log_share: np.ndarray
+    counts: DataFrame | None = None  # term, n of all words, written; stays with the driver
+
+    def shipped(self) -> Vocabulary:
+        """What tasks need of it."""
+        return replace(self, counts=None)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         other = (VOCABULARY + (h % _U(BUCKETS)).astype(np.int64)).astype(np.int32)
@@ -65,27 +77,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_vocabulary(docs: DataFrame) -> Vocabulary:
-    """Words of all documents, counted; VOCABULARY + BUCKETS rows reach the driver."""
+    """Words of all documents, counted in a written table; VOCABULARY + BUCKETS rows reach the driver."""
     counts = scratch.save(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
     hashes = np.array([r["term"] for r in top], np.int64).view(_U)
     # A hash's remainder as an unsigned number, from its signed form.
     rest = F.pmod(F.pmod("term", F.lit(BUCKETS)) + (F.lit((1 << 64) % BUCKETS)) * (F.col("term") < 0).cast("int"), F.lit(BUCKETS))
     buckets = {r["b"]: r["n"] for r in counts.groupBy(rest.alias("b")).agg(F.sum("n").alias("n")).collect()}
-    scratch.drop(counts)
     n = np.zeros(_N)
     n[: len(top)] = [r["n"] for r in top]
     for b, total in buckets.items():
         n[VOCABULARY + b] = total
     np.subtract.at(n, VOCABULARY + (hashes % _U(BUCKETS)).astype(np.int64), n[: len(top)])
-    n += 0.5  # what was never counted can still be scored
+    n += UNSEEN  # what was never counted can still be scored
     by_count = np.argsort(-n, kind="stable")
     mass = np.cumsum(n[by_count])
     classes = np.zeros(_N, np.int64)
     classes[by_count] = np.minimum(CLASSES - 1, ((mass - n[by_count]) / mass[-1] * CLASSES).astype(np.int64))
-    log_share = np.log(n / np.bincount(classes, n, CLASSES)[classes])
+    shared = n.copy()
+    shared[VOCABULARY:] = 1  # the words of a bucket take their own parts of it
+    log_share = np.log(shared / np.bincount(classes, n, CLASSES)[classes])
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int32), classes, log_share)
+    return Vocabulary(hashes[order], order.astype(np.int32), classes, log_share, counts)
 
 
 class Network:
@@ -222,6 +235,7 @@ def _mean(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int = 0) -> np.ndarray:
     """Flat weights after ``rounds`` passes over all documents; fresh ones if they hold no words."""
     flat = Network.fresh(seed).flat
+    vocabulary = vocabulary.shipped()
     for r in range(rounds):
         each = docs.select("text").mapInArrow(_train(vocabulary, flat, seed + r), _PIECES)
         # First within salts, so that a piece's group stays small with many tasks.
@@ -232,26 +246,69 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int =
     return flat
 
 
+def _scores(vocabulary: Vocabulary, net: Network, batch: pa.RecordBatch):
+    """Of chunks of documents: their first number, words, log probabilities with one occurrence for each rare word, and which are rare."""
+    for i, _, w, own in _coded(batch, vocabulary):
+        near = _around(own, w.first)
+        classes = vocabulary.classes[own]
+        log_p = np.concatenate([np.zeros(0), *(net.log_classes(near[k : k + 8192], classes[k : k + 8192]) for k in range(0, len(own), 8192))])
+        yield i, w, log_p + vocabulary.log_share[own], own >= VOCABULARY
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[0.0, np.cumsum(values)][first])
+
+
 def _scorer(vocabulary: Vocabulary, flat: np.ndarray):
+    """Scores by the model alone: a rare word counts as never seen."""
+    vocabulary = vocabulary.shipped()
+
     @memory.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat)
         for batch in batches:
             n, total = [], []
-            for _, _, w, own in _coded(batch, vocabulary):
-                near = _around(own, w.first)
-                classes = vocabulary.classes[own]
-                log_p = np.concatenate([np.zeros(1), *(net.log_classes(near[k : k + 8192], classes[k : k + 8192]) for k in range(0, len(own), 8192))])
-                log_p[1:] += vocabulary.log_share[own]
-                sums = np.cumsum(log_p)[w.first]
+            for _, w, log_p, rare in _scores(vocabulary, net, batch):
                 n.append(np.diff(w.first))
-                total.append(np.diff(sums))
+                total.append(_sums(log_p + np.log(UNSEEN) * rare, w.first))
             n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), pa.array(total / np.maximum(n, 1), pa.float64())], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
     return score
 
 
+_PARTS = "row long, doc_id long, n long, log_prob double, term long"
+
+
+def _part_scorer(vocabulary: Vocabulary, flat: np.ndarray):
+    vocabulary = vocabulary.shipped()
+
+    @memory.tidy
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of each document (term is null), and one of each of its rare words with their number."""
+        net = Network(flat)
+        for batch in batches:
+            names = batch.column("row").to_numpy()
+            for i, w, log_p, rare in _scores(vocabulary, net, batch):
+                n = len(w.first) - 1
+                doc, term = w.doc[rare], w.hashes[rare].view(np.int64)
+                order = np.lexsort((term, doc))
+                doc, term = doc[order], term[order]
+                at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[names[i : i + n], names[i + doc[at]]]),
+                        pa.concat_arrays([batch.column("doc_id").slice(i, n), pa.nulls(len(at), pa.int64())]),
+                        pa.array(np.r_[np.diff(w.first), np.diff(np.r_[at, len(doc)])].astype(np.int64)),
+                        pa.array(np.r_[_sums(log_p, w.first), np.zeros(len(at))]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(term[at], pa.int64())]),
+                    ],
+                    ["row", "doc_id", "n", "log_prob", "term"],
+                )
+
+    return score
+
+
 def score_documents(docs: DataFrame, rounds: int = 1, seed: int = 0) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural, summed over words), mean_log_prob of every document.
 
@@ -262,4 +319,15 @@ def score_documents(docs: DataFrame, rounds: int = 1, seed: int = 0) -> DataFram
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = count_vocabulary(base)
     flat = train(base, vocabulary, rounds, seed)
-    return base.mapInArrow(_scorer(vocabulary, flat), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return _scored(base, vocabulary, flat)
+
+
+def _scored(base: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # Written once, so that a row keeps its number: documents with what the model knows, and their rare words.
+    parts = scratch.save(numbered.mapInArrow(_part_scorer(vocabulary, flat), _PARTS), "scores")
+    rare = parts.where("term IS NOT NULL").select("row", "n", "term").join(vocabulary.counts.select("term", F.col("n").alias("of")), "term", "left")
+    added = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), (F.col("n") * F.log(F.coalesce("of", F.lit(UNSEEN)))).alias("log_prob"))
+    both = parts.where("term IS NULL").select("row", "doc_id", "n", "log_prob").unionByName(added)
+    whole = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    return whole.select("doc_id", "n_tokens", "log_prob", (F.col("log_prob") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))

@@ -355,6 +355,32 @@ def test_masked_lm(spark, mixed_docs, no_docs):
     assert masked_lm.score_documents(no_docs).count() == 0
 
 
+def test_masked_lm_rare_words_have_their_own_shares(spark):
+    rnd = random.Random(5)
+    clean = [f"w{i}" for i in range(masked_lm.VOCABULARY)] * 2
+    rnd.shuffle(clean)
+    junk = [f"x{rnd.getrandbits(48):012x}" for _ in range(24_000)] + ["again", "again"]
+    rows = [(i, " ".join(clean[i * 64 : i * 64 + 64])) for i in range(256)] + [(1000 + i, " ".join(junk[i * 64 : i * 64 + 64])) for i in range(376)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    vocabulary = masked_lm.count_vocabulary(docs)
+    flat = masked_lm.train(docs, vocabulary)
+    got = {r["doc_id"]: r["mean_log_prob"] for r in masked_lm._scored(docs, vocabulary, flat).collect()}
+    assert len(got) == len(rows)
+    # Words that occur once are less likely than words that occur twice, however many share a bucket.
+    assert np.mean([v for i, v in got.items() if i < 1000]) > np.mean([v for i, v in got.items() if i >= 1000])
+    # Against the model alone, each rare word differs by the logarithm of its own count.
+    alone = docs.mapInArrow(masked_lm._scorer(vocabulary, flat), "doc_id long, n_tokens long, log_prob double, mean_log_prob double").collect()
+    known = set(clean)
+    counts = {r["term"]: r["n"] for r in vocabulary.counts.collect()}
+    assert len(counts) == len(known) + len(set(junk))
+    ids = set(vocabulary.hashes.tolist())
+    for r in alone:
+        text = dict(rows)[r["doc_id"]]
+        h = words.split(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hashes
+        more = sum(np.log(counts[int(x.view(np.int64))] / masked_lm.UNSEEN) for x in h if int(x) not in ids)
+        assert got[r["doc_id"]] * len(h) == pytest.approx(r["log_prob"] + more, abs=1e-3)
+
+
 def test_masked_lm_learns_order(spark):
     rnd = random.Random(4)
     names = [f"t{i}" for i in range(40)]
