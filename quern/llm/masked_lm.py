@@ -5,8 +5,8 @@ distribution over classes of words; the word's share of its class, counted over
 corpus, does the rest: log P(word | both sides) = log P(class | both sides) + log P(word |
 class). Classes hold equal parts of the corpus, the most frequent words alone. Everything
 is learnt from all documents: a first pass counts words, a second trains. Each task of the
-training pass starts from the same weights and takes one pass of Adagrad over masked words
-of all its documents; the tasks' weights are averaged by their numbers of words, in levels,
+training pass starts from the same weights and takes one pass of Adagrad over every word
+of all its documents, each predicted in turn; the tasks' weights are averaged by their numbers of words, in levels,
 and only the average reaches the driver.
 
 What the network tells apart is bounded (VOCABULARY words by count, the rest in BUCKETS by
@@ -32,8 +32,8 @@ from quern.llm import memory, words
 VOCABULARY, BUCKETS, CLASSES = 8192, 1024, 64
 #: Neighbours on each side, embedding and hidden sizes.
 SIDE, DIM, HIDDEN = 2, 8, 24
-#: One word in MASK is predicted in training (spread by a hash), words of a step, Adagrad's rate.
-MASK, STEP, RATE = 8, 2048, 0.08
+#: Words of a step, Adagrad's rate.
+STEP, RATE = 2048, 0.08
 #: Occurrences that a word counts for which the corpus does not hold.
 UNSEEN = 0.5
 
@@ -189,7 +189,9 @@ PIECE = 16384
 _PIECES = "piece int, salt int, words double, weights binary"
 
 
-def _train(vocabulary: Vocabulary, flat: np.ndarray, seed: int):
+def _train(vocabulary: Vocabulary, flat: np.ndarray):
+    vocabulary = vocabulary.shipped()
+
     @memory.tidy
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One pass over the documents of a task; its weights once, at the end."""
@@ -200,11 +202,9 @@ def _train(vocabulary: Vocabulary, flat: np.ndarray, seed: int):
             for _, _, w, own in _coded(batch, vocabulary):
                 if len(own):
                     task ^= int(w.hashes[0] >> _U(33))
-                place = np.arange(len(own), dtype=_U)
-                pick = np.flatnonzero(words.mix(w.hashes + place + _U(seed)) % _U(MASK) == 0)
-                around.append(_around(own, w.first)[pick])
-                ids.append(own[pick])
-                held += len(pick)
+                around.append(_around(own, w.first))
+                ids.append(own)
+                held += len(own)
                 if held >= 16 * STEP:
                     a, b = np.concatenate(around), np.concatenate(ids)
                     for k in range(0, len(b) - STEP + 1, STEP):
@@ -235,9 +235,8 @@ def _mean(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int = 0) -> np.ndarray:
     """Flat weights after ``rounds`` passes over all documents; fresh ones if they hold no words."""
     flat = Network.fresh(seed).flat
-    vocabulary = vocabulary.shipped()
-    for r in range(rounds):
-        each = docs.select("text").mapInArrow(_train(vocabulary, flat, seed + r), _PIECES)
+    for _ in range(rounds):
+        each = docs.select("text").mapInArrow(_train(vocabulary, flat), _PIECES)
         # First within salts, so that a piece's group stays small with many tasks.
         means = each.groupBy("piece", "salt").applyInArrow(_mean, _PIECES).groupBy("piece").applyInArrow(_mean, _PIECES)
         rows = sorted((x["piece"], bytes(x["weights"])) for x in means.collect())  # one model

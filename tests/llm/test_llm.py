@@ -381,6 +381,13 @@ def test_masked_lm_rare_words_have_their_own_shares(spark):
         assert got[r["doc_id"]] * len(h) == pytest.approx(r["log_prob"] + more, abs=1e-3)
 
 
+def test_masked_lm_trains_on_every_word(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two words", None, "", "a b c d e", "f " * 5000])], "doc_id long, text string").repartition(2)
+    vocabulary = masked_lm.count_vocabulary(docs)
+    seen = docs.select("text").mapInArrow(masked_lm._train(vocabulary, masked_lm.Network.fresh().flat), masked_lm._PIECES).where("piece = 0").collect()
+    assert sum(r["words"] for r in seen) == 1 + 2 + 5 + 5000
+
+
 def test_masked_lm_learns_order(spark):
     rnd = random.Random(4)
     names = [f"t{i}" for i in range(40)]
