@@ -6,7 +6,8 @@ largest norm, x turns into (x, sqrt(M^2 - |x|^2)) and a query into (q, 0), and t
 builds its tree in numpy and serves blocks of queries, which walk the tree together: each
 first descends to its own leaf, which gives it a radius, and then every subtree that the
 triangle inequality cannot rule out within that radius is visited. ``relax`` multiplies the
-radius in that test; at one nothing nearer is ever left out. Scores of what is found are
+radius in that test; at one nothing nearer is ever left out. A query whose list of nearest
+points ends in a tie walks the tree once more for all points as near. Scores of what is found are
 recomputed on the original vectors in double precision, and shards' lists are merged.
 """
 
@@ -56,6 +57,20 @@ class Tree:
         self._walk(self.root, np.arange(len(queries)), [0])
         return self.best, self.rows
 
+    def within(self, i: int, limit: float) -> np.ndarray:
+        """All rows whose squared distance from query ``i`` of the last search is at most ``limit``, but for rounding."""
+        who, radius, out, open_ = np.array([i]), np.sqrt(max(limit, 0) + self.slack) + np.sqrt(self.slack), [], [self.root]
+        while open_:
+            node = open_.pop()
+            if isinstance(node, np.ndarray):
+                d = self.q2[i] + self.p2[node] - 2 * (self.points[node] @ self.q[i])
+                out.append(node[d <= limit + self.slack])
+                continue
+            vantage, bounds, inner, outer = node
+            d = self._distance(vantage, who)[0]
+            open_.extend(child for child, low, high in ((inner, *bounds[:2]), (outer, *bounds[2:])) if max(low - d, d - high) <= radius)
+        return np.concatenate(out)
+
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
         d = self.q2[who, None] + self.p2[rows][None, :] - 2 * (self.q[who] @ self.points[rows].T)
         hit = (d < self.best[who].max(axis=1)[:, None]).any(axis=1)
@@ -124,14 +139,19 @@ def _searcher(k: int, relax: float, leaf: int):
         raised = np.c_[distinct, np.sqrt(np.maximum(top - norm2, 0))]
         # One more for the query itself, and some for points whose distances round to a tie.
         wide = min(len(distinct), k + 9)
-        best, rows = Tree(raised, leaf).search(np.c_[q, np.zeros(len(q))], wide, relax)
+        tree = Tree(raised, leaf)
+        best, rows = tree.search(np.c_[q, np.zeros(len(q))], wide, relax)
+        # Where the last of the list ties with the last that can be picked, points left out may tie too.
+        last = np.sort(best, axis=1)[:, min(k, wide - 1)]
+        tied = (best.max(axis=1) <= last + 2 * tree.slack) & (wide < len(distinct))
         out = ([], [], [])
         for i in range(len(q)):
-            r = rows[i][rows[i] >= 0]
+            r = tree.within(i, last[i] + tree.slack) if tied[i] else rows[i][rows[i] >= 0]
             score = np.zeros(len(r))
             for x_j, q_j in zip(distinct[r].T, q[i], strict=True):  # in the order of components, so that equal vectors score alike
                 score += x_j * q_j
-            near = r[np.lexsort((ids[first[r]], -score))]
+            # Each has a smallest id, so one more than k hold all that are picked.
+            near = r[np.lexsort((ids[first[r]], -score))][: k + 1]
             picks, scores = [], []
             s = dict(zip(r.tolist(), score.tolist(), strict=True))
             groups: dict[float, list[int]] = {}

@@ -302,6 +302,19 @@ def test_neighbours(spark, shard):
     assert mine == exact(np.arange(400), x.astype(np.float64), 20)
 
 
+def test_neighbours_with_equal_scores(spark):
+    # One-hot vectors in a mixed order of ids: all but one of the others score 0.
+    ids = list(range(0, 300))
+    random.Random(6).shuffle(ids)
+    rows = [(i, [float(j == n % 150) for j in range(150)]) for n, i in enumerate(ids)]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=8).collect()
+    by_id = dict(rows)
+    for q in range(0, 300, 20):
+        score = {i: float(np.dot(by_id[q], v)) for i, v in rows if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in vptree.nearest(df).collect()] == [(0, 1, 1, 0.5)]
