@@ -9,7 +9,9 @@ and the text between them is a candidate. All candidates compete by their peaks,
 element holds them. Where an article or main element holds the highest (or ties with it),
 the text outside such elements is left out; an article with a high candidate is kept whole,
 so short paragraphs stay, with the articles beside it of the same kind, and what a main
-element holds is never left out. Elsewhere the candidates whose peak is high are kept.
+element holds is never left out. Elsewhere the candidates whose peak is high are kept, and
+with them the short ones in the same container, in one beside it of the same kind, or
+directly in one around it.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCK = (
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 )
 CONTAINER = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
+#: Containers that part a page; lists, quotes and figures belong to the text around them.
+GROUP = "article div main section table"
 BOILERPLATE = "nav aside footer form menu dialog"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status"
@@ -44,7 +48,7 @@ NAMES = (
     "recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
 )
 
-_RAW, _BLOCK, _CONTAINER, _BOILERPLATE, _ROLES, _NAMES = (frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, BOILERPLATE, ROLES, NAMES))
+_RAW, _BLOCK, _CONTAINER, _GROUP, _BOILERPLATE, _ROLES, _NAMES = (frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, GROUP, BOILERPLATE, ROLES, NAMES))
 _RAW_NAMES = "|".join(_RAW - {"head"})
 _TOKEN = re.compile(
     rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW_NAMES})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
@@ -80,16 +84,20 @@ def _kind(attrs: str) -> str:
     return re.sub(r"\d+", "", found["class"].split()[0]) if found.get("class", "").strip() else "#" + found.get("id", "")
 
 
-#: The group of main elements; others have larger numbers.
-MAIN = 1
+#: The groups of what only the page holds and of main elements; others have larger numbers.
+PAGE, MAIN = 0, 1
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, whether it counts, group of the article that holds it or 0) of each line; an empty text breaks the run."""
-    out: list[tuple[str, bool, int]] = []
+def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
+    """(text, whether it counts, group of the article that holds it or 0, own group) of each line, and the group around each group.
+
+    An empty text breaks the run. A group has a larger number than the one around it.
+    """
+    out: list[tuple[str, bool, int, int]] = []
+    around: dict[int, int] = {}
     stack: list[tuple[str, bool, int]] = []  # open containers: name, boilerplate, group of an article
     groups: dict[tuple[int, str, str], int] = {}
-    opened = [0]  # a number for each open container and the page
+    opened = [PAGE]  # groups of the page and of each open container
     buffer: list[str] = []
     linked = 0
     in_link = False
@@ -101,7 +109,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
         buffer.clear()
         if text:
             # Outside the article, a line that is mostly links is a menu.
-            out.append((text, not boilerplate and (article > 0 or 2 * linked <= len(text)), article))
+            out.append((text, not boilerplate and (article > 0 or 2 * linked <= len(text)), article, opened[-1]))
         linked = 0
 
     def state() -> None:
@@ -136,34 +144,38 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                     if top[0] == name:
                         break
         elif not m["attrs"].endswith("/"):
-            group = 0
-            if name == "main" or re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"], re.I):
+            # Parts of one kind in one container are a group; what lies in the page itself is a group of its own.
+            group, inside = opened[-1], name == "article" or bool(re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"], re.I)) or name == "main"
+            if inside and name != "article":
                 group = MAIN
-            elif name == "article":
-                group = groups.setdefault((opened[-1], name, _kind(m["attrs"])), MAIN + 1 + len(groups))
-            stack.append((name, _is_boilerplate(name, m["attrs"], article > 0), group))
-            opened.append(at)
+            elif name in _GROUP:
+                kind = (opened[-1], name, _kind(m["attrs"]) if name == "article" or opened[-1] != PAGE else str(at))
+                group = groups.setdefault(kind, MAIN + 1 + len(groups))
+                around[group] = opened[-1]
+            stack.append((name, _is_boilerplate(name, m["attrs"], article > 0), group if inside else 0))
+            opened.append(group)
         before = (boilerplate, article)
         state()
         if (boilerplate, article) != before:
-            out.append(("", False, article))
+            out.append(("", False, article, PAGE))
     buffer.append(page[at:])
     flush()
-    return out
+    return out, around
 
 
 def extract(page: str, window: int = WINDOW) -> str:
     """The main text: kept lines joined by one newline; empty if there is none."""
-    rows: list[tuple[str, int, int]] = []
-    for text, counts, article in lines(page):
+    rows: list[tuple[str, int, int, int]] = []
+    found_lines, around = lines(page)
+    for text, counts, article, own in found_lines:
         if not text or not counts:
             # Nothing of a window before the break reaches what follows.
-            rows.extend([("", 0, 0)] * window)
+            rows.extend([("", 0, 0, PAGE)] * window)
         else:
-            rows.append((text, len(text), article))
-    if not any(t for t, _, _ in rows):
+            rows.append((text, len(text), article, own))
+    if not any(r[0] for r in rows):
         return ""
-    size = np.array([n for _, n, _ in rows] + [0] * window, np.int64)
+    size = np.array([r[1] for r in rows] + [0] * window, np.int64)
     total = np.r_[0, np.cumsum(size)]
     blocks = total[window:] - total[:-window]  # of the window that begins at each line
     high = np.r_[False, blocks[: len(rows)] > 0, False]
@@ -177,9 +189,30 @@ def extract(page: str, window: int = WINDOW) -> str:
     top = max(peak for peak, _, _ in found)
     if any(peak == top and article for peak, article, _ in found):
         found = [c for c in found if c[1]]
-    wins = [peak >= (PEAK_SHARE * top if article else max(PEAK, PEAK_SHARE * top)) or peak == top for peak, article, _ in found]
-    whole = {MAIN} | {article for win, (_, article, _) in zip(wins, found, strict=True) if win and article}
-    return "\n".join(t for win, (_, article, of) in zip(wins, found, strict=True) if win or article in whole for t, _, _ in of)
+    whole, above, wins = {MAIN}, set(), []
+    for peak, article, of in found:
+        least = PEAK_SHARE * top if article else max(PEAK, PEAK_SHARE * top)
+        wins.append(peak >= least or peak == top)
+        if wins[-1] and article:
+            whole.add(article)
+        elif wins[-1]:
+            # The containers with enough of its text, and the one with the most.
+            held: dict[int, int] = {}
+            for _, n, _, own in of:
+                held[own] = held.get(own, 0) + n
+            most = max(held.values())
+            for g in (g for g, n in held.items() if n >= least or n == most):
+                whole.add(g)
+                # Text that lies in the containers around these, in no other part of them.
+                while (g := around.get(g, PAGE)) != PAGE and g not in above:
+                    above.add(g)
+    # What lies in a group is whole with it; of the page itself, only what no other container holds.
+    for g in sorted(around):
+        if around[g] != PAGE and around[g] in whole:
+            whole.add(g)
+    near = whole | above
+    out = [t for win, (_, _, of) in zip(wins, found, strict=True) for t, _, _, own in of if win or own in near]
+    return "\n".join(out)
 
 
 @memory.tidy

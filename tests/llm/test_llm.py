@@ -107,6 +107,14 @@ def test_an_article_element_does_not_hide_higher_text():
     assert html_text.extract(f"<main><p>Brief.</p></main><div id=content><p>{long}</p></div>") == f"Brief.\n{long}"
 
 
+def test_short_parts_of_the_container_with_the_text():
+    long = ("The whole story is told in this line. " * 14).strip()
+    assert html_text.extract(f"<div id=content><p>{long}</p><aside>x</aside><p>Short end.</p></div>") == f"{long}\nShort end."
+    page = f"<div id=top>Site name</div><nav>x</nav><div id=content><h1>Title</h1><p>Lead.</p><div class=ad>x</div><div><p>{long}</p></div><form>x</form><div><ul><li>Point</ul></div></div><nav>x</nav><div id=end>Imprint</div>"
+    assert html_text.extract(page) == f"Title\nLead.\n{long}\nPoint"
+    assert html_text.extract(f"<body><p>{long}</p><aside>x</aside><p>End.</p><nav>x</nav><div>Imprint</div></body>") == f"{long}\nEnd."
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000), (None, "u", "<article>" + "x " * 100_000), (3, "u", "<!-- open"), (3, "u", "a <b c='")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
