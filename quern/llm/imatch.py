@@ -6,7 +6,8 @@ documents. A document's distinct lexicon terms are sorted and hashed once for th
 lexicon and once for each of several random subsets of it. Subsets keep terms at rates that
 halve from level to level, so some fit short documents and some long ones; a subset of
 which a document holds nothing gives it no hash. The likeness of two fingerprints is the
-share of agreeing hashes among the places where either has one.
+share of agreeing hashes among the places where either has one. A document with terms but
+none of the lexicon gets one hash, of all its distinct terms, in the full lexicon's place.
 
 The band's lower frequency bound is a share of all documents, so the lexicon has at most
 (mean distinct terms of a document) / MIN_SHARE terms, however many documents there are;
@@ -68,7 +69,8 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
 
 
 def signatures(terms: np.ndarray, known: np.ndarray, levels: int = LEVELS, each: int = EACH) -> np.ndarray:
-    """32-bit hash of each subset's terms of one document: the full lexicon first; zero where it holds none."""
+    """32-bit hash of each subset's terms of one document: the full lexicon first (all terms if it holds none); zero where it holds none."""
+    every = terms
     if len(known):
         at = np.searchsorted(known, terms)
         at[at == len(known)] = 0
@@ -77,6 +79,8 @@ def signatures(terms: np.ndarray, known: np.ndarray, levels: int = LEVELS, each:
         terms = terms[:0]
     out = np.zeros(1 + (levels - 1) * each, _U)
     if not len(terms):
+        if len(every):
+            out[0] = words.mix(words.mix(every + _U(2)).sum(keepdims=True))[0] >> _U(32) | _U(1)
         return out
     # Sums over sorted distinct terms, each mixed anew for its subset, stand for the hash of their list.
     out[0] = words.mix(words.mix(terms + _U(1)).sum(keepdims=True))[0] >> _U(32) | _U(1)

@@ -445,6 +445,14 @@ def test_fingerprints(mixed_docs, no_docs):
     assert imatch.fingerprints_beside_next(no_docs).count() == 0
 
 
+def test_texts_without_lexicon_terms_are_told_apart():
+    a, b = (np.array(x, np.uint64) for x in ([1, 2, 3], [4, 5]))
+    for known in (np.zeros(0, np.uint64), np.array([9], np.uint64)):
+        x, y, empty = (imatch.signatures(t, known) for t in (a, b, a[:0]))
+        assert imatch.likeness(x, y) == 0 and imatch.likeness(x, empty) == 0
+        assert imatch.likeness(x, imatch.signatures(a, known)) == 1 and imatch.likeness(empty, empty) == 1
+
+
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(i, f"all rare{i} half{i % 2} Pair{i // 2}") for i in range(20)], "doc_id long, text string")
     assert len(imatch.lexicon(docs, 0.05, 0.6)) == 2 + 10
