@@ -1,12 +1,12 @@
 """Repeated passages: a count-min prefilter, then exact grouping of what it lets through.
 
 Windows of 13 words are counted in a count-min sketch whose rows are cut into slices of
-2**22 cells. Every block of documents (a hash of doc_id; its size is a parameter, so there
+2**22 cells. Every block of documents (a hash of id and text; its size is a parameter, so there
 are as many blocks as the text needs) sends each slice the sorted places it touched, one or
 two bytes a window and row; the slice merges the blocks and sends each block back the places
 whose merged count is two or more. The estimate never falls short, so a window whose every
-place came back covers all repeated windows. Only those are grouped exactly, by 96 bits,
-once per block; a block then gets the first document of each window that it shares. No sketch,
+place came back covers all repeated windows. Only those are grouped exactly, by 96 bits (two
+independent hashes of the words' bytes), once per block; a block then gets the first document of each window that it shares. No sketch,
 bitmap or window list is broadcast or collected; what a task holds follows the block and
 slice sizes, not the table.
 """
@@ -23,7 +23,7 @@ from quern.llm import memory, words
 
 WINDOW = 13
 #: Bytes of text in a block, cells of a slice as a power of two, rows of the sketch, cells a window in a row.
-BLOCK_BYTES, SLICE_BITS, ROWS, CELLS = 16 << 20, 22, 2, 4
+BLOCK_BYTES, SLICE_BITS, ROWS, CELLS = 8 << 20, 22, 2, 4
 
 _U = np.uint64
 _MAX, _MIN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     slices = max(1, -(-total * cells // (6 << slice_bits)))  # a word takes six bytes about
-    parts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
     grouped = parts.groupBy("block")
     sketch = grouped.applyInArrow(_sketcher(window, slices, rows, slice_bits), _SLICE)
     flags = sketch.groupBy("row", "slice").applyInArrow(_merger(slice_bits), _SLICE)

@@ -3,7 +3,8 @@
 The pattern that splits text before the merges always breaks before a space that precedes
 a visible character, so a text is a run of independent segments. Segments of a chunk of
 documents are hashed in numpy, each distinct one is encoded once, and ids are gathered
-back. The vocabulary is read from a tokenizers file; ids equal that library's.
+back; a segment whose bytes differ from the one that stands for its hash is encoded alone.
+The vocabulary is read from a tokenizers file; ids equal that library's.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ CHUNK = 1 << 20
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_U = np.uint64
 #: A space starts a segment before these bytes: visible ASCII and the first bytes of longer
 #: characters, but for those (C2, E1, E2, E3) that begin Unicode's own white space.
 _VISIBLE = np.zeros(256, bool)
@@ -79,16 +79,16 @@ class Encoder:
         starts, ends = at[:-1], at[1:]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
-        power, inverse = words._power_tables(len(b) + 1)
-        total = np.zeros(len(b) + 1, _U)
-        np.cumsum(words._PLAIN[b] * power[: len(b)], out=total[1:])
-        h = words.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        h = words.hash_ranges(b, starts, ends)
         # A document's first segment may begin with anything, so it is not joined to another.
         first = np.zeros(len(b) + 1, bool)
         first[offsets] = True
         own = first[starts] & ~((b[starts] == 32) & _VISIBLE[b[np.minimum(starts + 1, len(b) - 1)]] & (ends - starts > 1))
         _, pick, kind = np.unique(h, return_index=True, return_inverse=True)
-        alone = own[pick]
+        wrong = np.flatnonzero(~words.same_ranges(b, starts, ends, starts[pick][kind], ends[pick][kind]))
+        alone = np.r_[own[pick], np.ones(len(wrong), bool)]
+        kind[wrong] = len(pick) + np.arange(len(wrong))
+        pick = np.r_[pick, wrong]
         joined = pick[~alone]
         ids = self._plain(b"".join(raw[x:y] for x, y in zip(starts[joined].tolist(), ends[joined].tolist(), strict=True)).decode())
         stop = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum((ends - starts)[joined]), "right")
