@@ -1,18 +1,19 @@
 """Masked pseudo-likelihood: a bidirectional window network that predicts every word.
 
-A word's neighbours on both sides are embedded, pass one hidden layer and give a
-distribution over classes of words; the word's share of its class, counted over the whole
-corpus, does the rest: log P(word | both sides) = log P(class | both sides) + log P(word |
-class). Classes hold equal parts of the corpus, the most frequent words alone. Everything
-is learnt from all documents: a first pass counts words, a second trains. Each task of the
-training pass starts from the same weights and takes one pass of Adagrad over every word
-of all its documents, each predicted in turn; the tasks' weights are averaged by their numbers of words, in levels,
-and only the average reaches the driver.
-
-What the network tells apart is bounded (VOCABULARY words by count, the rest in BUCKETS by
-hash), so the model has a fixed size of about 0.4 MB. The counts are not: those of all words
-stay a written table, and a word without an id of its own is joined to its count there, so
-it gets its own share of its bucket's class. A word that was never counted gets UNSEEN.
+A word's neighbours on both sides are embedded and pass one hidden layer, which predicts
+the word itself by a softmax in two levels: a group of words, then the word in its group,
+both from the hidden layer. Its biases start from the counts of the whole corpus, so what
+is trained is the departure from them. Everything is learnt from all documents: a first
+pass counts words; then the corpus is gone through once in ROUNDS parts (by a hash of the
+text). In a round each task starts from the same weights and takes Adagrad steps over every
+word of its documents of that part; the tasks' weights are averaged by their numbers of
+words, in levels, only the average reaches the driver, and the next round starts from it.
+
+What the network tells apart is bounded (VOCABULARY words by count; the others in BUCKETS
+by their last letters, which tell languages and word classes apart), so the model has a
+fixed size of about 1.2 MB. The counts are not: those of all words stay a written table, and
+a word without an id of its own is joined to its count there, so it gets its own share of
+its bucket. A word that was never counted gets UNSEEN.
 """
 
 from __future__ import annotations
@@ -28,30 +29,39 @@ from pyspark.sql import functions as F
 from quern import scratch
 from quern.llm import memory, words
 
-#: Words with an id of their own, hash buckets for the others, classes.
-VOCABULARY, BUCKETS, CLASSES = 8192, 1024, 64
+#: Words with an id of their own, buckets for the others, groups of the softmax; a group has (VOCABULARY + BUCKETS) / GROUPS members.
+VOCABULARY, BUCKETS, GROUPS = 8192, 1024, 96
 #: Neighbours on each side, embedding and hidden sizes.
 SIDE, DIM, HIDDEN = 2, 8, 24
-#: Words of a step, Adagrad's rate.
-STEP, RATE = 2048, 0.08
-#: Occurrences that a word counts for which the corpus does not hold.
-UNSEEN = 0.5
+#: Words of a step, Adagrad's rate, parts of the corpus between which weights are averaged.
+STEP, RATE, ROUNDS = 2048, 0.08, 3
+#: Occurrences that a word counts for which the corpus does not hold, and last bytes by which rare words are put in buckets.
+UNSEEN, SUFFIX = 0.5, 3
 
 _U = np.uint64
 _N = VOCABULARY + BUCKETS
+_EACH = _N // GROUPS
+
+
+def _terms(w: words.Words) -> np.ndarray:
+    """A number of each word: the bucket of its last letters in the low bits, a hash of the whole above."""
+    from_ = np.maximum(w.ends - SUFFIX, w.starts)
+    return (w.hashes & ~_U(BUCKETS - 1)) | (words.hash_ranges(w.data, from_, w.ends, 2) & _U(BUCKETS - 1))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes with their ids, and for each id its class and log share of the class.
+    """Sorted terms with their ids, and for each id its place (group * _EACH + member), log share and those of its group and bucket.
 
-    For a bucket that is the share of one occurrence; ``counts`` has those of its words.
+    ``log_share`` is that of one occurrence in a bucket, 0 for a word of its own; ``start``
+    has the output biases that reproduce the counts.
     """
 
-    hashes: np.ndarray
+    terms: np.ndarray
     ids: np.ndarray
-    classes: np.ndarray
+    place: np.ndarray
     log_share: np.ndarray
+    start: np.ndarray
     counts: DataFrame | None = None  # term, n of all words, written; stays with the driver
 
     def shipped(self) -> Vocabulary:
@@ -59,12 +69,12 @@ class Vocabulary:
         return replace(self, counts=None)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        other = (VOCABULARY + (h % _U(BUCKETS)).astype(np.int64)).astype(np.int32)
-        if not len(self.hashes):
+        other = (VOCABULARY + (h & _U(BUCKETS - 1)).astype(np.int64)).astype(np.int32)
+        if not len(self.terms):
             return other
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, self.ids[at], other)
+        at = np.searchsorted(self.terms, h)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == h, self.ids[at], other)
 
 
 @memory.tidy
@@ -72,39 +82,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = words.buffers(batch.column("text"))
         for i, j in words.chunks(offsets, 2 * words.CHUNK):
-            term, n = np.unique(words.split(data, offsets[i : j + 1]).hashes, return_counts=True)
+            term, n = np.unique(_terms(words.split(data, offsets[i : j + 1])), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
-def count_vocabulary(docs: DataFrame) -> Vocabulary:
-    """Words of all documents, counted in a written table; VOCABULARY + BUCKETS rows reach the driver."""
-    counts = scratch.save(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
-    hashes = np.array([r["term"] for r in top], np.int64).view(_U)
-    # A hash's remainder as an unsigned number, from its signed form.
-    rest = F.pmod(F.pmod("term", F.lit(BUCKETS)) + (F.lit((1 << 64) % BUCKETS)) * (F.col("term") < 0).cast("int"), F.lit(BUCKETS))
-    buckets = {r["b"]: r["n"] for r in counts.groupBy(rest.alias("b")).agg(F.sum("n").alias("n")).collect()}
+def vocabulary_of(top: list[tuple[int, int]], buckets: dict[int, int]) -> Vocabulary:
+    """From the most frequent words (term, n) and the numbers of words of each bucket, those included."""
+    terms = np.array([t for t, _ in top], np.int64).view(_U)
     n = np.zeros(_N)
-    n[: len(top)] = [r["n"] for r in top]
+    n[: len(top)] = [x for _, x in top]
     for b, total in buckets.items():
         n[VOCABULARY + b] = total
-    np.subtract.at(n, VOCABULARY + (hashes % _U(BUCKETS)).astype(np.int64), n[: len(top)])
+    np.subtract.at(n, VOCABULARY + (terms & _U(BUCKETS - 1)).astype(np.int64), n[: len(top)])
     n += UNSEEN  # what was never counted can still be scored
-    by_count = np.argsort(-n, kind="stable")
-    mass = np.cumsum(n[by_count])
-    classes = np.zeros(_N, np.int64)
-    classes[by_count] = np.minimum(CLASSES - 1, ((mass - n[by_count]) / mass[-1] * CLASSES).astype(np.int64))
-    shared = n.copy()
-    shared[VOCABULARY:] = 1  # the words of a bucket take their own parts of it
-    log_share = np.log(shared / np.bincount(classes, n, CLASSES)[classes])
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int32), classes, log_share, counts)
+    place = np.empty(_N, np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(_N)
+    share = np.zeros(_N)
+    share[VOCABULARY:] = -np.log(n[VOCABULARY:])
+    member = np.empty(_N)
+    member[place] = n
+    group = member.reshape(GROUPS, _EACH).sum(axis=1)
+    start = np.r_[np.log(group / group.sum()), (np.log(member.reshape(GROUPS, _EACH)) - np.log(group)[:, None]).reshape(-1)]
+    order = np.argsort(terms)
+    return Vocabulary(terms[order], order.astype(np.int32), place, share, start.astype(np.float32))
+
+
+def count_vocabulary(docs: DataFrame) -> Vocabulary:
+    """Words of all documents, counted in a written table; VOCABULARY + BUCKETS rows reach the driver."""
+    counts = scratch.save(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
+    top = counts.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
+    bucket = F.col("term").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    buckets = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
+    return replace(vocabulary_of([(r["term"], r["n"]) for r in top], buckets), counts=counts)
 
 
 class Network:
-    """Embeddings, one hidden layer, classes; all weights are one flat float32 array."""
+    """Embeddings, one hidden layer, groups and members; all weights are one flat float32 array."""
 
-    SHAPES = ((_N + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((_N + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, _EACH), (GROUPS, _EACH))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
     def __init__(self, flat: np.ndarray) -> None:
@@ -116,27 +131,45 @@ class Network:
             at += n
 
     @classmethod
-    def fresh(cls, seed: int = 0) -> Network:
+    def fresh(cls, vocabulary: Vocabulary, seed: int = 0) -> Network:
         rng = np.random.default_rng(seed)
         net = cls(np.zeros(cls.SIZE, np.float32))
-        for i, scale in ((0, 0.3), (1, (2 * SIDE * DIM) ** -0.5), (3, HIDDEN**-0.5)):
+        for i, scale in ((0, 0.3), (1, (2 * SIDE * DIM) ** -0.5)):
             net.parts[i][:] = rng.normal(0, scale, net.parts[i].shape)
         net.parts[0][_N] = 0  # beyond the ends of a document
+        net.parts[4][:], net.parts[6][:] = vocabulary.start[:GROUPS], vocabulary.start[GROUPS:].reshape(GROUPS, _EACH)
         return net
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, w1, b1, w2, b2 = self.parts
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, w1, b1 = self.parts[:3]
         x = e[around].reshape(len(around), -1)
-        h = np.tanh(x @ w1 + b1)
-        return x, h, h @ w2 + b2
-
-    def log_classes(self, around: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        _, _, z = self.forward(around)
-        top = z.max(axis=1)
-        own = z[np.arange(len(z)), wanted] - top
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
+        return x, np.tanh(x @ w1 + b1)
+
+    def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Member outputs of rows that are ordered by their group, and the (group, first row, past its last row)."""
+        w, b = self.parts[5:]
+        out = np.empty((len(h), _EACH), np.float32)
+        cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+        runs = [(int(group[x]), x, y) for x, y in zip(cut, cut[1:], strict=False)]
+        for g, x, y in runs:
+            np.matmul(h[x:y], w[g], out=out[x:y])
+            out[x:y] += b[g]
+        return out, runs
+
+    def log_words(self, around: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log probability of the id at each place, from its neighbours."""
+        order = np.argsort(place)
+        group, member = place[order] // _EACH, place[order] % _EACH
+        _, h = self.hidden(around[order])
+        out = np.empty(len(place))
+        out[order] = _log_softmax(h @ self.parts[3] + self.parts[4], group) + _log_softmax(self.members(h, group)[0], member)
+        return out
+
+
+def _log_softmax(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), wanted]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def _around(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -152,36 +185,61 @@ def _around(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _softmax_error(z: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
+    """What the probabilities have over those wanted, divided by ``n``; in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True) * n
+    z[np.arange(len(z)), wanted] -= np.float32(1 / n)
+    return z
+
+
 class _Trainer:
-    def __init__(self, flat: np.ndarray, classes: np.ndarray) -> None:
-        self.net, self.classes = Network(flat.copy()), classes
-        self.squares = np.full(Network.SIZE, 1e-3, np.float32)
+    def __init__(self, flat: np.ndarray, place: np.ndarray) -> None:
+        self.net, self.place = Network(flat.copy()), place
+        self.squares = np.full(Network.SIZE, 1e-6, np.float32)
+        self.grad = Network(np.empty(Network.SIZE, np.float32))
         self.seen = 0
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
-        e, w1, _, w2, _ = self.net.parts
-        x, h, z = self.net.forward(around)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), self.classes[ids]] -= 1
-        z /= len(z)
-        dh = z @ w2.T * (1 - h * h)
+        place = self.place[ids]
+        order = np.argsort(place)
+        around, place = around[order], place[order]
+        group, n = place // _EACH, len(place)
+        e, w1, _, wg, bg, wm, _ = self.net.parts
+        grad = self.grad.parts
+        self.grad.flat[:] = 0
+        x, h = self.net.hidden(around)
+        z = _softmax_error(h @ wg + bg, group, n)
+        out, runs = self.net.members(h, group)
+        y = _softmax_error(out, place % _EACH, n)
+        dh = z @ wg.T
+        for g, a, b in runs:
+            np.matmul(h[a:b].T, y[a:b], out=grad[5][g])
+            grad[6][g] = y[a:b].sum(axis=0)
+            dh[a:b] += y[a:b] @ wm[g].T
+        dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, DIM)
         at = around.reshape(-1).astype(np.int64)
-        de = np.bincount((at[:, None] * DIM + np.arange(DIM)).reshape(-1), dx.reshape(-1), e.size).astype(np.float32)
-        de[-DIM:] = 0
-        g = np.concatenate([de, (x.T @ dh).reshape(-1), dh.sum(axis=0), (h.T @ z).reshape(-1), z.sum(axis=0)])
+        grad[0][:] = np.bincount((at[:, None] * DIM + np.arange(DIM)).reshape(-1), dx.reshape(-1), e.size).reshape(e.shape)
+        grad[0][-1] = 0
+        np.matmul(x.T, dh, out=grad[1])
+        grad[2][:], grad[4][:] = dh.sum(axis=0), z.sum(axis=0)
+        np.matmul(h.T, z, out=grad[3])
+        g = self.grad.flat
         self.squares += g * g
-        self.net.flat -= RATE * g / np.sqrt(self.squares)
-        self.seen += len(ids)
+        g /= np.sqrt(self.squares)
+        g *= RATE
+        self.net.flat -= g
+        self.seen += n
 
 
 def _coded(batch: pa.RecordBatch, vocabulary: Vocabulary):
     data, offsets = words.buffers(batch.column("text"))
     for i, j in words.chunks(offsets):
         w = words.split(data, offsets[i : j + 1])
-        yield i, j, w, vocabulary.of(w.hashes)
+        terms = _terms(w)
+        yield i, j, w, terms, vocabulary.of(terms)
 
 
 #: Weights of a row of the averaging; rows of a task are cut so that no group grows with the model.
@@ -195,11 +253,11 @@ def _train(vocabulary: Vocabulary, flat: np.ndarray):
     @memory.tidy
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One pass over the documents of a task; its weights once, at the end."""
-        trainer, task = _Trainer(flat, vocabulary.classes), 0
+        trainer, task = _Trainer(flat, vocabulary.place), 0
         around, ids = [], []
         held = 0
         for batch in batches:
-            for _, _, w, own in _coded(batch, vocabulary):
+            for _, _, w, _, own in _coded(batch, vocabulary):
                 if len(own):
                     task ^= int(w.hashes[0] >> _U(33))
                 around.append(_around(own, w.first))
@@ -232,11 +290,12 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "salt": table.column("salt")[:1], "words": pa.array([total]), "weights": pa.array([(out / total).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int = 0) -> np.ndarray:
-    """Flat weights after ``rounds`` passes over all documents; fresh ones if they hold no words."""
-    flat = Network.fresh(seed).flat
-    for _ in range(rounds):
-        each = docs.select("text").mapInArrow(_train(vocabulary, flat), _PIECES)
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
+    """Flat weights after one pass over all documents in ``rounds`` parts; fresh ones if they hold no words."""
+    flat = Network.fresh(vocabulary, seed).flat
+    for r in range(rounds):
+        part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        each = part.mapInArrow(_train(vocabulary, flat), _PIECES)
         # First within salts, so that a piece's group stays small with many tasks.
         means = each.groupBy("piece", "salt").applyInArrow(_mean, _PIECES).groupBy("piece").applyInArrow(_mean, _PIECES)
         rows = sorted((x["piece"], bytes(x["weights"])) for x in means.collect())  # one model
@@ -246,12 +305,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int =
 
 
 def _scores(vocabulary: Vocabulary, net: Network, batch: pa.RecordBatch):
-    """Of chunks of documents: their first number, words, log probabilities with one occurrence for each rare word, and which are rare."""
-    for i, _, w, own in _coded(batch, vocabulary):
-        near = _around(own, w.first)
-        classes = vocabulary.classes[own]
-        log_p = np.concatenate([np.zeros(0), *(net.log_classes(near[k : k + 8192], classes[k : k + 8192]) for k in range(0, len(own), 8192))])
-        yield i, w, log_p + vocabulary.log_share[own], own >= VOCABULARY
+    """Of chunks of documents: their first number, words, terms, log probabilities with one occurrence for each rare word, and which are rare."""
+    for i, _, w, terms, own in _coded(batch, vocabulary):
+        near, place = _around(own, w.first), vocabulary.place[own]
+        log_p = np.concatenate([np.zeros(0), *(net.log_words(near[k : k + 8192], place[k : k + 8192]) for k in range(0, len(own), 8192))])
+        yield i, w, terms, log_p + vocabulary.log_share[own], own >= VOCABULARY
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -267,7 +325,7 @@ def _scorer(vocabulary: Vocabulary, flat: np.ndarray):
         net = Network(flat)
         for batch in batches:
             n, total = [], []
-            for _, w, log_p, rare in _scores(vocabulary, net, batch):
+            for _, w, _, log_p, rare in _scores(vocabulary, net, batch):
                 n.append(np.diff(w.first))
                 total.append(_sums(log_p + np.log(UNSEEN) * rare, w.first))
             n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
@@ -288,9 +346,9 @@ def _part_scorer(vocabulary: Vocabulary, flat: np.ndarray):
         net = Network(flat)
         for batch in batches:
             names = batch.column("row").to_numpy()
-            for i, w, log_p, rare in _scores(vocabulary, net, batch):
+            for i, w, terms, log_p, rare in _scores(vocabulary, net, batch):
                 n = len(w.first) - 1
-                doc, term = w.doc[rare], w.hashes[rare].view(np.int64)
+                doc, term = w.doc[rare], terms[rare].view(np.int64)
                 order = np.lexsort((term, doc))
                 doc, term = doc[order], term[order]
                 at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, np.int64)
@@ -308,7 +366,7 @@ def _part_scorer(vocabulary: Vocabulary, flat: np.ndarray):
     return score
 
 
-def score_documents(docs: DataFrame, rounds: int = 1, seed: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural, summed over words), mean_log_prob of every document.
 
     Every word of every whole text is predicted from both sides. A text that is null or

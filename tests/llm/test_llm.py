@@ -71,6 +71,41 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: any polynomial hash modulo a power of two confuses long ones."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate({97: "b", 98: "a"})
+
+
+def test_long_alike_words_are_told_apart(spark):
+    pairs = [thue_morse(n) for n in (64, 1024, 4096)]
+    words_ = [x for p in pairs for x in p]
+    data, offsets = words.buffers(pa.array([" ".join(words_)]))
+    w = words.split(data, offsets)
+    assert len(set(w.hashes.tolist())) == 6 and len(set(words.hash_ranges(w.data, w.starts, w.ends, 1).tolist())) == 6
+    library = Tokenizer.from_file(VOCABULARY)
+    data, offsets = words.buffers(pa.array([f"go {x} on" for x in words_]))
+    ids, cut = tokens.encoder(VOCABULARY).many(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [e.ids for e in library.encode_batch([f"go {x} on" for x in words_], add_special_tokens=False)]
+    bodies = [" ".join([f"v{i}" for i in range(7)] + [x] + [f"u{i}" for i in range(7)]) for x in words_]
+    docs = documents(spark, bodies, extra=False)
+    kept = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").orderBy("doc_id").collect()
+    assert [tuple(r) for r in kept] == list(repeats(list(enumerate(bodies)), 13))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == jaccard_components(list(enumerate(bodies)))
+    marks = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints_beside_next(docs).collect()}
+    assert len(set(marks.values())) == 6
+
+
+def test_a_shared_hash_does_not_share_ids(monkeypatch):
+    monkeypatch.setattr(words, "hash_ranges", lambda b, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    bodies = [t or "" for t in texts(20)] + [f"go {x} on" for x in thue_morse(64)]
+    data, offsets = words.buffers(pa.array(bodies))
+    ids, cut = tokens.encoder(VOCABULARY).many(data, offsets)
+    library = Tokenizer.from_file(VOCABULARY)
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [e.ids for e in library.encode_batch(bodies, add_special_tokens=False)]
+
+
 # 1
 
 
@@ -394,10 +429,10 @@ def test_masked_lm_rare_words_have_their_own_shares(spark):
     known = set(clean)
     counts = {r["term"]: r["n"] for r in vocabulary.counts.collect()}
     assert len(counts) == len(known) + len(set(junk))
-    ids = set(vocabulary.hashes.tolist())
+    ids = set(vocabulary.terms.tolist())
     for r in alone:
         text = dict(rows)[r["doc_id"]]
-        h = words.split(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hashes
+        h = masked_lm._terms(words.split(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
         more = sum(np.log(counts[int(x.view(np.int64))] / masked_lm.UNSEEN) for x in h if int(x) not in ids)
         assert got[r["doc_id"]] * len(h) == pytest.approx(r["log_prob"] + more, abs=1e-3)
 
@@ -405,7 +440,7 @@ def test_masked_lm_rare_words_have_their_own_shares(spark):
 def test_masked_lm_trains_on_every_word(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two words", None, "", "a b c d e", "f " * 5000])], "doc_id long, text string").repartition(2)
     vocabulary = masked_lm.count_vocabulary(docs)
-    seen = docs.select("text").mapInArrow(masked_lm._train(vocabulary, masked_lm.Network.fresh().flat), masked_lm._PIECES).where("piece = 0").collect()
+    seen = docs.select("text").mapInArrow(masked_lm._train(vocabulary, masked_lm.Network.fresh(vocabulary).flat), masked_lm._PIECES).where("piece = 0").collect()
     assert sum(r["words"] for r in seen) == 1 + 2 + 5 + 5000
 
 
@@ -424,6 +459,57 @@ def test_masked_lm_learns_order(spark):
     assert got[0] > got[1] + 0.5
 
 
+def test_masked_lm_against_brute_force(spark):
+    """Scores of small texts by the definition: a full softmax over all ids from both sides, then the word's share of its bucket."""
+    bodies = [*texts(40), None, "", "one", "one", "tie tie tie"] + [" ".join(f"r{i}x{k}" for i in range(200)) for k in range(45)]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(3)
+    vocabulary = masked_lm.count_vocabulary(docs)
+    flat = masked_lm.train(docs, vocabulary)
+    e, w1, b1, wg, bg, wm, bm = (p.astype(np.float64) for p in masked_lm.Network(flat).parts)
+    # Every id's probability given its neighbours sums to one over all ids.
+    counts: dict[str, int] = {}
+    for t in bodies:
+        for x in WORD.findall(t or ""):
+            counts[x] = counts.get(x, 0) + 1
+    term = {x: int(masked_lm._terms(words.split(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())])))[0]) for x in counts}
+    known = dict(zip(vocabulary.terms.tolist(), vocabulary.ids.tolist()))
+    low = masked_lm.BUCKETS - 1
+    number = {x: known.get(t, masked_lm.VOCABULARY + (t & low)) for x, t in term.items()}
+    inside: dict[int, float] = {}
+    for x in counts:
+        if term[x] not in known:
+            inside[term[x] & low] = inside.get(term[x] & low, masked_lm.UNSEEN) + counts[x]
+    assert any(n in known for n in term.values()) and inside
+
+    def log_p(ids, i):
+        near = [ids[i + s] if 0 <= i + s < len(ids) else masked_lm._N for s in range(-masked_lm.SIDE, masked_lm.SIDE + 1) if s]
+        h = np.tanh(np.concatenate([e[k] for k in near]) @ w1 + b1)
+        a = h @ wg + bg
+        b = np.stack([h @ wm[g] + bm[g] for g in range(masked_lm.GROUPS)])
+        p = np.exp(a - np.logaddexp.reduce(a))[:, None] * np.exp(b - np.logaddexp.reduce(b, axis=1)[:, None])
+        assert p.sum() == pytest.approx(1)
+        return np.log(p.reshape(-1)[vocabulary.place[ids[i]]])
+
+    got = {r["doc_id"]: r for r in masked_lm._scored(docs, vocabulary, flat).collect()}
+    for i, t in enumerate(bodies[:45]):  # the others only supply rare words
+        own = WORD.findall(t or "")
+        ids = [number[x] for x in own]
+        want = sum(log_p(ids, k) + (np.log(counts[x] / inside[term[x] & low]) if term[x] not in known else 0) for k, x in enumerate(own))
+        assert got[i]["n_tokens"] == len(own) and got[i]["log_prob"] == pytest.approx(want, abs=2e-3 * (1 + len(own)))
+    assert got[42]["log_prob"] == pytest.approx(got[43]["log_prob"], abs=1e-5)
+
+
+def test_masked_lm_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    train, rest = docs.where("doc_id % 5 <> 0").repartition(2), docs.where("doc_id % 5 = 0")
+    vocabulary = masked_lm.count_vocabulary(train)
+    mean = {}
+    for name, flat in (("counts", masked_lm.Network.fresh(vocabulary).flat), ("network", masked_lm.train(train, vocabulary))):
+        got = masked_lm._scored(rest, vocabulary, flat).agg({"log_prob": "sum", "n_tokens": "sum"}).first()
+        mean[name] = got["sum(log_prob)"] / got["sum(n_tokens)"]
+    assert mean["network"] > mean["counts"] + 0.3
+
+
 # 9
 
 
