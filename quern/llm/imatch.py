@@ -20,8 +20,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import memory, words
@@ -32,6 +33,8 @@ MIN_SHARE, MAX_SHARE = 0.0005, 0.2
 LEVELS, EACH = 12, 12
 #: Documents whose texts a task holds as strings at once.
 ROWS = 1000
+#: Added to the number of a range for the document that only follows it.
+FOLLOWS = 1 << 30
 
 _U = np.uint64
 _SEEN = "term long, n long"
@@ -160,36 +163,63 @@ def _walker(known: np.ndarray):
     return walk
 
 
+#: Bytes of text in a range of documents, about, and documents of the sample for each bound.
+PART_BYTES, SAMPLE = 8 << 20, 16
+
+
+def _part_of(bounds: np.ndarray) -> Column:
+    """Of keys (k, t): the range that a row lies in, and for a row that opens a range also the one before, else -1.
+
+    ``bounds`` has rows (k, t) in order, the first of them the smallest of the table.
+    """
+    low, n = bounds[:, 0], len(bounds)
+
+    def place(k: pd.Series, t: pd.Series) -> pd.DataFrame:
+        k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
+        first, after = np.searchsorted(low, k, "left"), np.searchsorted(low, k, "right")
+        at = first - 1
+        opens = np.zeros(len(k), bool)
+        shared = np.flatnonzero(first < after)
+        for a in np.unique(first[shared]):  # keys that are bounds: the second half decides
+            rows = shared[first[shared] == a]
+            own = bounds[a : after[rows[0]], 1]
+            step = np.searchsorted(own, t[rows], "right")
+            at[rows] += step
+            opens[rows] = (step > 0) & (own[np.maximum(step, 1) - 1] == t[rows])
+        return pd.DataFrame({"part": at.astype(np.int32), "before": np.where(opens, (at - 1) % n, -1).astype(np.int32)})
+
+    return F.pandas_udf(place, "part int, before int")("k", "t")
+
+
 def fingerprints_beside_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprint of each document, of its edited text, and their likenesses.
 
     The next document is the one with the next larger doc_id, the first one's after the
-    last. Documents are dealt into ranges of doc_id whose bounds are ids of the table; the
-    first document of a range is sent to the range before as well, so each range is walked
-    in order by itself. Null text counts as empty. Rows that share a doc_id follow each
-    other in the order of their texts; a null doc_id comes first. A lone document is its
-    own next. An empty table gives no rows.
+    last. Documents are ordered by (doc_id, hash of the text) and cut into ranges of about
+    PART_BYTES, whose bounds are documents of a sample, SAMPLE for each; the document that
+    opens a range is sent to the range before as well, so each range is walked in order by
+    itself. Null text counts as empty. Rows that share a doc_id follow each other in the
+    order of a hash of their texts, so many of them are many ranges too; rows that repeat
+    id and text are one range. A null doc_id comes first. A lone document is its own next.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = lexicon(base)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low = F.lit(-(1 << 63)).cast("long")
-    keyed = base.withColumn("k", F.coalesce("doc_id", low))
-    found = keyed.stat.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    ends = keyed.agg(F.min("k"), F.max("k")).first()
-    if ends[0] is None:
+    keyed = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("k"), F.xxhash64("text").alias("t"))
+    whole = keyed.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("size"), F.min(F.struct("k", "t")).alias("least")).first()
+    if not whole["rows"]:
         return spark.createDataFrame([], _RESULT)
-    # approxQuantile passes through doubles: bounds become ids again by the first id at or above each.
-    bounds = sorted({int(b) for b in found if ends[0] < int(b) <= ends[1]})
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    part = keyed.withColumn("part", F.size(F.filter(cuts, lambda b: b <= F.col("k"))))
-    firsts = part.groupBy("part").agg(F.min(F.struct("k", F.xxhash64("text").alias("t"))).alias("first"))
-    starts = sorted((r["part"], r["first"]["k"], r["first"]["t"]) for r in firsts.collect())  # a row a range
-    before = [(starts[i][1], starts[i][2], starts[i - 1][0] if i else starts[-1][0]) for i in range(len(starts))]
-    follow = spark.createDataFrame(before, "k long, t long, to int")
-    copies = part.withColumn("t", F.xxhash64("text")).join(F.broadcast(follow), ["k", "t"]).dropDuplicates(["k", "t"])
-    columns = ("doc_id", "text", "k", "part")
-    rows = part.select(*columns, F.lit(False).alias("extra")).unionByName(copies.select("doc_id", "text", "k", F.col("to").alias("part"), F.lit(True).alias("extra")))
-    dealt = rows.repartition(n, "part").sortWithinPartitions("part", "extra", "k", F.xxhash64("text"))
+    n = parts or max(1, -(-whole["size"] // PART_BYTES))
+    # Two numbers of each document of the sample reach the driver: SAMPLE * n rows, about.
+    every = max(1, whole["rows"] // (SAMPLE * n))
+    sample = keyed.select("k", "t").where(F.pmod(F.xxhash64("k", "t", F.lit(9)), F.lit(every)) == 0).distinct().toArrow() if n > 1 else None
+    found = np.stack([c.to_numpy() for c in sample.columns], axis=1) if sample is not None else np.zeros((0, 2), np.int64)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    found = found[[i * len(found) // n for i in range(1, n)]] if len(found) else found
+    bounds = np.unique(np.concatenate([np.array([tuple(whole["least"])], np.int64), found]), axis=0)
+    placed = keyed.withColumn("p", _part_of(bounds)).withColumn("to", F.explode(F.when(F.col("p.before") < 0, F.array("p.part")).otherwise(F.array("p.part", F.col("p.before") + F.lit(FOLLOWS)))))
+    rows = placed.select((F.col("to") % FOLLOWS).alias("part"), "doc_id", (F.col("to") >= FOLLOWS).alias("extra"), "text", "k", "t")
+    # Ranges stay whole and are dealt evenly, as each is a value of the column that is ranged.
+    dealt = rows.repartitionByRange(len(bounds), "part").sortWithinPartitions("part", "extra", "k", "t")
     return dealt.select("part", "doc_id", "extra", "text").mapInArrow(_walker(known), _RESULT)

@@ -531,6 +531,71 @@ def test_fingerprints(mixed_docs, no_docs):
     assert imatch.fingerprints_beside_next(no_docs).count() == 0
 
 
+def test_fingerprints_against_brute_force(spark):
+    """Every column by the definition, in plain Python integers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    bodies = [t or "" for t in texts(90, seed=8) + AWKWARD[:5] + AWKWARD[7:]]
+    docs = documents(spark, bodies, extra=False)
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    terms = [sorted({*WORD.findall(lower(t))}) for t in bodies]
+    number = {}
+    for x in {x for d in terms for x in d}:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        number[x] = int(words.hash_ranges(raw, np.array([0]), np.array([len(raw)]))[0])
+    df = {x: sum(x in d for d in map(set, terms)) for x in number}
+    band = {x for x, n in df.items() if max(2, imatch.MIN_SHARE * len(bodies)) <= n <= max(2, imatch.MAX_SHARE * len(bodies))}
+    assert band and len(band) < len(df)
+
+    def mark(t):
+        every = {*WORD.findall(lower(t))}
+        own = [number[x] if x in number else None for x in every if x in band]
+        if not own:
+            raw = [int(words.hash_ranges(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0]) for x in every]
+            first = mix(sum(mix((h + 2) & full) for h in raw) & full) >> 32 | 1 if raw else 0
+            return [first] + [0] * ((imatch.LEVELS - 1) * imatch.EACH)
+        out = [mix(sum(mix((h + 1) & full) for h in own) & full) >> 32 | 1]
+        for level in range(1, imatch.LEVELS):
+            for e in range(1, imatch.EACH + 1):
+                inside = [d for d in (mix((h + mix(e)) & full) for h in own) if d >> 1 < 1 << (63 - level)]
+                out.append(mix((sum(mix((d + 0x632BE59BD9B4E019) & full) for d in inside) + level) & full) >> 32 | 1 if inside else 0)
+        return out
+
+    form = lambda m: "".join(f"{x:08x}" for x in m)
+
+    def near(a, b):
+        either = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    got = {r["doc_id"]: r for r in imatch.fingerprints_beside_next(docs, parts=4).collect()}
+    assert len(got) == len(bodies)
+    for i, t in enumerate(bodies):
+        following = bodies[(i + 1) % len(bodies)]
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = mark(t), mark(changed), mark(following)
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) == (form(a), form(b), hashlib.sha256(changed.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(near(a, b)) and r["near_next"] == pytest.approx(near(a, c))
+
+
+def test_fingerprints_of_shared_ids(spark):
+    """A third of the rows without an id, others with one id: they are walked in the order of (id, hash of the text), over many ranges."""
+    rows = [(None, f"n{i} a b") for i in range(60)] + [(7, f"s{i} c d") for i in range(60)] + [(100 + i, f"o{i} e f") for i in range(60)] + [(7, "s1 c d")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS part", "1 AS k", "2 AS t", "3 AS extra").repartition(3)
+    order = [(r["doc_id"], r["text"]) for r in docs.selectExpr("*", "coalesce(doc_id, -9223372036854775808L) AS k2", "xxhash64(text) AS t2").orderBy("k2", "t2").collect()]
+    want = []
+    for (i, t), (_, f) in zip(order, order[1:] + order[:1]):
+        want.append((i or -1, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + f[: len(t) // 2]).encode()).hexdigest()))
+    for parts in (1, 7, 40):
+        got = imatch.fingerprints_beside_next(docs, parts=parts).collect()
+        assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_texts_without_lexicon_terms_are_told_apart():
     a, b = (np.array(x, np.uint64) for x in ([1, 2, 3], [4, 5]))
     for known in (np.zeros(0, np.uint64), np.array([9], np.uint64)):
