@@ -11,8 +11,8 @@ most others over all bands, and verified links are contracted to components. Doc
 met the same leader and still lie in different components are then compared without making
 a row of any pair: each is sent once, as what it lacks of the leader and what it adds to it,
 and the exact intersections of a leader's followers are matrix products over those few
-shingles, in blocks of bounded size. Every two documents of a bucket share its leader, so
-no pair that shares a band is missed.
+shingles, in blocks of bounded size; those in the leader's component meet only the rest.
+Every two documents of a bucket share its leader, so no pair that shares a band is missed.
 """
 
 from __future__ import annotations
@@ -121,17 +121,18 @@ def _signer(bands: int, rows: int):
     return sign
 
 
-#: Bits of the filter that tells texts to look at again from others, at most: 4 MB.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that tells texts to look at again from others, at most: 4 MB. It has
+#: room for so many documents; with more wanted ones, texts are joined to them instead.
+FILTER_BITS, BITS_EACH = 1 << 25, 16
 
 
 def _place(bits: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
 
 
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for each hash of a wanted doc_id: sixteen a document, FILTER_BITS at most. It passes all wanted, and few others while it is sparse."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
+def _filter(wanted: DataFrame, n: int) -> np.ndarray:
+    """A bit for each hash of ``n`` wanted doc_ids, sixteen places a document. It passes all wanted, and few others."""
+    bits = 1 << max(16, (BITS_EACH * n - 1).bit_length())
     words_ = wanted.select(_place(bits).alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 32)).alias("bits"))
     found = words_.toArrow()
     out = np.zeros(bits // 32, np.uint32)
@@ -139,19 +140,32 @@ def _filter(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(passes: np.ndarray):
+def _sets(passes: np.ndarray | None):
     @memory.tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of the documents that the filter passes."""
+        """Sets of the documents that the filter passes, of all without one."""
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((passes[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+            if passes is not None:
+                p = batch.column("p").to_numpy()
+                batch = batch.filter(pa.array((passes[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
             for i, j, found in _texts(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "items"])
 
     return sets
 
 
+def _sets_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, items) of the wanted documents and maybe of a few others.
+
+    Texts are not shuffled for a few: a filter of bounded size is shipped to them.
+    """
+    n, known = wanted.count(), base.where("doc_id is not null")
+    if BITS_EACH * n > FILTER_BITS:
+        return known.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(None), "id long, items binary")
+    passes = _filter(wanted, n)
+    return known.withColumn("p", _place(32 * len(passes))).mapInArrow(_sets(passes), "id long, items binary")
+
+
 #: Followers of a leader that are compared in one task, and shingle columns in one product.
 FOLLOWERS, COLUMNS = 500, 4096
 
@@ -186,14 +200,14 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(added, pa.binary())], [*_KEYS, "n", "bits", "added"])
 
 
-_KEYS = ("lead", "id", "component", "part", "parts")
+_KEYS = ("lead", "id", "component", "own", "part", "parts_own", "parts_other")
 
 
 def _comparer(percent: int):
     @memory.tidy_group
     def compare(table: pa.Table) -> pa.Table:
         """Links between followers of one leader that lie in different components, as a forest."""
-        ids, comp, n, part = (table.column(c).to_numpy() for c in ("id", "component", "n", "part"))
+        ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "side"))
         bits = np.unpackbits(np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")]), axis=1)
         both = bits.astype(np.float32) @ bits.T.astype(np.float32)
         added = [np.frombuffer(b.as_buffer(), _U) for b in table.column("added")]
@@ -211,8 +225,8 @@ def _comparer(percent: int):
             both += m @ m.T
         # Sums of ones are exact in single precision below 2**24; the rule itself is in double precision.
         link = ((100.0 + percent) * both.astype(np.float64) >= percent * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
-        if part.min() != part.max():
-            link &= part[:, None] != part[None, :]
+        if side.min() != side.max():
+            link &= side[:, None] != side[None, :]
         x, y = np.nonzero(np.triu(link, 1))
         parent = {}
 
@@ -238,15 +252,28 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _followers(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between followers of the same leader, whose components differ after the leaders' links."""
-    named = pairs.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
-    mixed = mixed.select("lead", F.ceil(F.col("c") / FOLLOWERS).cast("int").alias("parts"))
-    rows = named.join(mixed, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    delta = _with_sets(rows.select(*_KEYS), sets).select(*_KEYS, "items", "items_lead").mapInArrow(_deltas, "lead long, id long, component long, part int, parts int, n long, bits binary, added binary")
-    # Two parts of a leader's followers meet in one task; for most leaders there is one part.
-    meet = delta.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"_i": F.least("part", "_other"), "_j": F.greatest("part", "_other")})
-    return meet.groupBy("lead", "_i", "_j").applyInArrow(_comparer(percent), "a long, b long")
+    """Links between followers of the same leader, whose components differ after the leaders' links.
+
+    Followers in the leader's own component, which may be very many, meet only the others.
+    """
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
+    named = pairs.join(label("id"), "id", "left").join(label("lead"), "lead", "left").select("lead", "id", F.coalesce("component_id", "id").alias("component"), (F.coalesce("component_id", "id") == F.coalesce("component_lead", "lead")).alias("own"))
+    mixed = named.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("own").alias("a"), F.count_if(~F.col("own")).alias("b")).where("x <> y")
+    # Written, so that both sides of the join are dealt by it alone and a leader with very many followers can be split.
+    mixed = scratch.save(mixed.select("lead", *(F.ceil(F.col(c) / FOLLOWERS).cast("int").alias(p) for c, p in (("a", "parts_own"), ("b", "parts_other")))), "mixed")
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("parts_own")).otherwise(F.col("parts_other"))).cast("int")
+    rows = named.join(mixed, "lead").withColumn("part", part)
+    delta = _with_sets(rows.select(*_KEYS), sets).select(*_KEYS, "items", "items_lead").mapInArrow(_deltas, "lead long, id long, component long, own boolean, part int, parts_own int, parts_other int, n long, bits binary, added binary")
+    # Parts of a leader's followers meet in a task for each two; for most leaders there is one part of either kind.
+    upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array())
+    cross = lambda i, j, side: F.struct(F.lit(True).alias("cross"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own = upto("parts_other", lambda j: cross(F.col("part"), j, 0))
+    other = F.concat(
+        upto("parts_own", lambda i: cross(i, F.col("part"), 1)),
+        upto("parts_other", lambda j: F.struct(F.lit(False).alias("cross"), F.least("part", j).alias("i"), F.greatest("part", j).alias("j"), F.col("part").alias("side"))),
+    )
+    meet = delta.withColumn("_m", F.explode(F.when(F.col("own"), own).otherwise(other))).select("lead", "id", "component", "n", "bits", "added", "_m.*")
+    return meet.groupBy("lead", "cross", "i", "j").applyInArrow(_comparer(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -265,19 +292,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         usable.groupBy("set_id").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("r"), F.min("doc_id").alias("id")).select("set_id", "id", F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")),
         "classes",
     )
-    # A key stands for one band, as the band's number is mixed into it. Dealt by key once, rows are counted and joined in place.
-    spread = reps.select("id", F.explode("bands").alias("key")).repartition("key")
-    crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # A key stands for one band, as the band's number is mixed into it. Counts and leaders are small
+    # written tables, so that a key of very many rows is summed before it is dealt and can be split where it is joined.
+    spread = reps.select("id", F.explode("bands").alias("key"))
+    crowded = scratch.save(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "crowded")
     member = scratch.save(spread.join(crowded, "key"), "buckets")
     # Who meets most others leads: in a family of edits that is the text they were made from.
     met = member.groupBy("id").agg(F.sum("c").alias("met"))
-    leads = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead"))
+    leads = scratch.save(member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", F.xxhash64("id"))).alias("lead")), "leads")
     pairs = scratch.save(member.join(leads, "key").where("id <> lead").select("lead", "id").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()
-    # Texts are not shuffled for the few that are looked at again: a filter of bounded size is shipped to them.
-    passes = _filter(wanted)
-    again = base.where("doc_id is not null").withColumn("p", _place(32 * len(passes)))
-    sets = scratch.save(again.mapInArrow(_sets(passes), "id long, items binary"), "sets")
+    sets = scratch.save(_sets_of(base, pairs.select(F.explode(F.array("lead", "id")).alias("doc_id")).distinct()), "sets")
     if not usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         sets = scratch.save(sets.withColumn("_x", F.xxhash64("items")).dropDuplicates(["id", "_x"]).drop("_x"), "sets")
     # Lengths alone rule out many pairs before their sets are joined.
@@ -291,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    scratch.drop(member, pairs, sets)
+    scratch.drop(crowded, member, leads, pairs, sets)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("set_id", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"), "n_links")
     # Empty sets join nothing; a key of their own spreads them over all tasks.

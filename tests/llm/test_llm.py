@@ -643,7 +643,8 @@ def test_near_duplicates(mixed_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
-def test_followers_of_one_leader_are_linked_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("followers", [4, 16, 500])
+def test_followers_of_one_leader_are_linked_in_parts(spark, monkeypatch, followers):
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(120)]
     bodies = []
@@ -652,7 +653,9 @@ def test_followers_of_one_leader_are_linked_in_parts(spark, monkeypatch):
         for p in rnd.sample(range(120), rnd.choice([1, 2, 4, 6, 8])):
             w[p] = f"x{i % 9}_{p}"
         bodies.append(" ".join(w))
-    monkeypatch.setattr(neardup, "FOLLOWERS", 16)
+    monkeypatch.setattr(neardup, "FOLLOWERS", followers)
+    if followers == 4:
+        monkeypatch.setattr(neardup, "FILTER_BITS", 64)  # texts are joined instead
     docs = documents(spark, bodies, extra=False)
     want = jaccard_components(list(enumerate(bodies)))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == want
