@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from quern.llm import memory, words
 
-#: Labelled documents of a class that training takes, and bytes above which it takes none:
-#: with both, at most 2 * 1200 * 32 KiB reach the driver.
+#: The bounded sample of training, as parameters of :func:`train`: labelled documents of a
+#: class, and bytes of a text above which it is no candidate. With both, at most
+#: 2 * 1200 * 32 KiB reach the driver. All bytes of a sampled text are used.
 SAMPLE, SAMPLE_BYTES = 1200, 32 << 10
 #: Bytes of a dictionary, of a block compressed with it, and zstandard's level.
 DICT_BYTES, BLOCK, LEVEL = 64 << 10, 512, 3
@@ -67,7 +68,7 @@ def _features(good: bytes, bad: bytes) -> Callable[[bytes], np.ndarray]:
 
 def _dictionary(texts: list[bytes]) -> bytes:
     """Trained where there is enough text, else the text itself; empty for none."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)][: 40 * DICT_BYTES // BLOCK * 2]
+    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -95,22 +96,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from labels(doc_id, quality) of documents that are not held out.
 
-    A bounded sample (see SAMPLE) in the order of a hash of doc_id is collected. Without
-    labelled texts of both classes every score is the share of good labels, or 0.5.
+    A bounded sample in the order of a hash of doc_id is collected: of each class up to
+    ``sample`` documents whose text has 1 to ``sample_bytes`` bytes. Labels of absent, null,
+    empty or longer texts take no place in it, and a doc_id counts once. Without such texts
+    of both classes every score is the share of good labels, or 0.5.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fits = docs.where(F.octet_length("text").between(1, sample_bytes))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    picked = known.where("quality = 1").orderBy(*order).limit(SAMPLE).unionByName(known.where("quality = 0").orderBy(*order).limit(SAMPLE)).collect()
+    # Ids alone are joined to the labels; no text is shuffled.
+    usable = known.join(fits.select("doc_id"), "doc_id", "left_semi")
+    picked = usable.where("quality = 1").orderBy(*order).limit(sample).unionByName(usable.where("quality = 0").orderBy(*order).limit(sample)).collect()
     quality = {r["doc_id"]: r["quality"] for r in picked}
     if not quality:
         return Model(b"", b"", (0.0, 0.0, 0.0), 0.0)
-    # At most 2 * SAMPLE ids: the documents themselves are not shuffled.
+    # At most 2 * sample ids are broadcast.
     wanted = docs.sparkSession.createDataFrame([(i,) for i in quality], "doc_id long")
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("k"), "doc_id", "text").collect()
+    texts = fits.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("k"), "doc_id", "text").collect()
     texts = sorted((r["k"], r["doc_id"], r["text"].encode()) for r in texts)
     of = {q: [t for _, i, t in texts if quality[i] == q] for q in (0, 1)}
     rate = share.get(1, 0) / sum(share.values())

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -161,17 +162,55 @@ def test_awkward_pages(spark):
 
 
 def test_quality_on_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = Q.op2_compression(spark, sf).toPandas()
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
     both = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     both = both[both.held_out]
     good, bad = both[both.quality == 1], both[both.quality == 0]
-    assert good.predicted.mean() > 0.97 and bad.predicted.mean() < 0.2
+    assert good.predicted.mean() > 0.97 and bad.predicted.mean() < 0.05
     assert np.mean([(g > bad.score).mean() for g in good.score]) > 0.9
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_quality_scores_against_brute_force(spark, sf):
+    """Dictionaries, features and logistic curve by the definition, for texts of all lengths."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def squeeze(raw, dictionary):
+        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+
+    for r in quality.with_score(docs, model).collect()[::7]:
+        raw = (r["text"] or "").encode()
+        blocks = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)]
+        good, bad = (sum(squeeze(b, d) for b in blocks) for d in (model.good, model.bad))
+        n = len(raw) + 8
+        z = np.dot(model.weights, [(bad - good) / n, good / n, squeeze(raw, b"") / n]) + model.bias
+        assert r[quality.SCORE] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+def test_quality_sample(spark):
+    """Labels without a usable text take no place in the sample, and long samples are used whole."""
+    good, bad = "clean words of a text that reads well ", "BUY now!!! 0000 click $$$ "
+    rows = [(i, (good if i % 2 else bad) * (3 + i % 5)) for i in range(60)] + [(100 + i, None) for i in range(500)] + [(2000 + i, "x" * 5000) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic")
+    model = quality.train(docs, labels, sample=20, sample_bytes=4000)
+    got = {r["doc_id"]: r[quality.SCORE] for r in quality.with_score(docs, model).collect()}
+    assert min(got[i] for i in range(60) if i % 2) > max(got[i] for i in range(60) if not i % 2)
+    many = [bytes([65 + i % 26]) * 200 + str(i).encode() * 100 for i in range(400)]
+    seen = []
+    real = zstandard.train_dictionary
+    try:
+        quality.zstandard.train_dictionary = lambda size, blocks: seen.extend(blocks) or real(size, blocks)
+        quality._dictionary(many * 30)
+    finally:
+        quality.zstandard.train_dictionary = real
+    assert sum(map(len, seen)) == sum(map(len, many)) * 30
+
+
 def test_quality_awkward(spark, mixed_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (2, None, 1), (None, 1, 0), (5, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int")
     got = quality.classify(mixed_docs, labels)
