@@ -403,10 +403,55 @@ def test_neighbours_few(spark):
     assert vptree.nearest(df.limit(0)).count() == 0
 
 
-def test_relaxed_search_keeps_recall(spark, sf):
+def test_neighbours_of_repeated_ids_and_extra_columns(spark):
+    """Ties of a hundred different vectors, a vec_id on equal and on different vectors, columns with the operator's own names."""
+    rows = [(20, [1.0, 0.0])] + [(i, [1.0, float(i)]) for i in range(21, 121)] + [(30, [1.0, 30.0])] * 3 + [(200, [0.5, 0.0]), (200, [0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'a' AS cell", "1 AS shard", "2 AS v", "3 AS ids", "4 AS query_id", "5 AS least")
+    for shard in (16, 8192):
+        got = vptree.nearest(df, shard=shard, block=8, leaf=4).collect()
+        mine = [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == 20), key=lambda r: r["rank"])]
+        assert mine == [(i, 1.0) for i in range(21, 41)]
+        assert sum(r["query_id"] == 200 for r in got) == 40  # a list for each of its vectors
+    far = [(i, [float(i)]) for i in range(5)] + [(40 + i, [1.0, 2.0, 3.0]) for i in range(3)]
+    got = vptree.nearest(spark.createDataFrame(far, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(40, 1, 41), (40, 2, 42)]
+
+
+def clustered(n, d, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 100, d)) * 3
+    x = centres[rng.integers(len(centres), size=n)] + rng.normal(size=(n, d)) * 0.1
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_queries_ask_only_cells_that_they_meet():
+    """Shards that queries are sent to stay as many while shards grow fourfold: rows dealt are linear in the table."""
+    asked = {}
+    for n in (4000, 16000):
+        x = clustered(n, 6, 2)
+        space = vptree.Space(float((x**2).sum(axis=1).max()), vptree.Cells(np.zeros((0, 7)), 1))
+        cells = vptree.Cells(space.raised(x[:: max(1, n // (16 * n // 250))]), n // 250)
+        raised = space.raised(x)
+        assert np.bincount(cells.of(raised)).max() < 4 * 250
+        q = vptree._stretched(x[::20], space.top)[0]
+        d = np.sort(((q[:, None] - raised[None]) ** 2).sum(axis=2), axis=1)[:, 20]
+        near = cells.near(q, np.sqrt(d) + 1e-9)
+        # No point as near lies in a cell that is left out.
+        of = cells.of(raised)
+        for i in range(0, len(q), 25):
+            inside = ((q[i] - raised) ** 2).sum(axis=1) <= d[i]
+            assert set(of[inside]) <= set(near[i].tolist())
+        asked[n] = np.mean([len(c) for c in near])
+    assert asked[16000] < 2 * asked[4000]
+
+
+@pytest.mark.parametrize("relax,recall", [(1.0, 1.0), (0.9, 0.95), (0.8, 0.9)])
+def test_relaxed_search_keeps_recall(spark, sf, relax, recall):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    whole, quick = ({(r["query_id"], r["vec_id"]) for r in vptree.nearest(v, relax=f, leaf=16).collect()} for f in (1.0, 0.9))
-    assert len(whole & quick) >= 0.9 * len(whole)
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    want = exact(np.array(list(x)), np.stack(list(x.values())), 20)
+    got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(v, relax=relax, shard=32, leaf=16).collect()}
+    assert len(got & {(q, i) for q, found in want.items() for i, _ in found}) >= recall * sum(map(len, want.values()))
 
 
 # 7
