@@ -34,7 +34,7 @@ VOCABULARY, BUCKETS, GROUPS = 8192, 1024, 96
 #: Neighbours on each side, embedding and hidden sizes.
 SIDE, DIM, HIDDEN = 2, 8, 24
 #: Words of a step, Adagrad's rate, parts of the corpus between which weights are averaged.
-STEP, RATE, ROUNDS = 2048, 0.08, 3
+STEP, RATE, ROUNDS = 8192, 0.2, 3
 #: Occurrences that a word counts for which the corpus does not hold, and last bytes by which rare words are put in buckets.
 UNSEEN, SUFFIX = 0.5, 3
 
@@ -119,7 +119,7 @@ def count_vocabulary(docs: DataFrame) -> Vocabulary:
 class Network:
     """Embeddings, one hidden layer, groups and members; all weights are one flat float32 array."""
 
-    SHAPES = ((_N + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, _EACH), (GROUPS, _EACH))
+    SHAPES = ((_N + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN + 1, GROUPS), (GROUPS, HIDDEN + 1, _EACH))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
     def __init__(self, flat: np.ndarray) -> None:
@@ -137,23 +137,24 @@ class Network:
         for i, scale in ((0, 0.3), (1, (2 * SIDE * DIM) ** -0.5)):
             net.parts[i][:] = rng.normal(0, scale, net.parts[i].shape)
         net.parts[0][_N] = 0  # beyond the ends of a document
-        net.parts[4][:], net.parts[6][:] = vocabulary.start[:GROUPS], vocabulary.start[GROUPS:].reshape(GROUPS, _EACH)
+        net.parts[3][-1], net.parts[4][:, -1] = vocabulary.start[:GROUPS], vocabulary.start[GROUPS:].reshape(GROUPS, _EACH)
         return net
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs, and hidden values with a last column of ones."""
         e, w1, b1 = self.parts[:3]
         x = e[around].reshape(len(around), -1)
-        return x, np.tanh(x @ w1 + b1)
+        h = np.ones((len(x), HIDDEN + 1), np.float32)
+        np.tanh(x @ w1 + b1, out=h[:, :-1])
+        return x, h
 
     def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Member outputs of rows that are ordered by their group, and the (group, first row, past its last row)."""
-        w, b = self.parts[5:]
         out = np.empty((len(h), _EACH), np.float32)
         cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
         runs = [(int(group[x]), x, y) for x, y in zip(cut, cut[1:], strict=False)]
         for g, x, y in runs:
-            np.matmul(h[x:y], w[g], out=out[x:y])
-            out[x:y] += b[g]
+            np.matmul(h[x:y], self.parts[4][g], out=out[x:y])
         return out, runs
 
     def log_words(self, around: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -162,14 +163,20 @@ class Network:
         group, member = place[order] // _EACH, place[order] % _EACH
         _, h = self.hidden(around[order])
         out = np.empty(len(place))
-        out[order] = _log_softmax(h @ self.parts[3] + self.parts[4], group) + _log_softmax(self.members(h, group)[0], member)
+        out[order] = _log_softmax(h @ self.parts[3], group) + _log_softmax(self.members(h, group)[0], member)
         return out
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place; outputs start from log shares and stay far from single precision's bounds, else rows are shifted."""
+    if z.max(initial=0) > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
+
+
 def _log_softmax(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), wanted]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    z = _exp(z)
+    return np.log(np.maximum(z[np.arange(len(z)), wanted], np.float32(1e-37)) / z.sum(axis=1))
 
 
 def _around(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -187,9 +194,8 @@ def _around(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _softmax_error(z: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
     """What the probabilities have over those wanted, divided by ``n``; in place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True) * n
+    z = _exp(z)
+    z *= (np.float32(1 / n) / z.sum(axis=1))[:, None]
     z[np.arange(len(z)), wanted] -= np.float32(1 / n)
     return z
 
@@ -206,25 +212,24 @@ class _Trainer:
         order = np.argsort(place)
         around, place = around[order], place[order]
         group, n = place // _EACH, len(place)
-        e, w1, _, wg, bg, wm, _ = self.net.parts
+        e, w1, _, wg, wm = self.net.parts
         grad = self.grad.parts
         self.grad.flat[:] = 0
         x, h = self.net.hidden(around)
-        z = _softmax_error(h @ wg + bg, group, n)
+        z = _softmax_error(h @ wg, group, n)
         out, runs = self.net.members(h, group)
         y = _softmax_error(out, place % _EACH, n)
         dh = z @ wg.T
         for g, a, b in runs:
-            np.matmul(h[a:b].T, y[a:b], out=grad[5][g])
-            grad[6][g] = y[a:b].sum(axis=0)
+            np.matmul(h[a:b].T, y[a:b], out=grad[4][g])
             dh[a:b] += y[a:b] @ wm[g].T
-        dh *= 1 - h * h
+        dh = dh[:, :-1] * (1 - h[:, :-1] ** 2)
         dx = (dh @ w1.T).reshape(-1, DIM)
         at = around.reshape(-1).astype(np.int64)
         grad[0][:] = np.bincount((at[:, None] * DIM + np.arange(DIM)).reshape(-1), dx.reshape(-1), e.size).reshape(e.shape)
         grad[0][-1] = 0
         np.matmul(x.T, dh, out=grad[1])
-        grad[2][:], grad[4][:] = dh.sum(axis=0), z.sum(axis=0)
+        grad[2][:] = dh.sum(axis=0)
         np.matmul(h.T, z, out=grad[3])
         g = self.grad.flat
         self.squares += g * g
@@ -263,7 +268,7 @@ def _train(vocabulary: Vocabulary, flat: np.ndarray):
                 around.append(_around(own, w.first))
                 ids.append(own)
                 held += len(own)
-                if held >= 16 * STEP:
+                if held >= 8 * STEP:
                     a, b = np.concatenate(around), np.concatenate(ids)
                     for k in range(0, len(b) - STEP + 1, STEP):
                         trainer.step(a[k : k + STEP], b[k : k + STEP])
@@ -342,23 +347,20 @@ def _part_scorer(vocabulary: Vocabulary, flat: np.ndarray):
 
     @memory.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each document (term is null), and one of each of its rare words with their number."""
+        """A row of each document (term is null), and one of each of its rare words."""
         net = Network(flat)
         for batch in batches:
             names = batch.column("row").to_numpy()
             for i, w, terms, log_p, rare in _scores(vocabulary, net, batch):
                 n = len(w.first) - 1
-                doc, term = w.doc[rare], terms[rare].view(np.int64)
-                order = np.lexsort((term, doc))
-                doc, term = doc[order], term[order]
-                at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, np.int64)
+                term = terms[rare].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[names[i : i + n], names[i + doc[at]]]),
-                        pa.concat_arrays([batch.column("doc_id").slice(i, n), pa.nulls(len(at), pa.int64())]),
-                        pa.array(np.r_[np.diff(w.first), np.diff(np.r_[at, len(doc)])].astype(np.int64)),
-                        pa.array(np.r_[_sums(log_p, w.first), np.zeros(len(at))]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(term[at], pa.int64())]),
+                        pa.array(np.r_[names[i : i + n], names[i + w.doc[rare]]]),
+                        pa.concat_arrays([batch.column("doc_id").slice(i, n), pa.nulls(len(term), pa.int64())]),
+                        pa.array(np.r_[np.diff(w.first), np.ones(len(term), np.int64)]),
+                        pa.array(np.r_[_sums(log_p, w.first), np.zeros(len(term))]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(term, pa.int64())]),
                     ],
                     ["row", "doc_id", "n", "log_prob", "term"],
                 )

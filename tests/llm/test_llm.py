@@ -549,7 +549,7 @@ def test_masked_lm_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(3)
     vocabulary = masked_lm.count_vocabulary(docs)
     flat = masked_lm.train(docs, vocabulary)
-    e, w1, b1, wg, bg, wm, bm = (p.astype(np.float64) for p in masked_lm.Network(flat).parts)
+    e, w1, b1, wg, wm = (p.astype(np.float64) for p in masked_lm.Network(flat).parts)
     # Every id's probability given its neighbours sums to one over all ids.
     counts: dict[str, int] = {}
     for t in bodies:
@@ -567,9 +567,9 @@ def test_masked_lm_against_brute_force(spark):
 
     def log_p(ids, i):
         near = [ids[i + s] if 0 <= i + s < len(ids) else masked_lm._N for s in range(-masked_lm.SIDE, masked_lm.SIDE + 1) if s]
-        h = np.tanh(np.concatenate([e[k] for k in near]) @ w1 + b1)
-        a = h @ wg + bg
-        b = np.stack([h @ wm[g] + bm[g] for g in range(masked_lm.GROUPS)])
+        h = np.r_[np.tanh(np.concatenate([e[k] for k in near]) @ w1 + b1), 1]
+        a = h @ wg
+        b = np.stack([h @ wm[g] for g in range(masked_lm.GROUPS)])
         p = np.exp(a - np.logaddexp.reduce(a))[:, None] * np.exp(b - np.logaddexp.reduce(b, axis=1)[:, None])
         assert p.sum() == pytest.approx(1)
         return np.log(p.reshape(-1)[vocabulary.place[ids[i]]])
