@@ -2,14 +2,14 @@
 
 Markup is stripped into lines (one for each block element), each with the length of its
 text. Lines of menus, page headers and footers, sidebars, notices, adverts, forms and reader
-comments, and lines that are mostly links, count as empty; where such a part or the main
-container begins or ends, the run of lines is broken. Sums of lengths over a sliding window
+comments, lines of a copyright notice and lines that are mostly links, count as empty; where
+such a part or the main container begins or ends, the run of lines is broken. Sums of lengths over a sliding window
 of lines then rise from nothing at a surge point and fall back to nothing at a dive point,
 and the text between them is a candidate. All candidates compete by their peaks, whatever
 element holds them. Where an article or main element holds the highest (or ties with it),
 the text outside such elements is left out; an article with a high candidate is kept whole,
-so short paragraphs stay, with the articles beside it of the same kind, and what a main
-element holds is never left out. Elsewhere the candidates whose peak is high are kept, and
+so short paragraphs stay, an article without one (a teaser, a card) is left out, and what a
+main element holds is never left out. Elsewhere the candidates whose peak is high are kept, and
 with them the short ones in the same container, in one beside it of the same kind, or
 directly in one around it.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,42 +45,58 @@ VOID = "area base br col embed hr img input link meta param source track wbr"
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status"
 NAMES = (
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted "
+    "cookies copyright disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted "
     "recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
 )
+#: Second parts of a name that leave its meaning to the first ("related-links"); an advert is one whatever follows.
+PLAIN = (
+    "area articles bar block bottom box center container content footer form group header inner item items left link links list module "
+    "outer panel posts region right section slot stories strip text top unit widget wrap wrapper zone"
+)
+ADVERT = "ad ads advert adverts advertisement advertising cookie cookies consent gdpr sponsor sponsored promo"
 
-_RAW, _BLOCK, _CONTAINER, _GROUP, _BOILERPLATE, _ROLES, _NAMES = (frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, GROUP, BOILERPLATE, ROLES, NAMES))
+_RAW, _BLOCK, _CONTAINER, _GROUP, _BOILERPLATE, _ROLES, _NAMES, _PLAIN, _ADVERT = (
+    frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, GROUP, BOILERPLATE, ROLES, NAMES, PLAIN, ADVERT)
+)
 _RAW_NAMES = "|".join(_RAW - {"head"})
+# A comment or raw element that never ends takes the rest of the page.
 _TOKEN = re.compile(
-    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW_NAMES})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"<!--(?:>|->|.*?(?:--!?>|(?P<open>\Z)))|<(?P<raw>{_RAW_NAMES})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|(?P<unended>\Z))"
     r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
 _HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A line that states who owns the page, outside an article.
+_OWNER = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+OWNER_LENGTH = 200
 _PART = re.compile(r"[a-z]+(?=[A-Z])|[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _names_boilerplate(word: str) -> bool:
+    """Whether a class or id says so: as a whole, by its last part, or by its first where the others are plain ("left_sidebar", "related-links", "ad-1x")."""
+    parts = [p.lower() for p in _PART.findall(word)]
+    return bool(parts) and (parts[-1] in _NAMES or parts[0] in _ADVERT or parts[0] in _NAMES and all(p in _PLAIN for p in parts[1:]))
+
+
 def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     if name in _BOILERPLATE or name == "header" and not in_article:
         return True
-    if name not in _CONTAINER or name in ("body", "article", "main"):
+    if not attrs or name in ("body", "html", "article", "main"):
         return False
     for m in _HINT.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.lower() in _ROLES:
                 return True
-        else:
-            # A class or id says so as a whole or by its first or last part: "ad", "ad-top", "left_sidebar".
-            for word in value.split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if parts and (parts[0] in _NAMES or parts[-1] in _NAMES):
-                    return True
+        elif any(map(_names_boilerplate, value.split())):
+            return True
     return False
 
 
 def _kind(attrs: str) -> str:
     """The first class without its digits, else the id: parts of a page that repeat are of one kind."""
+    if not attrs:
+        return "#"
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _HINT.finditer(attrs)}
     return re.sub(r"\d+", "", found["class"].split()[0]) if found.get("class", "").strip() else "#" + found.get("id", "")
 
@@ -95,38 +112,42 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
     """
     out: list[tuple[str, bool, int, int]] = []
     around: dict[int, int] = {}
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, boilerplate, group of an article
+    # Open containers: name, whether it or one around it is boilerplate, group of the article around, own group.
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, PAGE)]
+    held: Counter[str] = Counter()
     groups: dict[tuple[int, str, str], int] = {}
-    opened = [PAGE]  # groups of the page and of each open container
     buffer: list[str] = []
     linked = 0
-    in_link = False
-    boilerplate, article = False, 0
+    in_link = passing = False  # passing: the open block that is no container is boilerplate by its own name
 
     def flush() -> None:
         nonlocal linked
+        if not buffer:
+            return
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
+            _, boilerplate, article, own = stack[-1]
             # Outside the article, a line that is mostly links is a menu.
-            out.append((text, not boilerplate and (article > 0 or 2 * linked <= len(text)), article, opened[-1]))
+            menu = not article and (2 * linked > len(text) or len(text) <= OWNER_LENGTH and bool(_OWNER.match(text)))
+            out.append((text, not (boilerplate or passing or menu), article, own))
         linked = 0
 
-    def state() -> None:
-        nonlocal boilerplate, article
-        boilerplate = any(b for _, b, _ in stack)
-        article = next((a for _, _, a in stack if a), 0)
-
     at = 0
-    for m in _TOKEN.finditer(page):
+    # Nothing after the last > is a tag; text there is text, but for a comment that opens.
+    last = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             buffer.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
-        name = (m["name"] or "").lower()
+        name = m["name"]
         if not name:
+            if m["open"] is not None or m["unended"] is not None:
+                at = len(page)
             continue
+        name = name.lower()
         if name == "br":
             buffer.append(" ")
         if name == "a":
@@ -134,31 +155,36 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
         if name not in _BLOCK:
             continue
         flush()
+        attrs = m["attrs"]
+        before = stack[-1][1:3]
         if name not in _CONTAINER:
+            passing = not m["end"] and _is_boilerplate(name, attrs, before[1] > 0)
             continue
+        passing = False
         if m["end"]:
-            if any(n == name for n, _, _ in stack):
-                while stack:
-                    top = stack.pop()
-                    opened.pop()
-                    if top[0] == name:
+            if held[name]:
+                while len(stack) > 1:
+                    top = stack.pop()[0]
+                    held[top] -= 1
+                    if top == name:
                         break
-        elif not m["attrs"].endswith("/"):
-            # Parts of one kind in one container are a group; what lies in the page itself is a group of its own.
-            group, inside = opened[-1], name == "article" or bool(re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"], re.I)) or name == "main"
+        elif not attrs.endswith("/"):
+            # Parts of one kind in one container are a group; what lies in the page itself, and each article, is a group of its own.
+            _, boilerplate, article, outer = stack[-1]
+            group, inside = outer, name in ("article", "main") or bool(attrs) and bool(re.search(r"""\brole\s*=\s*["']?main\b""", attrs, re.I))
             if inside and name != "article":
                 group = MAIN
             elif name in _GROUP:
-                kind = (opened[-1], name, _kind(m["attrs"]) if name == "article" or opened[-1] != PAGE else str(at))
+                kind = (outer, name, _kind(attrs) if outer != PAGE and name != "article" else str(at))
                 group = groups.setdefault(kind, MAIN + 1 + len(groups))
-                around[group] = opened[-1]
-            stack.append((name, _is_boilerplate(name, m["attrs"], article > 0), group if inside else 0))
-            opened.append(group)
-        before = (boilerplate, article)
-        state()
-        if (boilerplate, article) != before:
-            out.append(("", False, article, PAGE))
-    buffer.append(page[at:])
+                around[group] = outer
+            # The outermost article holds a line.
+            stack.append((name, boilerplate or _is_boilerplate(name, attrs, article > 0), article or (group if inside else 0), group))
+            held[name] += 1
+        if stack[-1][1:3] != before:
+            out.append(("", False, stack[-1][2], PAGE))
+    rest = page[at:]
+    buffer.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out, around
 

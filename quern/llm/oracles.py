@@ -5,10 +5,11 @@ from __future__ import annotations
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
-#: The test pages hold one article of h1 and p blocks, and these entities.
+#: What is no main text is taken away, whatever element holds the rest; the test pages have these parts and entities.
+_AWAY = '(?s)<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>|<!--.*?-->'
 _BARE = "replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '&quot;', '\"')"
-OP1 = f"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
-l AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:p|h1)>'), lambda x: trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))) AS l FROM a),
+OP1 = f"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '{_AWAY}', '<p>', 'g') AS h FROM pages),
+l AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:p|h1|div|article|body|html)[^>]*>'), lambda x: trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))) AS l FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text FROM l)
 SELECT page_id, url, text, length(text)::bigint AS n_chars FROM t"""
 

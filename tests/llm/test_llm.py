@@ -5,6 +5,7 @@ import html
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -138,8 +139,8 @@ def test_an_article_element_does_not_hide_higher_text():
     assert html_text.extract(f"<div id=content><p>{long}</p></div>{comment}") == long
     cards = "".join(f"<article class=card><p>Teaser {i}</p></article>" for i in range(5))
     assert html_text.extract(f"<div id=content><p>{long}</p></div><div>{cards}</div>") == long
-    # An article with the highest candidate is kept whole, those beside it of its kind too; main is never lost.
-    assert html_text.extract(f"<article class=post-1><p>{long}</p><aside>x</aside><p>End.</p></article><article class=post-2><p>Hi.</p></article><p>{other}</p>") == f"{long}\nEnd.\nHi."
+    # An article with a high candidate is kept whole, others are not; main is never lost.
+    assert html_text.extract(f"<article class=post-1><p>{long}</p><aside>x</aside><p>End.</p></article><article class=post-2><p>Hi.</p></article><p>{other}</p>") == f"{long}\nEnd."
     assert html_text.extract(f"<main><p>Brief.</p></main><div id=content><p>{long}</p></div>") == f"Brief.\n{long}"
 
 
@@ -151,6 +152,37 @@ def test_short_parts_of_the_container_with_the_text():
     assert html_text.extract(f"<body><p>{long}</p><aside>x</aside><p>End.</p><nav>x</nav><div>Imprint</div></body>") == f"{long}\nEnd."
 
 
+def test_parts_by_their_names():
+    long = ("The whole story is told in this line. " * 14).strip()
+    page = lambda part: f"<body><nav>x</nav><article><h1>T</h1><p>{long}</p>{part}<p>End.</p></article><footer>f</footer>"
+    assert html_text.extract(page('<p class="advert">Buy now</p>')) == f"T\n{long}\nEnd."
+    assert html_text.extract(page('<section class="related-work"><p>Others found this.</p></section>')) == f"T\n{long}\nOthers found this.\nEnd."
+    assert html_text.extract(page('<div class="notice-board"><p>A board.</p></div>')) == f"T\n{long}\nA board.\nEnd."
+    assert html_text.extract(page('<div class="related-links"><p>See.</p></div><li class=ad-1x>Ad</li><ul id="share_box"><li>Tweet</ul>')) == f"T\n{long}\nEnd."
+    teaser = "<article><h2>Another story</h2><p>Read it here.</p></article>"
+    assert html_text.extract(f"<body><article><p>{long}</p></article>{teaser}</body>") == long
+    other = ("A second post is told as fully as the first one. " * 12).strip()
+    assert html_text.extract(f"<body><article><p>{long}</p></article>{teaser}<article><p>{other}</p></article></body>") == f"{long}\n{other}"
+    owner = "&copy; 2024 The Site and its many friends. All rights reserved in every country of the whole world."
+    assert html_text.extract(f"<body><div id=text><p>{long[:300]}</p></div><div id=end>{owner}</div></body>") == long[:300].strip()
+
+
+def test_long_pages_take_linear_time():
+    for page in ("<div>" * 200_000, "<a " * 333_000, '<a "' * 250_000, "<div></p></x></div>" * 50_000, "<!--" * 250_000, "<p class=x>a" * 90_000):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 4  # two seconds on an idle machine
+    assert html_text.lines("a<!-- b > c")[0] == [("a", True, 0, 0)] and html_text.lines("a<script>b > c")[0] == [("a", True, 0, 0)]
+    assert html_text.lines("<p>a</p>b <c d")[0][-1][0] == "b <c d"
+
+
+def test_pages_with_extra_columns_and_repeated_rows(spark):
+    rows = [(1, "u", "<p>x</p>")] * 3 + [(2, "v", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'keep' AS text", "7 AS n_chars")
+    got = html_text.extract_pages(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(tuple(r) for r in got.collect()) == [(1, "u", "x", 1)] * 3 + [(2, "v", "", 0)]
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000), (None, "u", "<article>" + "x " * 100_000), (3, "u", "<!-- open"), (3, "u", "a <b c='")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
