@@ -25,7 +25,7 @@ CAPACITY = 2048
 #: The id that ends a document.
 END = 0
 #: Pieces of a length that one task numbers, about.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 5_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -161,7 +161,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     counts = {r["length"]: r["n"] for r in lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     blocks = max(1, -(-sum(counts.values()) // BLOCK_ROWS))
-    spread = lengths.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    spread = lengths.withColumn("_block", F.pmod(F.xxhash64(*lengths.columns), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = spread.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

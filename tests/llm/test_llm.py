@@ -287,6 +287,42 @@ def test_mixing_budget_is_a_prefix_of_a_permutation(spark):
     assert total // 3 <= taken <= total // 3 + 4 * 200
 
 
+def test_mixing_against_brute_force(spark, monkeypatch):
+    """Shares, whole passes and the cut of the partial pass by the definition, for both limits."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 500)
+    bodies = texts(300, seed=4) + ["", None, "one"]
+    docs = documents(spark, bodies, extra=False)
+    n = {i: max(1, len(WORD.findall(t or ""))) for i, t in enumerate(bodies)}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    tokens_of: dict = {}
+    for i, s in source.items():
+        tokens_of[s] = tokens_of.get(s, 0) + n[i]
+    total = sum(tokens_of.values())
+    # Two whole passes show the order in which each pass reads a source.
+    full = mixing.mix_sources(docs, 1.0, budget=2 * total).toPandas()
+    assert len(full) == 2 * len(bodies) and set(full._epoch) == {0, 1}
+    for args, budget in (({"max_repetition": 1.0}, int(1.4 * total)), ({"max_repetition": 1.5}, int(1.2 * total)), ({"target_entropy": 1.0}, int(0.6 * total)), ({"target_entropy": 1.3}, total // 2)):
+        alpha = mixing.exponent_for_entropy(tokens_of, args["target_entropy"]) if "target_entropy" in args else mixing.exponent_for_repetition(tokens_of, args["max_repetition"])
+        p = {s: (x / total) ** alpha for s, x in tokens_of.items()}
+        w = {s: x / sum(p.values()) for s, x in p.items()}
+        if "target_entropy" in args:
+            assert -sum(x * np.log(x) for x in w.values()) <= args["target_entropy"] + 1e-9
+        got = mixing.mix_sources(docs, budget=budget, **args).toPandas()
+        want = []
+        for s in tokens_of:
+            reads = budget * w[s] / tokens_of[s]
+            assert reads < 2
+            for epoch in (0, 1):
+                rest = min(1.0, reads - epoch) * tokens_of[s]
+                of = full[(full._epoch == epoch) & ((full.source == s) if s is not None else full.source.isna())].sort_values(["_block_at", "_at"])
+                before = 0
+                for i in of.doc_id:
+                    if before < rest - 1e-6:
+                        want.append((i, epoch))
+                    before += n[i]
+        assert sorted(zip(got.doc_id, got._epoch)) == sorted(want)
+
+
 def test_mixing_awkward(mixed_docs, no_docs):
     out = mixing.mix_sources(mixed_docs)
     assert out.columns[:-3] == mixed_docs.columns and out.where("_h <> 'keep' or _n <> 'keep' or _row <> 'keep'").count() == 0
