@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,25 +38,40 @@ HEADINGS = (
     ),
 )
 
+# How a body states its process number (1) and that it was decided (2), and the date of the decision.
+PROCESS_NUMBER = r"(?i)Processo[ \t]*(?:n\.?[ \t]*[º°o]\.?)?[ \t]*:?[ \t]*([0-9][^\n,;]{0,40}?)[ \t]*(?:(,?\s*(?:com\s+despacho|sancionad))|(?=[,;\n]|$))"
+PAGE_NUMBER = r"[ \t]{2,}[0-9]{1,3}$"
+DECISION = r"(?i)despacho[^;]{0,150}?\bde\s+([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})"
+DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.yyyy")
+
 # Lines repeated on every page, and the pattern of process-number headers.
 BANNERS = ("INFORMACAO VINCULATIVA", "FICHA DOUTRINARIA", "DIRECCAO GERAL DOS IMPOSTOS")
 LETTERHEAD = "MINISTERIO DAS FINANCAS"
 PAGE_PROCESS = r"^[0-9]*\s*Processo:\s*[\p{L}\p{N}_./-]+(?:\s+[0-9]{1,3})?$"
 
 
+# The three forms of image references.
+MARKDOWN_IMAGE = r"!\[[^\]]*\]\(\s*(<[^>]+>|[^)\s]+)(?:\s+\"[^\"]*\")?\s*\)"
+HTML_IMAGE = r"(?i)<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']+)[\"']"
+IMAGE_LINK = r"(?im)^\s*\[[^\]]+\]:\s*<?(\S+?\.(?:png|jpe?g|gif|svg|webp))>?(?:\s|$)"
+
+
 def fold(c: Column) -> Column:
     """Lower case without the marks of Latin-1 letters."""
     return F.translate(F.lower(c), MARKED, PLAIN)
 
 
 def fold_exact(c: Column) -> Column:
-    """Lower case without any non-spacing mark, for text beyond Latin-1; null stays null."""
-
-    def one(t: str | None) -> str | None:
-        return None if t is None else "".join(c.lower() for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    """Lower case without any non-spacing mark, for text beyond Latin-1; null stays null. An Arrow function: no built-in decomposes."""
 
     def fold_all(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        plain = np.fromiter((t is None or t.isascii() for t in texts), bool, len(texts))
+        out = texts.str.lower()
+        marked = texts[~plain].str.normalize("NFD")
+        # The marks of a batch are few: one translation table does for all its texts.
+        marks = {x for t in marked for x in set(t) if unicodedata.category(x) == "Mn"}
+        out[~plain] = marked.str.translate(dict.fromkeys(map(ord, marks))).str.lower()
+        return out
 
     return F.pandas_udf(fold_all, "string")(c)
 
@@ -124,32 +140,51 @@ def clean_extracted(c: Column) -> Column:
 
 def process_number(c: Column) -> Column:
     """The number of the first decided process, else of the first one; null if there is none."""
-    pattern = r"(?i)Processo[ \t]*(?:n\.?[ \t]*[º°o]\.?)?[ \t]*:?[ \t]*([0-9][^\n,;]{0,40}?)[ \t]*(?:(,?\s*(?:com\s+despacho|sancionad))|(?=[,;\n]|$))"
-    number = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    decided = F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
-    clean = F.transform(number, lambda n: F.regexp_replace(strip(F.regexp_replace(F.regexp_replace(n, r"[ \t]{2,}[0-9]{1,3}$", ""), r"\s+", " ")), r"[.,;]+$", ""))
-    both = F.filter(F.arrays_zip(clean.alias("n"), decided.alias("d")), lambda x: x["n"] != "")
-    first = lambda a: F.try_element_at(a, F.lit(1))["n"]
-    return F.coalesce(first(F.filter(both, lambda x: x["d"] != "")), first(both))
+    decided = F.transform(F.regexp_extract_all(c, F.lit(PROCESS_NUMBER), F.lit(2)), lambda d: d != "")
+    bare = F.transform(F.regexp_extract_all(c, F.lit(PROCESS_NUMBER), F.lit(1)), lambda n: F.regexp_replace(n, PAGE_NUMBER, ""))
+    clean = F.transform(bare, lambda n: F.regexp_replace(strip(F.regexp_replace(n, r"\s+", " ")), r"[.,;]+$", ""))
+    # Decided ones first, each kind in the order of the text.
+    order = F.transform(clean, lambda n, i: F.struct((~F.get(decided, i)).alias("open"), i.alias("at"), n.alias("number")))
+    named = F.filter(order, lambda x: x["number"] != "")
+    return F.when(F.size(named) > 0, F.array_min(named)["number"])
 
 
 def decision_date(c: Column) -> Column:
     """The first date after "despacho ... de" in one of five formats; null if malformed."""
-    raw = F.regexp_extract(c, r"(?i)despacho[^;]{0,150}?\bde\s+([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})", 1)
-    return F.coalesce(*(F.try_to_timestamp(raw, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.yyyy")))
+    stated = F.regexp_extract(c, DECISION, 1)
+    return F.coalesce(*(F.try_to_timestamp(stated, F.lit(f)).cast("date") for f in DATE_FORMATS))
+
+
+#: Named character references that listings use.
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def decode_entities(c: Column) -> Column:
+    """Numeric and hexadecimal references of valid code points, and the named ones of ENTITIES; others stay as they are."""
+
+    def one(part: Column) -> Column:
+        digits, hexa = F.regexp_extract(part, "^&#([0-9]{1,9});", 1), F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]{1,8});", 1)
+        code = F.when(digits != "", digits.try_cast("long")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("long"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.coalesce(valid, F.lit(False)), F.concat(char, F.regexp_replace(part, "^&#[^;]*;", ""))).otherwise(part)
+
+    named = F.array_join(F.transform(F.split(c, "(?=&#)"), one), "")
+    for name, char in ENTITIES:
+        named = F.replace(named, F.lit(name), F.lit(char))
+    return named
 
 
 def html_text(c: Column) -> Column:
-    """A cell's text: tags to spaces, the common entities decoded, white space collapsed."""
-    bare = F.regexp_replace(c, "<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f]+", " "))
+    """A cell's text: tags to spaces, references decoded, white space collapsed."""
+    bare = decode_entities(F.regexp_replace(c, "<[^>]*>", " "))
+    return F.trim(F.regexp_replace(bare, r"[ \u00a0\t\n\r\f]+", " "))
 
 
 def normalize_article(c: Column) -> Column:
-    """Leading zeros dropped from a numbered article."""
-    return F.regexp_replace(c, r"^0*([0-9]+)(.*)$", "$1$2")
+    """Leading zeros dropped from a numbered article, and blanks around what follows the number."""
+    part = lambda n: F.regexp_extract(c, "^0*([0-9]+)(.*)$", n)
+    return F.when(c.rlike("^[0-9]"), F.concat(part(1), strip(part(2)))).otherwise(c)
 
 
 def article_number(c: Column) -> Column:
@@ -167,6 +202,31 @@ def count_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
 
 
+def image_references(c: Column) -> Column:
+    """Targets of Markdown images, of HTML images, and of reference-style links to image files, in this order."""
+    markdown = F.regexp_extract_all(c, F.lit(MARKDOWN_IMAGE), F.lit(1))
+    tags = F.regexp_extract_all(c, F.lit(HTML_IMAGE), F.lit(1))
+    links = F.regexp_extract_all(c, F.lit(IMAGE_LINK), F.lit(1))
+    return F.concat(F.transform(markdown, lambda x: F.regexp_replace(x, "^<|>$", "")), tags, links)
+
+
+def front_matter(c: Column) -> Column:
+    """Map of key to value of the block between lines of three dashes at the top; null without one."""
+    block = F.regexp_extract(c, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
+    line = F.filter(F.split(block, "\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*:"))
+    value = lambda x: strip(F.regexp_replace(strip(F.regexp_replace(x, "^[^:]*:", "")), "^([\"'])(.*)\\1$", "$2"))
+    # A later line of a key replaces an earlier one.
+    pairs = F.transform(line, lambda x: F.struct(F.regexp_extract(x, "^([^:]*):", 1).alias("key"), value(x).alias("value")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.when(c.rlike(r"(?s)^---\n.*?\n---(\n|$)"), F.map_from_entries(last))
+
+
+def filter_summary(*labels: Column, default: str = "none") -> Column:
+    """Labels that are not empty, joined by a middle dot; ``default`` without any."""
+    shown = F.array_join(F.filter(F.array(*labels), lambda x: F.coalesce(x, F.lit("")) != ""), " · ")
+    return F.when(shown == "", F.lit(default)).otherwise(shown)
+
+
 def file_id(name: Column) -> Column:
     """Id of a remote file name: plain lower-case letters, digits, _ and -; long or empty ones get a hash."""
     stem = F.regexp_replace(name, r"(?i)\.pdf$", "")

@@ -24,14 +24,71 @@ def describe(url: Column) -> Column:
     return F.when(F.length(bare) > 200, F.concat(F.substr(bare, F.lit(1), F.lit(200)), F.lit("..."))).otherwise(bare)
 
 
+def decode_percent(c: Column) -> Column:
+    """Percent escapes decoded, plus signs as they are; what is malformed stays."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def encode_beyond_ascii(c: Column) -> Column:
+    """Blanks, controls and letters beyond ASCII as percent escapes of their UTF-8 bytes."""
+    one = lambda x: F.when(x.rlike(r"[^\x21-\x7e]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
+    return F.when(c.rlike(r"[^\x21-\x7e]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """``href`` seen from ``base``, an absolute URL, and percent-encoded; null for what is no web address."""
+    h = F.trim(href)
+    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)[^/]*$", 1)
+    joined = (
+        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+        .when(h.startswith("/"), F.concat(origin, h))
+        .otherwise(F.concat(F.when(folder.endswith("://") | (folder == ""), F.concat(origin, F.lit("/"))).otherwise(folder), h))
+    )
+    full = encode_beyond_ascii(joined)
+    return F.when((h != "") & part(full, "HOST").isNotNull(), full)
+
+
 def file_name(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), "[^/]+$", 0)
 
 
+def file_key(url: Column) -> Column:
+    """Decoded lower-case file name: the key by which documents of different libraries are the same."""
+    return F.lower(decode_percent(file_name(url)))
+
+
+def folder(url: Column) -> Column:
+    """Decoded path up to its last slash."""
+    return decode_percent(F.regexp_replace(F.coalesce(part(url, "PATH"), F.lit("")), "[^/]*$", ""))
+
+
+def verdict(url: Column, host: Column) -> Column:
+    """Why a URL is outside the policy, or null."""
+    scheme = F.lower(part(url, "PROTOCOL"))
+    why = F.when(scheme != "https", F.concat(F.lit("uses "), scheme, F.lit(", not https"))).otherwise("leaves the allowlisted host")
+    return F.when(~is_allowed(url, host), why)
+
+
 def robots_matches(path: Column, pattern: Column) -> Column:
-    """``*`` matches anything, ``$`` at the end anchors, otherwise a prefix; an empty pattern matches nothing."""
-    anchored = pattern.endswith("$")
-    body = F.when(anchored, F.expr("substr(pattern, 1, length(pattern) - 1)")).otherwise(pattern)
-    escaped = F.replace(F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_")), F.lit("%"), F.lit("\\%"))
-    like = F.concat(F.replace(escaped, F.lit("*"), F.lit("%")), F.when(anchored, F.lit("")).otherwise(F.lit("%")))
-    return (pattern != "") & F.like(path, like)
+    """``*`` matches anything, ``$`` at the end anchors, otherwise a prefix; both sides percent-decoded; an empty pattern matches nothing."""
+    plain = decode_percent(pattern)
+    anchored = plain.endswith("$")
+    body = F.when(anchored, F.substr(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain)
+    for special in ("\\", "_", "%"):
+        body = F.replace(body, F.lit(special), F.lit("\\" + special))
+    like = F.concat(F.replace(body, F.lit("*"), F.lit("%")), F.when(anchored, F.lit("")).otherwise(F.lit("%")))
+    return (pattern != "") & F.like(decode_percent(path), like)
+
+
+def search_parameters(url: Column) -> Column:
+    """(q, tax, article, year) of a search URL: blanks trimmed, empty ones null, no article without a tax, a year of four digits."""
+    raw = lambda name: F.trim(F.try_url_decode(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)))
+    value = lambda name: F.when(raw(name) != "", raw(name))
+    return F.struct(
+        value("q").alias("q"),
+        value("tax").alias("tax"),
+        F.when(value("tax").isNotNull(), value("article")).alias("article"),
+        F.when(value("year").rlike("^[0-9]{4}$"), value("year")).alias("year"),
+    )

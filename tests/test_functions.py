@@ -40,7 +40,7 @@ def test_match_expression(spark):
 
 
 def test_articles(spark):
-    many(spark, [("010", "10"), ("012-B", "12-B"), ("0236", "236"), ("000", "0"), ("", ""), ("Art. único", "Art. único")], X.normalize_article)
+    many(spark, [("010", "10"), ("012-B", "12-B"), ("012 -B ", "12-B"), (" 012", " 012"), ("0236", "236"), ("000", "0"), ("", ""), ("Art. único", "Art. único")], X.normalize_article)
     many(spark, [("78-D", "78.º-D"), ("13", "13.º"), ("Verba 1.12", "Verba 1.12")], X.article_label)
     many(spark, [("78-D", 78), ("x", 2147483647), ("123456789", 2147483647)], X.article_number)
 
@@ -99,6 +99,31 @@ def test_text_helpers(spark):
     assert one(spark, "a1 - b", X.count_words) == 2
     assert one(spark, "a\r\nb­c \x00", X.clean_extracted) == "a\nb-c"
     assert one(spark, "ȘTEFAN Ação", X.fold_exact) == "stefan acao"
+    many(spark, [("é ASCII", "e ascii"), ("PLAIN", "plain"), ("", ""), ("Å한", "a\u1112\u1161\u11ab")], X.fold_exact)
+
+
+def test_entities(spark):
+    cases = [("&#65;&#x42;&#X1F600;&#0;&#xD800;&#1114112;", "AB😀&#0;&#xD800;&#1114112;"), ("a &amp;lt; &#233;t&#xe9; &nope;", "a &lt; été &nope;"), ("&# &#x; &#12", "&# &#x; &#12")]
+    many(spark, cases, X.decode_entities)
+
+
+def test_documents_rules(spark):
+    text = '![a](one.png) ![b](<two three.png> "t")\n<IMG alt=x src="four.svg">\n[five]: <five.JPG>\n[six]: six.txt'
+    assert one(spark, text, X.image_references) == ["one.png", "two three.png", "four.svg", "five.JPG"]
+    assert one(spark, "---\na: 1\nb: 'two' \na: \"3\"\n not: x\n---\nbody", X.front_matter) == {"a": "3", "b": "two"}
+    assert one(spark, "no block\n---\na: 1\n---", X.front_matter) is None
+    assert one(spark, "IRS", lambda c: X.filter_summary(c, F.lit(""), F.lit("2020"))) == "IRS · 2020" and one(spark, "", X.filter_summary) == "none"
+
+
+def test_urls(spark):
+    base = F.lit("https://h.pt/lib/a/list.aspx?x=1/2")
+    cases = [("/p/a.pdf", "https://h.pt/p/a.pdf"), ("b c.pdf", "https://h.pt/lib/a/b%20c.pdf"), ("//o.pt/x", "https://o.pt/x"), ("http://o.pt/é", "http://o.pt/%C3%A9"), ("", None), ("javascript:x", None)]
+    many(spark, cases, lambda c: U.resolve(base, c))
+    many(spark, [("https://h.pt/A%20b+c.PDF?x", "a b+c.pdf"), ("https://h.pt/%zz.pdf", "%zz.pdf")], U.file_key)
+    many(spark, [("http://h.pt/a", "uses http, not https"), ("https://x.pt/a", "leaves the allowlisted host"), ("https://h.pt/a", None)], lambda c: U.verdict(c, F.lit("h.pt")))
+    got = one(spark, "https://h.pt/s?q=a+b%20c&article=5&year=20x4", U.search_parameters, "string")
+    assert tuple(got) == ("a b c", None, None, None)
+    assert tuple(one(spark, "/?tax=IRS&article=%205&year=2020", U.search_parameters)) == (None, "IRS", "5", "2020")
 
 
 @pytest.mark.parametrize(
@@ -110,9 +135,9 @@ def test_url_policy(spark, url, ok):
 
 
 def test_robots(spark):
-    cases = [("/a", "/a/b", True), ("/*.pdf$", "/x/y.pdf", True), ("/*.pdf$", "/x/y.pdf?z", False), ("/a$", "/ab", False), ("", "/a", False), ("/a_b", "/axb", False)]
-    df = spark.createDataFrame([(i, p, u) for i, (p, u, _) in enumerate(cases)], "i int, pattern string, path string")
-    rows = df.select("i", U.robots_matches(F.col("path"), F.col("pattern")).alias("m")).orderBy("i").collect()
+    cases = [("/a", "/a/b", True), ("/*.pdf$", "/x/y.pdf", True), ("/*.pdf$", "/x/y.pdf?z", False), ("/a$", "/ab", False), ("", "/a", False), ("/a_b", "/axb", False), ("/a%20b", "/a b/c", True), ("/a b", "/a%20b", True), ("/50%", "/50%/x", True), ("/x\\y", "/x\\y", True)]
+    df = spark.createDataFrame([(i, p, u) for i, (p, u, _) in enumerate(cases)], "i int, rule string, path string")
+    rows = df.select("i", U.robots_matches(F.col("path"), F.col("rule")).alias("m")).orderBy("i").collect()
     assert [r["m"] for r in rows] == [m for *_, m in cases]
 
 

@@ -1,5 +1,9 @@
 """Ranking, fusion, merging, metrics, passages: hand-computed cases and invariants."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,33 +82,100 @@ def test_question_rules(spark):
     }
 
 
-def test_sections_and_empty_heading():
-    body = "Cabeça\nConteúdo: Assunto aqui\nPEDIDO:\nFACTOS\nAlgo aconteceu.\nCONCLUSÃO\nFim."
-    got = [(n, body[a:b]) for n, a, b in P.sections(body)]
-    assert got == [("header", "Cabeça"), ("request", "Assunto aqui"), ("facts", "PEDIDO:\nFACTOS\nAlgo aconteceu."), ("conclusion", "CONCLUSÃO\nFim.")]
-    assert P.sections("só texto") == [("content", 0, 8)]
-    assert P.sections("") == []
-
-
-def test_chunks_hold_their_budget():
-    body = " ".join(f"Frase número {i} com algumas palavras a mais." for i in range(120))
-    parts = P.chunks(body, max_tokens=128, overlap=24)
-    assert len(parts) >= 5 and all(t <= 128 for *_, t in parts)
-    assert parts[0][2] == 0 and parts[-1][3] == len(body)
-    for (_, _, a, b, _), (_, _, c, _, _) in zip(parts, parts[1:]):
-        assert a < c <= b + 1 and P.count_tokens(body[c:b]) <= 24
-    assert len(P.chunks("palavra " * 3000)) >= 6
-    long = "ab-" * 400
-    parts = P.chunks(long, max_tokens=100, overlap=10)
-    assert all(t <= 100 for *_, t in parts) and parts[-1][3] == len(long)
-
-
-def test_excerpts():
-    assert P.merge([(0, 3), (3, 2), (10, 50), (-5, 2), (4, 0)], 20) == [(0, 5), (10, 10)]
-    text = "um " * 200
-    assert P.excerpt(text, [], 50) == (0, 50)
-    a, b = P.excerpt(text + "alvo alvo alvo alvo", P.highlights(text + "alvo alvo alvo alvo", ["alvo"]), 100)
-    assert a > 0 and "alvo" in (text + "alvo alvo alvo alvo")[a:b]
+def test_sections_and_empty_heading(spark):
+    bodies = [
+        "Cabeça\nConteúdo: Assunto aqui\nPEDIDO:\nFACTOS\nAlgo aconteceu.\nCONCLUSÃO\nFim.",
+        "só texto",
+        "",
+        None,
+        "CONTEUDO: FACTOS\nx\nINFORMAÇÃO",
+        "PEDIDO\nCONCLUSÃO\n  ",
+        "x Conteúdo: y",
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = {}
+    for r in P.section_table(df).orderBy("doc_id", "ordinal").collect():
+        got.setdefault(r["doc_id"], []).append((r["section"], (bodies[r["doc_id"]] or "")[r["start"] : r["end"]]))
+    assert got == {
+        0: [("header", "Cabeça"), ("request", "Assunto aqui"), ("facts", "PEDIDO:\nFACTOS\nAlgo aconteceu."), ("conclusion", "CONCLUSÃO\nFim.")],
+        1: [("content", "só texto")],
+        4: [("facts", "FACTOS\nx"), ("legal-framework", "INFORMAÇÃO")],
+        5: [("conclusion", "PEDIDO\nCONCLUSÃO")],
+        6: [("content", "x Conteúdo: y")],
+    }
+
+
+def count_tokens(text):
+    return len(re.findall(P.TOKEN, text))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_passages_are_greedy(seed):
+    """Each passage holds whole units, cannot take the next one, and begins as early as the overlap allows."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["a", "bom", "dia-a-dia", "é", "x" * 30, "3,14", "ab-" * 60])
+    body = "".join(" ".join(word() for _ in range(rnd.randrange(1, 30))) + rnd.choice([". ", "; ", "\n", "?  ", ".\n"]) for _ in range(60)).strip()
+    limit, overlap, overhead = rnd.choice([(40, 10, 2), (60, 0, 2), (100, 25, 5)])
+    parts = P.passages(body, [("content", 0, len(body))], limit, overlap, overhead)
+    assert [k for k, *_ in parts] == list(range(len(parts))) and parts[0][2] == 0 and parts[-1][3] == len(body)
+    ends = {m.start() for m in re.finditer(P.SENTENCE_END, body)} | {len(body)}
+    for _, _, a, b, n in parts:
+        assert n == count_tokens(body[a:b]) + overhead <= limit and body[a:b] == body[a:b].strip()
+    for (_, _, a, b, _), (_, _, c, d, _) in zip(parts, parts[1:]):
+        assert a < c and b < d or c == b or d == b  # a long word may follow a passage that is only overlap
+        assert count_tokens(body[c:b]) <= overlap
+        # What follows b: the rest of a word that was cut, else at least one more unit, which did not fit.
+        after = len(body[b:]) - len(body[b:].lstrip()) + b
+        sentence = min((e for e in ends if e > after), default=len(body))
+        unit = body[after:sentence]
+        whole = limit - overhead if overlap == 0 else overlap
+        if after > b and count_tokens(unit) <= whole:
+            assert count_tokens(body[a:sentence]) + overhead > limit
+
+
+def test_passages_of_long_texts_take_linear_time():
+    for body in ("a" * 1_000_000, "ab-" * 330_000, "palavra " * 120_000, "a. " * 300_000):
+        began = time.process_time()
+        parts = P.passages(body, [("content", 0, len(body.rstrip()))])
+        assert time.process_time() - began < 3 and parts[-1][3] == len(body.rstrip())
+        assert all(t <= 512 for *_, t in parts)
+
+
+def test_chunk_table(spark):
+    rows = [(1, " ".join(f"Frase número {i} com algumas palavras a mais." for i in range(120))), (2, None), (None, "um dois"), (2, "PEDIDO\nx. y")]
+    got = P.chunk_table(spark.createDataFrame(rows, "doc_id long, text string"), 128, 24).collect()
+    assert {(r["doc_id"], r["section"]) for r in got} == {(1, "content"), (None, "content"), (2, "request")}
+    assert all(r["text"] == dict((t, t) for _, t in rows if t).get(r["text"], r["text"]) for r in got) and sum(r["doc_id"] == 1 for r in got) >= 5
+    assert all(any(t and t[r["start"] : r["end"]] == r["text"] for _, t in rows) for r in got)
+
+
+def test_marks_and_excerpts():
+    assert P.merge([(0, 3), (3, 5), (10, 60), (-5, -3), (4, 4), (6, 7)], 20).tolist() == [[0, 5], [6, 7], [10, 20]]
+    assert P.merge([], 5).tolist() == []
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["um", "alvo", "dois", "tresquatro"]) for _ in range(rnd.randrange(1, 90)))
+        marks = P.merge(P.highlights(text, ["Álvo"]), len(text))
+        assert [text[a:b] for a, b in marks] == re.findall("alvo", text)
+        size = rnd.randrange(20, 120)
+        a, b = P.excerpt_window(text, marks, size)
+        # By the definition: every window that a mark opens, and the first one.
+        inside = lambda x, y: sum(x <= s and e <= y for s, e in marks.tolist())
+        options = [(max(0, s - P.LEAD_IN), min(len(text), max(0, s - P.LEAD_IN) + size)) for s, _ in marks.tolist()]
+        most = max([inside(0, size) + P.MORE - 1, *(inside(*w) for w in options)])
+        want = next((w for w in options if inside(*w) == most and most > inside(0, size) + P.MORE - 1), (0, size)) if len(text) > size else (0, len(text))
+        assert want[0] <= a <= b <= want[1] and (a == want[0] or text[a - 1] == " " and " " not in text[want[0] : a - 1])
+        assert b == want[1] or text[b] == " "
+        parts = P.segments(text, marks, a, b)
+        assert "".join(t for t, _ in parts) == text[a:b] and all(("alvo".startswith(t) or "alvo".endswith(t) or t in "alvo") == m or m for t, m in parts if m)
+
+
+def test_excerpt_table(spark):
+    rows = [(1, 5, "um\ndois  alvo " * 40, ["alvo"]), (2, 6, None, ["x"])]
+    got = {r["q"]: r for r in P.excerpt_table(spark.createDataFrame(rows, "q long, doc_id long, text string, terms array<string>"), 60).collect()}
+    assert got[1]["after"] and not got[1]["before"] and "".join(s["text"] for s in got[1]["segments"]).replace(" ", "") == got[1]["excerpt"].replace(" ", "")
+    assert [s["text"] for s in got[1]["segments"] if s["mark"]] == ["alvo"] * got[1]["marks"]
+    assert (got[2]["start"], got[2]["end"], got[2]["segments"]) == (0, 0, [])
 
 
 def test_declared_schema(spark, tmp_path):
