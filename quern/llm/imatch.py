@@ -53,13 +53,16 @@ def _per_document(w: words.Words) -> list[np.ndarray]:
 
 @memory.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of a batch hold each term."""
-    for batch in batches:
-        data, offsets = words.buffers(batch.column("text"))
-        got = [np.concatenate(_per_document(words.split(data, offsets[i : j + 1], lower=True)) or [np.zeros(0, _U)]) for i, j in words.chunks(offsets)]
-        if got:
-            term, n = np.unique(np.concatenate(got), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+    """How many documents of a task hold each term."""
+
+    def parts() -> Iterator[np.ndarray]:
+        for batch in batches:
+            data, offsets = words.buffers(batch.column("text"))
+            for i, j in words.chunks(offsets):
+                yield from _per_document(words.split(data, offsets[i : j + 1], lower=True))
+
+    for term, n in words.tally(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> np.ndarray:

@@ -79,11 +79,14 @@ class Vocabulary:
 
 @memory.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = words.buffers(batch.column("text"))
-        for i, j in words.chunks(offsets, 2 * words.CHUNK):
-            term, n = np.unique(_terms(words.split(data, offsets[i : j + 1])), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+    def parts() -> Iterator[np.ndarray]:
+        for batch in batches:
+            data, offsets = words.buffers(batch.column("text"))
+            for i, j in words.chunks(offsets):
+                yield _terms(words.split(data, offsets[i : j + 1]))
+
+    for term, n in words.tally(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
 def vocabulary_of(top: list[tuple[int, int]], buckets: dict[int, int]) -> Vocabulary:

@@ -150,3 +150,20 @@ def grams(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     doc = w.doc
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
     return mix(h[at] + _U(k)), at
+
+
+#: Numbers that are counted together.
+TALLY = 1 << 22
+
+
+def tally(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct values, how often) of about TALLY values at a time, so that few repeats leave a task."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= TALLY:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), return_counts=True)
