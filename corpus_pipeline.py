@@ -65,7 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     scratch.prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(*before)  # the next stage reads this one's table alone
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

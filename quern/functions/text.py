@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -159,19 +160,23 @@ def decision_date(c: Column) -> Column:
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
-def decode_entities(c: Column) -> Column:
-    """Numeric and hexadecimal references of valid code points, and the named ones of ENTITIES; others stay as they are."""
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def one(part: Column) -> Column:
-        digits, hexa = F.regexp_extract(part, "^&#([0-9]{1,9});", 1), F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]{1,8});", 1)
-        code = F.when(digits != "", digits.try_cast("long")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("long"))
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(F.coalesce(valid, F.lit(False)), F.concat(char, F.regexp_replace(part, "^&#[^;]*;", ""))).otherwise(part)
 
-    named = F.array_join(F.transform(F.split(c, "(?=&#)"), one), "")
-    for name, char in ENTITIES:
-        named = F.replace(named, F.lit(name), F.lit(char))
+def decode_entities(c: Column) -> Column:
+    """Numeric and hexadecimal references of valid code points, and the named ones of ENTITIES; others stay as they are."""
+    number = lambda m: F.when(m.rlike("^[xX]"), F.conv(F.substr(m, F.lit(2)), 16, 10)).otherwise(m).try_cast("long")
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    valid = lambda code: F.coalesce(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.lit(False))
+    # The digits of each part that begins with a reference, then their code point, then its character.
+    parts = F.transform(F.split(c, "(?=&#)"), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, "^&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});", 1).alias("m")))
+    codes = F.transform(parts, lambda x: F.struct(x["p"].alias("p"), number(x["m"]).alias("code")))
+    made = F.transform(codes, lambda x: F.when(valid(x["code"]), F.concat(char(x["code"]), F.regexp_replace(x["p"], "^&#[^;]*;", ""))).otherwise(x["p"]))
+    named = F.when(F.contains(c, F.lit("&#")), F.array_join(made, "")).otherwise(c)
+    for name, plain in ENTITIES:
+        named = F.replace(named, F.lit(name), F.lit(plain))
     return named
 
 
@@ -183,8 +188,12 @@ def html_text(c: Column) -> Column:
 
 def normalize_article(c: Column) -> Column:
     """Leading zeros dropped from a numbered article, and blanks around what follows the number."""
-    part = lambda n: F.regexp_extract(c, "^0*([0-9]+)(.*)$", n)
-    return F.when(c.rlike("^[0-9]"), F.concat(part(1), strip(part(2)))).otherwise(c)
+
+    def numbered(v: Column) -> Column:
+        part = lambda n: F.regexp_extract(v, "^0*([0-9]+)(.*)$", n)
+        return F.when(v.rlike("^[0-9]"), F.concat(part(1), strip(part(2)))).otherwise(v)
+
+    return let(c, numbered)
 
 
 def article_number(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 
 def part(url: Column, what: str) -> Column:
     """PROTOCOL, HOST, PATH, QUERY or AUTHORITY of a URL; null for what is none."""
@@ -18,6 +20,12 @@ def is_allowed(url: Column, host: Column) -> Column:
     return F.coalesce((F.lower(part(url, "PROTOCOL")) == "https") & plain & (own == F.lower(host)), F.lit(False))
 
 
+def on_domain(url: Column, domain: str) -> Column:
+    """Whether the host is the domain or one below it."""
+    host = F.lower(part(url, "HOST"))
+    return F.coalesce((host == domain.lower()) | host.endswith("." + domain.lower()), F.lit(False))
+
+
 def describe(url: Column) -> Column:
     """Without query and fragment, at most 200 characters and an ellipsis."""
     bare = F.regexp_replace(url, r"[?#].*$", "")
@@ -32,22 +40,23 @@ def decode_percent(c: Column) -> Column:
 def encode_beyond_ascii(c: Column) -> Column:
     """Blanks, controls and letters beyond ASCII as percent escapes of their UTF-8 bytes."""
     one = lambda x: F.when(x.rlike(r"[^\x21-\x7e]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
-    return F.when(c.rlike(r"[^\x21-\x7e]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    return let(c, lambda v: F.when(v.rlike(r"[^\x21-\x7e]"), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``, an absolute URL, and percent-encoded; null for what is no web address."""
-    h = F.trim(href)
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)[^/]*$", 1)
-    joined = (
-        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .otherwise(F.concat(F.when(folder.endswith("://") | (folder == ""), F.concat(origin, F.lit("/"))).otherwise(folder), h))
-    )
-    full = encode_beyond_ascii(joined)
-    return F.when((h != "") & part(full, "HOST").isNotNull(), full)
+    above = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)", 1)
+
+    def joined(h: Column) -> Column:
+        return (
+            F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h != "", F.concat(F.coalesce(F.nullif(above, F.lit("")), F.concat(origin, F.lit("/"))), h))
+        )
+
+    return let(encode_beyond_ascii(let(F.trim(href), joined)), lambda full: F.when(part(full, "HOST").isNotNull(), full))
 
 
 def file_name(url: Column) -> Column:

@@ -54,6 +54,13 @@ def bm25(docs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) ->
     return hits.groupBy("q", "doc").agg(F.sum(one).alias("score"))
 
 
+def passage_search(postings_hits: DataFrame, near: DataFrame, pool: int = POOL, limit: int = LIMIT) -> DataFrame:
+    """(q, doc, chunk, rank, score) for scored passages (q, doc, ord, score) of a keyword and (q, doc, ord, rank) of a vector search."""
+    keyword = top(postings_hits, pool, F.round("score", 9).desc(), "doc", "ord")
+    tag = lambda df, n: df.select("q", F.lit(n).alias("list"), F.struct("doc", "ord").alias("chunk"), "doc", "rank")
+    return one_passage(tag(keyword, 0).unionByName(tag(near.where(F.col("rank") <= pool), 1)), limit)
+
+
 def top(scored: DataFrame, k: int, *by: Column | str, within: tuple[str, ...] = ("q",)) -> DataFrame:
     """The first ``k`` rows of each group with their rank from 1."""
     w = Window.partitionBy(*within).orderBy(*by)
@@ -64,45 +71,49 @@ def best_first(scored: DataFrame, k: int) -> DataFrame:
     return top(scored, k, F.round("score", 9).desc(), "doc")
 
 
-def _scan(k: int, same: bool):
+def _scan(k: int, same: bool, ids: tuple[str, ...]):
     def scan(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         """Best k of a block of vectors for each query of a block, by a matrix product."""
-        out: tuple[list, list, list] = ([], [], [])
+        picks, who_of, score_of = [], [], []
+        names = [vectors.column(c).to_numpy() for c in ids]
         if queries.num_rows and vectors.num_rows:
-            docs, who = vectors.column("doc").to_numpy(), queries.column("q").to_numpy()
+            who = queries.column("q").to_numpy()
             x, y = (np.stack([np.asarray(v, np.float64) for v in t.column("v").to_numpy(zero_copy_only=False)]) for t in (queries, vectors))
             scores = x @ y.T
             if not same:
-                scores[who[:, None] == docs[None, :]] = -np.inf
+                scores[who[:, None] == names[0][None, :]] = -np.inf
             places = np.round(scores, 9)
-            least = np.partition(places, max(0, len(docs) - k), axis=1)[:, max(0, len(docs) - k)]
+            cut = max(0, len(y) - k)
+            least = np.partition(places, cut, axis=1)[:, cut]
             for i in range(len(who)):
                 at = np.flatnonzero((places[i] >= least[i]) & (places[i] > -np.inf))
-                at = at[np.lexsort((docs[at], -places[i][at]))][:k]
-                out[0].extend([int(who[i])] * len(at))
-                out[1].extend(docs[at].tolist())
-                out[2].extend(scores[i][at].tolist())
-        return pa.table({"q": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                at = at[np.lexsort((*(n[at] for n in names[::-1]), -places[i][at]))][:k]
+                picks.append(at)
+                who_of.append(np.full(len(at), who[i]))
+                score_of.append(scores[i][at])
+        at, q, s = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((picks, np.int64), (who_of, np.int64), (score_of, np.float64)))
+        return pa.table({"q": pa.array(q.astype(np.int64)), **{c: pa.array(n[at]) for c, n in zip(ids, names, strict=True)}, "score": pa.array(s)})
 
     return scan
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False, block: int = 4096) -> DataFrame:
-    """(q, doc, score, rank): the k largest cosines of unit vectors, exactly; ties to the smaller id.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False, block: int = 4096, ids: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """(q, ids, score, rank): the k largest cosines of unit vectors, exactly; ties to the smaller id.
 
-    ``queries``: (q, v, key), ``vectors``: (doc, v, key); only equal keys and lengths meet,
-    and unless ``same`` a query does not meet its own id. Blocks of both are multiplied in
-    tasks of their own and keep k rows a query, so no row of a pair is made.
+    ``queries``: (q, v, key), ``vectors``: (ids, v, key); only equal keys and lengths meet,
+    and unless ``same`` a query does not meet its own (first) id. Blocks of both are
+    multiplied in tasks of their own and keep k rows a query, so no row of a pair is made.
     """
     sides = []
     n = {"q": max(1, -(-queries.count() // block)), "doc": max(1, -(-vectors.count() // block))}
-    for df, own, other in ((queries, "q", "doc"), (vectors, "doc", "q")):
+    for df, own, names, other in ((queries, "q", ("q",), "doc"), (vectors, "doc", ids, "q")):
         # Both sides may come from one table: columns of their own keep them apart.
-        dealt = df.select(*(F.col(c).alias(c) for c in (own, "v", "key"))).withColumn(f"_{own}", F.pmod(F.xxhash64(own), F.lit(n[own])).cast("int")).withColumn("_d", F.size("v"))
+        dealt = df.select(*(F.col(c).alias(c) for c in (*names, "v", "key"))).withColumn(f"_{own}", F.pmod(F.xxhash64(*names), F.lit(n[own])).cast("int")).withColumn("_d", F.size("v"))
         sides.append(dealt.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1)))))
     keys = ("_q", "_doc", "_d", "key")
-    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(_scan(k, same), "q long, doc long, score double")
-    return best_first(found, k)
+    schema = ", ".join(["q long", *(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in ids), "score double"])
+    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(_scan(k, same, ids), schema)
+    return top(found, k, F.round("score", 9).desc(), *ids)
 
 
 def fuse(lists: DataFrame, item: str = "doc", k: int = RRF_K) -> DataFrame:
@@ -120,8 +131,8 @@ def fused_order(item: str = "doc") -> tuple[Column, ...]:
 def one_passage(chunk_lists: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Documents by document-level fusion, each with its best chunk by chunk-level fusion.
 
-    ``chunk_lists``: (q, list, chunk, doc, rank). A document's place in a list is that of
-    its first chunk there.
+    ``chunk_lists``: (q, list, chunk, doc, rank); a chunk may be a struct. A document's
+    place in a list is that of its first chunk there.
     """
     by_doc = fuse(chunk_lists.groupBy("q", "list", "doc").agg(F.min("rank").alias("rank")))
     by_chunk = fuse(chunk_lists, "chunk").join(chunk_lists.select("q", "chunk", "doc").distinct(), ["q", "chunk"])

@@ -22,16 +22,14 @@ round(avg(found::double / least(wanted, 10)), 6) AS coverage, count(*) FILTER (f
 def q_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every vector asks for those of its label; lists of 50, metrics at 10."""
     ranked = S.vector_topk(*_vectors(spark, d), 50)
-    v = table(spark, d, "embeddings")
-    want = v.select(F.col("vec_id").alias("q"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("q <> doc").select("q", "doc")
-    return E.metrics(E.outcomes(ranked.select("q", "doc", "rank"), want))
+    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"))
+    return E.metrics(E.outcomes_by_class(ranked.select("q", "doc", "rank"), items))
 
 
 @query("SELECT label::bigint AS label, array_to_string(list_sort(list(vec_id)), ',') AS unknown FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id) GROUP BY label")
 def q_eval_unknown_ids(spark: SparkSession, d: str) -> DataFrame:
     """Expected ids of each class that the labels do not know."""
-    classes = table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.collect_list("vec_id").alias("expected"))
-    asked = classes.select("label", F.explode("expected").alias("doc_id"))
+    asked = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("doc_id"))
     lost = asked.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
     return lost.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("unknown"))
 
@@ -43,9 +41,10 @@ _QUESTIONS_SQL = """q AS (SELECT conv_id::varchar AS id, text AS question, strin
 v AS (SELECT id, 'no id' AS rule FROM q WHERE trim(coalesce(id, '')) = ''
 UNION ALL SELECT id, 'no question' FROM q WHERE trim(coalesce(question, '')) = ''
 UNION ALL SELECT id, 'question too long' FROM q WHERE length(question) > 500
-UNION ALL SELECT id, 'nothing expected' FROM q WHERE coalesce(len(expected), 0) = 0
+UNION ALL SELECT id, 'expected is no list' FROM q WHERE expected IS NULL
+UNION ALL SELECT id, 'nothing expected' FROM q WHERE len(expected) = 0
 UNION ALL SELECT id, 'empty expected id' FROM q WHERE len(list_filter(expected, lambda e: trim(e) = '')) > 0
-UNION ALL SELECT id, 'expected id twice' FROM q WHERE len(list_distinct(expected)) < len(expected)
+UNION ALL SELECT id, 'expected id twice' FROM q WHERE len(list_distinct(list_transform(expected, lambda e: trim(e)))) < len(expected)
 UNION ALL SELECT id, 'id used twice' FROM q WHERE id IN (SELECT id FROM q GROUP BY id HAVING count(*) > 1)
 UNION ALL SELECT id, 'question used twice' FROM q WHERE question IN (SELECT question FROM q GROUP BY question HAVING count(*) > 1))
 SELECT id, rule, count(*)::bigint AS n FROM v GROUP BY ALL""")
@@ -56,9 +55,52 @@ def q_question_set_violations(spark: SparkSession, d: str) -> DataFrame:
     return E.violations(q).groupBy("id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Questions of a set that is hashed as one text; a longer set is an error.
+MOST_QUESTIONS = 100_000
+
+
 @query("SELECT sha256(string_agg(item_id || chr(31) || text, chr(10) ORDER BY item_id)) AS set_hash, count(*)::bigint AS n FROM benchmark")
 def q_question_set_hash(spark: SparkSession, d: str) -> DataFrame:
-    """One hash of the question set (a few hundred rows), in the order of ids."""
+    """One hash of the question set, in the order of ids; its definition is over one text, so its size is checked first."""
+    asked = table(spark, d, "benchmark")
+    if asked.count() > MOST_QUESTIONS:
+        raise ValueError(f"more than {MOST_QUESTIONS} questions")
     rows = F.array_sort(F.collect_list(F.struct("item_id", "text")))
     joined = F.array_join(F.transform(rows, lambda x: F.concat_ws("\x1f", x["item_id"].cast("string"), x["text"])), "\n")
-    return table(spark, d, "benchmark").agg(F.sha2(joined, 256).alias("set_hash"), F.count(F.lit(1)).alias("n"))
+    return asked.agg(F.sha2(joined, 256).alias("set_hash"), F.count(F.lit(1)).alias("n"))
+
+
+#: Question sets made of each user turn; what is no text, no list or no object stands in some of them.
+_SETS_SQL = """s AS (SELECT conv_id * 1000 + turn AS source, text, conv_id % 9 AS k FROM conversations WHERE role = 'user')"""
+_ITEM = {0: '{"id": 7, "question": "q", "expected": ["a"]}', 1: '{"id": "a", "question": null, "expected": ["a"]}', 2: '{"id": "a", "question": "q", "expected": "a"}', 3: '{"id": "a", "question": "q", "expected": ["a", 1]}', 4: '"text"'}
+_RULE = {0: "id is no text", 1: "question is no text", 2: "expected is no list", 3: "expected id is no text", 4: "is not an object"}
+
+
+@query(f"""WITH {_SETS_SQL} SELECT source, CASE WHEN k <= 4 THEN 2 ELSE 0 END AS "at", CASE k {" ".join(f"WHEN {k} THEN '{r}'" for k, r in _RULE.items())}
+WHEN 5 THEN 'not valid JSON' WHEN 6 THEN 'no questions array' ELSE 'the question list is empty' END AS rule FROM s WHERE k < 8""")
+def q_question_set_parse(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the form of question sets: one for each user turn, some of them malformed, with the turn as a question."""
+    turns = table(spark, d, "conversations").where("role = 'user'").withColumn("k", F.col("conv_id") % 9)
+    good = F.to_json(F.struct(F.lit("x").alias("id"), F.coalesce("text", F.lit("")).alias("question"), F.array(F.lit("a")).alias("expected")))
+    second = F.coalesce(*(F.when(F.col("k") == k, F.lit(v)) for k, v in _ITEM.items()), good)
+    whole = F.concat(F.lit('{"questions": ['), good, F.lit(", "), second, F.lit("]}"))
+    json = F.when(F.col("k") == 5, F.substr(whole, F.lit(1), F.length(whole) - 1)).when(F.col("k") == 6, F.concat(F.lit('{"items": ['), good, F.lit("]}"))).when(F.col("k") == 7, '{"questions": []}').otherwise(whole)
+    return E.parse_violations(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("source"), json.alias("json")))
+
+
+@query("""WITH q AS (SELECT lang AS article, doc_id, string_split(lower(text), ' ')[1:4] AS expected FROM documents)
+SELECT article, count(*)::bigint AS questions, (SELECT count(DISTINCT e) FROM (SELECT unnest(expected) AS e, article AS a FROM q) WHERE a = article)::bigint AS rulings FROM q GROUP BY article""")
+def q_coverage_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a question that expects its first words: questions and different expectations of each language."""
+    q = table(spark, d, "documents").select(F.col("lang").alias("article"), F.slice(F.split(F.lower("text"), " "), 1, 4).alias("expected"))
+    return E.coverage_table(q)
+
+
+@query("""WITH r AS (SELECT event_id AS ord, event_type || ' ' || (user_id % 5) AS config, CASE WHEN user_id % 3 = 0 THEN 'named ' || event_id ELSE ' ' END AS label FROM events),
+k AS (SELECT config, min(ord) AS first, max(ord) AS ord, max_by(label, ord) AS label FROM r GROUP BY config)
+SELECT ord AS "at", config, coalesce(nullif(trim(label), ''), 'iteration ' || (row_number() OVER (ORDER BY first, config) - 1)) AS label FROM k""")
+def q_eval_history(spark: SparkSession, d: str) -> DataFrame:
+    """Events as evaluation runs: the latest of each configuration in the place of its first, with default labels."""
+    label = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("named "), F.col("event_id").cast("string"))).otherwise(F.lit(" "))
+    runs = table(spark, d, "events").select(F.col("event_id").alias("at"), F.concat("event_type", F.lit(" "), (F.col("user_id") % 5).cast("string")).alias("config"), label.alias("label"))
+    return E.history(runs)

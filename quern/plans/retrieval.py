@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vectors as V
+from quern.functions.embed import BagOfWords
+from quern.operators import index as I
 from quern.operators import search as S
 from quern.plans.registry import query
 from quern.sources.tables import table
@@ -42,6 +44,16 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return S.terms_of(table(spark, d, "benchmark"), "item_id", "text")
 
 
+def documents_index(spark: SparkSession, d: str) -> I.Index:
+    """Postings of all documents, built once for a table."""
+    return I.of_table(spark, f"{d}/documents.parquet", "documents", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text"))
+
+
+def bm25(spark: SparkSession, d: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(q, doc, score) of all questions from the written index."""
+    return I.search(documents_index(spark, d), _questions(spark, d), allowed).select("q", "doc", "score")
+
+
 @query(f"SELECT doc_id, len({_WORDS.format('text')})::bigint AS n_words, len(list_distinct({_WORDS.format('text')}))::bigint AS n_distinct FROM documents")
 def q_tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     """Words and distinct words of every document."""
@@ -79,8 +91,7 @@ def q_postings_topterms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents of every question by BM25."""
-    found = S.bm25(table(spark, d, "documents"), _questions(spark, d))
-    return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    return S.best_first(bm25(spark, d), S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BM25_CTE}, ok AS (SELECT q, doc, score FROM bm25 WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = doc AND lower(d.lang) = 'en' AND year(DATE '2015-01-01' + (doc_id % 3650)::int) = 2016)),
@@ -90,7 +101,7 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     published = F.expr("date_add(DATE'2015-01-01', cast(doc_id % 3650 as int))")
     allowed = docs.where((F.lower("lang") == "en") & (F.year(published) == 2016)).select(F.col("doc_id").alias("doc"))
-    found = S.bm25(docs, _questions(spark, d), allowed)
+    found = bm25(spark, d, allowed)
     return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
@@ -124,13 +135,14 @@ out AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DES
 SELECT q, doc, rank, best_rank, round(score, 6) AS score FROM out WHERE rank <= 10"""
 
 
-@query(f"""WITH lists AS (SELECT lang AS q, doc_id AS doc, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
-UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) FROM documents), {_FUSED}""")
+@query(f"""WITH ranked AS (SELECT lang AS q, doc_id AS doc, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
+UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) FROM documents), lists AS (SELECT * FROM ranked WHERE rank <= 100), {_FUSED}""")
 def q_rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings of each language's documents (length; source) fused."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("q"), F.col("doc_id").alias("doc"), "n_chars", "source")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("q").orderBy(*by, "doc"))
-    lists = docs.select("q", "doc", F.lit(0).alias("list"), rank(F.desc("n_chars")).alias("rank")).unionByName(docs.select("q", "doc", F.lit(1).alias("list"), rank("source").alias("rank")))
+    # A pool of each list is all that is fused, so ranks are cut before rows are dealt.
+    one = lambda n, *by: S.top(docs, S.POOL, *by, "doc").select("q", "doc", F.lit(n).alias("list"), "rank")
+    lists = one(0, F.desc("n_chars")).unionByName(one(1, "source"))
     return S.top(S.fuse(lists), S.LIMIT, *S.fused_order()).select("q", "doc", "rank", "best_rank", F.round("score", 6).alias("score"))
 
 
@@ -145,7 +157,7 @@ lists AS (SELECT * FROM kw WHERE rank <= 100 UNION ALL SELECT * FROM vr WHERE ra
 
 def _hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
     docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
-    keyword = S.best_first(S.bm25(docs, _questions(spark, d)), S.POOL)
+    keyword = S.best_first(bm25(spark, d), S.POOL)
     asked = table(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("q"), F.col("embedding").alias("v"), F.lit(0).alias("key"))
     held = v.join(docs.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), F.lit(0).alias("key"))
     near = S.vector_topk(asked, held, S.POOL, same=True)
@@ -177,12 +189,12 @@ SELECT q, doc, chunk, rank, round(score, 6) AS score FROM out JOIN best USING (q
 def q_one_passage_per_doc(spark: SparkSession, d: str) -> DataFrame:
     """Lines as passages, ranked by length and by words: documents fused, each with its best line."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("q"), F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = docs.select("q", "doc", (F.col("doc") * 100000 + F.col("pos") + 1).alias("chunk"), F.length("line").alias("a"), F.size(F.split("line", " ")).alias("b"))
+    lines = docs.select("q", "doc", F.struct("doc", (F.col("pos") + 1).alias("pos")).alias("chunk"), F.length("line").alias("a"), F.size(F.split("line", " ")).alias("b"))
     lists = None
     for n, by in enumerate(("a", "b")):
         one = S.top(lines, S.POOL, F.desc(by), "chunk").select("q", F.lit(n).alias("list"), "chunk", "doc", "rank")
         lists = one if lists is None else lists.unionByName(one)
-    return S.one_passage(lists).select("q", "doc", "chunk", "rank", F.round("score", 6).alias("score"))
+    return S.one_passage(lists).select("q", "doc", (F.col("doc") * 100000 + F.col("chunk.pos")).alias("chunk"), "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25)
@@ -190,5 +202,91 @@ SELECT q, doc, rank, source, lang, n_chars, md5(text) AS body FROM r JOIN docume
 def q_hit_hydrate(spark: SparkSession, d: str) -> DataFrame:
     """Hits joined with what is shown of them, after ranking ids only."""
     docs = table(spark, d, "documents")
-    hits = S.best_first(S.bm25(docs, _questions(spark, d)), S.LIMIT).select("q", "doc", "rank")
+    hits = S.best_first(bm25(spark, d), S.LIMIT).select("q", "doc", "rank")
     return hits.join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("q", "doc", "rank", "source", "lang", "n_chars", F.md5("text").alias("body"))
+
+
+_INDEX_SQL = f"""WITH {BM25_CTE.replace(TERMS_CTE + ",", "").replace("terms AS (SELECT item_id AS q, strip_accents(unnest(terms)) AS term FROM qt),", "").split("hit AS")[0].rstrip().rstrip(",")},
+w AS (SELECT term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM df JOIN post USING (term) JOIN size USING (doc), stats)
+SELECT term, count(*)::bigint AS df, round(max(w), 6) AS most, round(avg(w), 6) AS mean FROM w GROUP BY term"""
+
+
+def _shown(index: I.Index) -> DataFrame:
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.max("weight"), 6).alias("most"), F.round(F.avg("weight"), 6).alias("mean"))
+
+
+@query(_INDEX_SQL)
+def q_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the written index: documents, largest and mean weight."""
+    return _shown(documents_index(spark, d))
+
+
+@query(_INDEX_SQL)
+def q_index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The same after an index of older texts, with documents since removed, is brought up to date."""
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text")
+    stale = F.col("doc") % 3 == 0
+    older = items.withColumn("text", F.when(stale, F.concat(F.lit("older words of "), F.reverse("text"))).otherwise(F.col("text")))
+    gone = items.where(F.col("doc") % 7 == 0).withColumn("doc", -1 - F.col("doc"))
+    before = I.build(older.unionByName(gone))
+    return _shown(I.update(before, items.where(stale), gone.select("doc")))
+
+
+@query(f"WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 100")
+def q_bm25_cached(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword pool of a hundred documents of every question, from the index."""
+    return S.best_first(bm25(spark, d), S.POOL).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+
+
+EMBEDDER = BagOfWords(64)
+#: FNV-1a of a folded word, over the pairs of hexadecimal digits of its bytes.
+_FNV = "list_reduce(list_prepend(2166136261::ubigint, list_transform(range(0, len(hex(encode(w))) // 2), lambda i: ('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::ubigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+_BAG = "SELECT {k}, h % 64 AS place, count(*)::double AS c FROM (SELECT {k}, " + _FNV + " AS h FROM (SELECT {k}, unnest(regexp_extract_all(strip_accents(lower({t})), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {f}) WHERE length(w) >= 3) GROUP BY ALL"
+
+
+@query(f"""WITH b AS ({_BAG.format(k="doc_id", t="text", f="documents")}),
+n AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM b GROUP BY doc_id)
+SELECT doc_id, count(place)::bigint AS used, round(max(c / norm), 6) AS largest, round(coalesce(sum(place * c / norm), 0), 6) AS mark FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def q_embed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of every document by the bag-of-words embedder: places used, the largest component, their sum by place."""
+    v = table(spark, d, "documents").select("doc_id", EMBEDDER.embed(F.col("text")).alias("v"))
+    used = F.size(F.filter("v", lambda x: x > 0)).cast("long")
+    mark = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", used.alias("used"), F.round(F.when(used > 0, F.array_max("v")), 6).alias("largest"), F.round(mark, 6).alias("mark"))
+
+
+_LINES = "SELECT doc_id AS doc, i - 1 AS ord, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)"
+
+
+@query(f"""WITH {TERMS_CTE},
+terms AS (SELECT item_id AS q, strip_accents(unnest(terms)) AS term FROM qt),
+l AS MATERIALIZED ({_LINES}),
+tok AS (SELECT doc, ord, {_FOLDED.format("line")} AS w FROM l),
+size AS (SELECT doc, ord, len(w) AS len FROM tok),
+stats AS (SELECT count(*)::double AS n, avg(len) AS avg_len FROM size),
+post AS (SELECT term, doc, ord, count(*)::double AS tf FROM (SELECT doc, ord, unnest(w) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*)::double AS df FROM post GROUP BY term),
+kw AS (SELECT q, doc, ord, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+       FROM terms JOIN df USING (term) JOIN post USING (term) JOIN size USING (doc, ord), stats GROUP BY ALL),
+lb AS ({_BAG.format(k="doc, ord", t="line", f="l")}), ln AS (SELECT doc, ord, sqrt(sum(c * c)) AS norm FROM lb GROUP BY ALL),
+qb AS ({_BAG.format(k="item_id", t="text", f="benchmark")}), qn AS (SELECT item_id, sqrt(sum(c * c)) AS norm FROM qb GROUP BY ALL),
+dots AS (SELECT item_id AS q, doc, ord, sum((lb.c / ln.norm) * (qb.c / qn.norm)) AS score FROM lb JOIN qb USING (place) JOIN ln USING (doc, ord) JOIN qn USING (item_id) GROUP BY ALL),
+cl AS (SELECT q, 0 AS list, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) AS rank FROM kw
+       UNION ALL SELECT q, 1, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) FROM dots),
+cl100 AS (SELECT * FROM cl WHERE rank <= 100),
+dm AS (SELECT q, list, doc, min(rank) AS rank FROM cl100 GROUP BY ALL),
+dr AS (SELECT q, list, doc, row_number() OVER (PARTITION BY q, list ORDER BY rank) AS rank FROM dm),
+df2 AS (SELECT q, doc, sum(1.0::double / (60 + rank)) AS score, min(rank) AS best_rank FROM dr GROUP BY q, doc),
+cf AS (SELECT q, doc, ord, sum(1.0::double / (60 + rank)) AS score, min(rank) AS best_rank FROM cl100 GROUP BY q, doc, ord),
+best AS (SELECT q, doc, ord FROM (SELECT *, row_number() OVER (PARTITION BY q, doc ORDER BY round(score, 9) DESC, best_rank, ord) AS n FROM cf) WHERE n = 1),
+out AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, best_rank, doc) AS rank FROM df2)
+SELECT q, doc, ord::int AS ord, rank, round(score, 6) AS score, md5(line) AS passage FROM out JOIN best USING (q, doc) JOIN l USING (doc, ord) WHERE rank <= 10""")
+def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as passages: keyword and vector lists of them, fused to documents, each with its best passage and its text."""
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    index = I.of_table(spark, f"{d}/documents.parquet", "lines", lambda: lines)
+    used = lambda df, *c: df.select(*c, EMBEDDER.embed(F.col("text")).alias("v"), F.lit(0).alias("key")).where(F.exists("v", lambda x: x > 0))
+    near = S.vector_topk(used(asked, F.col("item_id").alias("q")), used(lines, "doc", "ord"), S.POOL, same=True, ids=("doc", "ord")).where("score > 0")
+    found = S.passage_search(I.search(index, _questions(spark, d)), near).select("q", "doc", F.col("chunk.ord").alias("ord"), "rank", F.round("score", 6).alias("score"))
+    return found.join(lines, ["doc", "ord"]).select("q", "doc", "ord", "rank", "score", F.md5("text").alias("passage"))

@@ -10,6 +10,7 @@ from quern.functions import urls as U
 from quern.operators import search as S
 from quern.operators import sections as P
 from quern.plans.registry import query
+from quern.plans.retrieval import TERMS_CTE, bm25, documents_index
 from quern.sources.tables import table
 
 _HREF = r"""(?i)href\s*=\s*['"]([^'"]+)['"]"""
@@ -42,12 +43,13 @@ def q_html_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT regexp_extract(url, '^([a-zA-Z]+)://([^/?#:]+)', ['scheme', 'host']) AS u FROM pages)
-SELECT CASE WHEN u.scheme <> 'https' THEN 'uses http, not https' WHEN NOT ends_with(u.host, '.example.com') THEN 'leaves the allowlisted host' ELSE 'allowed' END AS verdict, count(*)::bigint AS n FROM p GROUP BY 1""")
+SELECT CASE WHEN u.scheme <> 'https' THEN 'uses http, not https' WHEN u.host <> 'www.' || regexp_replace(u.host, '^[^.]*\.', '') THEN 'leaves the allowlisted host' ELSE 'allowed' END AS verdict,
+ends_with(u.host, '.example.com') AS on_domain, count(*)::bigint AS n FROM p GROUP BY ALL""")
 def q_url_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by the verdict on their URL."""
-    u, host = F.col("url"), U.part(F.col("url"), "HOST")
-    verdict = F.when(U.part(u, "PROTOCOL") != "https", "uses http, not https").when(~host.endswith(".example.com"), "leaves the allowlisted host").otherwise("allowed")
-    return table(spark, d, "pages").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Pages by the verdict on their URL, where each site's www host is allowed, and by their domain."""
+    u = F.col("url")
+    allowed = F.concat(F.lit("WWW."), F.regexp_replace(U.part(u, "HOST"), r"^[^.]*\.", ""))
+    return table(spark, d, "pages").groupBy(F.coalesce(U.verdict(u, allowed), F.lit("allowed")).alias("verdict"), U.on_domain(u, "example.com").alias("on_domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"SELECT page_id, CASE WHEN length(b) > 200 THEN b[1:200] || '...' ELSE b END AS shown FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS b FROM pages)")
@@ -80,10 +82,11 @@ def q_id_disambiguate(spark: SparkSession, d: str) -> DataFrame:
     return p.join(clashes, "base").select("page_id", "base", F.when(F.col("clash"), F.concat("base", F.lit("-"), F.expr("substr(sha2(url, 256), 1, 8)"))).otherwise(F.col("base")).alias("id"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(lpad(p_size::varchar, 4, '0') || '-' || p_brand, '^0*([0-9]+)(.*)$', '\1\2') AS article FROM part")
+@query(r"SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Art. ' || p_size ELSE p_size || '-' || trim(p_brand) END AS article FROM part")
 def q_normalize_article(spark: SparkSession, d: str) -> DataFrame:
     """Padded article numbers without their zeros."""
-    raw = F.concat(F.lpad(F.col("p_size").cast("string"), 4, "0"), F.lit("-"), "p_brand")
+    padded = F.concat(F.lpad(F.col("p_size").cast("string"), 4, "0"), F.lit("  -"), "p_brand", F.lit(" "))
+    raw = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("Art. "), F.col("p_size").cast("string"))).otherwise(padded)
     return table(spark, d, "part").select("p_partkey", X.normalize_article(raw).alias("article"))
 
 
@@ -133,33 +136,56 @@ def q_normalize_body(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(b).cast("long").alias("n_chars"), F.md5(b).alias("body"))
 
 
-#: A line of the test corpus opens a section by its first word.
-_KIND_SQL = """CASE WHEN length(line) BETWEEN 4 AND 80 AND regexp_matches(line, '^[^\\p{L}]*\\p{Lu}') THEN
- CASE WHEN regexp_matches(line, '(?i)^(licensed|copyright)') THEN 'conclusion' WHEN regexp_matches(line, '^[^ ]+ [^ ]+\\.$') THEN 'facts' WHEN NOT contains(line, ' ') THEN 'request' END END"""
-_LINES_SQL = "l AS (SELECT doc_id, i AS pos, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i))"
+#: Every third line of a text gives way to one of these; some are headings, some only look so.
+LINES = (
+    "PEDIDO", "I. O PEDIDO:", "2 - DESCRIÇÃO DOS FACTOS", "FACTOS", "CONCLUSÃO", "III) CONCLUSÕES:", "Enquadramento legal", "INFORMAÇÃO", "Análise jurídica", "pedido", "O pedido foi entregue.", "", "ABC", "XIV FACTOS PROVADOS",
+)
+_OPTIONS_SQL = "[" + ", ".join(f"'{x}'" for x in LINES) + "]"
+_FOLDED_LINE = "upper(strip_accents(trim(line)))"
+_KIND_SQL = f"CASE WHEN length(trim(line)) BETWEEN 4 AND 80 AND regexp_matches(line, '^[^\\p{{L}}]*\\p{{Lu}}') THEN CASE " + " ".join(f"WHEN regexp_matches({_FOLDED_LINE}, '{p}') THEN '{name}'" for name, p in X.HEADINGS) + " END END"
+_LINES_SQL = f"l AS (SELECT doc_id, i AS pos, CASE WHEN i % 3 = 0 THEN ({_OPTIONS_SQL})[1 + (doc_id + i // 3) % {len(LINES)}] ELSE string_split(text, chr(10))[i] END AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i))"
 
 
-def _kind() -> F.Column:
-    line = F.col("line")
-    kind = F.when(line.rlike("(?i)^(licensed|copyright)"), "conclusion").when(line.rlike(r"^[^ ]+ [^ ]+\.$"), "facts").when(~F.contains(line, F.lit(" ")), "request")
-    return F.when(F.length(line).between(4, 80) & line.rlike(r"^[^\p{L}]*\p{Lu}"), kind)
+def _marked() -> F.Column:
+    """Lines of a text, every third one replaced."""
+    options = F.array(*map(F.lit, LINES))
+    return F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 0, F.element_at(options, (1 + (F.col("doc_id") + F.floor((i + 1) / 3)) % len(LINES)).cast("int"))).otherwise(x))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("pos", (F.col("p") + 1).cast("long"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(_marked()).alias("p", "line")).withColumn("pos", (F.col("p") + 1).cast("long"))
 
 
 @query(f"WITH {_LINES_SQL} SELECT {_KIND_SQL} AS kind, count(*)::bigint AS n, sum(length(line))::bigint AS n_chars FROM l GROUP BY 1")
 def q_heading_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Lines by the section they would open."""
-    return _lines(spark, d).groupBy(_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("n_chars"))
+    """Lines by the section they open."""
+    return _lines(spark, d).groupBy(X.heading(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query(f"WITH {_LINES_SQL}, k AS (SELECT doc_id, pos, line, {_KIND_SQL} AS kind FROM l) SELECT doc_id, pos, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'content') AS section FROM k")
 def q_section_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """The section of each line: that of the nearest heading before it."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return _lines(spark, d).withColumn("kind", _kind()).select("doc_id", "pos", F.coalesce(F.last("kind", ignorenulls=True).over(w), F.lit("content")).alias("section"))
+    return _lines(spark, d).withColumn("kind", X.heading(F.col("line"))).select("doc_id", "pos", F.coalesce(F.last("kind", ignorenulls=True).over(w), F.lit("content")).alias("section"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+@query(f"""WITH {_LINES_SQL},
+o AS (SELECT *, {_KIND_SQL} AS kind, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+b AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM l GROUP BY doc_id),
+h AS (SELECT doc_id, off, off + length(line) AS aft, kind, lead(off) OVER (PARTITION BY doc_id ORDER BY pos) AS until FROM o WHERE kind IS NOT NULL),
+f AS (SELECT h.*, until IS NULL OR trim(substr(body, (aft + 1)::bigint, (until - aft)::bigint), {_BLANKS}) <> '' AS own FROM h JOIN b USING (doc_id)),
+g AS (SELECT *, coalesce(sum(own::int) OVER (PARTITION BY doc_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM f),
+s AS (SELECT doc_id, min(off) AS a, max_by(kind, off) AS section FROM g GROUP BY doc_id, g
+      UNION ALL SELECT doc_id, 0, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.doc_id = b.doc_id) THEN 'request' ELSE 'content' END FROM b),
+e AS (SELECT *, row_number() OVER w AS n, coalesce(lead(a) OVER w, length(body)) AS z FROM s JOIN b USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a, section = 'request' DESC, section = 'content' DESC)),
+t AS (SELECT doc_id, section, n, a, z, substr(body, (a + 1)::bigint, (z - a)::bigint) AS part FROM e)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::int AS ordinal, section, (a + length(part) - length(ltrim(part, {_BLANKS})))::int AS start, (a + length(rtrim(part, {_BLANKS})))::int AS "end" FROM t WHERE trim(part, {_BLANKS}) <> ''""")
+def q_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of texts with headings among their lines: spans of each, empty headings merged into the next."""
+    return P.section_table(table(spark, d, "documents").select("doc_id", F.array_join(_marked(), "\n").alias("text")))
 
 
 @query(r"SELECT doc_id, (len(regexp_extract_all(text, '[.;:!?][ \t\n\r\f\x0B]+')) + 1)::bigint AS n FROM documents")
@@ -193,44 +219,38 @@ def q_text_layer_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", n.cast("long").alias("text_chars"), F.when(n >= 200, "Extracted").otherwise("ScannedSkipped").alias("state"))
 
 
-_PROCESS = "'Processo: ' || (1000 + page_id) || CASE WHEN page_id % 3 = 0 THEN '  2' ELSE '' END || chr(10) || url || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'Processo n.º ' || page_id || ', com despacho de ' || (DATE '2020-01-01' + (page_id % 900)::int) ELSE '' END"
-
-
 @query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id::varchar ELSE (1000 + page_id)::varchar END AS process_number,
 CASE WHEN page_id % 2 = 0 THEN (DATE '2020-01-01' + (page_id % 900)::int)::varchar END AS decided_on FROM pages""")
 def q_process_number(spark: SparkSession, d: str) -> DataFrame:
-    """Process number and decision date from texts built around every page's id and URL."""
+    """Process number and decision date of every page whose text states them before and after its markup."""
     page = F.col("page_id").cast("string")
     even = F.col("page_id") % 2 == 0
     decided = F.expr("cast(date_add(DATE'2020-01-01', cast(page_id % 900 as int)) as string)")
     body = F.concat(
-        F.lit("Processo: "), (F.col("page_id") + 1000).cast("string"), F.when(F.col("page_id") % 3 == 0, "  2").otherwise(""), F.lit("\n"), "url",
+        F.lit("Processo: "), (F.col("page_id") + 1000).cast("string"), F.when(F.col("page_id") % 3 == 0, "  2").otherwise(""), F.lit("\n"), "html",
         F.when(even, F.concat(F.lit("\nProcesso n.º "), page, F.lit(", com despacho de "), decided)).otherwise(""),
     )
     p = table(spark, d, "pages").select("page_id", body.alias("body"))
     return p.select("page_id", X.process_number(F.col("body")).alias("process_number"), X.decision_date(F.col("body")).cast("string").alias("decided_on"))
 
 
-_TERMS_SQL = "SELECT list(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{M}]+')) AS w FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))"
-
-
-@query(f"""WITH t AS MATERIALIZED ({_TERMS_SQL.replace("list(DISTINCT w)", "DISTINCT w")}),
+@query(f"""WITH {TERMS_CTE}, t AS (SELECT DISTINCT item_id AS q, strip_accents(unnest(terms)) AS w FROM qt),
 w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS w FROM documents)
-SELECT d.doc_id, coalesce(n, 0)::bigint AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM w SEMI JOIN t USING (w) GROUP BY doc_id) USING (doc_id)""")
+SELECT q, doc_id, count(*)::bigint AS n FROM w JOIN t USING (w) GROUP BY ALL""")
 def q_highlight_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Words of every document that the first question marks."""
-    first = table(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.array_distinct(X.words(X.fold(F.col("text")))).alias("t"))
-    hits = F.size(F.filter(X.words(X.fold(F.col("text"))), lambda w: F.array_contains("t", w)))
-    return table(spark, d, "documents").join(F.broadcast(first), how="left").select("doc_id", F.coalesce(hits.cast("long"), F.lit(0)).alias("n"))  # one row
+    """Words of every document that each question marks."""
+    terms = S.terms_of(table(spark, d, "benchmark"), "item_id", "text").distinct()
+    held = documents_index(spark, d).counts
+    return held.join(terms, "term").groupBy("q", F.col("doc").alias("doc_id")).agg(F.sum("tf").cast("long").alias("n"))
 
 
 @query()
 def q_excerpt_window(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts of the best documents of every question."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    hits = S.best_first(S.bm25(docs, S.terms_of(asked, "item_id", "text")), 3).select("q", F.col("doc").alias("doc_id"))
+    hits = S.best_first(bm25(spark, d), 3).select("q", F.col("doc").alias("doc_id"))
     terms = asked.select(F.col("item_id").alias("q"), X.query_terms(F.col("text")).alias("terms"))
-    return P.excerpt_table(hits.join(docs.select("doc_id", "text"), "doc_id").join(terms, "q"))
+    return P.excerpt_table(hits.join(docs.select("doc_id", "text"), "doc_id").join(terms, "q")).drop("segments")
 
 
 @query("""SELECT l.doc_id, coalesce(m.label, d.lang) AS label FROM labels l JOIN documents d USING (doc_id) LEFT JOIN (VALUES ('en', 'English'), ('fr', 'Français'), ('de', 'Deutsch')) m(code, label) ON m.code = d.lang""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,11 +23,13 @@ _live: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests)."""
+    """The shared folder of the cluster; a local one only where none is set and all tasks run in this process (tests)."""
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, _fallback, True)

@@ -41,16 +41,13 @@ def rows_of(answers: DataFrame) -> DataFrame:
     A cell that is no string is empty. An answer without a data array is an error, not an
     empty listing; rows that are no arrays have null cells.
     """
-    bad = answers.where(F.col("json").isNull() | F.get_json_object("json", "$.data").isNull() | ~F.get_json_object("json", "$.data").startswith("["))
-    if not bad.isEmpty():
+    data = answers.select("library", F.try_variant_get(F.try_parse_json("json"), "$.data", "array<variant>").alias("data"))
+    if not data.where("data IS NULL").isEmpty():
         raise ListingError("a listing has no data array")
-    data = F.from_json(F.get_json_object("json", "$.data"), "array<string>")
-    row = answers.select("library", F.posexplode(data).alias("at", "raw"))
-    raw = F.from_json("raw", "array<string>")
-    # A number or object is parsed as its text; only cells quoted in the source are strings.
-    kinds = F.from_json("raw", "array<variant>")
-    text = F.transform(kinds, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))).otherwise(""))
-    return row.select("library", (F.col("at") + 1).cast("int").alias("row"), F.when(F.col("raw").startswith("[") & raw.isNotNull(), text).alias("cells"))
+    row = data.select("library", F.posexplode("data").alias("at", "v"))
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    cells = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda v: F.coalesce(text(v), F.lit("")))
+    return row.select("library", (F.col("at") + 1).cast("int").alias("row"), cells.alias("cells"))
 
 
 def entries(rows: DataFrame, libraries: DataFrame, columns: Columns = Columns()) -> DataFrame:
@@ -63,34 +60,33 @@ def entries(rows: DataFrame, libraries: DataFrame, columns: Columns = Columns())
     fits = F.col("cells").isNotNull() & (F.size("cells") == F.size("fields"))
     named = bound.withColumn("v", F.when(fits, F.map_from_arrays("fields", "cells")))
     cell = lambda name: F.coalesce(F.try_element_at("v", F.lit(name)), F.lit(""))
-    shown = lambda name: X.html_text(cell(name))
-    href = F.trim(X.decode_entities(F.regexp_extract(cell(columns.link), _HREF, 1)))
-    linked = named.withColumn("href", href).withColumn("source_url", U.resolve(F.col("origin"), F.col("href")))
+    # Each cell is read once; what is made of them are columns of their own.
+    shown = {"number": columns.number, "subject": columns.subject, "paragraph": columns.paragraph, "stated_diploma": columns.diploma, "date": columns.published}
+    read = named.withColumns({k: X.html_text(cell(c)) for k, c in shown.items()} | {"articles": F.transform(F.array(*map(cell, columns.article)), X.html_text), "href": F.trim(X.decode_entities(F.regexp_extract(cell(columns.link), _HREF, 1)))})
+    linked = read.withColumn("source_url", U.resolve(F.col("origin"), F.col("href")))
     url = F.col("source_url")
-    outside = U.verdict(url, F.col("host"))
+    checked = linked.withColumns({"outside": U.verdict(url, F.col("host")), "shown_url": U.describe(url), "file_name": U.decode_percent(U.file_name(url))})
     reason = (
         F.when(F.col("v").isNull(), "unexpected shape")
         .when(F.col("href") == "", "no PDF link")
         .when(url.isNull(), "invalid PDF link")
-        .when(outside.isNotNull(), F.concat(F.lit("PDF link "), outside, F.lit(" ("), U.describe(url), F.lit(")")))
-        .when(~F.lower(U.part(url, "PATH")).endswith(".pdf"), F.concat(F.lit("link is not a PDF ("), U.describe(url), F.lit(")")))
+        .when(F.col("outside").isNotNull(), F.concat(F.lit("PDF link "), "outside", F.lit(" ("), "shown_url", F.lit(")")))
+        .when(~F.lower(U.part(url, "PATH")).endswith(".pdf"), F.concat(F.lit("link is not a PDF ("), "shown_url", F.lit(")")))
     )
-    file = U.decode_percent(U.file_name(url))
-    article = F.coalesce(*(F.when(shown(a) != "", shown(a)) for a in columns.article), F.lit(""))
-    has_diploma = F.array_contains("fields", columns.diploma)
-    return linked.withColumn("reject_reason", reason).select(
+    article = F.coalesce(F.get(F.filter("articles", lambda a: a != ""), F.lit(0)), F.lit(""))
+    return checked.select(
         "library",
         "row",
-        F.concat("prefix", X.file_id(file)).alias("id"),
-        file.alias("file_name"),
+        F.concat("prefix", X.let(F.col("file_name"), X.file_id)).alias("id"),
+        "file_name",
         "source_url",
-        F.when(has_diploma, shown(columns.diploma)).otherwise(F.col("library")).alias("diploma"),
+        F.when(F.array_contains("fields", columns.diploma), F.col("stated_diploma")).otherwise(F.col("library")).alias("diploma"),
         X.normalize_article(article).alias("article"),
-        shown(columns.paragraph).alias("paragraph"),
-        F.try_to_timestamp(F.when(shown(columns.published).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), shown(columns.published)), F.lit("yyyy-MM-dd")).cast("date").alias("published_on"),
-        shown(columns.number).alias("number"),
-        shown(columns.subject).alias("subject"),
-        "reject_reason",
+        "paragraph",
+        F.when(F.col("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd"))).cast("date").alias("published_on"),
+        "number",
+        "subject",
+        reason.alias("reject_reason"),
     )
 
 

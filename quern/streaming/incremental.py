@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,31 +36,94 @@ def _has(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_index(spark: SparkSession, index: str) -> DataFrame:
-    """Current rows of the index: the last batch's of each document."""
+def _rows(spark: SparkSession, index: str) -> DataFrame | None:
     if not _has(spark, f"{index}/data"):
+        return None
+    return spark.read.schema(f"{_INDEX}, generation int, batch long").parquet(f"{index}/data")
+
+
+def read_index(spark: SparkSession, index: str, of: DataFrame | None = None) -> DataFrame:
+    """Current rows of the index (of the documents ``of``(doc_id) alone, if given): each document's last, but for removed ones."""
+    rows = _rows(spark, index)
+    if rows is None:
         return spark.createDataFrame([], _INDEX)
-    rows = spark.read.schema(f"{_INDEX}, batch long").parquet(f"{index}/data")
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct("chunk_key", "size"), "batch").alias("r")).select("doc_id", "r.*")
+    if of is not None:
+        rows = rows.join(of.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    last = rows.groupBy("doc_id").agg(F.max_by(F.struct("chunk_key", "size"), F.struct("generation", "batch")).alias("r"))
+    return last.select("doc_id", "r.*").where("chunk_key IS NOT NULL")
 
 
-def build(spark: SparkSession, source: str, index: str, settings: str) -> None:
-    """Index documents whose key (settings and body) the index does not hold.
+def build(spark: SparkSession, source: str, index: str, settings: str, generation: int = 0) -> None:
+    """Index documents whose key (settings and body, null as empty) the index does not hold.
 
     A batch writes to a folder of its own number, so a repeated batch replaces its first
-    attempt. Documents whose key is current cost no work.
+    attempt. Documents whose key is current cost no work, and only the index rows of a
+    batch's documents are compared. A changed source is a new ``generation``.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        wanted = batch.select("doc_id", F.sha2(F.concat(F.lit(settings + "\n"), "text"), 256).alias("chunk_key"), F.length("text").cast("long").alias("size"))
-        held = read_index(s, index).select("doc_id", "chunk_key")
-        wanted.join(held, ["doc_id", "chunk_key"], "left_anti").write.mode("overwrite").parquet(f"{index}/data/batch={number}")
+        body = F.coalesce("text", F.lit(""))
+        wanted = batch.select("doc_id", F.sha2(F.concat(F.lit(settings + "\n"), body), 256).alias("chunk_key"), F.length(body).cast("long").alias("size"))
+        held = read_index(s, index, batch).select(F.col("doc_id").alias("_id"), F.col("chunk_key").alias("_key"))
+        new = wanted.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("chunk_key") == F.col("_key")), "left_anti")
+        new.write.mode("overwrite").parquet(f"{index}/data/generation={generation}/batch={number}")
 
-    run = _stream(spark, source).writeStream.foreachBatch(add).option("checkpointLocation", f"{index}/progress").trigger(availableNow=True).start()
+    run = _stream(spark, source).writeStream.foreachBatch(add).option("checkpointLocation", f"{index}/progress-{generation}").trigger(availableNow=True).start()
     run.awaitTermination()
 
 
+#: The number of the batch that removes, after all others of its generation.
+REMOVAL = (1 << 62) - 1
+
+
+def remove_absent(spark: SparkSession, source: str, index: str, generation: int = 0) -> None:
+    """Mark documents that the source no longer has; repeated runs write the same folder."""
+    present = spark.read.parquet(source).select(F.col("doc_id").alias("_id"))
+    gone = read_index(spark, index).join(present, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    marks = gone.select("doc_id", F.lit(None).cast("string").alias("chunk_key"), F.lit(0).cast("long").alias("size"))
+    marks.write.mode("overwrite").parquet(f"{index}/data/generation={generation}/batch={REMOVAL}")
+
+
+def refresh(spark: SparkSession, source: str, settings: str) -> DataFrame:
+    """The index of ``source`` after one of an older state of it: some texts were others, and some documents are gone."""
+    folder = f"{scratch.scratch_dir(spark)}/{fresh_name('index')}"
+    docs = spark.read.parquet(source).select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("older "), "text")).otherwise(F.col("text"))
+    older = docs.select("doc_id", changed.alias("text")).unionByName(docs.where("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    older.write.parquet(f"{folder}-older")
+    build(spark, f"{folder}-older", folder, settings)
+    build(spark, source, folder, settings, generation=1)
+    remove_absent(spark, source, folder, generation=1)
+    return read_index(spark, folder)
+
+
+def crawl_states(spark: SparkSession, source: str, happened: dict[str, str]) -> DataFrame:
+    """(user_id, state, n): the crawl state of each key and how many happenings led there, by a stateful stream.
+
+    The state store holds one row a key; a batch's happenings are taken in the order of
+    (ts, event_id), batches in the order of their arrival.
+    """
+    from quern.operators import crawl
+
+    out = f"{scratch.scratch_dir(spark)}/{fresh_name('crawl')}"
+    schema = "user_id long, state string, n long"
+
+    def follow(key, parts, held):
+        state, n = held.get if held.exists else (crawl.PENDING, 0)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        state, n = crawl.follow(state, rows["happened"].tolist()), n + len(rows)
+        held.update((state, n))
+        yield pd.DataFrame({"user_id": [key[0]], "state": [state], "n": [n]})
+
+    what = F.create_map(*(F.lit(x) for pair in happened.items() for x in pair))
+    events = _stream(spark, source).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.coalesce(F.try_element_at(what, F.col("event_type")), F.lit("")).alias("happened"))
+    states = events.groupBy("user_id").applyInPandasWithState(follow, schema, "state string, n long", "update", "NoTimeout")
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+    states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{out}/data").groupBy("user_id").agg(F.max_by(F.struct("state", "n"), "batch").alias("s")).select("user_id", "s.*")
+
+
 def latest_states(spark: SparkSession, source: str) -> DataFrame:
     """(user_id, state, n): the newest event of each user and how many were seen.
 

@@ -7,11 +7,16 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions.embed import BagOfWords
 from quern.operators import catalogue_ops as C
+from quern.operators import crawl as K
 from quern.operators import evaluation as E
+from quern.operators import index as I
 from quern.operators import search as S
 from quern.operators import sections as P
+from quern.sources import listings as L
 from quern.sources import tables
+from quern.streaming import incremental
 
 
 def lists(spark, *ranked):
@@ -178,6 +183,85 @@ def test_excerpt_table(spark):
     assert (got[2]["start"], got[2]["end"], got[2]["segments"]) == (0, 0, [])
 
 
+def test_index_is_kept_up_to_date(spark):
+    rows = [(1, 0, "um dois dois"), (1, 1, "tres"), (2, 0, None), (3, 0, "Dóis quatro")]
+    df = spark.createDataFrame(rows, "doc long, ord int, text string")
+    index = I.build(df)
+    terms = spark.createDataFrame([(7, "dois"), (7, "tres"), (8, "nada")], "q long, term string")
+    weights = lambda i: {(r["term"], r["doc"], r["ord"]): round(r["weight"], 9) for r in i.postings.collect()}
+    found = {(r["q"], r["doc"], r["ord"]): r["score"] for r in I.search(index, terms).collect()}
+    assert set(found) == {(7, 1, 0), (7, 1, 1), (7, 3, 0)} and found[7, 1, 0] > found[7, 3, 0] * 0.99
+    assert {(r["q"], r["doc"]) for r in I.search(index, terms, spark.createDataFrame([(3,)], "doc long")).collect()} == {(7, 3)}
+    now = [(1, 0, "novo texto"), (2, 0, "dois"), (4, 0, "cinco")]
+    after = I.update(index, spark.createDataFrame(now, "doc long, ord int, text string"), spark.createDataFrame([(3,)], "doc long"))
+    assert weights(after) == weights(I.build(spark.createDataFrame(now, "doc long, ord int, text string")))
+    assert {r["term"] for r in after.counts.collect()} == {"novo", "texto", "dois", "cinco"}
+
+
+def test_bag_of_words(spark):
+    df = spark.createDataFrame([("Ação ação de",), ("",), (None,), ("xy",)], "t string").select(BagOfWords(16).embed(F.col("t")).alias("v"))
+    a, b, c, d = (r["v"] for r in df.collect())
+    assert sum(x > 0 for x in a) == 1 and max(a) == pytest.approx(1) and b == c == d == [0.0] * 16
+
+    def fnv(word):
+        h = 2166136261
+        for x in word.encode():
+            h = (h ^ x) * 16777619 % 2**32
+        return h
+
+    assert a[fnv("acao") % 16] == pytest.approx(1)
+
+
+def test_crawl(spark):
+    assert K.follow(K.PENDING, ["text", "fetched", "error", "text", "retry", "fetched", "no text", "again", "text"]) == K.EXTRACTED
+    items = spark.createDataFrame([("b", 1, 5), ("a", 2, 3), ("a", 1, 4), (None, 9, 1)], "s string, i int, n int")
+    got = {(r["s"], r["i"]): r["used"] for r in K.within_budget(items, "s", ("i",), "n", 8).collect()}
+    assert got == {(None, 9): 1, ("a", 1): 5, ("a", 2): 8}
+    with pytest.raises(K.DuplicateId):
+        K.require_unique(items, "s")
+    assert K.require_unique(items, "n") is items
+    with pytest.raises(ValueError):
+        K.allowed_by_listing(items, None, "1")
+
+
+def test_listings_with_malformed_answers(spark):
+    df = lambda *j: spark.createDataFrame([("l", x) for x in j], "library string, json string")
+    for bad in ("{}", "[]", "no", None, '{"data": {}}', '{"data": "["}'):
+        with pytest.raises(L.ListingError):
+            L.rows_of(df('{"data": []}', bad))
+    rows = L.rows_of(df('{"data": [["a", 1, null, {"x": 2}, "\\u00e9"], 5, "text", {"a": 1}, []]}')).orderBy("row").collect()
+    assert [r["cells"] for r in rows] == [["a", "", "", "", "é"], None, None, None, []]
+    assert L.rows_of(df('{"data": []}')).count() == 0
+
+
+def test_outcomes_by_class_equal_those_by_pairs(spark):
+    rnd = random.Random(2)
+    items = [(i, rnd.randrange(5)) for i in range(40)] + [(99, 77)]
+    ranked = [(q, d, r + 1) for q, _ in items for r, d in enumerate(rnd.sample([i for i, _ in items if i != q], 15))]
+    a = spark.createDataFrame(items, "id long, class int")
+    b = spark.createDataFrame(ranked, "q long, doc long, rank long")
+    pairs = spark.createDataFrame([(x, y) for x, k in items for y, n in items if k == n and x != y], "q long, doc long")
+    assert E.metrics(E.outcomes_by_class(b, a)).first() == E.metrics(E.outcomes(b, pairs)).first()
+
+
+def test_documents_of_many_lines(spark):
+    """Passages are (document, line) pairs, so long documents do not run into the next."""
+    lists = spark.createDataFrame([(1, 0, (5, 100_001), 5, 1), (1, 0, (6, 1), 6, 2)], "q long, list int, chunk struct<doc: long, ord: int>, doc long, rank long")
+    assert {(r["doc"], r["chunk"]["ord"]) for r in S.one_passage(lists).collect()} == {(5, 100_001), (6, 1)}
+
+
+def test_streamed_index_of_null_texts(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    for generation in (0, 1):
+        incremental.build(spark, f"{tmp_path}/docs", f"{tmp_path}/index", "s", generation)
+    assert spark.read.parquet(f"{tmp_path}/index/data").count() == 3
+    assert incremental.read_index(spark, f"{tmp_path}/index").count() == 3
+    spark.createDataFrame(rows[:1], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/docs2")
+    incremental.remove_absent(spark, f"{tmp_path}/docs2", f"{tmp_path}/index", 1)
+    assert [r["doc_id"] for r in incremental.read_index(spark, f"{tmp_path}/index").collect()] == [1]
+
+
 def test_declared_schema(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "item_id long, text int").write.parquet(f"{tmp_path}/benchmark.parquet")
     with pytest.raises(tables.SchemaError):
