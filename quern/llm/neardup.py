@@ -257,9 +257,10 @@ def _followers(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     Followers in the leader's own component, which may be very many, meet only the others.
     """
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
-    named = pairs.join(label("id"), "id", "left").join(label("lead"), "lead", "left").select("lead", "id", F.coalesce("component_id", "id").alias("component"), (F.coalesce("component_id", "id") == F.coalesce("component_lead", "lead")).alias("own"))
+    both = pairs.join(label("id"), "id", "left").join(label("lead"), "lead", "left")
+    # Written, so that each join is dealt by itself and a leader with very many followers can be split.
+    named = scratch.save(both.select("lead", "id", F.coalesce("component_id", "id").alias("component"), (F.coalesce("component_id", "id") == F.coalesce("component_lead", "lead")).alias("own")), "named")
     mixed = named.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("own").alias("a"), F.count_if(~F.col("own")).alias("b")).where("x <> y")
-    # Written, so that both sides of the join are dealt by it alone and a leader with very many followers can be split.
     mixed = scratch.save(mixed.select("lead", *(F.ceil(F.col(c) / FOLLOWERS).cast("int").alias(p) for c, p in (("a", "parts_own"), ("b", "parts_other")))), "mixed")
     part = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("parts_own")).otherwise(F.col("parts_other"))).cast("int")
     rows = named.join(mixed, "lead").withColumn("part", part)
