@@ -2,8 +2,8 @@
 
 Windows of 13 words are counted in a count-min sketch whose rows are cut into slices of
 2**22 cells. Every block of documents (a hash of id and text; its size is a parameter, so there
-are as many blocks as the text needs) sends each slice the sorted places it touched, one or
-two bytes a window and row; the slice merges the blocks and sends each block back the places
+are as many blocks as the text needs) sends each slice the sorted places it touched, ten
+bits or so a window and row; the slice merges the blocks and sends each block back the places
 whose merged count is two or more. The estimate never falls short, so a window whose every
 place came back covers all repeated windows. Only those are grouped exactly, by 96 bits (two
 independent hashes of the words' bytes), once per block; a block then gets the first document of each window that it shares. No sketch,
@@ -48,21 +48,24 @@ def _places(h: np.ndarray, row: int, slices: int, bits: int) -> np.ndarray:
 
 
 def _pack(places: np.ndarray) -> bytes:
-    """Sorted places as gaps of one byte, where 255 means 255 and more to come, or of two or four."""
+    """Sorted places as Rice codes of their gaps: quotients in unary, then remainders of as many bits as the mean gap asks for."""
+    n = len(places)
     gaps = np.diff(places, prepend=0)
-    if len(gaps) and places[-1] < 400 * len(gaps):
-        more = gaps // 255
-        out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
-        out[np.cumsum(more + 1) - 1] = gaps % 255
-        return b"\1" + out.tobytes()
-    wide = len(gaps) and int(gaps.max()) > 0xFFFF
-    return (b"\4" if wide else b"\2") + gaps.astype("<u4" if wide else "<u2").tobytes()
+    bits = max(0, int(0.69 * (int(places[-1]) / n if n else 0)).bit_length() - 1)
+    ends = np.cumsum((gaps >> bits) + 1)
+    unary = np.zeros(int(ends[-1]) if n else 0, np.uint8)
+    unary[ends - 1] = 1
+    rest = (gaps[:, None] >> np.arange(bits)).astype(np.uint8) & 1
+    return np.array([n, bits], "<u4").tobytes() + np.packbits(rest).tobytes() + np.packbits(unary).tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    gaps = np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[raw[0]], offset=1)
-    places = np.cumsum(gaps, dtype=np.int64)
-    return places[gaps < 255] if raw[0] == 1 else places
+    n, bits = np.frombuffer(raw, "<u4", 2).tolist()
+    body = np.frombuffer(raw, np.uint8, offset=8)
+    size = -(-n * bits // 8)
+    rest = np.unpackbits(body[:size], count=n * bits).reshape(n, bits) @ (1 << np.arange(bits)) if bits else 0
+    ends = np.flatnonzero(np.unpackbits(body[size:]))
+    return np.cumsum((np.diff(ends, prepend=-1) - 1 << bits) + rest)
 
 
 def _sketcher(window: int, slices: int, rows: int, bits: int):
