@@ -48,6 +48,8 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.y
 # Lines repeated on every page, and the pattern of process-number headers.
 BANNERS = ("INFORMACAO VINCULATIVA", "FICHA DOUTRINARIA", "DIRECCAO GERAL DOS IMPOSTOS")
 LETTERHEAD = "MINISTERIO DAS FINANCAS"
+#: First letters of such lines, folded or not: few other lines are folded at all.
+BANNER_START = "^[IÍiíFfDdMm]"
 PAGE_PROCESS = r"^[0-9]*\s*Processo:\s*[\p{L}\p{N}_./-]+(?:\s+[0-9]{1,3})?$"
 
 
@@ -57,6 +59,11 @@ HTML_IMAGE = r"(?i)<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']+)[\"']"
 IMAGE_LINK = r"(?im)^\s*\[[^\]]+\]:\s*<?(\S+?\.(?:png|jpe?g|gif|svg|webp))>?(?:\s|$)"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case without the marks of Latin-1 letters."""
     return F.translate(F.lower(c), MARKED, PLAIN)
@@ -100,8 +107,8 @@ def match_expression(terms: Column) -> Column:
 
 
 def is_furniture(line: Column) -> Column:
-    folded = fold_upper(line)
-    return line.rlike(PAGE_PROCESS) | folded.isin(*BANNERS) | folded.startswith(LETTERHEAD)
+    repeated = lambda t: t.isin(*BANNERS) | t.startswith(LETTERHEAD)
+    return let(line, lambda x: F.contains(x, F.lit("Processo:")) & x.rlike(PAGE_PROCESS) | x.rlike(BANNER_START) & repeated(fold_upper(x)))
 
 
 def strip(c: Column) -> Column:
@@ -116,11 +123,9 @@ def normalize_body(c: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """The section a line opens, or null."""
-    t = strip(line)
-    first = F.regexp_extract(t, r"\p{L}", 0)
-    folded = fold_upper(t)
-    kind = F.coalesce(*(F.when(folded.rlike(p), F.lit(name)) for name, p in HEADINGS))
-    return F.when(F.length(t).between(4, 80) & (first != "") & first.rlike(r"\p{Lu}"), kind)
+    kinds = lambda t: F.coalesce(*(F.when(t.rlike(p), F.lit(name)) for name, p in HEADINGS))
+    # Few lines are short and begin with a capital; only those are folded.
+    return let(strip(line), lambda t: F.when(F.length(t).between(4, 80) & t.rlike(r"^\P{L}*\p{Lu}"), let(fold_upper(t), kinds)))
 
 
 def sentences(c: Column) -> Column:
@@ -160,11 +165,6 @@ def decision_date(c: Column) -> Column:
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def decode_entities(c: Column) -> Column:
     """Numeric and hexadecimal references of valid code points, and the named ones of ENTITIES; others stay as they are."""
     number = lambda m: F.when(m.rlike("^[xX]"), F.conv(F.substr(m, F.lit(2)), 16, 10)).otherwise(m).try_cast("long")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quern import scratch
 from quern.functions import text as X
 from quern.operators.search import K1, B
+from quern.sources.tables import spread
 
 #: Terms of a batch that may be broadcast; beyond them the join is dealt by term.
 MOST_TERMS = 200_000
@@ -33,7 +34,7 @@ class Index:
 
 def _counted(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts and sizes of ``items``(doc, ord, text); the one pass over texts. A null text has no words."""
-    w = items.select(*KEY, X.words(X.fold(F.coalesce("text", F.lit("")))).alias("w"))
+    w = spread(items.select(*KEY, "text")).select(*KEY, X.words(X.fold(F.coalesce("text", F.lit("")))).alias("w"))
     rows = w.select(*KEY, F.size("w").alias("len"), F.explode_outer("w").alias("term")).groupBy("term", *KEY, "len").agg(F.count("term").alias("tf"))
     held = scratch.save(rows, "counted")
     return held.where("term IS NOT NULL").select("term", *KEY, "tf"), held.groupBy(*KEY).agg(F.first("len").alias("len"))

@@ -11,7 +11,7 @@ from quern.functions.embed import BagOfWords
 from quern.operators import index as I
 from quern.operators import search as S
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
@@ -286,7 +286,7 @@ def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
     lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     index = I.of_table(spark, f"{d}/documents.parquet", "lines", lambda: lines)
-    used = lambda df, *c: df.select(*c, EMBEDDER.embed(F.col("text")).alias("v"), F.lit(0).alias("key")).where(F.exists("v", lambda x: x > 0))
+    used = lambda df, *c: spread(df).select(*c, EMBEDDER.embed(F.col("text")).alias("v"), F.lit(0).alias("key")).where(F.exists("v", lambda x: x > 0))
     near = S.vector_topk(used(asked, F.col("item_id").alias("q")), used(lines, "doc", "ord"), S.POOL, same=True, ids=("doc", "ord")).where("score > 0")
     found = S.passage_search(I.search(index, _questions(spark, d)), near).select("q", "doc", F.col("chunk.ord").alias("ord"), "rank", F.round("score", 6).alias("score"))
     return found.join(lines, ["doc", "ord"]).select("q", "doc", "ord", "rank", "score", F.md5("text").alias("passage"))

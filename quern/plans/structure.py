@@ -194,7 +194,29 @@ def q_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+_TOKENS_SQL = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))"
+
+
+#: Greedy packing as recursion over running sums: words of long sentences into units, units into passages. The texts have no headings.
+CHUNKS_CTE = f"""b AS MATERIALIZED (SELECT doc_id, body FROM (SELECT doc_id, {_BODY_SQL} AS body FROM documents) WHERE body <> ''),
+s0 AS (SELECT doc_id, string_split(regexp_replace(body, '([.;:!?])(\\s+)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM b),
+s1 AS (SELECT doc_id, i AS s, p[i] AS piece, sum(length(p[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(p[i]) AS off FROM s0, unnest(range(1, len(p) + 1)) AS t(i)),
+s2 AS MATERIALIZED (SELECT doc_id, s, off + length(piece) - length(ltrim(piece, {_BLANKS})) AS a, trim(piece, {_BLANKS}) AS t, {_TOKENS_SQL.format("piece")} AS n FROM s1 WHERE trim(piece, {_BLANKS}) <> ''),
+w0 AS (SELECT doc_id, s, a, string_split(regexp_replace(t, '(\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS p FROM s2 WHERE n > 64),
+w1 AS (SELECT doc_id, s, i, a + sum(length(p[i])) OVER w - length(p[i]) AS a, a + sum(length(p[i])) OVER w - length(p[i]) + length(rtrim(p[i], {_BLANKS})) AS z, sum({_TOKENS_SQL.format("p[i]")}) OVER w AS n FROM w0, unnest(range(1, len(p) + 1)) AS t(i) WINDOW w AS (PARTITION BY doc_id, s ORDER BY i)),
+w2 AS MATERIALIZED (SELECT doc_id, s, list(a ORDER BY i) AS a, list(z ORDER BY i) AS z, list_prepend(0, list(n ORDER BY i)) AS n FROM w1 GROUP BY doc_id, s),
+w3 AS (SELECT doc_id, s, 0 AS i, greatest(1, len(list_filter(n, lambda x: x <= 64)) - 1) AS j FROM w2
+  UNION ALL SELECT doc_id, s, j, greatest(j + 1, len(list_filter(n, lambda x: x <= n[j + 1] + 64)) - 1) FROM w3 JOIN w2 USING (doc_id, s) WHERE j < len(a)),
+u0 AS (SELECT doc_id, a, a + length(t) AS z, n FROM s2 WHERE n <= 64 UNION ALL SELECT doc_id, a[i + 1], z[j], n[j + 1] - n[i + 1] FROM w3 JOIN w2 USING (doc_id, s)),
+u1 AS (SELECT doc_id, a, z, sum(n) OVER (PARTITION BY doc_id ORDER BY a) AS n FROM u0),
+u AS MATERIALIZED (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, list_prepend(0, list(n ORDER BY a)) AS n FROM u1 GROUP BY doc_id),
+c0 AS (SELECT doc_id, 0 AS ordinal, 0 AS i, greatest(1, len(list_filter(n, lambda x: x <= 510)) - 1) AS j FROM u
+  UNION ALL SELECT doc_id, ordinal + 1, k, greatest(k + 1, len(list_filter(n, lambda x: x <= n[k + 1] + 510)) - 1) FROM
+    (SELECT doc_id, ordinal, n, greatest(i + 1, len(list_filter(n, lambda x: x < n[j + 1] - 64))) AS k FROM c0 JOIN u USING (doc_id) WHERE j < len(a))),
+chunks AS (SELECT doc_id, ordinal::int AS ordinal, 'content' AS section, a[i + 1]::int AS start, z[j]::int AS "end", (n[j + 1] - n[i + 1] + 2)::int AS token_count, substr(body, (a[i + 1] + 1)::bigint, (z[j] - a[i + 1])::bigint) AS passage FROM c0 JOIN u USING (doc_id) JOIN b USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS_CTE} SELECT doc_id, ordinal, section, start, \"end\", token_count, md5(passage) AS passage FROM chunks")
 def q_chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     """Passages of every normalised body, at most 512 tokens with an overlap of 64."""
     docs = table(spark, d, "documents").select("doc_id", X.normalize_body(F.col("text")).alias("text"))

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has no more partitions than there are cores, as with a file of one row group; else as it is.
+
+    For work that costs far more than moving its rows. A large table is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as catalogue entries: the source's precedence, content hash and a publication date."""
     d = table(spark, sf_dir, "documents")

@@ -138,6 +138,13 @@ def test_passages_are_greedy(seed):
             assert count_tokens(body[a:sentence]) + overhead > limit
 
 
+def test_token_starts():
+    rnd = random.Random(1)
+    for _ in range(300):
+        body = "".join(rnd.choice("aZ9_é漢٣²½ⅷ \t\u00a0\u2003\n.,-—😀\u0301") for _ in range(rnd.randrange(60)))
+        assert P.token_starts(body).tolist() == [m.start() for m in re.finditer(P.TOKEN, body)]
+
+
 def test_passages_of_long_texts_take_linear_time():
     for body in ("a" * 1_000_000, "ab-" * 330_000, "palavra " * 120_000, "a. " * 300_000):
         began = time.process_time()
