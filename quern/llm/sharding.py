@@ -61,9 +61,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     """Give every document a shard, a slot in it and its shard after one more is appended.
 
     ``mixed`` hashes the key first, so that runs of neighbouring ids spread evenly. Null
-    text counts as empty (size 1, CRC 0); a null key goes where key 0 goes; repeated keys
-    share a shard and get slots of their own; other columns are not carried. An empty
-    table gives an empty result.
+    text counts as empty (size 1, CRC 0); a null key stays null and goes where the hash of
+    null leads (unmixed: where key 0 goes); repeated keys share a shard and get slots of
+    their own; other columns are not carried. An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = F.coalesce(F.xxhash64(F.col(key)) if mixed else F.col(key).cast("long"), F.lit(0))

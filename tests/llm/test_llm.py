@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from tokenizers import Tokenizer
 
@@ -546,6 +547,11 @@ def test_shards(mixed_docs, no_docs):
     assert len(got) == mixed_docs.count()
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
+    # The key is Spark's own hash of the id, XXH64 with seed 42; that of null is the seed.
+    keys = [42 if np.isnan(i) else xxhash.xxh64_intdigest(struct.pack("<q", int(i)), 42) for i in got.doc_id]
+    assert got.shard.tolist() == [jump(k, 4) for k in keys] and got.grown_shard.tolist() == [jump(k, 5) for k in keys]
+    plain = sharding.shard_documents(mixed_docs, 4, mixed=False).toPandas()
+    assert plain.shard.tolist() == [jump(0 if np.isnan(i) else int(i), 4) for i in plain.doc_id]
     moved = got[got.shard != got.grown_shard]
     assert (moved.grown_shard == 4).all()
     bodies = [(r["text"] or "").encode() for r in mixed_docs.collect()]
@@ -849,6 +855,22 @@ def test_stages(spark, sf):
 
 def test_stages_on_awkward_documents(spark, tmp_path, mixed_docs):
     spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (mixed_docs, mixed_docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, str(tmp_path)).count()
+    columns = list(corpus_pipeline.COLUMNS)
+    rows = {r["doc_id"]: r["text"] for r in mixed_docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, mixed_docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, mixed_docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == columns and {r["doc_id"] for r in got} <= set(rows)
+        if name == "substring dedup":
+            assert len(got) == mixed_docs.count()
+            assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+        else:
+            assert all(r["text"] == rows[r["doc_id"]] for r in got)
+        if name == "mixing sources":
+            assert {r["doc_id"] for r in got} == set(rows)
+        if name == "minhash near-dedup":
+            assert None in {r["doc_id"] for r in got} and sum(r["text"] == "tie tie tie" for r in got) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, mixed_docs, str(tmp_path)).toPandas()
+    assert len(packed[packed.piece == 0]) == mixed_docs.count() and packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert corpus_pipeline.STAGES[-1][1](spark, mixed_docs.limit(0), str(tmp_path)).count() == 0
