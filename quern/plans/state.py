@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import catalogue_ops as C
+from quern.operators.stats import nearest_rank
 from quern.plans.registry import query
 from quern.sources.tables import CORPUS_SQL, corpus, table
 
@@ -174,8 +175,9 @@ def q_budget_cutoff(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS largest, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def q_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("largest"), F.round(F.avg("value"), 6).alias("mean"))
+    e = table(spark, d, "events")
+    rest = e.groupBy("event_type").agg(F.max("value").alias("largest"), F.round(F.avg("value"), 6).alias("mean"))
+    return nearest_rank(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}).join(rest, "event_type")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM events, unnest(json_keys(props)) AS t(k)")

@@ -14,6 +14,7 @@ from quern.operators import evaluation as E
 from quern.operators import index as I
 from quern.operators import search as S
 from quern.operators import sections as P
+from quern.operators.stats import nearest_rank
 from quern.sources import listings as L
 from quern.sources import tables
 from quern.streaming import incremental
@@ -205,6 +206,18 @@ def test_index_is_kept_up_to_date(spark):
     assert {r["term"] for r in after.counts.collect()} == {"novo", "texto", "dois", "cinco"}
 
 
+def test_nearest_rank(spark):
+    rnd = random.Random(7)
+    rows = [(k, rnd.choice([1.5, 2.5, rnd.random() * 100, 7.0])) for k in "abc" for _ in range(rnd.randrange(1, 60))] + [("same", 3.0)] * 5 + [("none", None), (None, 4.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["x"], r["y"]) for r in nearest_rank(df, "k", "v", {"x": 0.5, "y": 0.95}, cells=4).collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        v = sorted(x for n, x in rows if n == k and x is not None)
+        want[k] = tuple(v[max(1, -(-len(v) * p // 100)) - 1] for p in (50, 95))
+    assert got == want
+
+
 def test_bag_of_words(spark):
     df = spark.createDataFrame([("Ação ação de",), ("",), (None,), ("xy",)], "t string").select(BagOfWords(16).embed(F.col("t")).alias("v"))
     a, b, c, d = (r["v"] for r in df.collect())
