@@ -49,6 +49,12 @@ def backoff(attempt: Column, first: float, most: float) -> Column:
     return F.least(F.lit(first) * F.pow(F.lit(2.0), attempt), F.lit(most))
 
 
+def spacing(requests: DataFrame, key: str, start: str, end: str, least: float) -> DataFrame:
+    """Requests that begin less than ``least`` seconds after the end of their key's one before, with that ``gap``; times in seconds."""
+    w = Window.partitionBy(key).orderBy(start, end)
+    return requests.withColumn("gap", F.col(start) - F.lag(end).over(w)).where(F.col("gap") < least)
+
+
 def within_budget(items: DataFrame, group: str, order: tuple[str, ...], size: str, budget: float) -> DataFrame:
     """Items in the order of (group, order) before the running sum of sizes first passes ``budget``, with that sum as ``used``.
 

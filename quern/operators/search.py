@@ -54,6 +54,22 @@ def bm25(docs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) ->
     return hits.groupBy("q", "doc").agg(F.sum(one).alias("score"))
 
 
+def askable(questions: DataFrame, body: str, limit: int) -> DataFrame:
+    """Questions that have words; none if nothing is to be returned."""
+    return questions.where(F.lit(limit > 0) & (F.coalesce(F.trim(body), F.lit("")) != ""))
+
+
+def responses(hits: DataFrame) -> DataFrame:
+    """(q, n, body): the hits(q, rank, id, url, title, score) of each question as one JSON text, in order.
+
+    Hits without id or title, and links that are not https, are left out. A list is at most
+    as long as the limit of the search that found it.
+    """
+    shown = hits.where(F.col("id").isNotNull() & (F.coalesce(F.trim("title"), F.lit("")) != "") & F.coalesce(F.lower("url").startswith("https://"), F.lit(False)))
+    one = F.struct("rank", F.col("id").cast("string").alias("id"), "title", "url", F.bround("score", 6).alias("score"))
+    return shown.groupBy("q").agg(F.array_sort(F.collect_list(one)).alias("h")).select("q", F.size("h").cast("long").alias("n"), F.to_json("h").alias("body"))
+
+
 def passage_search(postings_hits: DataFrame, near: DataFrame, pool: int = POOL, limit: int = LIMIT) -> DataFrame:
     """(q, doc, chunk, rank, score) for scored passages (q, doc, ord, score) of a keyword and (q, doc, ord, rank) of a vector search."""
     keyword = top(postings_hits, pool, F.round("score", 9).desc(), "doc", "ord")

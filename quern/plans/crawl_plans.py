@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scratch
+from quern.functions import urls as U
 from quern.operators import catalogue_ops as C
 from quern.operators import crawl as K
 from quern.operators import search as S
 from quern.plans.registry import query
 from quern.plans.retrieval import BM25_CTE, bm25
+from quern.sources import bodies
 from quern.sources.tables import table
 from quern.streaming import incremental
 
@@ -59,6 +62,41 @@ def q_cached_fallback(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", F.md5("text").alias("body"), "from_cache")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, epoch(ts)::bigint AS s, epoch(ts)::bigint + value::bigint AS z FROM events)
+SELECT user_id, event_id, s - lag(z) OVER w AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, z) QUALIFY gap < 300""")
+def q_spacing_from_end(spark: SparkSession, d: str) -> DataFrame:
+    """Events that begin less than five minutes after the end of the user's one before."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 0.5).cast("long")
+    e = table(spark, d, "events").select("user_id", "event_id", at.alias("s"), (at + F.rint("value")).cast("long").alias("z"))
+    return K.spacing(e, "user_id", "s", "z", 300).select("user_id", "event_id", "gap")
+
+
+@query("SELECT source, 'd' || doc_id AS id, sha256(text) AS sha FROM documents")
+def q_manifest_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as manifests of a thousand entries at most, scanned and checked again."""
+    n = F.floor(F.col("doc_id") / 1000)
+    entry = F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.sha2("text", 256).alias("sha"))
+    parts = table(spark, d, "documents").groupBy("source", n.alias("n")).agg(F.collect_list(entry).alias("entries"))
+    path = f"{scratch.scratch_dir(spark)}/{incremental.fresh_name('manifest')}"
+    parts.select(F.lit(bodies.VERSION).alias("version"), "source", "entries").write.json(path)
+    return bodies.manifest(spark, path).select("source", "id", "sha")
+
+
+@query("SELECT label::bigint AS label, count(*)::bigint AS questions, sum(len(embedding))::bigint AS expected FROM embeddings GROUP BY 1")
+def q_question_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as questions that expect their components: how many questions and expected values each class has."""
+    return table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("questions"), F.sum(F.size("embedding")).cast("long").alias("expected"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS q, url, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) ORDER BY page_id) AS rank FROM pages),
+k AS (SELECT * FROM p WHERE rank <= 10 AND url LIKE 'https://%' AND page_id % 7 > 0)
+SELECT q, count(*)::bigint AS n, '[' || string_agg('{"rank":' || rank || ',"id":"' || page_id || '","title":"page ' || page_id || '","url":"' || url || '","score":' || rank / 8 || '}', ',' ORDER BY rank) || ']' AS body FROM k GROUP BY q""")
+def q_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Ten pages of each host as a search's answer: hits without title or with another scheme are left out."""
+    p = table(spark, d, "pages").select(U.part(F.col("url"), "HOST").alias("q"), F.col("page_id").alias("id"), "url", F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("title"))
+    return S.responses(S.top(p, 10, "id").withColumn("score", F.col("rank") / 8))
+
+
 _KEYS_SQL = "r AS (SELECT doc_id AS id, sha256('v1' || chr(10) || text) AS want FROM documents WHERE doc_id % 11 > 0), s AS (SELECT doc_id AS id, sha256('v1' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'old ' ELSE '' END || text) AS chunk_key, 3 AS chunks, CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 3 END AS vectors FROM documents WHERE doc_id % 6 > 0)"
 
 

@@ -15,6 +15,7 @@ from quern.operators import index as I
 from quern.operators import search as S
 from quern.operators import sections as P
 from quern.operators.stats import nearest_rank
+from quern.sources import bodies
 from quern.sources import listings as L
 from quern.sources import tables
 from quern.streaming import incremental
@@ -270,6 +271,23 @@ def test_documents_of_many_lines(spark):
     assert {(r["doc"], r["chunk"]["ord"]) for r in S.one_passage(lists).collect()} == {(5, 100_001), (6, 1)}
 
 
+def test_manifests_and_bodies(spark, tmp_path):
+    good = '{"version": 1, "source": "s", "entries": [{"id": "a-1", "file": "a-1.txt", "sha": "x"}]}'
+    (tmp_path / "good.json").write_text(good + "\n")
+    assert [tuple(r) for r in bodies.manifest(spark, str(tmp_path / "good.json")).collect()] == [("s", "a-1", "a-1.txt", "x")]
+    for name, text in (("version", good.replace("1,", "2,", 1)), ("missing", good.replace('"version": 1, ', "")), ("id", good.replace("a-1", "A/1"))):
+        (tmp_path / f"{name}.json").write_text(text + "\n")
+        with pytest.raises(Exception, match="manifest version|not an id"):
+            bodies.manifest(spark, str(tmp_path / f"{name}.json")).collect()
+    (tmp_path / "a-1.txt").write_text("linha um\nlinha dois\n", encoding="utf-8")
+    assert [tuple(r) for r in bodies.bodies(spark, str(tmp_path)).collect()] == [("a-1", "linha um\nlinha dois\n")]
+
+
+def test_questions_that_can_be_asked(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "  "), (3, None)], "q long, t string")
+    assert [r["q"] for r in S.askable(df, "t", 5).collect()] == [1] and S.askable(df, "t", 0).count() == 0
+
+
 def test_streamed_index_of_null_texts(spark, tmp_path):
     rows = [(1, "a"), (2, None), (None, "x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
