@@ -10,7 +10,7 @@ from quern.functions import urls as U
 from quern.operators import search as S
 from quern.operators import sections as P
 from quern.plans.registry import query
-from quern.plans.retrieval import TERMS_CTE, bm25, documents_index
+from quern.plans.retrieval import BM25_CTE, TERMS_CTE, bm25, documents_index
 from quern.sources.tables import table
 
 _HREF = r"""(?i)href\s*=\s*['"]([^'"]+)['"]"""
@@ -266,7 +266,22 @@ def q_highlight_counts(spark: SparkSession, d: str) -> DataFrame:
     return held.join(terms, "term").groupBy("q", F.col("doc").alias("doc_id")).agg(F.sum("tf").cast("long").alias("n"))
 
 
-@query()
+_EXCERPT_SQL = f"""WITH {BM25_CTE}, top AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25),
+f AS MATERIALIZED (SELECT q, doc_id, translate(coalesce(text, ''), chr(13) || chr(10) || chr(9), '   ') AS t FROM top JOIN documents ON doc_id = doc WHERE rank <= 3),
+p AS (SELECT q, doc_id, string_split(regexp_replace(t, '([\\p{{L}}\\p{{N}}]+)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM f),
+w AS (SELECT q, doc_id, i, split_part(p[i], chr(2), 1) AS w, sum(length(replace(p[i], chr(2), ''))) OVER (PARTITION BY q, doc_id ORDER BY i) - length(replace(p[i], chr(2), '')) AS s FROM p, unnest(range(1, len(p) + 1)) AS t(i)),
+m AS MATERIALIZED (SELECT DISTINCT q, doc_id, s, s + length(w) AS z FROM w JOIN terms USING (q) WHERE i > 1 AND strip_accents(lower(w)) = term),
+o AS (SELECT q, doc_id, 0::hugeint AS a, -1::hugeint AS s FROM f UNION ALL SELECT q, doc_id, greatest(0, s - 60), s FROM m),
+g AS (SELECT o.q, o.doc_id, o.a, o.s, any_value(length(t)) AS len, count(m.s) AS held FROM o JOIN f USING (q, doc_id) LEFT JOIN m ON m.q = o.q AND m.doc_id = o.doc_id AND m.s >= o.a AND m.z <= least(o.a + 280, length(t)) GROUP BY o.q, o.doc_id, o.a, o.s),
+n AS (SELECT *, least(a + 280, len) AS b, held - CASE WHEN s < 0 THEN 0 ELSE 1 END AS n FROM g),
+c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY q, doc_id ORDER BY n DESC, s) = 1),
+x AS (SELECT q, doc_id, t, CASE WHEN length(t) <= 280 THEN 0 ELSE a END::bigint AS a, CASE WHEN length(t) <= 280 THEN length(t) ELSE b END::bigint AS b FROM c JOIN f USING (q, doc_id)),
+y AS (SELECT q, doc_id, t, CASE WHEN a > 0 AND contains(substr(t, a + 1, b - a), ' ') THEN a + strpos(substr(t, a + 1, b - a), ' ') ELSE a END AS a, b FROM x),
+v AS (SELECT q, doc_id, t, a, CASE WHEN b < length(t) AND contains(substr(t, a + 2, b - a), ' ') THEN b + 1 - strpos(reverse(substr(t, a + 2, b - a)), ' ') ELSE b END AS b FROM y)
+SELECT q, doc_id, a::int AS start, b::int AS "end", (SELECT count(*) FROM m WHERE m.q = v.q AND m.doc_id = v.doc_id AND m.s >= v.a AND m.z <= v.b)::int AS marks, regexp_replace(substr(t, a + 1, b - a), ' {{2,}}', ' ', 'g') AS excerpt, a > 0 AS before, b < length(t) AS after FROM v"""
+
+
+@query(_EXCERPT_SQL)
 def q_excerpt_window(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts of the best documents of every question."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
