@@ -307,8 +307,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         sets = scratch.save(sets.withColumn("_x", F.xxhash64("items")).dropDuplicates(["id", "_x"]).drop("_x"), "sets")
     # Lengths alone rule out many pairs before their sets are joined.
     n_of = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
-    fit = pairs.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.least("n_id", "n_lead") >= percent * F.greatest("n_id", "n_lead"))
-    found = _with_sets(fit.select("lead", "id").distinct(), sets).select("lead", "id", "items", "items_lead").mapInArrow(_overlaps, "lead long, id long, n_lead long, n long, both long")
+    near = pairs.join(n_of("id"), "id").join(n_of("lead"), "lead").where(100 * F.least("n_id", "n_lead") >= percent * F.greatest("n_id", "n_lead"))
+    fit = scratch.save(near.select("lead", "id"), "fit").distinct()  # an id with several texts has several lengths
+    found = _with_sets(fit, sets).select("lead", "id", "items", "items_lead").mapInArrow(_overlaps, "lead long, id long, n_lead long, n long, both long")
     linked = found.where(100 * F.col("both") >= percent * (F.col("n_lead") + F.col("n") - F.col("both")))
     links = scratch.save(linked.select(F.col("lead").alias("a"), F.col("id").alias("b")), "verified")
     labels = components(links)
