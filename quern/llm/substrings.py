@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from quern.llm import memory, words
 
 WINDOW = 13
-#: Bytes of text in a block, cells of a slice as a power of two, rows of the sketch, cells a window in a row.
-BLOCK_BYTES, SLICE_BITS, ROWS, CELLS = 8 << 20, 22, 2, 4
+#: Cells of a slice as a power of two, rows of the sketch, cells a window in a row.
+SLICE_BITS, ROWS, CELLS = 22, 2, 4
+#: Bytes of text in a block, at least and at most: the text's 512th part between them.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 16 << 20, 512
 
 _U = np.uint64
 _MAX, _MIN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -238,7 +240,7 @@ def _remover(window: int, carry: tuple[str, ...] = ()):
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slice_bits: int = SLICE_BITS, rows: int = ROWS, cells: int = CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int | None = None, slice_bits: int = SLICE_BITS, rows: int = ROWS, cells: int = CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and new_text of every row, and the columns ``carry``.
 
     A word goes if a run of ``window`` words that covers it also starts in a document with
@@ -249,6 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     where nothing went. An empty table gives no rows.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, total // BLOCKS))
     blocks = max(1, -(-total // block_bytes))
     slices = max(1, -(-total * cells // (6 << slice_bits)))  # a word takes six bytes about
     parts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
