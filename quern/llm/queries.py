@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
+from quern.llm import bpe, html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
 from quern.llm.oracles import SQL
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,15 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op12_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the text that they decode to, as counts and digests."""
+    tokens = bpe.decode_documents(bpe.encode_documents(_read(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -92,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_masked_lm": op8_masked_lm,
         "op9_imatch": op9_imatch,
         "op10_superminhash": op10_superminhash,
+        "op12_forced_cuts": op12_forced_cuts,
     }
 
 
