@@ -38,4 +38,21 @@ links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id
 reach AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.c)
 SELECT doc_id, n AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept FROM n JOIN reach ON a = doc_id GROUP BY doc_id, n"""
 
-SQL = {"op1_line_blocks": OP1, "op5_count_min": OP5, "op6_vp_tree": OP6, "op10_superminhash": OP10}
+#: Each order's steps by what every mask of failures means for them.
+OP13 = f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, {_WORDS.format("t")} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+m AS (SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN first < doc_id THEN 'E' ELSE '' END) AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT part, o, k, fails, n, good, toxic, contains(fails, o[k]) AS hit, regexp_matches(fails, '[' || o[1:k - 1] || '-]') AS gone FROM c, o, range(1, 6) AS r(k)),
+a AS (SELECT part, o AS filter_order, k::int AS step, o[k] AS f, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::bigint AS kept,
+  sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::bigint AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::bigint AS redundant,
+  sum(CASE WHEN fails = o[k] THEN n ELSE 0 END)::bigint AS unique_fails, sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::bigint AS good_lost,
+  sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::bigint AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::bigint AS shapley FROM a"""
+
+SQL = {"op1_line_blocks": OP1, "op5_count_min": OP5, "op6_vp_tree": OP6, "op10_superminhash": OP10, "op13_shapley": OP13}

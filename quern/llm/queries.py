@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import bpe, html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
+from quern.llm import audit, bpe, html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
 from quern.llm.oracles import SQL
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,11 @@ def op12_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in all their orders and in every source."""
+    return audit.interactions(audit.masks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_imatch": op9_imatch,
         "op10_superminhash": op10_superminhash,
         "op12_forced_cuts": op12_forced_cuts,
+        "op13_shapley": op13_shapley,
     }
 
 
