@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import audit, bpe, html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
+from quern.llm import audit, bpe, conversations, html_text, imatch, masked_lm, mixing, neardup, packing, quality, sharding, substrings, vptree
 from quern.llm.oracles import SQL
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,11 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op11_tensor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after a fixed damage: its faults and the cheapest edits that mend it."""
+    return conversations.summaries(conversations.damage(_read(spark, sf_dir, "conversations")))
+
+
 def op12_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the text that they decode to, as counts and digests."""
     tokens = bpe.decode_documents(bpe.encode_documents(_read(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_masked_lm": op8_masked_lm,
         "op9_imatch": op9_imatch,
         "op10_superminhash": op10_superminhash,
+        "op11_tensor_repair": op11_tensor_repair,
         "op12_forced_cuts": op12_forced_cuts,
         "op13_shapley": op13_shapley,
     }
