@@ -7,7 +7,8 @@ its terms, broadcast after their number is checked, with three columns of the po
 
 from __future__ import annotations
 
-import hashlib
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,17 +78,40 @@ def search(index: Index, terms: DataFrame, allowed: DataFrame | None = None) ->
     return hits.groupBy("q", *KEY).agg(F.sum("weight").alias("score"))
 
 
-_known: dict[tuple[str, str], Index] = {}
+def store(index: Index, path: str) -> None:
+    """Keep counts and sizes in a folder: format 1 of a written index, which ``segments.open_index`` lifts."""
+    index.counts.write.parquet(f"{path}/counts")
+    index.sizes.write.parquet(f"{path}/sizes")
 
 
-def of_table(spark: SparkSession, path: str, kind: str, items) -> Index:
-    """The index of a table's items, built when an application first asks for it and again when a file of the table has changed.
+#: Written forms of tables that a session keeps at once; the one used longest ago goes.
+KEPT = 6
+_known: OrderedDict[tuple[str, str], tuple[object, list[DataFrame]]] = OrderedDict()
 
-    ``items`` makes (doc, ord, text) and is only called to build.
+
+def of_table(spark: SparkSession, path: str, kind: str, make: Callable[[], tuple[object, list[DataFrame]]]) -> object:
+    """What ``make`` builds of a table, built when an application first asks for it and again when a file of the table has changed or its own files are gone.
+
+    ``make`` gives the thing and the written tables that it lives in.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").cast("string")).collect()  # names only
-    state = hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()
-    key = (spark.sparkContext.applicationId, f"{kind} {state}")
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    key = (spark.sparkContext.applicationId, f"{kind} {path} {tuple(state)}")
+    if key in _known and not all(map(scratch.exists, _known[key][1])):
+        del _known[key]
     if key not in _known:
-        _known[key] = build(items())
-    return _known[key]
+        _known[key] = make()
+        while len(_known) > KEPT:
+            scratch.drop(*_known.popitem(last=False)[1][1])
+    _known.move_to_end(key)
+    return _known[key][0]
+
+
+def of_items(spark: SparkSession, path: str, kind: str, items: Callable[[], DataFrame]) -> Index:
+    """The index of a table's items(doc, ord, text)."""
+
+    def make() -> tuple[Index, list[DataFrame]]:
+        index = build(items())
+        return index, [index.counts, index.sizes, index.postings]
+
+    return of_table(spark, path, kind, make)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.embed import BagOfWords
+from quern import scratch
 from quern.operators import index as I
 from quern.operators import search as S
+from quern.operators import segments as G
 from quern.plans.registry import query
 from quern.sources.tables import spread, table
 
@@ -46,7 +48,23 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def documents_index(spark: SparkSession, d: str) -> I.Index:
     """Postings of all documents, built once for a table."""
-    return I.of_table(spark, f"{d}/documents.parquet", "documents", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text"))
+    return I.of_items(spark, f"{d}/documents.parquet", "documents", lambda: _items(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text")
+
+
+def segmented(spark: SparkSession, d: str) -> G.SegmentIndex:
+    """The segmented index of all documents, built once for a table."""
+
+    def make() -> tuple[G.SegmentIndex, list[DataFrame]]:
+        index = G.build(_items(spark, d), scratch.folder(spark, "segments"))
+        held = index.table("totals")
+        held._quern_path = index.path
+        return index, [held]
+
+    return I.of_table(spark, f"{d}/documents.parquet", "segments", make)
 
 
 def bm25(spark: SparkSession, d: str, allowed: DataFrame | None = None) -> DataFrame:
@@ -211,25 +229,60 @@ w AS (SELECT term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 /
 SELECT term, count(*)::bigint AS df, round(max(w), 6) AS most, round(avg(w), 6) AS mean FROM w GROUP BY term"""
 
 
-def _shown(index: I.Index) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.max("weight"), 6).alias("most"), F.round(F.avg("weight"), 6).alias("mean"))
+def _shown(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.max("weight"), 6).alias("most"), F.round(F.avg("weight"), 6).alias("mean"))
 
 
 @query(_INDEX_SQL)
 def q_index_build(spark: SparkSession, d: str) -> DataFrame:
-    """Every term of the written index: documents, largest and mean weight."""
-    return _shown(documents_index(spark, d))
+    """A segmented index built anew: of every term its documents, largest and mean weight."""
+    return _shown(G.weights(G.build(_items(spark, d), scratch.folder(spark, "built"))))
 
 
-@query(_INDEX_SQL)
-def q_index_update(spark: SparkSession, d: str) -> DataFrame:
-    """The same after an index of older texts, with documents since removed, is brought up to date."""
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text")
+def _older(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, those with other words before, an older state of all with documents since removed)."""
+    items = _items(spark, d)
     stale = F.col("doc") % 3 == 0
     older = items.withColumn("text", F.when(stale, F.concat(F.lit("older words of "), F.reverse("text"))).otherwise(F.col("text")))
     gone = items.where(F.col("doc") % 7 == 0).withColumn("doc", -1 - F.col("doc"))
-    before = I.build(older.unionByName(gone))
-    return _shown(I.update(before, items.where(stale), gone.select("doc")))
+    return items.where(stale), gone.select("doc"), older.unionByName(gone)
+
+
+@query(_INDEX_SQL)
+def q_index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The same after an index of older texts, with documents since removed, is brought up to date by one more segment."""
+    changed, gone, older = _older(spark, d)
+    return _shown(G.weights(G.add(G.build(older, scratch.folder(spark, "updated")), changed, gone)))
+
+
+@query(_INDEX_SQL)
+def q_index_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same after six updates, among them removals and documents that change twice, and the merges that are due."""
+    changed, gone, older = _older(spark, d)
+    n = F.pmod("doc", F.lit(4))
+    index = G.build(older.where(n == 0), scratch.folder(spark, "merged"))
+    for k in (1, 2, 3):
+        index = G.add(index, older.where(n == k))
+    index = G.merge(G.add(index, changed.where(n > 1).withColumn("text", F.lit("words between"))))
+    return _shown(G.weights(G.merge(G.add(index, changed, gone))))
+
+
+@query(_INDEX_SQL)
+def q_index_migrate(spark: SparkSession, d: str) -> DataFrame:
+    """The same of an index of the first format, which is lifted when it is opened."""
+    path = scratch.folder(spark, "format-1")
+    I.store(documents_index(spark, d), path)
+    return _shown(G.weights(G.open_index(spark, path)))
+
+
+_TOP10_SQL = f"WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 10"
+
+
+@query(_TOP10_SQL)
+def q_bm25_blockmax(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every question, windows whose bound falls short of the tenth unread."""
+    found = G.search(segmented(spark, d), _questions(spark, d), S.LIMIT)
+    return S.best_first(found.hits, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM bm25) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 100")
@@ -285,7 +338,7 @@ def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
     """Lines as passages: keyword and vector lists of them, fused to documents, each with its best passage and its text."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
     lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    index = I.of_table(spark, f"{d}/documents.parquet", "lines", lambda: lines)
+    index = I.of_items(spark, f"{d}/documents.parquet", "lines", lambda: lines)
     used = lambda df, *c: spread(df).select(*c, EMBEDDER.embed(F.col("text")).alias("v"), F.lit(0).alias("key")).where(F.exists("v", lambda x: x > 0))
     near = S.vector_topk(used(asked, F.col("item_id").alias("q")), used(lines, "doc", "ord"), S.POOL, same=True, ids=("doc", "ord")).where("score > 0")
     found = S.passage_search(I.search(index, _questions(spark, d)), near).select("q", "doc", F.col("chunk.ord").alias("ord"), "rank", F.round("score", 6).alias("score"))

@@ -47,6 +47,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the application ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _live[path] = spark
+    return path
+
+
+def exists(saved: DataFrame) -> bool:
+    """Whether the files of a table made by :func:`save` are still there."""
+    spark = saved.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved._quern_path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop(*saved: DataFrame) -> None:
     """Delete tables made by :func:`save` that no later plan reads."""
     for df in saved:
