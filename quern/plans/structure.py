@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import urls as U
+from quern.functions.counters import Pieces
 from quern.operators import search as S
 from quern.operators import sections as P
 from quern.plans.registry import query
@@ -223,6 +224,32 @@ def q_chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return P.chunk_table(docs).select("doc_id", "ordinal", "section", "start", "end", "token_count", F.md5("text").alias("passage"))
 
 
+#: Pieces of a small vocabulary, some with the blank before them: a counter over it does not add up.
+PIECES = tuple(" de| la| le| the| of| and| und| die| der| que| en| a| o|tion|ment|ing|ung|ich|ein|est|ent|ion|eau|que|aux|re|er|an|on|in|es|th|ou|ai|ch|. |, ".split("|"))
+_PIECES_SQL = "len(regexp_extract_all({}, '(?s)" + "|".join(sorted(PIECES, key=lambda p: (-len(p), p))).replace(".", "\\.") + "|.'))"
+#: As CHUNKS_CTE, but every passage is counted whole: the most units whose text fits. Its words are short, so a unit always fits.
+_RECOUNT_CTE = (
+    CHUNKS_CTE.replace(_TOKENS_SQL.format("piece"), _PIECES_SQL.format(f"trim(piece, {_BLANKS})"))
+    .replace(_TOKENS_SQL.format("p[i]"), _PIECES_SQL.format(f"rtrim(p[i], {_BLANKS})"))
+    .replace("SELECT doc_id, 0 AS ordinal, 0 AS i, greatest(1, len(list_filter(n, lambda x: x <= 510)) - 1) AS j FROM u\n", "SELECT doc_id, 0 AS ordinal, 0 AS i, FITS(0, greatest(1, len(list_filter(n, lambda x: x <= 510)) - 1)) AS j FROM u JOIN b USING (doc_id)\n")
+    .replace("SELECT doc_id, ordinal + 1, k, greatest(k + 1, len(list_filter(n, lambda x: x <= n[k + 1] + 510)) - 1) FROM", "SELECT doc_id, ordinal + 1, k, FITS(k, greatest(k + 1, len(list_filter(n, lambda x: x <= n[k + 1] + 510)) - 1)) FROM")
+    .replace("(SELECT doc_id, ordinal, n, greatest(i + 1,", "(SELECT doc_id, ordinal, n, a, z, body, greatest(i + 1,")
+    .replace("AS k FROM c0 JOIN u USING (doc_id) WHERE j < len(a)))", "AS k FROM c0 JOIN u USING (doc_id) JOIN b USING (doc_id) WHERE j < len(a)))")
+    .replace("(n[j + 1] - n[i + 1] + 2)::int AS token_count", "(" + _PIECES_SQL.format("substr(body, (a[i + 1] + 1)::bigint, (z[j] - a[i + 1])::bigint)") + " + 2)::int AS token_count")
+)
+for _i in ("0", "k"):
+    _most = f"greatest({'1' if _i == '0' else 'k + 1'}, len(list_filter(n, lambda x: x <= {'510' if _i == '0' else 'n[k + 1] + 510'})) - 1)"
+    _fits = _PIECES_SQL.format(f"substr(body, (a[{_i} + 1] + 1)::bigint, (z[y] - a[{_i} + 1])::bigint)")
+    _RECOUNT_CTE = _RECOUNT_CTE.replace(f"FITS({_i}, {_most})", f"list_max(list_filter(range({_i} + 1, {_most} + 1), lambda y: {_fits} <= 510))")
+
+
+@query(f"WITH RECURSIVE {_RECOUNT_CTE} SELECT doc_id, ordinal, section, start, \"end\", token_count, md5(passage) AS passage FROM chunks")
+def q_chunk_recount(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of every normalised body by a counter that does not add up, each counted whole."""
+    docs = table(spark, d, "documents").select("doc_id", X.normalize_body(F.col("text")).alias("text"))
+    return P.chunk_table(docs, counter=Pieces(PIECES)).select("doc_id", "ordinal", "section", "start", "end", "token_count", F.md5("text").alias("passage"))
+
+
 @query(f"""WITH {_LINES_SQL}, n AS (SELECT doc_id, pos, length(line) AS n_chars, len(string_split(line, ' ')) AS tokens FROM l),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - tokens AS before FROM n)
 SELECT doc_id, (before // 128)::bigint AS bucket, min(pos) AS first_line, max(pos) AS last_line, sum(tokens)::bigint AS tokens FROM c GROUP BY ALL""")
