@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import scan
+
 
 def canonical(entries: DataFrame, key: str = "doc_id", content: str = "sha", precedence: str = "precedence") -> DataFrame:
     """``entries`` with canonical_id: equal contents of different sources merge into the earliest source.
@@ -50,18 +52,25 @@ def changed(new: DataFrame, old: DataFrame, key: str, columns: tuple[str, ...])
     return new.join(o, new[key] == F.col("_k"), "left").where(differs).withColumn("change", F.when(F.col("_k").isNull(), "new").otherwise("changed")).drop("_k", "_was")
 
 
-def islands(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], inside: Column, least: int) -> DataFrame:
-    """Streaks of at least ``least`` rows that are ``inside``, in order: keys, first and last order value, length."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_island", F.sum((~F.col("_in")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streaks = marked.where("_in").groupBy(*keys, "_island").agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("n"))
+def islands(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], inside: Column, least: int, ranges: int | None = None) -> DataFrame:
+    """Streaks of at least ``least`` rows that are ``inside``, in order: keys, first and last order value, length.
+
+    A streak is named by how many rows before it are outside, a running sum in two levels.
+    """
+    marked = rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    numbered = scan.running(marked, keys, order, ranges, _island=scan.total((~F.col("_in")).cast("long")))
+    streaks = numbered.where("_in").groupBy(*keys, "_island").agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("n"))
     return streaks.where(F.col("n") >= least).drop("_island")
 
 
-def merged_intervals(rows: DataFrame, keys: tuple[str, ...], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of each key as one: keys, start, end, n."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = rows.withColumn("_new", (before.isNull() | (F.col(start) > before)).cast("int"))
-    numbered = gap.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_g")
+def merged_intervals(rows: DataFrame, keys: tuple[str, ...], start: str, end: str, ranges: int | None = None) -> DataFrame:
+    """Overlapping or touching intervals of each key as one: keys, start, end, n.
+
+    An interval that begins after all before it have ended opens a group; starts rise, so
+    the latest opening start names the group of a row.
+    """
+    by = (start, end)
+    reach = scan.over(scan.ranged(rows, keys, by, ranges), keys, by, _before=scan.most(end, before=True))
+    opens = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), F.col(start))
+    named = scan.over(reach, keys, by, _g=scan.most(opens))
+    return named.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_g")

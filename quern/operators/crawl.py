@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import scan
+
 #: States of an entry, and the ones that a run takes up again.
 PENDING, DOWNLOADED, EXTRACTED, SKIPPED, FAILED = "Pending", "Downloaded", "Extracted", "ScannedSkipped", "Failed"
 
@@ -49,24 +51,18 @@ def backoff(attempt: Column, first: float, most: float) -> Column:
     return F.least(F.lit(first) * F.pow(F.lit(2.0), attempt), F.lit(most))
 
 
-def spacing(requests: DataFrame, key: str, start: str, end: str, least: float) -> DataFrame:
+def spacing(requests: DataFrame, key: str, start: str, end: str, least: float, ranges: int | None = None) -> DataFrame:
     """Requests that begin less than ``least`` seconds after the end of their key's one before, with that ``gap``; times in seconds."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    return requests.withColumn("gap", F.col(start) - F.lag(end).over(w)).where(F.col("gap") < least)
+    followed = scan.running(requests, (key,), (start, end), ranges, _ended=scan.previous(end))
+    return followed.withColumn("gap", F.col(start) - F.col("_ended")).where(F.col("gap") < least).drop("_ended")
 
 
-def within_budget(items: DataFrame, group: str, order: tuple[str, ...], size: str, budget: float) -> DataFrame:
+def within_budget(items: DataFrame, group: str, order: tuple[str, ...], size: str, budget: float, ranges: int | None = None) -> DataFrame:
     """Items in the order of (group, order) before the running sum of sizes first passes ``budget``, with that sum as ``used``.
 
-    Groups are summed first and only their sums are ordered together; a group's own items
-    are ordered in a task of their own.
+    The sum runs over ranges of all items, so a group of any size is dealt over them.
     """
-    sums = items.groupBy(group).agg(F.sum(size).alias("_sum"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select(F.col(group).alias("_g"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
-    inside = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ran = items.join(offset, F.col(group).eqNullSafe(F.col("_g"))).withColumn("used", F.col("_before") + F.sum(size).over(inside))
-    return ran.where(F.col("used") <= budget).drop("_g", "_before")
+    return scan.running(items, (), (group, *order), ranges, used=scan.total(size)).where(F.col("used") <= budget)
 
 
 def newest_or_cached(new: DataFrame, cached: DataFrame, key: str, body: str) -> DataFrame:
