@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +21,6 @@ STOP_WORDS = (
     "ser seu seus sua suas sao sem sobre tem ter um uma uns umas eh devo deve sim tambem so"
 ).split()
 
-# Latin letters with marks and their plain forms; others go through fold_exact.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
 # Heading grammar on folded (upper-case, mark-free) lines.
 _NUMBERING = r"^(?:[IVX]{1,4}|[0-9]{1,2})?\s*[.)\-–]?\s*"
 HEADINGS = (
@@ -64,28 +60,58 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def fold(c: Column) -> Column:
-    """Lower case without the marks of Latin-1 letters."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+_HANGUL = "[\uac00-\ud7a3]"
+
+
+def normalized(c: Column, form: str) -> Column:
+    """NFC, NFD, NFKC or NFKD of a text, for short ones such as questions and names; null stays null. An Arrow function: no built-in composes."""
+    return F.pandas_udf(lambda texts: texts.str.normalize(form), "string")(c)
+
+
+@lru_cache(maxsize=1)
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What ``translate`` wants (letters with marks and then marks, the plain letters), and what gives several letters (no Hangul)."""
+    marks = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Mn")
+    marked = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and not d.startswith("<")]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") for c in marked}
+    one = {c: b for c, b in bare.items() if len(b) == 1 and c != b}
+    return "".join(one) + marks, "".join(one.values()), {c: b for c, b in bare.items() if len(b) > 1}
+
 
+def _jamo(c: Column) -> Column:
+    """Hangul syllables as the letters that they are made of."""
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    def parts(x: Column) -> Column:
+        k = F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("long") - 0xAC00
+        tail = F.when(k % 28 > 0, char(0x11A7 + k % 28)).otherwise("")
+        return F.when(x.rlike(_HANGUL), F.concat(char(0x1100 + F.floor(k / 588).cast("long")), char(0x1161 + F.floor(k % 588 / 28).cast("long")), tail)).otherwise(x)
 
-def fold_exact(c: Column) -> Column:
-    """Lower case without any non-spacing mark, for text beyond Latin-1; null stays null. An Arrow function: no built-in decomposes."""
+    return F.when(c.rlike(_HANGUL), F.array_join(F.transform(F.split(c, ""), parts), "")).otherwise(c)
 
-    def fold_all(texts: pd.Series) -> pd.Series:
-        plain = np.fromiter((t is None or t.isascii() for t in texts), bool, len(texts))
-        out = texts.str.lower()
-        marked = texts[~plain].str.normalize("NFD")
-        # The marks of a batch are few: one translation table does for all its texts.
-        marks = {x for t in marked for x in set(t) if unicodedata.category(x) == "Mn"}
-        out[~plain] = marked.str.translate(dict.fromkeys(map(ord, marks))).str.lower()
-        return out
 
-    return F.pandas_udf(fold_all, "string")(c)
+def _unmarked(c: Column) -> Column:
+    """Decomposed text without non-spacing marks."""
+    marked, plain, several = _plain_letters()
+    whole = c
+    for x, parts in several.items():
+        whole = F.replace(whole, F.lit(x), F.lit(parts))
+    whole = F.when(c.rlike("[" + "".join(several) + "]"), whole).otherwise(c)
+    return F.translate(_jamo(whole), marked, plain)
+
+
+def fold(c: Column) -> Column:
+    """Lower case without non-spacing marks, whether a letter and its marks are one code point or several.
+
+    Letters are lowered one by one, so a capital sigma at the end of a word is a plain one.
+    """
+    return F.when(c.rlike(_BEYOND_ASCII), F.lower(F.replace(_unmarked(c), F.lit("Σ"), F.lit("σ")))).otherwise(F.lower(c))
 
 
 def fold_upper(c: Column) -> Column:
-    return F.upper(fold(c))
+    """Upper case without non-spacing marks, for comparisons."""
+    return F.when(c.rlike(_BEYOND_ASCII), F.upper(_unmarked(c))).otherwise(F.upper(c))
 
 
 def words(c: Column) -> Column:
@@ -94,8 +120,8 @@ def words(c: Column) -> Column:
 
 
 def query_terms(c: Column) -> Column:
-    """Distinct words in order, without stop words unless nothing else is left, at most MAX_TERMS."""
-    distinct = F.array_distinct(words(c))
+    """Distinct words of the composed text in order, without stop words unless nothing else is left, at most MAX_TERMS."""
+    distinct = F.array_distinct(words(normalized(c, "NFC")))
     content = F.filter(distinct, lambda w: ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), fold(w)))
     return F.slice(F.when(F.size(content) > 0, content).otherwise(distinct), 1, MAX_TERMS)
 
@@ -237,9 +263,12 @@ def filter_summary(*labels: Column, default: str = "none") -> Column:
 
 
 def file_id(name: Column) -> Column:
-    """Id of a remote file name: plain lower-case letters, digits, _ and -; long or empty ones get a hash."""
-    stem = F.regexp_replace(name, r"(?i)\.pdf$", "")
-    safe = F.regexp_replace(F.regexp_replace(fold(stem), "[^a-z0-9_]", "-"), "-{2,}", "-")
+    """Id of a remote file name: plain lower-case letters, digits, _ and -; long or empty ones get a hash.
+
+    Ligatures, circled digits and the like count as what they stand for.
+    """
+    stem = F.lower(F.regexp_replace(normalized(F.regexp_replace(name, r"(?i)\.pdf$", ""), "NFKD"), r"\p{Mn}+", ""))
+    safe = F.regexp_replace(F.regexp_replace(stem, "[^a-z0-9_]", "-"), "-{2,}", "-")
     trimmed = F.regexp_replace(safe, "^[-_]+|[-_]+$", "")
     short = F.substr(F.sha2(name, 256), F.lit(1), F.lit(8))
     cut = F.concat(F.regexp_replace(F.substr(trimmed, F.lit(1), F.lit(100)), "[-_]+$", ""), F.lit("-"), short)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import let
+from quern.functions.text import let, normalized
 
 
 def part(url: Column, what: str) -> Column:
@@ -64,8 +64,8 @@ def file_name(url: Column) -> Column:
 
 
 def file_key(url: Column) -> Column:
-    """Decoded lower-case file name: the key by which documents of different libraries are the same."""
-    return F.lower(decode_percent(file_name(url)))
+    """Decoded, composed lower-case file name: the key by which documents of different libraries are the same."""
+    return F.lower(normalized(decode_percent(file_name(url)), "NFC"))
 
 
 def folder(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.functions import urls as U
 from quern.functions import vectors as V
 from quern.functions.embed import BagOfWords
 from quern import scratch
@@ -79,6 +80,29 @@ def q_tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
+_VARIANT_SQL = """CASE doc_id % 3 WHEN 0 THEN translate(text, 'acoszACOSZ', 'ăčőșžĂČŐȘŽ') WHEN 1 THEN replace(replace(text, 'e', 'e' || chr(769)), 'a', 'a' || chr(771)) ELSE 'ﬁm ' || text END"""
+
+
+@query(f"""WITH v AS (SELECT doc_id, text, {_VARIANT_SQL} AS v FROM documents)
+SELECT doc_id, md5(array_to_string(list_sort(list_distinct({_FOLDED.format('v')})), ' ')) AS terms, len({_FOLDED.format('v')})::bigint AS n,
+doc_id % 3 < 2 AND {_FOLDED.format('v')} = {_FOLDED.format('text')} AS same, 'fi1caj-' || doc_id AS id, 'caj-e' || doc_id || '.pdf' AS key FROM v""")
+def q_unicode_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with Central European letters, with marks apart from their letters, and with a ligature: their folded terms, ids and file keys."""
+    n, text = F.col("doc_id"), F.col("text")
+    marked = F.replace(F.replace(text, F.lit("e"), F.lit("e\u0301")), F.lit("a"), F.lit("a\u0303"))
+    v = F.when(n % 3 == 0, F.translate(text, "acoszACOSZ", "ăčőșžĂČŐȘŽ")).when(n % 3 == 1, marked).otherwise(F.concat(F.lit("ﬁm "), text))
+    w = table(spark, d, "documents").select("doc_id", "text", v.alias("v")).withColumn("w", X.words(X.fold(F.col("v"))))
+    url = F.concat(F.lit("https://h.example/C\u030caj-e"), n.cast("string"), F.lit(".pdf?x"))
+    return w.select(
+        "doc_id",
+        F.md5(F.array_join(F.array_sort(F.array_distinct("w")), " ")).alias("terms"),
+        F.size("w").cast("long").alias("n"),
+        ((n % 3 < 2) & (F.col("w") == X.words(X.fold(F.col("text"))))).alias("same"),
+        X.file_id(F.concat(F.lit("ﬁ①Čaj-"), n.cast("string"), F.lit(".PDF"))).alias("id"),
+        F.replace(U.file_key(url), F.lit("č"), F.lit("c")).alias("key"),
+    )
+
+
 @query(f"SELECT lang, count(DISTINCT w)::bigint AS n_terms FROM (SELECT lang, unnest({_FOLDED.format('text')}) AS w FROM documents) GROUP BY lang")
 def q_fold_distinct_terms(spark: SparkSession, d: str) -> DataFrame:
     """Distinct folded terms of each language."""

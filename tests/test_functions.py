@@ -1,6 +1,7 @@
 """Hand-computed cases of the scalar functions."""
 
 import datetime
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions import urls as U
 from quern.functions import vectors as V
+from quern.operators import sections as P
 
 
 def one(spark, value, f, kind="string"):
@@ -98,8 +100,15 @@ def test_text_helpers(spark):
     assert one(spark, "a. b; c", X.sentences) == ["a.", "b;", "c"]
     assert one(spark, "a1 - b", X.count_words) == 2
     assert one(spark, "a\r\nb­c \x00", X.clean_extracted) == "a\nb-c"
-    assert one(spark, "ȘTEFAN Ação", X.fold_exact) == "stefan acao"
-    many(spark, [("é ASCII", "e ascii"), ("PLAIN", "plain"), ("", ""), ("Å한", "a\u1112\u1161\u11ab")], X.fold_exact)
+    folds = [("ȘTEFAN Ação", "stefan acao"), ("é ASCII", "e ascii"), ("PLAIN", "plain"), ("", ""), (None, None), ("Å한", "a\u1112\u1161\u11ab"), ("cafe\u0301", "cafe"), ("Čaj ő Ș ž", "caj o s z")]
+    many(spark, [*folds, ("ΟΔΟΣ ς", "οδοσ ς"), ("İ K", "i k"), ("😀é", "😀e"), ("a\u0301\u0302b", "ab")], X.fold)
+    many(spark, [("Ação", "ACAO"), ("cafe\u0301", "CAFE"), (None, None), ("x", "X")], X.fold_upper)
+    many(spark, [("cafe\u0301", "caf\u00e9"), ("ﬁ①", "ﬁ①"), (None, None)], lambda c: X.normalized(c, "NFC"))
+    many(spark, [("caf\u00e9 cafe\u0301 CAFE\u0301", ["caf\u00e9"]), ("na\u0303o é", ["não", "é"])], X.query_terms)
+    many(spark, [("ﬁle①.pdf", "file1"), ("Čaj.pdf", "caj"), ("C\u030caj ő.PDF", "caj-o"), ("½.pdf", "1-2")], X.file_id)
+    every = "".join(chr(i) + "b" for i in range(1, 0x30000) if unicodedata.ucd_3_2_0.category(chr(i)) not in ("Cn", "Cs") and not (0xAC00 <= i < 0xD7A4 and i % 50))
+    assert one(spark, every, X.fold) == P.fold(every)
+    assert one(spark, "https://h/x/Caf%65%CC%81.pdf", U.file_key) == "caf\u00e9.pdf"
 
 
 def test_entities(spark):
