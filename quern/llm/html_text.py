@@ -3,7 +3,10 @@
 Markup is stripped into lines (one for each block element), each with the length of its
 text. Lines of menus, page headers and footers, sidebars, notices, adverts, forms and reader
 comments, lines of a copyright notice and lines that are mostly links, count as empty; where
-such a part or the main container begins or ends, the run of lines is broken. Sums of lengths over a sliding window
+such a part or the main container begins or ends, the run of lines is broken. Elements that
+mean such a part, hidden ones, adverts and comments beside the article are out by that; of
+other parts a class, id or role that says so lowers the peak to an eighth, so the only or by
+far the highest text of a page is kept whatever its container is called. Sums of lengths over a sliding window
 of lines then rise from nothing at a surge point and fall back to nothing at a dive point,
 and the text between them is a candidate. All candidates compete by their peaks, whatever
 element holds them. Where an article or main element holds the highest (or ties with it),
@@ -42,11 +45,11 @@ CONTAINER = "article aside blockquote body details dialog div dl fieldset figure
 GROUP = "article div main section table"
 BOILERPLATE = "nav aside footer form menu dialog"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status"
+ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar note toolbar status"
 NAMES = (
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies copyright disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted "
-    "recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
+    "cookies copyright disclaimer disclaimers disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted "
+    "recommend recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
 )
 #: Second parts of a name that leave its meaning to the first ("related-links"); an advert is one whatever follows.
 PLAIN = (
@@ -55,9 +58,15 @@ PLAIN = (
 )
 ADVERT = "ad ads advert adverts advertisement advertising cookie cookies consent gdpr sponsor sponsored promo"
 
-_RAW, _BLOCK, _CONTAINER, _GROUP, _BOILERPLATE, _ROLES, _NAMES, _PLAIN, _ADVERT = (
-    frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, GROUP, BOILERPLATE, ROLES, NAMES, PLAIN, ADVERT)
+#: Names of what readers write; inside an article they are taken like other names.
+READERS = "comment comments commentlist disqus replies reply respond responses"
+#: What remains of the peak of a part whose name says that it is no main text.
+NAMED_SHARE = 0.125
+
+_RAW, _BLOCK, _CONTAINER, _GROUP, _BOILERPLATE, _ROLES, _NAMES, _PLAIN, _ADVERT, _READERS = (
+    frozenset(x.split()) for x in (RAW, BLOCK, CONTAINER, GROUP, BOILERPLATE, ROLES, NAMES, PLAIN, ADVERT, READERS)
 )
+_VOID = frozenset(VOID.split())
 _RAW_NAMES = "|".join(_RAW - {"head"})
 # A comment or raw element that never ends takes the rest of the page.
 _TOKEN = re.compile(
@@ -65,39 +74,58 @@ _TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
-_HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A line that states who owns the page, outside an article.
 _OWNER = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 OWNER_LENGTH = 200
 _PART = re.compile(r"[a-z]+(?=[A-Z])|[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _names_boilerplate(word: str) -> bool:
-    """Whether a class or id says so: as a whole, by its last part, or by its first where the others are plain ("left_sidebar", "related-links", "ad-1x")."""
+#: What an element's name and attributes say of its text: nothing, that it counts less, that it is out.
+KEEP, LESS, OUT = range(3)
+
+
+def _named(word: str, in_article: bool) -> int:
+    """What a class or id says: as a whole, by its last part, or by its first where the others are plain ("left_sidebar", "related-links", "ad-1x")."""
     parts = [p.lower() for p in _PART.findall(word)]
-    return bool(parts) and (parts[-1] in _NAMES or parts[0] in _ADVERT or parts[0] in _NAMES and all(p in _PLAIN for p in parts[1:]))
+    if not parts or not (parts[-1] in _NAMES or parts[0] in _ADVERT or parts[0] in _NAMES and all(p in _PLAIN for p in parts[1:])):
+        return KEEP
+    out = parts[0] in _ADVERT or parts[-1] in _ADVERT or not in_article and not _READERS.isdisjoint(parts)
+    return OUT if out else LESS
+
 
+def _attributes(attrs: str) -> Iterator[tuple[str, str]]:
+    for m in _ATTRIBUTE.finditer(attrs):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
 
-def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+
+def _says(name: str, attrs: str, in_article: bool) -> int:
     if name in _BOILERPLATE or name == "header" and not in_article:
-        return True
-    if not attrs or name in ("body", "html", "article", "main"):
-        return False
-    for m in _HINT.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif any(map(_names_boilerplate, value.split())):
-            return True
-    return False
+        return OUT
+    if not attrs or name in ("body", "html"):
+        return KEEP
+    found = KEEP
+    for key, value in _attributes(attrs):
+        if key == "hidden" or key == "style" and _HIDDEN.search(value):
+            return OUT
+        if key == "role" and value.lower() in _ROLES:
+            found = max(found, LESS)
+        elif key in ("class", "id") and name != "main":
+            found = max([found, *(_named(word, in_article) for word in value.split())])
+    return found
+
+
+def _mutes(attrs: str) -> bool:
+    """Whether an element inside a line is hidden or an advert."""
+    return bool(attrs) and _says("span", attrs, True) == OUT
 
 
 def _kind(attrs: str) -> str:
     """The first class without its digits, else the id: parts of a page that repeat are of one kind."""
     if not attrs:
         return "#"
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _HINT.finditer(attrs)}
+    found = {k: v for k, v in _attributes(attrs) if k in ("class", "id")}
     return re.sub(r"\d+", "", found["class"].split()[0]) if found.get("class", "").strip() else "#" + found.get("id", "")
 
 
@@ -105,20 +133,23 @@ def _kind(attrs: str) -> str:
 PAGE, MAIN = 0, 1
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
-    """(text, whether it counts, group of the article that holds it or 0, own group) of each line, and the group around each group.
+def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int], list[tuple[int, ...]]]:
+    """(text, whether it counts, group of the article that holds it or 0, own group) of each line, the group around each group, and the parts that count less around each line.
 
     An empty text breaks the run. A group has a larger number than the one around it.
     """
     out: list[tuple[str, bool, int, int]] = []
+    less: list[tuple[int, ...]] = []
     around: dict[int, int] = {}
-    # Open containers: name, whether it or one around it is boilerplate, group of the article around, own group.
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, PAGE)]
+    # Open containers: name, whether it or one around it is out, group of the article around, own group, those that count less.
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = [("", False, 0, PAGE, ())]
+    parts = 0
     held: Counter[str] = Counter()
     groups: dict[tuple[int, str, str], int] = {}
     buffer: list[str] = []
     linked = 0
-    in_link = passing = False  # passing: the open block that is no container is boilerplate by its own name
+    in_link, passing = False, KEEP  # passing: what the open block that is no container says
+    muted, depth = "", 0  # the open element inside a line whose text is out
 
     def flush() -> None:
         nonlocal linked
@@ -127,17 +158,18 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            _, boilerplate, article, own = stack[-1]
+            _, gone, article, own, named = stack[-1]
             # Outside the article, a line that is mostly links is a menu.
             menu = not article and (2 * linked > len(text) or len(text) <= OWNER_LENGTH and bool(_OWNER.match(text)))
-            out.append((text, not (boilerplate or passing or menu), article, own))
+            out.append((text, not (gone or passing == OUT or menu), article, own))
+            less.append(named + ((parts,) if passing == LESS else ()))
         linked = 0
 
     at = 0
     # Nothing after the last > is a tag; text there is text, but for a comment that opens.
     last = page.rfind(">") + 1
     for m in _TOKEN.finditer(page, 0, last):
-        if m.start() > at:
+        if m.start() > at and not muted:
             buffer.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
@@ -152,15 +184,22 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
             buffer.append(" ")
         if name == "a":
             in_link = not m["end"]
+        attrs = m["attrs"]
         if name not in _BLOCK:
+            if muted:
+                depth += (name == muted) * (-1 if m["end"] else 1)
+                muted = muted if depth else ""
+            elif not m["end"] and name not in _VOID and not attrs.endswith("/") and _mutes(attrs):
+                muted, depth = name, 1
             continue
         flush()
-        attrs = m["attrs"]
-        before = stack[-1][1:3]
+        muted, depth = "", 0
+        before = stack[-1][1:]
         if name not in _CONTAINER:
-            passing = not m["end"] and _is_boilerplate(name, attrs, before[1] > 0)
+            passing = KEEP if m["end"] else _says(name, attrs, before[1] > 0)
+            parts += passing == LESS
             continue
-        passing = False
+        passing = KEEP
         if m["end"]:
             if held[name]:
                 while len(stack) > 1:
@@ -170,7 +209,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
                         break
         elif not attrs.endswith("/"):
             # Parts of one kind in one container are a group; what lies in the page itself, and each article, is a group of its own.
-            _, boilerplate, article, outer = stack[-1]
+            _, gone, article, outer, named = stack[-1]
             group, inside = outer, name in ("article", "main") or bool(attrs) and bool(re.search(r"""\brole\s*=\s*["']?main\b""", attrs, re.I))
             if inside and name != "article":
                 group = MAIN
@@ -179,22 +218,48 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], dict[int, int]]:
                 group = groups.setdefault(kind, MAIN + 1 + len(groups))
                 around[group] = outer
             # The outermost article holds a line.
-            stack.append((name, boilerplate or _is_boilerplate(name, attrs, article > 0), article or (group if inside else 0), group))
+            says = _says(name, attrs, article > 0)
+            parts += says == LESS
+            stack.append((name, gone or says == OUT, article or (group if inside else 0), group, named + ((parts,) if says == LESS else ())))
             held[name] += 1
-        if stack[-1][1:3] != before:
+        if (stack[-1][1:3], stack[-1][4]) != (before[:2], before[3]):
             out.append(("", False, stack[-1][2], PAGE))
+            less.append(())
     rest = page[at:]
     buffer.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
-    return out, around
+    return out, around, less
+
+
+def _promoted(found: list[tuple[str, bool, int, int]], less: list[tuple[int, ...]], window: int) -> set[int]:
+    """Parts that count although their names speak against them: an eighth of their peak is above that of all others."""
+    runs: dict[int, list[int]] = {0: []}
+    around: dict[int, tuple[int, ...]] = {0: ()}
+    for (text, counts, _, _), named in zip(found, less, strict=True):
+        if not text:
+            runs[0].append(0)
+        elif counts:
+            own = named[-1] if named else 0
+            runs.setdefault(own, []).append(len(text))
+            around[own] = named
+    if len(runs) == 1:
+        return set()
+
+    def peak(sizes: list[int]) -> int:
+        total = np.append(np.zeros(window, np.int64), np.cumsum(sizes))
+        return int((total[window:] - total[:-window]).max(initial=0))
+
+    top = peak(runs[0])
+    return {p for own, sizes in runs.items() if own and NAMED_SHARE * peak(sizes) > top for p in around[own]}
 
 
 def extract(page: str, window: int = WINDOW) -> str:
     """The main text: kept lines joined by one newline; empty if there is none."""
     rows: list[tuple[str, int, int, int]] = []
-    found_lines, around = lines(page)
-    for text, counts, article, own in found_lines:
-        if not text or not counts:
+    found_lines, around, less = lines(page)
+    counted = _promoted(found_lines, less, window)
+    for (text, counts, article, own), named in zip(found_lines, less, strict=True):
+        if not text or not counts or not counted.issuperset(named):
             # Nothing of a window before the break reaches what follows.
             rows.extend([("", 0, 0, PAGE)] * window)
         else:

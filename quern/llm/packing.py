@@ -182,8 +182,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
     return pack(scratch.save(cut, "pieces"), capacity)
 
 
-def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, each at most one capacity long."""
-    held = cut.select("doc_id", "piece", "ids").join(placed, ["doc_id", "piece"])
-    parts = held.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed sequences themselves, each at most one capacity long.
+
+    ``placed`` are pieces that went through :func:`pack` with their ids; a piece is told by
+    its place, so repeated and null doc_ids are pieces like others.
+    """
+    parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return parts.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -25,6 +25,8 @@ from quern.llm import memory, words
 #: class, and bytes of a text above which it is no candidate. With both, at most
 #: 2 * 1200 * 32 KiB reach the driver. All bytes of a sampled text are used.
 SAMPLE, SAMPLE_BYTES = 1200, 32 << 10
+#: Texts of a class from which on halves of them build the dictionary and fit the curve.
+FEW = 20
 #: Bytes of a dictionary, of a block compressed with it, and zstandard's level.
 DICT_BYTES, BLOCK, LEVEL = 64 << 10, 512, 3
 SCORE = "_quality_score"
@@ -66,13 +68,38 @@ def _features(good: bytes, bad: bytes) -> Callable[[bytes], np.ndarray]:
     return of
 
 
+def _evenly(blocks: list[bytes]) -> bytes:
+    """Blocks joined by newlines; of more than DICT_BYTES only so many, at even steps over all of them."""
+    if sum(map(len, blocks)) + len(blocks) > DICT_BYTES:
+        blocks = [blocks[k] for k in np.linspace(0, len(blocks) - 1, DICT_BYTES // (BLOCK + 1)).astype(int)]
+    return b"\n".join(blocks)
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Trained where there is enough text, else the text itself; empty for none."""
+    """Trained by zstandard; where it finds too little to train on, the texts themselves, taken evenly."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(blocks)[-DICT_BYTES:]
+        return _evenly(blocks)
+
+
+def _fitting(of: dict[int, list[bytes]], few: int) -> tuple[dict[int, bytes], dict[int, np.ndarray]]:
+    """The dictionaries of both classes, and features of texts that built none of those they are measured with.
+
+    From ``few`` texts of a class on one half builds and the other is measured; below, the
+    dictionary is built of all and each text is measured with one of the others.
+    """
+    built = {q: _dictionary(t[::2] if len(t) >= few else t) for q, t in of.items()}
+    x = {}
+    for q, t in of.items():
+        pair = lambda own, q=q: (own, built[0]) if q else (built[1], own)
+        if len(t) >= few:
+            measure = _features(*pair(built[q]))
+            x[q] = np.array([measure(text) for text in t[1::2]])
+        else:
+            x[q] = np.array([_features(*pair(_dictionary(t[:k] + t[k + 1 :])))(text) for k, text in enumerate(t)])
+    return built, x
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
@@ -96,13 +123,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, few: int = FEW) -> Model:
     """Learn from labels(doc_id, quality) of documents that are not held out.
 
     A bounded sample in the order of a hash of doc_id is collected: of each class up to
     ``sample`` documents whose text has 1 to ``sample_bytes`` bytes. Labels of absent, null,
     empty or longer texts take no place in it, and a doc_id counts once. Without such texts
-    of both classes every score is the share of good labels, or 0.5.
+    of both classes every score is the share of good labels, or 0.5. A class of fewer than
+    ``few`` sampled texts is fitted by leaving one out, a larger one by halves.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -122,14 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     rate = share.get(1, 0) / sum(share.values())
     if not of[0] or not of[1]:
         return Model(b"", b"", (0.0, 0.0, 0.0), float(np.log((rate + 0.01) / (1 - rate + 0.01))))
-    built = {q: t[::2] if len(t) >= 20 else t for q, t in of.items()}
-    fitted = {q: t[1::2] if len(t) >= 20 else t for q, t in of.items()}
-    good, bad = _dictionary(built[1]), _dictionary(built[0])
-    features = _features(good, bad)
-    x = np.array([features(t) for q in (1, 0) for t in fitted[q]])
-    y = np.r_[np.ones(len(fitted[1])), np.zeros(len(fitted[0]))]
-    w, b = _logistic(x, y, np.where(y == 1, rate / len(fitted[1]), (1 - rate) / len(fitted[0])) * len(y))
-    return Model(good, bad, tuple(map(float, w)), b)
+    built, x = _fitting(of, few)
+    y = np.r_[np.ones(len(x[1])), np.zeros(len(x[0]))]
+    w, b = _logistic(np.concatenate([x[1], x[0]]), y, np.where(y == 1, rate / len(x[1]), (1 - rate) / len(x[0])) * len(y))
+    return Model(built[1], built[0], tuple(map(float, w)), b)
 
 
 def _score(model: Model):

@@ -168,6 +168,31 @@ def test_parts_by_their_names():
     assert html_text.extract(f"<body><div id=text><p>{long[:300]}</p></div><div id=end>{owner}</div></body>") == long[:300].strip()
 
 
+def test_names_lower_a_candidate_and_elements_rule_it_out():
+    long = ("The whole story is told in this line. " * 14).strip()
+    reader = ("I liked it a lot and want to say so at length. " * 6).strip()
+    page = lambda part, after="": f"<body><nav>x</nav><article><h1>T</h1><p>{long}</p>{part}<p>End.</p></article>{after}<footer>f</footer>"
+    story = f"T\n{long}\nEnd."
+    for part in (
+        f'<article class="comment"><p>{reader}</p></article>', f'<article class="sponsored"><p>{reader}</p></article>', '<p><span class="ad">Buy now</span></p>',
+        '<p><b class="advert">Buy now</b></p>', '<div class="disclaimer"><p>No advice.</p></div>', '<div role="note"><p>Note.</p></div>',
+        f'<div class="responses"><p>{reader}</p></div>', f"<div hidden><p>{reader}</p></div>", f'<p style="color:red; display: none">{reader}</p>', "<p><i hidden>gone</i></p>",
+    ):
+        assert html_text.extract(page(part)) == story, part
+    for part in (f'<article class="comment"><p>{reader}</p></article>', f'<article class="sponsored"><p>{reader}</p></article>', f'<div class="responses"><p>{reader}</p></div>'):
+        assert html_text.extract(page("", part)) == story, part
+    # The only or by far the highest text is kept whatever its container is called.
+    assert html_text.extract(f'<body><nav>x</nav><div class="search"><article><p>{long}</p></article></div></body>') == long
+    assert html_text.extract(f'<div class="sidebar"><p>{long}</p></div><div><p>Short.</p></div>') == long
+    assert html_text.extract(f'<article><section id="comment"><p>{long}</p><p>{long}</p></section></article>') == f"{long}\n{long}"
+    assert html_text.extract(f'<article class="widget"><p>{long}</p></article>') == long
+    # What is out by its element, what readers wrote beside an article, and adverts never come back.
+    for part in (f"<aside><p>{long}</p></aside>", f'<div class="comments"><p>{long}</p></div>', f'<div class="ad-box"><p>{long}</p></div>', f'<p class="cookie-notice">{long}</p>'):
+        assert html_text.extract(part) == "" and html_text.extract(f"{part}<div><p>Short.</p></div>") == "Short."
+    assert html_text.extract(f'<article><p>{long} <span class="overflow hidden">seen</span> <em title="a hidden thing">too</em></p></article>') == f"{long} seen too"
+    assert html_text.extract(f'<article><p>a <span class="ad">x <span>y</span> z</span> b</p><p><span class=ad>open<p>c</p></article>') == "a b\nc"
+
+
 def test_long_pages_take_linear_time():
     for page in ("<div>" * 200_000, "<a " * 333_000, '<a "' * 250_000, "<div></p></x></div>" * 50_000, "<!--" * 250_000, "<p class=x>a" * 90_000):
         began = time.process_time()
@@ -244,6 +269,26 @@ def test_quality_sample(spark):
     assert sum(map(len, seen)) == sum(map(len, many)) * 30
 
 
+def test_few_labels_build_no_dictionary_that_they_are_fitted_with(spark, monkeypatch):
+    """Below ``FEW`` texts of a class each is fitted with dictionaries of the others, above it one half with those of the other."""
+    seen = []
+    real = quality._features
+    monkeypatch.setattr(quality, "_features", lambda good, bad: lambda text: seen.append((good, bad, text)) or real(good, bad)(text))
+    for n in (3, 12, 60):
+        seen.clear()
+        rows = [(i, f"{'good prose' if i % 2 else 'BUY NOW'} number {i} " * (i + 2)) for i in range(2 * n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality"))
+        assert seen and not any(text in good or text in bad for good, bad, text in seen)
+
+
+def test_untrained_dictionary_is_taken_evenly():
+    texts = [bytes([i]) * 700 for i in range(1, 251)]
+    whole = quality._evenly([t[i : i + quality.BLOCK] for t in texts for i in range(0, len(t), quality.BLOCK)])
+    assert len(whole) <= quality.DICT_BYTES and {1, 250} <= set(whole) and len(set(whole)) > 60
+    assert quality._evenly([b"ab", b"c"]) == b"ab\nc" and quality._evenly([]) == b""
+
+
 def test_quality_awkward(spark, mixed_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (2, None, 1), (None, 1, 0), (5, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int")
     got = quality.classify(mixed_docs, labels)
@@ -379,12 +424,15 @@ def test_packing(spark, mixed_docs, no_docs):
 
 
 def test_sequences_hold_their_pieces(spark):
-    cut = packing.pieces(documents(spark, texts(20), extra=False), VOCABULARY, 64)
-    placed = packing.pack(packing.scratch.save(cut.select("doc_id", "piece", "length"), "t"), 64)
-    rows = {(r["doc_id"], r["piece"]): bytes(r["ids"]) for r in cut.collect()}
-    whole = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(cut, placed).collect()}
-    for r in placed.collect():
-        assert whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == rows[r["doc_id"], r["piece"]]
+    docs = documents(spark, texts(20), extra=False).select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a null id"), (1, "another row of one"), (1, "another row of one"), (None, None)], "doc_id long, text string"))
+    cut = packing.scratch.save(packing.pieces(docs, VOCABULARY, 64), "t")
+    placed = packing.pack(cut, 64)
+    whole = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(placed).collect()}
+    rows = placed.collect()
+    for r in rows:
+        assert whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
+    assert sum(map(len, whole.values())) == 4 * sum(r["length"] for r in rows) and len(rows) == cut.count()
+    assert sum(r["doc_id"] is None for r in rows) == 2 and max(map(len, whole.values())) <= 4 * 64
 
 
 # 5
