@@ -5,19 +5,18 @@ A model is a parameter of what uses it: anything with ``dims`` and ``embed(Colum
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 
-_WORD = re.compile(r"[^\W_]+")
+WORD = r"[\p{L}\p{N}]+"
 
 
 class Embedder(Protocol):
@@ -45,12 +44,14 @@ class BagOfWords:
     def embed(self, text: Column) -> Column:
         dims, least = self.dims, self.least
 
-        def bag(texts: pd.Series) -> pd.Series:
-            out = np.zeros((len(texts), dims))
-            for i, t in enumerate(texts):
-                at = [_place(w) % dims for w in _WORD.findall(t or "") if len(w) >= least]
-                out[i] = np.bincount(at, minlength=dims) if at else 0
+        def bag(words: pa.Array) -> pa.Array:
+            owner = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            named = words.flatten().dictionary_encode()
+            # A word's place is worked out once for a batch.
+            place = np.array([_place(w) % dims if len(w) >= least else -1 for w in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy(zero_copy_only=False)]
+            used = place >= 0
+            out = np.bincount(owner[used] * dims + place[used], minlength=len(words) * dims).astype(float).reshape(len(words), dims)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
-            return pd.Series(list(out / np.where(norm > 0, norm, 1)))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dims, pa.int32()), pa.array((out / np.where(norm > 0, norm, 1)).reshape(-1)))
 
-        return F.pandas_udf(bag, "array<double>")(X.fold(F.coalesce(text, F.lit(""))))
+        return F.arrow_udf(bag, "array<double>")(F.regexp_extract_all(X.fold(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))

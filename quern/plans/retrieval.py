@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from quern.functions import vectors as V
 from quern.functions.embed import BagOfWords
 from quern import scratch
 from quern.operators import index as I
+from quern.operators import passages as R
 from quern.operators import search as S
 from quern.operators import segments as G
 from quern.plans.registry import query
-from quern.sources.tables import spread, table
+from quern.sources.tables import table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
@@ -335,10 +338,8 @@ def q_embed_documents(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "SELECT doc_id AS doc, i - 1 AS ord, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)"
 
 
-@query(f"""WITH {TERMS_CTE},
-terms AS (SELECT item_id AS q, strip_accents(unnest(terms)) AS term FROM qt),
-l AS MATERIALIZED ({_LINES}),
-tok AS (SELECT doc, ord, {_FOLDED.format("line")} AS w FROM l),
+#: Passage search over l(doc, ord, line); ok(q, doc) says which documents a question may find.
+PASSAGES_SQL = f"""tok AS (SELECT doc, ord, {_FOLDED.format("line")} AS w FROM l),
 size AS (SELECT doc, ord, len(w) AS len FROM tok),
 stats AS (SELECT count(*)::double AS n, avg(len) AS avg_len FROM size),
 post AS (SELECT term, doc, ord, count(*)::double AS tf FROM (SELECT doc, ord, unnest(w) AS term FROM tok) GROUP BY ALL),
@@ -348,8 +349,8 @@ kw AS (SELECT q, doc, ord, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) *
 lb AS ({_BAG.format(k="doc, ord", t="line", f="l")}), ln AS (SELECT doc, ord, sqrt(sum(c * c)) AS norm FROM lb GROUP BY ALL),
 qb AS ({_BAG.format(k="item_id", t="text", f="benchmark")}), qn AS (SELECT item_id, sqrt(sum(c * c)) AS norm FROM qb GROUP BY ALL),
 dots AS (SELECT item_id AS q, doc, ord, sum((lb.c / ln.norm) * (qb.c / qn.norm)) AS score FROM lb JOIN qb USING (place) JOIN ln USING (doc, ord) JOIN qn USING (item_id) GROUP BY ALL),
-cl AS (SELECT q, 0 AS list, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) AS rank FROM kw
-       UNION ALL SELECT q, 1, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) FROM dots),
+cl AS (SELECT q, 0 AS list, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) AS rank FROM kw WHERE_OK
+       UNION ALL SELECT q, 1, doc, ord, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc, ord) FROM dots WHERE_OK),
 cl100 AS (SELECT * FROM cl WHERE rank <= 100),
 dm AS (SELECT q, list, doc, min(rank) AS rank FROM cl100 GROUP BY ALL),
 dr AS (SELECT q, list, doc, row_number() OVER (PARTITION BY q, list ORDER BY rank) AS rank FROM dm),
@@ -357,13 +358,26 @@ df2 AS (SELECT q, doc, sum(1.0::double / (60 + rank)) AS score, min(rank) AS bes
 cf AS (SELECT q, doc, ord, sum(1.0::double / (60 + rank)) AS score, min(rank) AS best_rank FROM cl100 GROUP BY q, doc, ord),
 best AS (SELECT q, doc, ord FROM (SELECT *, row_number() OVER (PARTITION BY q, doc ORDER BY round(score, 9) DESC, best_rank, ord) AS n FROM cf) WHERE n = 1),
 out AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, best_rank, doc) AS rank FROM df2)
-SELECT q, doc, ord::int AS ord, rank, round(score, 6) AS score, md5(line) AS passage FROM out JOIN best USING (q, doc) JOIN l USING (doc, ord) WHERE rank <= 10""")
+SELECT q, doc, ord::int AS ord, rank, round(score, 6) AS score, md5(line) AS passage FROM out JOIN best USING (q, doc) JOIN l USING (doc, ord) WHERE rank <= 10"""
+_ASKED = f"{TERMS_CTE}, terms AS (SELECT item_id AS q, strip_accents(unnest(terms)) AS term FROM qt)"
+
+
+@query(f"WITH {_ASKED}, l AS MATERIALIZED ({_LINES}), {PASSAGES_SQL.replace('WHERE_OK', '')}")
 def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
     """Lines as passages: keyword and vector lists of them, fused to documents, each with its best passage and its text."""
-    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    index = I.of_items(spark, f"{d}/documents.parquet", "lines", lambda: lines)
-    used = lambda df, *c: spread(df).select(*c, EMBEDDER.embed(F.col("text")).alias("v"), F.lit(0).alias("key")).where(F.exists("v", lambda x: x > 0))
-    near = S.vector_topk(used(asked, F.col("item_id").alias("q")), used(lines, "doc", "ord"), S.POOL, same=True, ids=("doc", "ord")).where("score > 0")
-    found = S.passage_search(I.search(index, _questions(spark, d)), near).select("q", "doc", F.col("chunk.ord").alias("ord"), "rank", F.round("score", 6).alias("score"))
-    return found.join(lines, ["doc", "ord"]).select("q", "doc", "ord", "rank", "score", F.md5("text").alias("passage"))
+    found = R.search(line_passages(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text"))
+    return found.select("q", "doc", "ord", "rank", F.round("score", 6).alias("score"), F.md5("text").alias("passage"))
+
+
+def passages_of(spark: SparkSession, d: str, kind: str, items: Callable[[], DataFrame]) -> R.Passages:
+    """Passages of the documents with vectors and postings, made once for a table."""
+
+    def make() -> tuple[R.Passages, list[DataFrame]]:
+        passages = R.build(items(), EMBEDDER)
+        return passages, passages.written
+
+    return I.of_table(spark, f"{d}/documents.parquet", f"passages {kind}", make)
+
+
+def line_passages(spark: SparkSession, d: str) -> R.Passages:
+    return passages_of(spark, d, "lines", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "text")))
