@@ -208,8 +208,11 @@ def _comparer(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         """Links between followers of one leader that lie in different components, as a forest."""
         ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "side"))
-        bits = np.unpackbits(np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")]), axis=1)
-        both = bits.astype(np.float32) @ bits.T.astype(np.float32)
+        bits = np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")])
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for a in range(0, bits.shape[1], COLUMNS // 8):
+            m = np.unpackbits(bits[:, a : a + COLUMNS // 8], axis=1).astype(np.float32)
+            both += m @ m.T
         added = [np.frombuffer(b.as_buffer(), _U) for b in table.column("added")]
         row = np.repeat(np.arange(len(ids)), [len(a) for a in added])
         value, kind, times = np.unique(np.concatenate(added), return_inverse=True, return_counts=True)
