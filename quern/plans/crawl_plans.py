@@ -14,7 +14,7 @@ from quern.plans.registry import query
 from quern.plans.retrieval import BM25_CTE, bm25
 from quern.sources import bodies
 from quern.sources.tables import table
-from quern.streaming import incremental
+from quern.streaming import event_time, incremental
 
 
 @query("""SELECT doc_id, state FROM (SELECT doc_id, source IS NOT NULL AS listed, (['Pending', 'Downloaded', 'Extracted', 'ScannedSkipped', 'Failed'])[1 + doc_id % 5] AS state FROM documents) WHERE state IN ('Pending', 'Downloaded', 'Failed')""")
@@ -174,3 +174,21 @@ def q_crawl_states(spark: SparkSession, d: str) -> DataFrame:
 def q_incremental_refresh(spark: SparkSession, d: str) -> DataFrame:
     """A stream builds the index of older documents, then of the present ones; what is gone is removed."""
     return incremental.refresh(spark, f"{d}/documents.parquet", "v2")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts)::bigint AS moment, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HAPPENED.items())} END AS happened FROM events),
+r AS (SELECT DISTINCT user_id, 0 AS n, 'Pending' AS state, NULL::bigint AS failed FROM e
+UNION ALL SELECT user_id, n, state, CASE WHEN state = 'Failed' THEN coalesce(failed, moment) END FROM
+  (SELECT s.user_id, e.n, e.moment AS moment, s.failed, CASE {_STEP_SQL} ELSE s.state END AS state FROM
+    (SELECT r.user_id, r.n, CASE WHEN r.state = 'Failed' AND r.failed + 21600000000 <= f.moment THEN 'Pending' ELSE r.state END AS state,
+       CASE WHEN r.state = 'Failed' AND r.failed + 21600000000 <= f.moment THEN NULL ELSE r.failed END AS failed FROM r JOIN e f ON f.user_id = r.user_id AND f.n = r.n + 1) s
+    JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT user_id, CASE max_by(state, n) WHEN 'Failed' THEN 'Pending' ELSE max_by(state, n) END AS state, max(n)::bigint AS n FROM r GROUP BY user_id""")
+def q_crawl_states_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """States by event time of events that come up to two hours late; a failure is taken up again after six hours."""
+    what = F.create_map(*(F.lit(x) for pair in _HAPPENED.items() for x in pair))
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.coalesce(F.try_element_at(what, F.col("event_type")), F.lit("")).alias("happened"))
+    folder = scratch.folder(spark, "late")
+    event_time.write_out_of_order(events, folder, 7200)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return event_time.states_by_time(spark, stream, "2 hours", 6)

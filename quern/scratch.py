@@ -86,7 +86,7 @@ def _drop_all() -> None:
 
 
 #: Bytes of rows that a Python worker is given at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
