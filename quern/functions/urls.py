@@ -14,9 +14,9 @@ def part(url: Column, what: str) -> Column:
 
 
 def is_allowed(url: Column, host: Column) -> Column:
-    """Absolute https without port or user on the allowed host."""
+    """Absolute https on the allowed host, without user and with no port but the default one."""
     own = F.lower(part(url, "HOST"))
-    plain = F.lower(part(url, "AUTHORITY")) == own
+    plain = F.lower(part(url, "AUTHORITY")).isin(own, F.concat(own, F.lit(":443")))
     return F.coalesce((F.lower(part(url, "PROTOCOL")) == "https") & plain & (own == F.lower(host)), F.lit(False))
 
 
@@ -37,26 +37,55 @@ def decode_percent(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def encode_beyond_ascii(c: Column) -> Column:
-    """Blanks, controls and letters beyond ASCII as percent escapes of their UTF-8 bytes."""
-    one = lambda x: F.when(x.rlike(r"[^\x21-\x7e]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
-    return let(c, lambda v: F.when(v.rlike(r"[^\x21-\x7e]"), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v))
+#: What a URL may not hold as it is after its host: blanks, controls, letters beyond ASCII, some signs, and a % that escapes nothing.
+_FOREIGN = r"[^\x21-\x7e]|[\"<>\[\]{}|^`]"
+_LONE_PERCENT = "%(?![0-9A-Fa-f]{2})"
+
+
+def escape(c: Column) -> Column:
+    """What a URL may not hold as percent escapes of its UTF-8 bytes; backslashes as slashes."""
+    one = lambda x: F.when(x.rlike(_FOREIGN), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
+    whole = lambda v: F.when(v.rlike(_FOREIGN), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v)
+    return let(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), _LONE_PERCENT, "%25"), whole)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from / on with its . and .. segments followed."""
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.array_append(done, s))
+
+    def followed(p: Column) -> Column:
+        kept = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+        # A path that ends in a dot segment ends in a slash.
+        return F.array_join(F.when(p.rlike(r"/\.{1,2}$"), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), let(path, followed)).otherwise(path)
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` seen from ``base``, an absolute URL, and percent-encoded; null for what is no web address."""
+    """``href`` seen from ``base``, an absolute URL: dot segments followed and what a URL may not hold escaped; null for what is no web address.
+
+    A host with letters beyond ASCII is not translated: such an address is none.
+    """
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     above = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)", 1)
 
     def joined(h: Column) -> Column:
         return (
             F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
-            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.rlike(r"^[/\\]{2}"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+            .when(h.rlike(r"^[/\\]"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h))
             .when(h != "", F.concat(F.coalesce(F.nullif(above, F.lit("")), F.concat(origin, F.lit("/"))), h))
         )
 
-    return let(encode_beyond_ascii(let(F.trim(href), joined)), lambda full: F.when(part(full, "HOST").isNotNull(), full))
+    def cleaned(full: Column) -> Column:
+        place = lambda n: F.regexp_extract(full, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", n)
+        path = without_dots(F.replace(place(2), F.lit("\\"), F.lit("/")))
+        head = F.replace(place(1), F.lit("\\"), F.lit("/"))
+        return F.when(place(1) == "", full).otherwise(F.concat(head, escape(path), escape(place(3)), escape(place(4))))
+
+    return let(let(let(F.trim(href), joined), cleaned), lambda full: F.when(part(full, "HOST").isNotNull(), full))
 
 
 def file_name(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import crawl_plans, listing_plans, passage_plans, quality_plans, retrieval, scale, sql_plans, state, structure  # noqa: F401 - they register queries
+from quern.plans import crawl_plans, landing_plans, listing_plans, passage_plans, quality_plans, retrieval, scale, sql_plans, state, structure  # noqa: F401 - they register queries
 from quern.plans.registry import QUERIES, SQL, Query
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import text as X
+from quern.operators import bitmaps as M
 from quern.operators import passages as R
 from quern.operators import sections as P
 from quern.plans.registry import query
@@ -53,3 +55,19 @@ def q_chunk_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     which = F.element_at(F.array(*map(F.lit, ("english", "listed before 2020", "first source"))), (F.col("q") % 3 + 1).cast("int"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text").withColumn("filter", which)
     return _answers(R.search(chunk_passages(spark, d), asked, allowed))
+
+
+@query(f"WITH RECURSIVE {CHUNKS_CTE}, {_ASKED}, {_CHUNKS}, {PASSAGES_SQL.replace('WHERE_OK', _OK)}")
+def q_chunk_search_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """The filtered search with its filters made from bitmaps of languages, listings, years and sources."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    year = F.year(F.expr("date_add(DATE'2015-01-01', cast(doc_id % 3650 as int))"))
+    values = F.array(F.concat(F.lit("lang="), F.lower("lang")), F.concat(F.lit("listing="), (n % 5).cast("string")), F.when(year < 2020, "before 2020"), F.concat(F.lit("source="), "source"))
+    sets = scratch.save(M.index(docs.select(n.alias("doc"), F.explode(F.array_compact(values)).alias("value"))), "bitmaps")
+    take = lambda value, name: sets.where(F.col("value") == value).withColumn("value", F.lit(name))
+    listed = M.all_of(take("listing=2", "listed before 2020").unionByName(take("before 2020", "listed before 2020")), 2)
+    filters = take("lang=en", "english").unionByName(listed).unionByName(take("source=src1", "first source"))
+    allowed = M.members(docs.select(n.alias("doc")), filters).withColumnRenamed("value", "filter")
+    which = F.element_at(F.array(*map(F.lit, ("english", "listed before 2020", "first source"))), (F.col("q") % 3 + 1).cast("int"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text").withColumn("filter", which)
+    return _answers(R.search(chunk_passages(spark, d), asked, allowed))

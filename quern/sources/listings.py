@@ -77,7 +77,7 @@ def entries(rows: DataFrame, libraries: DataFrame, columns: Columns = Columns())
     return checked.select(
         "library",
         "row",
-        F.concat("prefix", X.let(F.col("file_name"), X.file_id)).alias("id"),
+        F.concat("prefix", X.file_id(F.col("file_name"))).alias("id"),
         "file_name",
         "source_url",
         F.when(F.array_contains("fields", columns.diploma), F.col("stated_diploma")).otherwise(F.col("library")).alias("diploma"),

@@ -50,10 +50,14 @@ class States(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "micros long, event_id long, happened string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
         for batch in rows:
-            held = list(batch[["micros", "event_id", "happened"]].itertuples(index=False, name=None))
-            self.waiting.appendList([(int(at), int(i), str(h)) for at, i, h in held])
-            for at in {self._timer(int(at)) for at, _, _ in held}:
+            found = batch[["micros", "event_id", "happened"]].itertuples(index=False, name=None)
+            # What lies before the watermark has been settled without this event.
+            held = [(int(at), int(i), str(h)) for at, i, h in found if at >= settled]
+            if held:
+                self.waiting.appendList(held)
+            for at in {self._timer(at) for at, _, _ in held}:
                 self.handle.registerTimer(at)
         yield from ()
 

@@ -153,3 +153,16 @@ def test_robots(spark):
 def test_vectors(spark):
     assert one(spark, [3.0, 4.0], V.normalize, "array<float>") == pytest.approx([0.6, 0.8])
     assert one(spark, [0.0, 0.0], V.normalize, "array<float>") == [0.0, 0.0]
+
+
+def test_resolved_urls(spark):
+    base = "https://h.example/a/b/page.aspx?x=1#top"
+    cases = [
+        ("../x.pdf", "https://h.example/a/x.pdf"), ("../../../x.pdf", "https://h.example/x.pdf"), ("./c/./d/..", "https://h.example/a/b/c/"), ("/p/../q/", "https://h.example/q/"),
+        ("?q=1", "https://h.example/a/b/page.aspx?q=1"), ("#end", "https://h.example/a/b/page.aspx?x=1#end"), ("/a b[1].pdf", "https://h.example/a%20b%5B1%5D.pdf"),
+        ("/50%.pdf", "https://h.example/50%25.pdf"), ("/a%20b.pdf", "https://h.example/a%20b.pdf"), ("é.pdf", "https://h.example/a/b/%C3%A9.pdf"), ("\\c\\d.pdf", "https://h.example/c/d.pdf"),
+        ("//o.example/x", "https://o.example/x"), ("HTTPS://O.example/../y|z", "HTTPS://O.example/y%7Cz"), ("x.pdf?a=[1]", "https://h.example/a/b/x.pdf?a=%5B1%5D"), ("...", "https://h.example/a/b/..."),
+        ("", None), ("mailto:a@b.c", None), ("a//b", "https://h.example/a/b/a//b"), (".", "https://h.example/a/b/"), (None, None),
+    ]
+    many(spark, cases, lambda c: U.resolve(F.lit(base), c))
+    many(spark, [("https://h.example:443/x", "y"), ("https://h.example:8443/x", "n"), ("https://u@h.example/x", "n"), ("https://H.EXAMPLE/x", "y")], lambda c: F.when(U.is_allowed(c, F.lit("h.example")), "y").otherwise("n"))
