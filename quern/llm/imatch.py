@@ -168,6 +168,8 @@ def _walker(known: np.ndarray):
 
 #: Bytes of text in a range of documents, about, and documents of the sample for each bound.
 PART_BYTES, SAMPLE = 8 << 20, 16
+#: Ranges at most: bounds and sample stay a few MB on the driver and in a task; beyond 80 GB ranges are larger instead, and are walked a batch at a time all the same.
+MOST_PARTS = 10_000
 
 
 def _part_of(bounds: np.ndarray) -> Column:
@@ -203,7 +205,7 @@ def fingerprints_beside_next(docs: DataFrame, parts: int | None = None) -> DataF
     opens a range is sent to the range before as well, so each range is walked in order by
     itself. Null text counts as empty. Rows that share a doc_id follow each other in the
     order of a hash of their texts, so many of them are many ranges too; rows that repeat
-    id and text are one range. A null doc_id comes first. A lone document is its own next.
+    id and text are one range. There are at most MOST_PARTS ranges. A null doc_id comes first. A lone document is its own next.
     An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -213,8 +215,8 @@ def fingerprints_beside_next(docs: DataFrame, parts: int | None = None) -> DataF
     whole = keyed.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("size"), F.min(F.struct("k", "t")).alias("least")).first()
     if not whole["rows"]:
         return spark.createDataFrame([], _RESULT)
-    n = parts or max(1, -(-whole["size"] // PART_BYTES))
-    # Two numbers of each document of the sample reach the driver: SAMPLE * n rows, about.
+    n = parts or min(MOST_PARTS, max(1, -(-whole["size"] // PART_BYTES)))
+    # Two numbers of each document of the sample reach the driver: SAMPLE * n rows, about, and n is bounded.
     every = max(1, whole["rows"] // (SAMPLE * n))
     sample = keyed.select("k", "t").where(F.pmod(F.xxhash64("k", "t", F.lit(9)), F.lit(every)) == 0).distinct().toArrow() if n > 1 else None
     found = np.stack([c.to_numpy() for c in sample.columns], axis=1) if sample is not None else np.zeros((0, 2), np.int64)
@@ -223,6 +225,6 @@ def fingerprints_beside_next(docs: DataFrame, parts: int | None = None) -> DataF
     bounds = np.unique(np.concatenate([np.array([tuple(whole["least"])], np.int64), found]), axis=0)
     placed = keyed.withColumn("p", _part_of(bounds)).withColumn("to", F.explode(F.when(F.col("p.before") < 0, F.array("p.part")).otherwise(F.array("p.part", F.col("p.before") + F.lit(FOLLOWS)))))
     rows = placed.select((F.col("to") % FOLLOWS).alias("part"), "doc_id", (F.col("to") >= FOLLOWS).alias("extra"), "text", "k", "t")
-    # Ranges stay whole and are dealt evenly, as each is a value of the column that is ranged.
-    dealt = rows.repartitionByRange(len(bounds), "part").sortWithinPartitions("part", "extra", "k", "t")
+    # A range is a task: its number is the partition's, so nothing is sampled again.
+    dealt = rows.repartitionById(len(bounds), "part").sortWithinPartitions("part", "extra", "k", "t")
     return dealt.select("part", "doc_id", "extra", "text").mapInArrow(_walker(known), _RESULT)

@@ -356,12 +356,18 @@ def _part_scorer(vocabulary: Vocabulary, flat: np.ndarray):
             names = batch.column("row").to_numpy()
             for i, w, terms, log_p, rare in _scores(vocabulary, net, batch):
                 n = len(w.first) - 1
-                term = terms[rare].view(np.int64)
+                # One row for each rare word of a document, however often it has it.
+                doc, term = w.doc[rare], terms[rare]
+                order = np.lexsort((term, doc))
+                doc, term = doc[order], term[order].view(np.int64)
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))[: len(doc)])
+                times = np.diff(np.append(first, len(doc)))
+                doc, term = doc[first], term[first]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[names[i : i + n], names[i + w.doc[rare]]]),
+                        pa.array(np.r_[names[i : i + n], names[i + doc]]),
                         pa.concat_arrays([batch.column("doc_id").slice(i, n), pa.nulls(len(term), pa.int64())]),
-                        pa.array(np.r_[np.diff(w.first), np.ones(len(term), np.int64)]),
+                        pa.array(np.r_[np.diff(w.first), times]),
                         pa.array(np.r_[_sums(log_p, w.first), np.zeros(len(term))]),
                         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(term, pa.int64())]),
                     ],
@@ -376,7 +382,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, seed: int = 0) -> Dat
 
     Every word of every whole text is predicted from both sides. A text that is null or
     has no words has n_tokens 0 and both scores 0. Repeated rows score alike but for
-    single-precision rounding; a null doc_id stays null. An empty table gives no rows.
+    single-precision rounding; a null doc_id stays null. An empty table gives no rows. The
+    weights are means over tasks, so they depend on how the input is cut into them.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = count_vocabulary(base)
