@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
+
 
 def outcomes(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """(q, first_rank, found, wanted) for every question in ``expected``(q, doc); ``ranked``: (q, doc, rank)."""
@@ -42,8 +44,10 @@ def metrics(outcome: DataFrame, k: int = 10) -> DataFrame:
 def violations(questions: DataFrame, longest: int = 500) -> DataFrame:
     """(id, rule) for each rule that a row of questions(id, question, expected) breaks.
 
-    One pass finds what a row alone shows; ids and texts that occur twice are counted.
+    White space around ids and texts does not count. One pass finds what a row alone shows;
+    ids and texts that occur twice are counted.
     """
+    questions = questions.withColumns({c: X.strip(F.col(c)) for c in ("id", "question")})
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     bare = F.transform("expected", lambda e: F.trim(e))
     rules = {

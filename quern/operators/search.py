@@ -63,10 +63,16 @@ def responses(hits: DataFrame) -> DataFrame:
     """(q, n, body): the hits(q, rank, id, url, title, score) of each question as one JSON text, in order.
 
     Hits without id or title, and links that are not https, are left out. A list is at most
-    as long as the limit of the search that found it.
+    as long as the limit of the search that found it. Hits may also have a ``passage`` and
+    ``highlights``, an array of (start, length); those that do not lie in the passage go.
     """
     shown = hits.where(F.col("id").isNotNull() & (F.coalesce(F.trim("title"), F.lit("")) != "") & F.coalesce(F.lower("url").startswith("https://"), F.lit(False)))
-    one = F.struct("rank", F.col("id").cast("string").alias("id"), "title", "url", F.bround("score", 6).alias("score"))
+    marked = []
+    if "passage" in hits.columns:
+        fits = lambda h: (h["start"] >= 0) & (h["length"] > 0) & (h["start"] + h["length"] <= F.length("passage"))
+        valid = F.filter("highlights", lambda h: F.coalesce(fits(h), F.lit(False)))
+        marked = [F.col("passage"), F.coalesce(valid, F.array().cast("array<struct<start: int, length: int>>")).alias("highlights")]
+    one = F.struct("rank", F.col("id").cast("string").alias("id"), "title", "url", F.bround("score", 6).alias("score"), *marked)
     return shown.groupBy("q").agg(F.array_sort(F.collect_list(one)).alias("h")).select("q", F.size("h").cast("long").alias("n"), F.to_json("h").alias("body"))
 
 

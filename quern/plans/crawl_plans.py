@@ -97,6 +97,17 @@ def q_responses(spark: SparkSession, d: str) -> DataFrame:
     return S.responses(S.top(p, 10, "id").withColumn("score", F.col("rank") / 8))
 
 
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS q, url, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) ORDER BY page_id) AS rank FROM pages),
+k AS (SELECT * FROM p WHERE rank <= 3 AND url LIKE 'https://%')
+SELECT q, count(*)::bigint AS n, '[' || string_agg('{"rank":' || rank || ',"id":"' || page_id || '","title":"t","url":"' || url || '","score":' || rank / 8 || ',"passage":"page ' || page_id || '","highlights":[{"start":0,"length":4}' || CASE WHEN page_id >= 100 THEN ',{"start":5,"length":3}' ELSE '' END || ']}', ',' ORDER BY rank) || ']' AS body FROM k GROUP BY q""")
+def q_responses_marked(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with passages and highlights: one that reaches beyond its passage, begins before it, or is empty is dropped."""
+    p = table(spark, d, "pages").select(U.part(F.col("url"), "HOST").alias("q"), F.col("page_id").alias("id"), "url", F.lit("t").alias("title"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("passage"))
+    mark = lambda a, n: F.struct(F.lit(a).alias("start"), F.lit(n).alias("length"))
+    marks = F.array(mark(0, 4), mark(5, 3), mark(-1, 2), mark(2, 0), mark(90, 1))
+    return S.responses(S.top(p.withColumn("highlights", marks), 3, "id").withColumn("score", F.col("rank") / 8))
+
+
 _KEYS_SQL = "r AS (SELECT doc_id AS id, sha256('v1' || chr(10) || text) AS want FROM documents WHERE doc_id % 11 > 0), s AS (SELECT doc_id AS id, sha256('v1' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'old ' ELSE '' END || text) AS chunk_key, 3 AS chunks, CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 3 END AS vectors FROM documents WHERE doc_id % 6 > 0)"
 
 

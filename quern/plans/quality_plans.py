@@ -34,7 +34,7 @@ def q_eval_unknown_ids(spark: SparkSession, d: str) -> DataFrame:
     return lost.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("unknown"))
 
 
-_QUESTIONS_SQL = """q AS (SELECT conv_id::varchar AS id, text AS question, string_split(lower(text), ' ')[1:3] AS expected FROM conversations WHERE role = 'user')"""
+_QUESTIONS_SQL = """q AS (SELECT conv_id::varchar AS id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS question, string_split(lower(text), ' ')[1:3] AS expected FROM conversations WHERE role = 'user')"""
 
 
 @query(f"""WITH {_QUESTIONS_SQL},

@@ -9,6 +9,7 @@ from quern import scratch
 from quern.functions import tables
 from quern.functions import text as X
 from quern.operators import bitmaps as M
+from quern.operators import crawl as K
 from quern.operators import observed as O
 from quern.operators import search as S
 from quern.plans.listing_plans import ENTRIES_SQL, scanned
@@ -127,3 +128,33 @@ def q_bitmap_facets(spark: SparkSession, d: str) -> DataFrame:
     filters = part("value IN ('article=2', 'article=4')", "article").unionByName(part("value LIKE 'year=%' AND value < 'year=2020'", "year")).unionByName(part("value = 'long'", "long"))
     chosen = M.all_of(filters.withColumn("value", F.lit("filter")), 3)
     return M.sizes(M.within(sets.where("value LIKE 'source=%' OR value LIKE 'lang=%'"), chosen))
+
+
+@query("""WITH v AS (SELECT doc_id, translate(replace(text, 'e', '-'), chr(9) || chr(11) || chr(12) || chr(133) || chr(160) || chr(8195), '      ') AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(replace(t, chr(13), chr(10)), ' +\\n', chr(10), 'g'), ' +$', '', 'g')) AS body FROM v""")
+def q_clean_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a PDF reader gives them (soft hyphens, line ends of three kinds, odd blanks) made plain again."""
+    n, text = F.col("doc_id"), F.replace(F.col("text"), F.lit("e"), F.lit("\u00ad"))
+    ends = F.when(n % 3 == 0, F.replace(text, F.lit("\n"), F.lit(" \r\n"))).when(n % 3 == 1, F.replace(text, F.lit("\n"), F.lit("\u2003\r"))).otherwise(F.replace(text, F.lit("\n"), F.lit("\t\n")))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.clean_extracted(ends)).alias("body"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(l) = 0 THEN 'all' ELSE array_to_string(l, ' · ') END AS summary FROM (SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN lang END, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END, CASE WHEN n_chars > 900 THEN 'long' END], lambda x: x IS NOT NULL AND x <> '') AS l FROM documents)""")
+def q_filter_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What a document's filters say, in one line."""
+    n = F.col("doc_id")
+    parts = (F.when(n % 2 == 0, F.col("lang")), F.when(n % 3 == 0, F.col("source")).otherwise(""), F.when(F.col("n_chars") > 900, "long"))
+    return table(spark, d, "documents").select("doc_id", X.filter_summary(*parts, default="all").alias("summary"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '  ' ELSE NULL END AS t FROM conversations) WHERE trim(t) <> ''")
+def q_askable(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that can be asked as questions: the others are blank or null."""
+    t = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, "  ")
+    return S.askable(table(spark, d, "conversations").withColumn("t", t), "t", 10).select("conv_id", "turn")
+
+
+@query("SELECT source, count(*)::bigint AS n FROM documents GROUP BY source")
+def q_unique_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source, after their ids are known to be unique."""
+    return K.require_unique(table(spark, d, "documents"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
@@ -39,7 +39,15 @@ def _has(spark: SparkSession, path: str) -> bool:
 def _rows(spark: SparkSession, index: str) -> DataFrame | None:
     if not _has(spark, f"{index}/data"):
         return None
-    return spark.read.schema(f"{_INDEX}, generation int, batch long").parquet(f"{index}/data")
+    return spark.read.schema(f"{_INDEX}, generation int, batch long, bucket int").parquet(f"{index}/data")
+
+
+#: Folders that the index rows of a batch are dealt to by document: a batch reads those of its own documents alone.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def read_index(spark: SparkSession, index: str, of: DataFrame | None = None) -> DataFrame:
@@ -48,6 +56,8 @@ def read_index(spark: SparkSession, index: str, of: DataFrame | None = None) ->
     if rows is None:
         return spark.createDataFrame([], _INDEX)
     if of is not None:
+        buckets = [r["bucket"] for r in of.select(_bucket()).distinct().collect()]  # BUCKETS numbers at most
+        rows = rows.where(F.col("bucket").isin(buckets))
         rows = rows.join(of.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     last = rows.groupBy("doc_id").agg(F.max_by(F.struct("chunk_key", "size"), F.struct("generation", "batch")).alias("r"))
     return last.select("doc_id", "r.*").where("chunk_key IS NOT NULL")
@@ -67,14 +77,20 @@ def build(spark: SparkSession, source: str, index: str, settings: str, generatio
         wanted = batch.select("doc_id", F.sha2(F.concat(F.lit(settings + "\n"), body), 256).alias("chunk_key"), F.length(body).cast("long").alias("size"))
         held = read_index(s, index, batch).select(F.col("doc_id").alias("_id"), F.col("chunk_key").alias("_key"))
         new = wanted.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("chunk_key") == F.col("_key")), "left_anti")
-        new.write.mode("overwrite").parquet(f"{index}/data/generation={generation}/batch={number}")
+        _put(new, index, generation, number)
 
     run = _stream(spark, source).writeStream.foreachBatch(add).option("checkpointLocation", f"{index}/progress-{generation}").trigger(availableNow=True).start()
     run.awaitTermination()
 
 
-#: The number of the batch that removes, after all others of its generation.
-REMOVAL = (1 << 62) - 1
+#: The numbers of the batch that removes, after all others of its generation, and of the one that holds all that is current.
+REMOVAL, SNAPSHOT = (1 << 62) - 1, 1 << 62
+
+
+def _put(rows: DataFrame, index: str, generation: int, batch: int) -> None:
+    """Write a batch's rows, each bucket as a folder; a repeated batch replaces its first attempt."""
+    dealt = rows.withColumn("bucket", _bucket()).repartition("bucket")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/data/generation={generation}/batch={batch}")
 
 
 def remove_absent(spark: SparkSession, source: str, index: str, generation: int = 0) -> None:
@@ -82,7 +98,24 @@ def remove_absent(spark: SparkSession, source: str, index: str, generation: int
     present = spark.read.parquet(source).select(F.col("doc_id").alias("_id"))
     gone = read_index(spark, index).join(present, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     marks = gone.select("doc_id", F.lit(None).cast("string").alias("chunk_key"), F.lit(0).cast("long").alias("size"))
-    marks.write.mode("overwrite").parquet(f"{index}/data/generation={generation}/batch={REMOVAL}")
+    _put(marks, index, generation, REMOVAL)
+
+
+def compact(spark: SparkSession, index: str) -> None:
+    """One folder of all current rows instead of those of every batch; the newest generation is closed by it.
+
+    The rows are written before anything is deleted, and removals are deleted last, so
+    readers see the same index at every moment. Later batches belong to a later generation.
+    """
+    rows = _rows(spark, index)
+    newest = rows.agg(F.max(F.struct("generation", "batch")).alias("m")).first()["m"] if rows is not None else None
+    if newest is None or newest["batch"] == SNAPSHOT:
+        return
+    _put(read_index(spark, index), index, newest["generation"], SNAPSHOT)
+    older = [(r["generation"], r["batch"]) for r in rows.select("generation", "batch").distinct().collect() if tuple(r) != (newest["generation"], SNAPSHOT)]  # one a batch
+    for generation, batch in sorted(older, key=lambda b: (b[1] == REMOVAL, b)):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index}/data/generation={generation}/batch={batch}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def refresh(spark: SparkSession, source: str, settings: str) -> DataFrame:
@@ -95,6 +128,7 @@ def refresh(spark: SparkSession, source: str, settings: str) -> DataFrame:
     build(spark, f"{folder}-older", folder, settings)
     build(spark, source, folder, settings, generation=1)
     remove_absent(spark, source, folder, generation=1)
+    compact(spark, folder)
     return read_index(spark, folder)
 
 

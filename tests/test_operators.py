@@ -207,11 +207,12 @@ def test_index_is_kept_up_to_date(spark):
     assert {r["term"] for r in after.counts.collect()} == {"novo", "texto", "dois", "cinco"}
 
 
-def test_nearest_rank(spark):
+@pytest.mark.parametrize("small", [2, 20_000])
+def test_nearest_rank(spark, small):
     rnd = random.Random(7)
-    rows = [(k, rnd.choice([1.5, 2.5, rnd.random() * 100, 7.0])) for k in "abc" for _ in range(rnd.randrange(1, 60))] + [("same", 3.0)] * 5 + [("none", None), (None, 4.0), (None, 9.0)]
+    rows = [(k, rnd.choice([1.5, 2.5, rnd.random() * 100, 7.0])) for k in "abc" for _ in range(rnd.randrange(1, 60))] + [("same", 3.0)] * 5 + [("far", x) for x in [1e12, *range(100)]] + [("none", None), (None, 4.0), (None, 9.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: (r["x"], r["y"]) for r in nearest_rank(df, "k", "v", {"x": 0.5, "y": 0.95}, cells=4).collect()}
+    got = {r["k"]: (r["x"], r["y"]) for r in nearest_rank(df, "k", "v", {"x": 0.5, "y": 0.95}, cells=4, small=small).collect()}
     want = {}
     for k in {k for k, v in rows if v is not None}:
         v = sorted(x for n, x in rows if n == k and x is not None)
@@ -300,6 +301,31 @@ def test_streamed_index_of_null_texts(spark, tmp_path):
     assert [r["doc_id"] for r in incremental.read_index(spark, f"{tmp_path}/index").collect()] == [1]
 
 
+def test_streamed_index_is_compacted(spark, tmp_path):
+    folder = f"{tmp_path}/index"
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, "x")]
+    put = lambda name, r: spark.createDataFrame(r, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}")
+    put("a", rows)
+    put("b", [(i, f"text {i}" if i % 3 else "new") for i in range(5, 220)] + [(None, "x")])
+    incremental.build(spark, f"{tmp_path}/a", folder, "s")
+    incremental.build(spark, f"{tmp_path}/b", folder, "s", 1)
+    incremental.remove_absent(spark, f"{tmp_path}/b", folder, 1)
+    now = lambda: sorted(map(str, incremental.read_index(spark, folder).collect()))
+    before = now()
+    assert len(before) == 216
+    one = spark.createDataFrame([(7, "t")], "doc_id long, text string")
+    assert [r["doc_id"] for r in incremental.read_index(spark, folder, one).collect()] == [7]
+    buckets = {f.split("bucket=")[1].split("/")[0] for f in incremental.read_index(spark, folder, one).inputFiles()}
+    assert len(buckets) == 1  # a batch reads the folders of its own documents
+    for _ in range(2):
+        incremental.compact(spark, folder)
+        assert now() == before
+    assert spark.read.parquet(f"{folder}/data").select("batch").distinct().count() == 1
+    incremental.build(spark, f"{tmp_path}/a", folder, "s", 2)
+    assert len(now()) == 221
+    incremental.compact(spark, f"{tmp_path}/nothing")
+
+
 def test_declared_schema(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "item_id long, text int").write.parquet(f"{tmp_path}/benchmark.parquet")
     with pytest.raises(tables.SchemaError):
