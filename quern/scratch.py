@@ -86,13 +86,13 @@ def _drop_all() -> None:
 
 
 #: Bytes of rows that a Python worker is given at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Bound the batches of Python workers, and let them import this package."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, str(batch_bytes))
     _ship(spark)
 
 
