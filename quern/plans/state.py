@@ -193,6 +193,6 @@ g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PART
 SELECT user_id, min(s) AS s, max(e) AS e, count(*)::bigint AS n FROM g GROUP BY user_id, g""")
 def q_highlight_merge(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of each user merged where they overlap or touch."""
-    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 0.5)
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)  # halves to even, as in SQL
     i = table(spark, d, "events").select("user_id", at.cast("long").alias("s"), (at + F.rint(F.col("value") * 60)).cast("long").alias("e"))
     return C.merged_intervals(i, ("user_id",), "s", "e")
