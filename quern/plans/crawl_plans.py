@@ -136,8 +136,7 @@ def q_bm25_by_listing(spark: SparkSession, d: str) -> DataFrame:
     """BM25 among documents that a library lists under an article, case ignored; statistics are those of all documents."""
     n = F.col("doc_id")
     listings = table(spark, d, "documents").select(n.alias("doc"), F.concat(F.lit("LIB"), (n % 3).cast("string")).alias("library"), F.concat(F.lit("a"), (n % 5).cast("string")).alias("article"))
-    found = bm25(spark, d, K.allowed_by_listing(listings, "lib1", "A2"))
-    return S.best_first(found, S.LIMIT).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    return bm25(spark, d, S.LIMIT, K.allowed_by_listing(listings, "lib1", "A2")).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""WITH c AS (SELECT doc_id, lang, n_chars, 'key' || doc_id AS chunk_key FROM documents WHERE doc_id % 4 > 0)

@@ -56,9 +56,9 @@ SELECT q, doc_id, w AS word, count(*)::bigint AS n FROM w JOIN (SELECT DISTINCT
 def q_sql_highlights(spark: SparkSession, d: str) -> DataFrame:
     """Words of the three best documents of each question that match its terms, by the table function."""
     tables.register(spark)
-    hits = S.best_first(bm25(spark, d), 3).select("q", F.col("doc").alias("doc_id"))
+    hits = bm25(spark, d, 3).select("q", F.col("doc").alias("doc_id"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), X.query_terms(F.col("text")).alias("terms"))
-    found = hits.join(asked, "q").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    found = table(spark, d, "documents").select("doc_id", "text").join(S.shared(hits.join(asked, "q")), "doc_id")
     return spark.sql("SELECT f.q, f.doc_id, h.word, count(*) AS n FROM {found} f, LATERAL highlights(f.text, f.terms) h GROUP BY ALL", found=found)
 
 
@@ -67,9 +67,9 @@ SELECT q, doc AS doc_id, length(regexp_replace(regexp_replace(d.text, '[\r\n\t]'
 def q_sql_segments(spark: SparkSession, d: str) -> DataFrame:
     """The best document of each question in marked and plain parts: an excerpt as long as any text has all its marks."""
     tables.register(spark)
-    hits = S.best_first(bm25(spark, d), 1).select("q", F.col("doc").alias("doc_id"))
+    hits = bm25(spark, d, 1).select("q", F.col("doc").alias("doc_id"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), X.query_terms(F.col("text")).alias("terms"))
-    found = hits.join(asked, "q").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    found = table(spark, d, "documents").select("doc_id", "text").join(S.shared(hits.join(asked, "q")), "doc_id")
     sql = "SELECT f.q, f.doc_id, sum(length(s.text)) > 0 AS shown, count_if(s.mark) AS marks FROM {found} f, LATERAL segments(f.text, f.terms, size => 100000000) s GROUP BY ALL"
     return spark.sql(sql, found=found)
 

@@ -1,10 +1,16 @@
 """Results and work that only larger or odd tables tell apart."""
 
 import datetime
+import random
 
 import duckdb
 import oracle
+import pytest
+from pyspark.sql import functions as F
 
+from quern.operators import best as N
+from quern.operators import index as I
+from quern.operators import search as S
 from quern.plans import catalogue
 
 SQL = catalogue.oracle_sql()
@@ -23,3 +29,53 @@ def test_intervals_of_half_seconds(spark, tmp_path):
     con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", rows)
     con.execute(f"COPY e TO '{tmp_path}/events.parquet'")
     assert differs(spark, tmp_path, "q_highlight_merge") == ""
+
+
+def _asked(spark, seed=3):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rnd.choices(words, range(1, 41), k=rnd.randrange(0, 30)))
+    rows = [(d, k, text()) for d in range(150) for k in range(2)]
+    rows += [(d, 0, "w1 w2 w39") for d in range(200, 260)] + [(None, 0, "w1"), (300, 0, None)]
+    items = spark.createDataFrame(rows, "doc long, ord int, text string").repartition(5)
+    terms = spark.createDataFrame([(q, rnd.choice(words)) for q in range(9) for _ in range(6)] + [(9, "absent"), (1, "w39"), (1, "w39")], "q int, term string")
+    return I.build(items), terms
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 40])
+def test_best_of_a_batch_are_those_of_all_hits(spark, monkeypatch, cells):
+    """Ties by copies, repeated terms, slices of items, filters and a batch too large for the tasks: as by all hits."""
+    monkeypatch.setattr(N, "CELLS", cells)
+    index, terms = _asked(spark)
+    seen = lambda df: sorted((r["q"], r["rank"], r["doc"], r["ord"], round(r["score"], 9)) for r in df.collect())
+    allowed = spark.createDataFrame([(d,) for d in range(0, 260, 3)] + [(3,)], "doc long")
+    named = spark.createDataFrame([(f"f{d % 2}", d) for d in range(0, 250)] + [("f0", 7)], "filter string, doc long")
+    asks = spark.createDataFrame([(q, f"f{q % 3}") for q in range(10)], "q long, filter string")
+    under = S.best_first(I.search(index, terms).join(asks, "q").join(named, ["filter", "doc"], "left_semi").drop("filter"), 10**6)
+    for k in (1, 7, 500):
+        assert seen(I.best(index, terms, k)) == seen(S.top(I.search(index, terms), k, F.round("score", 9).desc(), "doc", "ord"))
+    assert seen(I.best(index, terms, 7, allowed)) == seen(S.top(I.search(index, terms, allowed), 7, F.round("score", 9).desc(), "doc", "ord"))
+    want = seen(S.top(under.drop("rank"), 7, F.round("score", 9).desc(), "doc", "ord"))
+    assert seen(I.best(index, terms, 7, named, asks)) == want
+    monkeypatch.setattr(I, "MOST_TERMS", 5)
+    assert seen(I.best(index, terms, 7, named, asks)) == want
+
+
+def test_nearest_by_tasks_and_by_blocks(spark, monkeypatch):
+    rnd = random.Random(2)
+    v = lambda: [rnd.choice([-0.5, 0.0, 0.25]) for _ in range(4)]
+    items = spark.createDataFrame([(i, i % 3, v() if i % 9 else v()[:3]) for i in range(120)], "doc long, ord int, v array<double>").repartition(4)
+    asked = spark.createDataFrame([(q, v(), f"f{q % 2}") for q in range(6)], "q long, v array<double>, filter string")
+    named = spark.createDataFrame([(f"f{d % 2}", d) for d in range(80)], "filter string, doc long")
+    both = []
+    for most in (N.MOST_VECTORS, 2):
+        monkeypatch.setattr(N, "MOST_VECTORS", most)
+        both.append([sorted(map(tuple, N.nearest(items, asked, 8, ("doc", "ord"), a).select("q", "rank", "doc", "ord", F.round("score", 9)).collect())) for a in (None, named)])
+    assert both[0] == both[1] and len(both[0][0]) == 48
+
+
+def test_no_step_of_a_search_deals_pairs(spark):
+    """What a batch deals is k rows a question and task, not a row for each hit."""
+    index, terms = _asked(spark)
+    plan = I.best(index, terms, 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan.split("== Physical Plan ==")[1]
