@@ -5,13 +5,16 @@ import random
 
 import duckdb
 import oracle
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.operators import best as N
 from quern.operators import index as I
 from quern.operators import search as S
 from quern.plans import catalogue
+from quern.streaming import event_time as T
 
 SQL = catalogue.oracle_sql()
 
@@ -79,3 +82,59 @@ def test_no_step_of_a_search_deals_pairs(spark):
     index, terms = _asked(spark)
     plan = I.best(index, terms, 3)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan.split("== Physical Plan ==")[1]
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.calls = set(), 0
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class _Value:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return bool(self.v)
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    put = update
+
+    def appendList(self, v):  # noqa: N802
+        self.v = [*(self.v or []), *v]
+
+    def clear(self):
+        self.v = None
+
+
+def test_a_key_has_one_timer():
+    """A thousand waiting events are one timer, the earliest; it moves to the next when the watermark has passed it."""
+    s = T.States(3_600_000_000)
+    s.handle, s.known, s.waiting = _Handle(), _Value(), _Value()
+    now = type("Times", (), {"getCurrentWatermarkInMs": lambda self: self.at, "at": 0})()
+    rows = pd.DataFrame({"micros": [k * 1_000_000 for k in range(1, 1001)], "event_id": range(1000), "happened": ["other"] * 999 + ["error"]})
+    assert list(s.handleInputRows((1,), iter([rows]), now)) == [] and s.handle.timers == {1000} and s.handle.calls == 1
+    now.at = 500_500
+    s.handle.timers.clear()
+    out = list(s.handleExpiredTimer((1,), now, type("Info", (), {"getExpiryTimeInMs": lambda self: 1000})()))
+    assert out[0]["n"].tolist() == [500] and s.handle.timers == {501_000} and len(s.waiting.v) == 500
+    now.at = 2_000_000
+    out = list(s.handleExpiredTimer((1,), now, type("Info", (), {"getExpiryTimeInMs": lambda self: 501_000})()))
+    assert out[0]["state"].tolist() == ["Failed"] and 1_000_000 + 3_600_000 in s.handle.timers
+
+
+def test_lines_are_trimmed_as_in_sql(spark):
+    """Blanks before a line separator stay, as nothing but blanks at the ends goes."""
+    rows = spark.createDataFrame([("  a \t ",), ("abc  ",), ("",)], "t string")
+    assert [r[0] for r in rows.select(X.strip(F.col("t"))).collect()] == ["a", "abc  ", ""]
