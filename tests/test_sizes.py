@@ -2,10 +2,13 @@
 
 import datetime
 import random
+import tracemalloc
 
 import duckdb
 import oracle
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from quern.functions import text as X
 from quern.operators import best as N
 from quern.operators import index as I
 from quern.operators import search as S
+from quern.operators import sections as P
 from quern.plans import catalogue
 from quern.streaming import event_time as T
 
@@ -136,5 +140,29 @@ def test_a_key_has_one_timer():
 
 def test_lines_are_trimmed_as_in_sql(spark):
     """Blanks before a line separator stay, as nothing but blanks at the ends goes."""
-    rows = spark.createDataFrame([("  a \t ",), ("abc  ",), ("",)], "t string")
-    assert [r[0] for r in rows.select(X.strip(F.col("t"))).collect()] == ["a", "abc  ", ""]
+    rows = spark.createDataFrame([("  a \t\u00a0",), ("abc \u2028",), ("",)], "t string")
+    assert [r[0] for r in rows.select(X.strip(F.col("t"))).collect()] == ["a", "abc \u2028", ""]
+
+
+def test_a_block_of_vectors_is_multiplied_in_slices():
+    """Two blocks of 4096 take a few MB of products at once, not hundreds."""
+    v = np.random.default_rng(1).normal(size=(4096, 8))
+    rows = pa.table({"q": pa.array(np.arange(4096)), "doc": pa.array(np.arange(4096)), "v": pa.array(list(v))})
+    tracemalloc.start()
+    found = S._scan(3, False, ("doc",))(rows, rows)
+    assert found.num_rows == 3 * 4096 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_nothing_is_dealt_for_matches_and_term_counts(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange" not in plan(catalogue.queries()["q_highlight_counts"](spark, sf))
+    assert "doc_id" not in "".join(x for x in plan(catalogue.queries()["q_postings_topterms"](spark, sf)).splitlines() if "hashpartitioning" in x)
+    for name in ("q_highlight_counts", "q_postings_topterms"):
+        assert differs(spark, sf, name) == ""
+
+
+def test_chunks_come_in_bounded_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    P.chunk_table(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
