@@ -22,6 +22,8 @@ from quern.operators.search import K1, B
 
 #: Items of a window, as a power of two.
 WINDOW_BITS = 3
+#: Parts of the items that share their least word hash, at least.
+SALTS = 64
 _LISTS = "terms array<string>, n array<int>, max_tf array<int>, min_len array<int>"
 _ITEMS = "items array<struct<doc: bigint, ord: int, len: int, at: array<int>, tf: array<int>>>"
 SCHEMA = f"window long, {_LISTS}, {_ITEMS}"
@@ -69,10 +71,13 @@ def _packed(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
 def pack(counted: DataFrame) -> DataFrame:
     """Windows of ``counted``(doc, ord, len, terms: (term, tf)), items that share their least word hash side by side; only items are dealt.
 
-    A mass of copies shares that hash, so it is dealt by the document as well.
+    A mass of copies shares that hash, and so do many items by a frequent word, so it is
+    dealt by the document as well, in as many parts as a shuffle has.
     """
-    scratch.prepare(counted.sparkSession)
-    near = counted.select("doc", "ord", "len", "terms", F.array_min(F.transform("terms.term", lambda t: F.xxhash64(t))).alias("_near"), F.pmod(F.xxhash64("doc"), F.lit(64)).alias("_salt"))
+    spark = counted.sparkSession
+    scratch.prepare(spark)
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = counted.select("doc", "ord", "len", "terms", F.array_min(F.transform("terms.term", lambda t: F.xxhash64(t))).alias("_near"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("_salt"))
     placed = near.repartition("_near", "_salt").sortWithinPartitions("_near", "doc", "ord").select("doc", "ord", "len", "terms")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
