@@ -91,6 +91,56 @@ def pack(counted: DataFrame) -> DataFrame:
     return placed.mapInArrow(windows, SCHEMA)
 
 
+#: Postings whose shares a task gathers before it sums them up.
+GATHERED = 1 << 20
+
+
+def shares(windows: DataFrame, mean: float) -> DataFrame:
+    """(term, n, most, total): how many postings of a term runs of ``windows`` hold, the largest of their shares and the sum; items whose places are in a column ``dead`` are none."""
+    scratch.prepare(windows.sparkSession)
+    columns = [c for c in ("terms", "items", "dead") if c in windows.columns]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(_shares(batch, mean))
+            size += held[-1].num_rows
+            if size >= GATHERED:
+                yield from _totals(held)
+                held, size = [], 0
+        yield from _totals(held)
+
+    return windows.select(*columns).mapInArrow(add, "term string, n long, most double, total double")
+
+
+def _shares(batch: pa.RecordBatch, mean: float) -> pa.RecordBatch:
+    """(term, n, most, total) of a batch's postings."""
+    named, lists = batch.column("terms"), batch.column("items")
+    begins, first = _begins(_lengths(named)), _begins(_lengths(lists))
+    _, _, length, at, tf = lists.flatten().flatten()
+    own = np.repeat(np.arange(len(length)), _lengths(at))
+    window = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    words = named.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False)[begins[window[own]] + at.flatten().to_numpy(zero_copy_only=False)]
+    share = _share(tf.flatten().to_numpy(zero_copy_only=False).astype(float), length.to_numpy(zero_copy_only=False)[own], mean)
+    if "dead" in batch.schema.names:
+        dead, alive = batch.column("dead"), np.ones(len(length), bool)
+        alive[first[np.repeat(np.arange(batch.num_rows), _lengths(dead))] + dead.flatten().to_numpy(zero_copy_only=False)] = False
+        code, share = code[alive[own]], share[alive[own]]
+    size = len(words.dictionary)
+    n, total, most = np.bincount(code, minlength=size), np.bincount(code, weights=share, minlength=size).astype(float, copy=False), np.zeros(size)
+    np.maximum.at(most, code, share)
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(some)), pa.array(n[some]), pa.array(most[some]), pa.array(total[some])], names=["term", "n", "most", "total"])
+
+
+def _totals(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not held:
+        return []
+    sums = pa.Table.from_batches(held).group_by("term", use_threads=False).aggregate([("n", "sum"), ("most", "max"), ("total", "sum")])
+    return sums.select(["term", "n_sum", "most_max", "total_sum"]).rename_columns(["term", "n", "most", "total"]).to_batches()
+
+
 class _Batch:
     """Windows of a batch as arrays: blocks by window, items by window, what may be ranked."""
 

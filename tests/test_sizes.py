@@ -13,9 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.functions import words as V
 from quern.operators import best as N
 from quern.operators import index as I
 from quern.operators import search as S
+from quern.operators import segments as G
+from quern.operators import windows as W
 from quern.operators import sections as P
 from quern.plans import catalogue
 from quern.streaming import event_time as T
@@ -166,3 +169,46 @@ def test_chunks_come_in_bounded_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     P.chunk_table(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def test_words_found_in_bytes_are_those_of_columns(spark):
+    """Every code point that the JVM knows, inside a word, alone, before and after others; nulls, empty texts and slices of an array."""
+    rows = [(c, f"a{chr(c)}b {chr(c)} {chr(c)}X.É{chr(c)}") for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    known = spark.createDataFrame(pd.DataFrame(rows, columns=["c", "t"])).where(~F.rlike(F.substr("t", F.lit(2), F.lit(1)), F.lit(r"\p{Cn}")))
+    seen = known.select("t", X.words(X.fold(F.col("t"))).alias("w")).toPandas()
+    assert len(seen) > 280_000
+
+    def words(texts):
+        owner, word, words = V.split(texts)
+        named, out = words.to_pylist(), [[] for _ in range(len(texts))]
+        for i, j in zip(owner.tolist(), word.tolist(), strict=True):
+            out[i].append(named[j])
+        return out
+
+    assert words(pa.array(seen["t"])) == [list(w) for w in seen["w"]]
+    assert words(pa.array(["no", None, "", "Ação σΣ", "\u0301 x", "yes"]).slice(1, 4)) == [[], [], ["acao", "σσ"], ["x"]]
+    assert words(pa.array([], pa.string())) == words(pa.array([None], pa.string()))[1:] == []
+
+
+def test_terms_are_summed_in_tasks(spark, tmp_path, monkeypatch):
+    """Sums of terms and of their shares make no row of a posting, and are the same however often a task sums up, with dead items too."""
+    rnd = random.Random(8)
+    rows = [(d, 0, " ".join(rnd.choices([f"w{i}" for i in range(30)], k=rnd.randrange(0, 12)))) for d in range(120)] + [(None, 0, "w1 w2"), (200, 0, None)]
+    items = spark.createDataFrame(rows, "doc long, ord int, text string").repartition(3)
+    index = G.add(G.build(items, f"{tmp_path}/index"), spark.createDataFrame([(d, 0, "w3 neu") for d in range(0, 120, 5)], "doc long, ord int, text string"))
+    assert "Generate" not in G.by_term(index)._jdf.queryExecution().executedPlan().toString()
+    seen = lambda: sorted((r["term"], r["df"], round(r["most"], 9), round(r["mean"], 9)) for r in G.by_term(index).collect())
+    want = G.weights(index).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"), F.avg("weight").alias("mean"))
+    assert seen() == sorted((r["term"], r["df"], round(r["most"], 9), round(r["mean"], 9)) for r in want.collect())
+    listed = spark.createDataFrame([(["a", "b"], [1, -1]), ([], []), (["a"], [3])], "terms array<string>, n array<int>")
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(I, "GATHERED", size)
+        monkeypatch.setattr(W, "GATHERED", size)
+        assert {r["term"]: r["n"] for r in I.summed(listed).collect()} == {"a": 4, "b": -1}
+
+
+def test_postings_of_the_first_format_are_gathered_by_item(spark):
+    """A run of an item's rows is one row; an item in two runs is two, which are put together again."""
+    counts = spark.createDataFrame([("a", 1, 0, 2), ("b", 1, 0, 1), ("a", 2, 0, 1), ("c", 2, 1, 1), ("d", 1, 0, 5), ("x", None, 0, 1)], "term string, doc long, ord int, tf long").coalesce(1)
+    rows = [(r["doc"], r["ord"], [tuple(t) for t in r["terms"]]) for r in G._gathered(counts).collect()]
+    assert sorted(rows) == [(1, 0, [("a", 2), ("b", 1)]), (1, 0, [("d", 5)]), (2, 0, [("a", 1)]), (2, 1, [("c", 1)])]
