@@ -212,3 +212,23 @@ def test_postings_of_the_first_format_are_gathered_by_item(spark):
     counts = spark.createDataFrame([("a", 1, 0, 2), ("b", 1, 0, 1), ("a", 2, 0, 1), ("c", 2, 1, 1), ("d", 1, 0, 5), ("x", None, 0, 1)], "term string, doc long, ord int, tf long").coalesce(1)
     rows = [(r["doc"], r["ord"], [tuple(t) for t in r["terms"]]) for r in G._gathered(counts).collect()]
     assert sorted(rows) == [(1, 0, [("a", 2), ("b", 1)]), (1, 0, [("d", 5)]), (2, 0, [("a", 1)]), (2, 1, [("c", 1)])]
+
+
+@pytest.mark.parametrize("rows", [2, 256])
+def test_vectors_pass_by_blocks_of_queries(spark, monkeypatch, rows):
+    """Only the vectors are dealt more than once, once a block of queries; keys, lengths, ties, own vectors and what has no key, as by all pairs."""
+    monkeypatch.setattr(S, "ROWS", rows)
+    monkeypatch.setattr(S, "COLUMNS", 2 * rows)
+    rnd = np.random.default_rng(5)
+    table = [(i, [float(x) for x in rnd.integers(-2, 3, 3 if i % 7 else 2)], [None, "a", "b"][min(2, i % 11)]) for i in range(90)] + [(500, [], "a"), (501, None, "a")]
+    v = spark.createDataFrame(table, "id long, v array<float>, key string").repartition(3)
+    asks, every = v.select(F.col("id").alias("q"), "v", "key"), v.select(F.col("id").alias("doc"), "v", "key")
+    for same in (False, True):
+        want = []
+        for q, x, key in table:
+            near = [(-sum(a * b for a, b in zip(x, y, strict=True)), d) for d, y, own in table if x and y and key and own == key and len(x) == len(y) and (same or d != q)]
+            want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(sorted(near)[:5])]
+        for block in (7, 1000):
+            found = S.vector_topk(asks, every, 5, same=same, block=block)
+            assert sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
