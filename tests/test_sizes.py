@@ -232,3 +232,21 @@ def test_vectors_pass_by_blocks_of_queries(spark, monkeypatch, rows):
             found = S.vector_topk(asks, every, 5, same=same, block=block)
             assert sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in found.collect()) == sorted(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_items_stay_where_they_are_under_large_filters(spark, monkeypatch):
+    """More documents than may go to every task do so as bitmaps; where these would be too many, or an id is negative, items are joined as before."""
+    items = spark.createDataFrame([(d, 0, (d or 0) * 2) for d in [*range(0, 70_000, 7), None, -3]], "doc long, ord int, n long")
+    named = spark.range(0, 70_000, 3).select(F.expr("CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END").alias("filter"), F.col("id").alias("doc"))
+    named = named.union(spark.createDataFrame([("all", 7), ("all", 42), (None, 14)], "filter string, doc long"))
+    seen = lambda df: sorted((r["doc"], r["ord"], r["n"], tuple(sorted(r[N.FILTERS])) if N.FILTERS in df.columns else ()) for r in df.collect())
+    for allowed in (named.where("filter IS NOT NULL"), named.select("doc")):
+        want = seen(N.under(items, allowed))
+        with monkeypatch.context() as m:
+            m.setattr(N, "MOST_TERMS", 10)
+            held = N.under(items, allowed)
+            assert seen(held) == want and len(want) > 3000
+            assert "SortMergeJoin" not in held._jdf.queryExecution().executedPlan().toString()
+            assert seen(N.under(items, allowed.union(allowed.limit(1).withColumn("doc", F.lit(-3).cast("long"))))) == sorted([*want, *seen(N.under(items, allowed.limit(1).withColumn("doc", F.lit(-3).cast("long"))))])
+            m.setattr(N, "MOST_BITMAPS", 2)
+            assert seen(N.under(items, allowed)) == want
